@@ -7,14 +7,10 @@ import importlib
 #: module, query, and whether SQL expresses it
 QUERIES = (
     ("sentencepiece_codec", "op1_sentencepiece", False),
-    ("html_extraction", "op2_html_extraction", False),
-    ("secret_scan", "op3_secret_scan", False),
     ("exact_dedup", "op4_exact_dedup", True),
     ("minhash_dedup", "op5_minhash_dedup", False),
-    ("lm_scoring", "op6_lm_scoring", True),
     ("language_id", "op7_language_id", False),
     ("line_dedup", "op8_line_dedup", True),
-    ("suffix_dedup", "op9_suffix_dedup", False),
     ("decontamination", "op10_decontamination", False),
 )
 
