@@ -1,6 +1,8 @@
-"""Connected components of a link table, by local union-find and then large-star and small-star rounds.
+"""Connected components of a link table: local union-find, then hooking and pointer jumping.
 
-Each round is two aggregations and joins over the links; nothing is gathered on the driver but a count and a checksum.
+Every node hooks to the smallest smaller neighbour it has, which makes a forest; pointer jumping flattens it in a number of
+rounds logarithmic in its depth; links are then renamed to the roots, and what still joins different roots goes round
+again. Each round is one aggregation or join over the links; the driver sees counts alone.
 """
 
 from __future__ import annotations
@@ -35,30 +37,36 @@ def _local_union_find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["a", "b"], dtype="int64")
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """links (a > b). Large: a node's larger neighbours move to its smallest; small: its smaller ones and itself do."""
-    if large:
-        near = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    else:
-        near = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    least = near.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
-    if large:
-        out = near.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    else:
-        out = near.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.filter(F.col("a") != F.col("b")).distinct()
+def _roots(forest: DataFrame) -> DataFrame:
+    """forest: a, b (b < a, one row per a), stored. The same with b the root of a's tree."""
+    while True:
+        up = forest.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        if not forest.join(up, "b", "left_semi").limit(1).count():
+            return forest
+        forest = stored(forest.join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b")), "forest")
 
 
-def connected_components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def rename(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """column replaced by its component in names (node, component), where it has one."""
+    to = names.select(F.col("node").alias(column), F.col("component").alias("_to"))
+    return rows.join(to, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
+
+
+def compose(names: DataFrame | None, more: DataFrame) -> DataFrame:
+    """names followed by more: both node, component; more renames components of names (and nodes that names lacks)."""
+    return more if names is None else rename(names, "component", more).select("node", "component").unionByName(more)
+
+
+def connected_components(links: DataFrame) -> DataFrame:
     """links: a, b (bigint). One row per node that is not the smallest of its component: node, component."""
     ordered = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b"))
-    now = stored(ordered.mapInPandas(_local_union_find, "a bigint, b bigint").distinct(), "links")
-    before = None
-    for _ in range(rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = state
-        now = stored(_star(_star(now, True), False), "links")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    left = stored(ordered.mapInPandas(_local_union_find, "a bigint, b bigint"), "links")
+    names = None
+    while True:
+        hooked = _roots(stored(left.groupBy("a").agg(F.min("b").alias("b")), "forest"))
+        step = hooked.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        names = stored(compose(names, step), "names")
+        moved = rename(rename(left, "a", step), "b", step).filter("a != b")
+        left = stored(moved.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        if not left.limit(1).count():
+            return names

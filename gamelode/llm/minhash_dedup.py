@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import GOLDEN, U64, mix, read, stored
-from .components import connected_components
+from .components import compose, connected_components, rename
 
 REGISTERS, BANDS = 128, 32
 CHUNK = 60_000  #: shingles handled at a time
@@ -146,6 +146,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
+    """components after more links, which are first renamed to what is already joined."""
+    more = connected_components(rename(rename(links, "a", components), "b", components).select("a", "b"))
+    return stored(compose(components, more), "names")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", many: float = 4.0) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept. many: while more pairs than this for each class are left,
     a round of trial links between components goes before the confirmation of all."""
@@ -162,8 +168,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sets = stored(full_sets(docs.join(stands.join(members.select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")
 
     star = members.groupBy("node").agg(F.min("first").alias("first")).filter("node != first")
-    links = stored(confirmed(star.select(F.col("node").alias("a"), F.col("first").alias("b")), sets, percent), "confirmed")
-    components = connected_components(links)
+    components = connected_components(confirmed(star.select(F.col("node").alias("a"), F.col("first").alias("b")), sets, percent))
     tried = float("inf")
     while True:
         held = members.select("node", "bucket").join(components, "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("c"))
@@ -178,15 +183,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             rest = held.join(mixed.select("bucket"), "bucket")
             other = rest.select("bucket", F.col("node").alias("b"), F.col("c").alias("cb"))
             pairs = rest.withColumnRenamed("node", "a").join(other, "bucket").filter("c != cb and a > b").select("a", "b").distinct()
-            links = links.union(confirmed(pairs, sets, percent))
-            components = connected_components(links)
+            components = _joined(components, confirmed(pairs, sets, percent))
             break
         tried = left
         reps = groups.join(mixed.select("bucket", "c0"), "bucket")
         first = reps.filter("c = c0").select("bucket", F.col("rep").alias("b"))
         pairs = reps.filter("c != c0").join(first, "bucket").select(F.col("rep").alias("a"), "b").distinct()
-        links = stored(links.union(confirmed(pairs, sets, percent)), "confirmed")
-        components = connected_components(links)
+        components = _joined(components, confirmed(pairs, sets, percent))
 
     named = classes.join(components, "node", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "node").alias("c"))
     out = sig.join(named, ["s1", "s2", "n_shingles"], "left")
