@@ -5,11 +5,13 @@
    holds a value below the next rank, so long texts need one step per element.
 2. Documents with the same set (a 128-bit digest of it and its size) are one class; its smallest id stands for all, so
    groups of copies never meet as pairs.
-3. Signatures are cut into bands. In each bucket only links to the bucket's smallest class are tried first, one for each
-   class; every try is confirmed on the full sets. The links found are grouped by union-find.
-4. What is left: classes that share a bucket but not yet a component. While these pairs are many, only one member for
-   each component and bucket is tried against the bucket's first component; then every remaining pair is confirmed. No
-   bucket is capped and no candidate dropped.
+3. Signatures are cut into bands. First each class is linked to one other: of all classes in its buckets the one whose own
+   buckets are largest, which is in the middle of a group of near copies. Every try is confirmed on the full sets, and
+   the links found are grouped by union-find.
+4. What is left: classes that share a bucket but not yet a component. Pairs that have a rare shingle in common come from
+   the lists of these; for all others the rare shingles bound what a class could still link to, and take out members for
+   which no partner is possible. While the pairs left are many, only one member for each component and bucket is tried
+   against the bucket's first component; then every remaining pair within the bounds is confirmed. No bucket is capped and no possible link dropped.
 
 With 32 bands of 4 registers a pair at similarity 0.8 shares a bucket with probability 1 - 5e-8.
 
@@ -20,6 +22,7 @@ component null and are kept; an empty table gives no rows; other columns are ign
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,10 @@ from pyspark.sql import functions as F
 from .common import GOLDEN, U64, mix, read, stored
 from .components import compose, connected_components, rename
 
+log = logging.getLogger(__name__)
+
 REGISTERS, BANDS = 128, 32
+RARE = 8  #: see _could_link
 CHUNK = 60_000  #: shingles handled at a time
 
 
@@ -146,6 +152,45 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def _could_link(members: DataFrame, components: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of buckets that hold two components or more: what is left to confirm, by exact bounds on the full sets.
+
+    A shingle is rare if at most RARE of these classes have it. A pair shares c rare shingles and at most the others of
+    either class, so it can link only if 100 i >= percent (size + size - i) with i = c + the fewer others. First result: the
+    pairs with c > 0 within that bound, from the lists of rare shingles (RARE long at most). Second: for pairs with c = 0,
+    members with size and cap (the largest size of a partner), without those whose cap lies below every size in the bucket."""
+    held = rename(members.withColumn("c", F.col("node")), "c", components)
+    mixed = held.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").select("bucket")
+    members = stored(members.join(mixed, "bucket"), "mixed-members")
+    own = sets.join(members.select("node").distinct(), "node", "left_semi")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                e = np.frombuffer(s.as_buffer(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), node)), pa.array(e)], names=["node", "e"])
+
+    exploded = own.mapInArrow(each, "node bigint, e bigint")
+    rare = exploded.groupBy("e").agg(F.count("*").alias("k")).filter(F.col("k") <= RARE)
+    lists = stored(exploded.join(rare, "e").groupBy("e").agg(F.sort_array(F.collect_list("node")).alias("nodes")), "rare")
+    count = lists.select(F.explode("nodes").alias("node")).groupBy("node").agg(F.count("*").alias("rare"))
+    size = own.select("node", (F.octet_length("elements") / 8).cast("bigint").alias("size")).join(count, "node", "left")
+    others = F.col("size") - F.coalesce("rare", F.lit(0))
+    size = stored(size.select("node", "size", others.alias("others"), F.floor(others * (100 + percent) / percent + 1e-6 - F.col("size")).alias("cap")), "sizes")
+
+    pairs = lists.filter(F.size("nodes") > 1).select(F.explode("nodes").alias("a"), "nodes").select("a", F.explode("nodes").alias("b")).filter("a > b")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
+    pairs = rename(rename(pairs.withColumns({"x": F.col("a"), "y": F.col("b")}), "x", components), "y", components).filter("x != y")
+    for side in ("a", "b"):
+        pairs = pairs.join(size.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("others").alias(f"others_{side}")), side)
+    i = F.col("c") + F.least("others_a", "others_b")
+    pairs = pairs.filter(100 * i >= percent * (F.col("size_a") + F.col("size_b") - i)).select("a", "b")
+
+    members = members.join(size.drop("others"), "node")
+    least = members.groupBy("bucket").agg(F.min("size").alias("least"))
+    return pairs, stored(members.join(least, "bucket").filter("cap >= least").drop("least"), "mixed-members")
+
+
 def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
     """components after more links, which are first renamed to what is already joined."""
     more = connected_components(rename(rename(links, "a", components), "b", components).select("a", "b"))
@@ -163,30 +208,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     stands = classes.select("node").distinct()
     one = filled.join(classes, ["s1", "s2", "n_shingles"]).filter(F.col("doc_id") == F.col("node"))
     members = one.select("node", F.explode("buckets").alias("bucket")).distinct()
-    shared = members.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(members.join(shared, "bucket"), "members")  # of buckets with two classes or more
+    # a class near the middle of a group is in the large buckets of all bands: it is tried first
+    fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
+    members = stored(members.drop("n").join(fame, "node").withColumn("lead", F.struct(F.col("fame"), (-F.col("node")).alias("minus"))).drop("fame"), "members")
     sets = stored(full_sets(docs.join(stands.join(members.select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")
 
-    star = members.groupBy("node").agg(F.min("first").alias("first")).filter("node != first")
+    leaders = members.groupBy("bucket").agg(F.max("lead").alias("first"))
+    star = members.select("node", "bucket").join(leaders, "bucket").groupBy("node").agg((-F.max("first")["minus"]).alias("first")).filter("node != first")
     components = connected_components(confirmed(star.select(F.col("node").alias("a"), F.col("first").alias("b")), sets, percent))
+    pairs, members = _could_link(members, components, sets, percent)
+    components = _joined(components, confirmed(pairs, sets, percent))
     tried = float("inf")
     while True:
-        held = members.select("node", "bucket").join(components, "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("c"))
-        groups = held.groupBy("bucket", "c").agg(F.min("node").alias("rep"), F.count("*").alias("k"))
-        mixed = groups.groupBy("bucket").agg(F.min("c").alias("c0"), F.count("*").alias("cs"), F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("k2")).filter("cs > 1")
+        held = rename(members.withColumn("c", F.col("node")), "c", components)
+        groups = held.groupBy("bucket", "c").agg(F.max("lead").alias("rep"), F.count("*").alias("k"))
+        mixed = groups.groupBy("bucket").agg(F.max_by("c", "rep").alias("c0"), F.count("*").alias("cs"), F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("k2")).filter("cs > 1")
         mixed = stored(mixed, "mixed")
         left = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("k2")) / 2)).first()[0] or 0
+        log.info("%s pairs share a bucket and no component", left)
         if not left:
             break
         if left <= many * n_classes + 1000 or left > 0.9 * tried:
             # every pair that shares a bucket and no component yet, each once
-            rest = held.join(mixed.select("bucket"), "bucket")
-            other = rest.select("bucket", F.col("node").alias("b"), F.col("c").alias("cb"))
-            pairs = rest.withColumnRenamed("node", "a").join(other, "bucket").filter("c != cb and a > b").select("a", "b").distinct()
+            rest = held.join(mixed.select("bucket"), "bucket").select("bucket", "node", "c", "size", "cap")
+            other = rest.select("bucket", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("size").alias("size_b"), F.col("cap").alias("cap_b"))
+            pairs = rest.withColumnRenamed("node", "a").join(other, "bucket").filter("c != cb and a > b and size <= cap_b and size_b <= cap").select("a", "b").distinct()
             components = _joined(components, confirmed(pairs, sets, percent))
             break
         tried = left
-        reps = groups.join(mixed.select("bucket", "c0"), "bucket")
+        reps = groups.join(mixed.select("bucket", "c0"), "bucket").withColumn("rep", -F.col("rep.minus"))
         first = reps.filter("c = c0").select("bucket", F.col("rep").alias("b"))
         pairs = reps.filter("c != c0").join(first, "bucket").select(F.col("rep").alias("a"), "b").distinct()
         components = _joined(components, confirmed(pairs, sets, percent))

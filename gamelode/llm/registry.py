@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import importlib
-
-#: module, query, and whether SQL expresses it
-QUERIES = (
-    ("sentencepiece_codec", "op1_sentencepiece", False),
-    ("exact_dedup", "op4_exact_dedup", True),
-    ("minhash_dedup", "op5_minhash_dedup", False),
-    ("language_id", "op7_language_id", False),
-    ("line_dedup", "op8_line_dedup", True),
-    ("decontamination", "op10_decontamination", False),
-)
+from . import decontamination, exact_dedup, html_extraction, language_id, line_dedup, lm_scoring, minhash_dedup, secret_scan, sentencepiece_codec, suffix_dedup
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for module, name, _ in QUERIES}
+    return {
+        f.__name__: f
+        for f in (
+            sentencepiece_codec.op1_sentencepiece, html_extraction.op2_html_extraction, secret_scan.op3_secret_scan, exact_dedup.op4_exact_dedup, minhash_dedup.op5_minhash_dedup,
+            lm_scoring.op6_lm_scoring, language_id.op7_language_id, line_dedup.op8_line_dedup, suffix_dedup.op9_suffix_dedup, decontamination.op10_decontamination,
+        )
+    }
 
 
 def oracle_sql() -> dict:
-    return {name: importlib.import_module(f"{__package__}.{module}").ORACLE for module, name, sql in QUERIES if sql}
+    return {"op4_exact_dedup": exact_dedup.ORACLE, "op6_lm_scoring": lm_scoring.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
