@@ -34,7 +34,7 @@ from .common import U64, mix, read
 
 DEPTH, K = 50, 16
 FILTER_BITS = 28
-BUCKET_BYTES = 8_000_000  #: bytes of text for each bucket of the dictionary
+BUCKET_BYTES = 3_000_000  #: bytes of text for each bucket of the dictionary
 CHUNK_BYTES = 2_000_000
 _PLACE = U64((1 << 28) - 1)
 
