@@ -9,16 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 
-def _local_union_find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _local_union_find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each batch shrink to (node, smallest node of its group in this batch)."""
-    for pdf in parts:
+    for batch in parts:
         parent: dict[int, int] = {}
 
         def find(x: int, parent: dict[int, int] = parent) -> int:
@@ -29,12 +29,12 @@ def _local_union_find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 parent[x], x = root, parent[x]
             return root
 
-        for a, b in zip(pdf.a.tolist(), pdf.b.tolist(), strict=True):
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ra, rb = find(a), find(b)
             if ra != rb:
                 parent[max(ra, rb)] = min(ra, rb)
-        pairs = [(x, find(x)) for x in parent]
-        yield pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["a", "b"], dtype="int64")
+        pairs = [(x, r) for x in parent if (r := find(x)) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())], names=["a", "b"])
 
 
 def _roots(forest: DataFrame) -> DataFrame:
@@ -60,7 +60,8 @@ def compose(names: DataFrame | None, more: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame) -> DataFrame:
     """links: a, b (bigint). One row per node that is not the smallest of its component: node, component."""
     ordered = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(F.col("a") != F.col("b"))
-    left = stored(ordered.mapInPandas(_local_union_find, "a bigint, b bigint"), "links")
+    ordered = stored(ordered, "links")  # so that a task runs one Python worker at a time
+    left = stored(ordered.mapInArrow(_local_union_find, "a bigint, b bigint"), "links")
     names = None
     while True:
         hooked = _roots(stored(left.groupBy("a").agg(F.min("b").alias("b")), "forest"))
