@@ -94,16 +94,17 @@ class CrossParser:
         for _, text in samples:
             codes = symbols([text], self.code_of)[0][:limit]
             go = suffix_automaton(codes.tolist())
-            root = np.zeros(width, dtype=np.int64)
+            root = np.full(width, len(go), dtype=np.int64)  # a symbol that the sample lacks is a phrase of its own: one more state
             root[list(go[0])] = list(go[0].values())
-            table = np.tile((base + root) * width * 2 + 1, (len(go), 1))  # a break, then on from the root
+            table = np.tile((base + root) * width * 2 + 1, (len(go) + 1, 1))  # a break, then on from the root
+            table[0] -= 1
             for s, out in enumerate(go):
                 if out:
                     table[s, list(out)] = (base + np.fromiter(out.values(), dtype=np.int64)) * width * 2
             tables.append(table)
             self.roots.append(base * width)
             self.bits.append(np.log2(max(2, len(codes))))
-            base += len(go)
+            base += len(go) + 1
         self.table = np.concatenate(tables).ravel().astype(np.int32 if base * width * 2 < 2**31 else np.int64)
 
     def breaks(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:

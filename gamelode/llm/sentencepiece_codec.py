@@ -161,7 +161,7 @@ def decode(encoded: DataFrame, model_file: str = MODEL, ids_col: str = "ids", ou
                 texts = [tool.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in lists]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, out_col])
 
-    return encoded.mapInArrow(run, encoded.withColumn(out_col, F.lit("")).schema)
+    return encoded.mapInArrow(run, encoded.withColumn(out_col, F.lit(None).cast("string")).schema)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
