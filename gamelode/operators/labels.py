@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
 
 from gamelode.functions import text as T
 
@@ -89,7 +90,7 @@ def rouge_n_table(pairs: DataFrame, keys: list[str], n: int, pred: str = "pred",
     return out.select(*keys, p.alias("p"), r.alias("r"), _ratio(2 * p * r, p + r).alias("f"))
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of token arrays, by bit-parallel rows."""
 

@@ -137,13 +137,13 @@ hit as (select query, appid from asked, g where contains(g.name, query) or len(l
 s as (select user_id, hit.appid as appid, 0.35 * w as s from r join hit on hit.query = lower(trim(r.query)) where r.type = 'search' union all
  select r.user_id, b.appid as appid, 0.15 * w * len(list_intersect(list_distinct(a.tags), list_distinct(b.tags))) from r join g a on a.appid = r.appid join g b on len(list_intersect(a.tags, b.tags)) > 0 where r.type = 'click'),
 gone as (select distinct user_id, appid from r where type = 'click' and appid is not null)
-select user_id, appid, round(0.5 + sum(s), 6) as score from s where not exists (select 1 from gone where gone.user_id = s.user_id and gone.appid = s.appid) group by 1, 2"""
+select user_id, appid, round(0.5 + sum(s), 12) as score from s where not exists (select 1 from gone where gone.user_id = s.user_id and gone.appid = s.appid) group by 1, 2"""
 
 
 @R.add("t02_preference_scores", f"with {PREF}", "interactions")
 def _(t):
     games = t("part").select(F.col("p_partkey").alias("appid"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("context"), F.array("p_brand", "p_type").alias("tags"))
-    return B.preference_scores(t("interactions"), games).select("user_id", "appid", F.round("score", 6).alias("score"))
+    return B.preference_scores(t("interactions"), games).select("user_id", "appid", F.round("score", 12).alias("score"))
 
 
 @R.add("t08_recent_context", """with recent as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) - 1 as place from interactions)
