@@ -84,7 +84,7 @@ class Page:
             m = TAG.search(text, at)
             stop = m.start() if m else end
             if stop > at and not skip:
-                piece = text[at:stop]
+                piece = text[at:stop] if m else re.sub(r"<[a-zA-Z/!?][^>]*$", "", text[at:])  # a tag cut off by the end
                 piece = htmllib.unescape(piece) if "&" in piece else piece
                 run.append(piece)
                 if in_link:

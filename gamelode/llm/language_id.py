@@ -105,7 +105,7 @@ class CrossParser:
             self.roots.append(base * width)
             self.bits.append(np.log2(max(2, len(codes))))
             base += len(go) + 1
-        self.table = np.concatenate(tables).ravel().astype(np.int32 if base * width * 2 < 2**31 else np.int64)
+        self.table = np.concatenate([np.zeros((0, width), dtype=np.int64), *tables]).ravel().astype(np.int32 if base * width * 2 < 2**31 else np.int64)
 
     def breaks(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """(languages, texts): where the greedy parse had to begin a new phrase. Texts of like length move in lockstep."""
