@@ -101,11 +101,23 @@ def _(t):
     return V.retrieval_metrics(bm, gold).select("queries", *(F.round(c, 6).alias(c) for c in ("r1", "r5", "r10", "mrr")))
 
 
-@R.add("r07_tfidf_examples", None)
+STOP = "'" + "','".join(V.STOP) + "'"
+TERMS = "select {0} as key, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i : concat(w[i], ' ', w[i + 1])))) as term from (select *, list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}'), lambda x : x not in (" + STOP + ")) as w from {1})"
+TFIDF = f"""gold as (select doc_id, text from documents where doc_id in (select doc_id from labels where quality = 1)), ask as (select doc_id, text from documents where doc_id % 100 = 0),
+gt as (select key, term, count(*) as tf from ({TERMS.format('doc_id', 'gold')}) group by 1, 2), qt as (select key, term, count(*) as tf from ({TERMS.format('doc_id', 'ask')}) group by 1, 2),
+idf as (select term, ln((1 + (select count(*) from gold)) / (1 + count(*))) + 1 as idf from gt group by term order by sum(tf) desc, term limit 20000),
+gv as (select key, term, tf * idf as v from gt join idf using (term)), qv as (select key, term, tf * idf as v from qt join idf using (term)),
+gn as (select key, sqrt(sum(v * v)) as n from gv group by 1), qn as (select key, sqrt(sum(v * v)) as n from qv group by 1),
+s as (select qv.key as query_id, gv.key as doc_id, round(sum(qv.v / qn.n * gv.v / gn.n), 6) as score from qv join gv using (term) join qn on qn.key = qv.key join gn on gn.key = gv.key group by 1, 2),
+k as (select s.* from s join ask a on a.doc_id = s.query_id join gold g on g.doc_id = s.doc_id where score >= 0.05 and query_id <> s.doc_id and a.text <> g.text)
+select query_id, doc_id, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from k) where rank <= 3"""
+
+
+@R.add("r07_tfidf_examples", f"with {TFIDF}")
 def _(t):
     d = t("documents").join(t("labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("key"), "text")
     q = t("documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("key"), "text")
-    return V.tfidf_examples(q, d)
+    return V.tfidf_examples(q, d).select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @R.add("r08_embedding_examples", "with qv as (select vec_id as query_id, embedding as q from embeddings where vec_id % 100 = 0), sc as (select query_id, vec_id, round(list_cosine_similarity(q::double[], embedding::double[]), 9) as score from qv, embeddings where query_id <> vec_id and q <> embedding) select query_id, vec_id, rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from sc) where rank <= 3")
