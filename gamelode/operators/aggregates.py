@@ -27,7 +27,7 @@ def pct_round(df: DataFrame, col: str, percents: list[float]) -> DataFrame:
     """Third rule: the value at place round half even(p/100 (n-1))."""
     n = df.agg(F.count(col)).first()[0]
     at = value_at(df, col, {str(p): round(p / 100 * (n - 1)) for p in percents}) if n else {}
-    return df.sparkSession.createDataFrame([(float(p), at.get(str(p))) for p in percents], "p double, value double")
+    return df.sparkSession.createDataFrame([(float(p), None if (v := at.get(str(p))) is None else float(v)) for p in percents], "p double, value double")
 
 
 def describe(df: DataFrame, col: str, groups: list[str], quantiles: list[float], exact: bool = True) -> DataFrame:
