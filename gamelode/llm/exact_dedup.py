@@ -47,7 +47,7 @@ class DigestIndex:
 
     def rows(self) -> DataFrame:
         """The index as plain files, so that both sides of a skewed join are shuffled and AQE can split hot digests."""
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema(self.spark.table(self.name).schema).parquet(self.path)
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
