@@ -185,7 +185,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: contaminated, n_items, item_ids (in order) and the spans."""
+    """Per document: contaminated, kept (its opposite), n_items, item_ids (in order) and the spans."""
     out = find_passages(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     ids = F.array_sort(F.array_distinct(F.col("spans.item_id")))
-    return out.select("doc_id", (F.size("spans") > 0).alias("contaminated"), F.size(ids).cast("bigint").alias("n_items"), ids.alias("item_ids"), F.to_json("spans").alias("spans"))
+    return out.select("doc_id", (F.size("spans") > 0).alias("contaminated"), (F.size("spans") == 0).alias("kept"), F.size(ids).cast("bigint").alias("n_items"), ids.alias("item_ids"), F.to_json("spans").alias("spans"))

@@ -16,7 +16,8 @@
 With 32 bands of 4 registers a pair at similarity 0.8 shares a bucket with probability 1 - 5e-8.
 
 Defined cases: a null text, or one without words, has 0 shingles and links with nothing; a text with fewer words than a
-shingle is one shingle; rows that repeat an id count once as a document (each row is returned); rows without an id keep
+shingle is one shingle; rows that repeat an id are taken to repeat its text, and count once as a document (each row is
+returned); rows without an id keep
 component null and are kept; an empty table gives no rows; other columns are ignored.
 """
 
