@@ -53,14 +53,15 @@ def test_line_odd_rows(spark, odd_docs, no_docs):
     out = line_dedup.line_dedup(odd_docs)
     assert out.count() == odd_docs.count() and line_dedup.line_dedup(no_docs).count() == 0
     assert {r.doc_id: r.text for r in out.filter("doc_id in (3, 4, 5)").collect()} == {3: None, 4: "", 5: "   \n\t "}
-    assert set(odd_docs.columns) == set(out.columns) - {"n_dropped"}
+    assert set(odd_docs.columns) == set(out.columns) - {"n_dropped"} and {r._host for r in out.collect()} == {"h"}
 
 
 def test_line_drops_by_host_only(spark):
     rows = [(k, f"menu\nown line {k}\n\nlast {k}", "h1" if k < 20 else "h2") for k in range(40)] + [(99, "menu", "h3")]
     rows = [(k, t.replace("menu", "menu" if h != "h2" or k == 20 else f"m{k}"), h) for k, t, h in rows]
-    out = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
-    assert out[0] == ("own line 0\n\nlast 0", 4, 1) and out[20][0].startswith("menu\n") and out[99] == ("menu", 1, 0)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out, salted = ({r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.line_dedup(df, broadcast_lines=n).collect()} for n in (100, 0))
+    assert out == salted and out[0] == ("own line 0\n\nlast 0", 4, 1) and out[20][0].startswith("menu\n") and out[99] == ("menu", 1, 0)
 
 
 def words_of(text):
