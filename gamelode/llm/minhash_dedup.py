@@ -8,8 +8,8 @@
 3. Signatures are cut into bands. First each class is linked to one other: of all classes in its buckets the one whose own
    buckets are largest, which is in the middle of a group of near copies. Every try is confirmed on the full sets, and
    the links found are grouped by union-find.
-4. What is left: classes that share a bucket but not yet a component. Pairs that have a rare shingle in common come from
-   the lists of these; for all others the rare shingles bound what a class could still link to, and take out members for
+4. What is left: classes that share a bucket but not yet a component. In large buckets, pairs that have a rare shingle in
+   common come from the lists of these; for all others the rare shingles bound what a class could still link to, and take out members for
    which no partner is possible. While the pairs left are many, only one member for each component and bucket is tried
    against the bucket's first component; then every remaining pair within the bounds is confirmed. No bucket is capped and no possible link dropped.
 
@@ -38,7 +38,7 @@ from .components import compose, connected_components, rename
 log = logging.getLogger(__name__)
 
 REGISTERS, BANDS = 128, 32
-RARE = 8  #: see _could_link
+RARE, LARGE = 128, 64  #: see _could_link
 CHUNK = 60_000  #: shingles handled at a time
 
 
@@ -154,15 +154,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _could_link(members: DataFrame, components: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of buckets that hold two components or more: what is left to confirm, by exact bounds on the full sets.
+    """Of buckets that hold two components or more: what is left to confirm. In buckets of LARGE members or fewer that is
+    every pair (linear in their members); in larger ones exact bounds on the full sets come first.
 
     A shingle is rare if at most RARE of these classes have it. A pair shares c rare shingles and at most the others of
     either class, so it can link only if 100 i >= percent (size + size - i) with i = c + the fewer others. First result: the
     pairs with c > 0 within that bound, from the lists of rare shingles (RARE long at most). Second: for pairs with c = 0,
     members with size and cap (the largest size of a partner), without those whose cap lies below every size in the bucket."""
     held = rename(members.withColumn("c", F.col("node")), "c", components)
-    mixed = held.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").select("bucket")
+    mixed = held.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).filter("c0 != c1").select("bucket", "n")
     members = stored(members.join(mixed, "bucket"), "mixed-members")
+    small = members.filter(F.col("n") <= LARGE).drop("n").withColumns({"size": F.lit(0).cast("bigint"), "cap": F.lit(2**62)})
+    members = members.filter(F.col("n") > LARGE).drop("n")
     own = sets.join(members.select("node").distinct(), "node", "left_semi")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +192,8 @@ def _could_link(members: DataFrame, components: DataFrame, sets: DataFrame, perc
 
     members = members.join(size.drop("others"), "node")
     least = members.groupBy("bucket").agg(F.min("size").alias("least"))
-    return pairs, stored(members.join(least, "bucket").filter("cap >= least").drop("least"), "mixed-members")
+    large = members.join(least, "bucket").filter("cap >= least").drop("least")
+    return pairs, stored(large.unionByName(small), "mixed-members")
 
 
 def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
