@@ -38,7 +38,7 @@ from .components import compose, connected_components, rename
 log = logging.getLogger(__name__)
 
 REGISTERS, BANDS = 128, 32
-RARE, LARGE = 128, 64  #: see _could_link
+RARE, LARGE = 64, 64  #: see _could_link
 CHUNK = 60_000  #: shingles handled at a time
 
 
@@ -182,7 +182,8 @@ def _could_link(members: DataFrame, components: DataFrame, sets: DataFrame, perc
     others = F.col("size") - F.coalesce("rare", F.lit(0))
     size = stored(size.select("node", "size", others.alias("others"), F.floor(others * (100 + percent) / percent + 1e-6 - F.col("size")).alias("cap")), "sizes")
 
-    pairs = lists.filter(F.size("nodes") > 1).select(F.explode("nodes").alias("a"), "nodes").select("a", F.explode("nodes").alias("b")).filter("a > b")
+    smaller = F.transform("nodes", lambda x, i: F.transform(F.slice("nodes", F.lit(1), i), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    pairs = lists.filter(F.size("nodes") > 1).select(F.explode(F.flatten(smaller)).alias("x")).select("x.a", "x.b")
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
     pairs = rename(rename(pairs.withColumns({"x": F.col("a"), "y": F.col("b")}), "x", components), "y", components).filter("x != y")
     for side in ("a", "b"):
