@@ -15,11 +15,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7. Texts without a letter, and those that two languages explain equally well, are rejected. The parser
-    learns from the labelled rows of documents alone, as the query of operator 7 does."""
-    samples = language_id.training_samples(read(spark, sf_dir, "documents").filter(~language_id.is_held_out()))
+    """Operator 7. Only texts without a letter are rejected: one that two languages explain equally well stays, and so do all
+    with a letter where no row has a label. The parser learns from the labelled rows of documents alone, as the query of
+    operator 7 does."""
+    labelled = read(spark, sf_dir, "documents").filter(~language_id.is_held_out() & (F.col("lang") != language_id.UNDETERMINED))
+    samples = language_id.training_samples(labelled) or (("any", ""),)
     out = language_id.identify(docs.select(*COLUMNS), samples)
-    return out.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") > 0)).select(*COLUMNS)
+    return out.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*COLUMNS)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

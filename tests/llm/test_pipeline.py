@@ -24,3 +24,13 @@ def test_each_stage_on_its_input(spark, sf):
 def test_run(spark, sf):
     assert [n for n, _ in P.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "sentencepiece"]
     assert P.run(spark, sf).count() > 0
+
+
+def test_first_stage_drops_only_texts_without_a_letter(spark, tmp_path):
+    texts = ["one", "rose", "def f(x): return x", "漢字", "Anna Meier", "12 34", None, "", "the same words of all samples"] * 4
+    for name, langs in (("tie", ("en", "fr")), ("none", (None, None)), ("und", ("und", "und"))):
+        rows = [(k, t, langs[k % 2], "a", len(t or "")) for k, t in enumerate(texts)]
+        path = f"{tmp_path}/{name}"
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+        docs.write.parquet(f"{path}/documents.parquet")
+        assert sorted(r.doc_id for r in P.keep_known_languages(spark, docs, path).collect()) == [k for k, t in enumerate(texts) if any(map(str.isalpha, t or ""))]
