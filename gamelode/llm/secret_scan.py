@@ -31,8 +31,8 @@ PATTERNS = {
     "google_key": "AIza[0-9A-Za-z_-]{35}",
     "stripe_key": "[sr]k_live_[0-9A-Za-z]{16,}",
     "jwt": "eyJ[0-9A-Za-z_-]{10,}\\.[0-9A-Za-z_-]{10,}\\.[0-9A-Za-z_-]{5,}",
-    "private_key": "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
-    "assignment": "(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\\s{0,3}[=:]\\s{0,3}[\"']?[^\\s\"',;]{6,200}",
+    "private_key": "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[\\s\\S]*?(?:-----END [A-Z ]{0,20}PRIVATE KEY-----|(?![\\s\\S]))",  # to its END line, or to the end of the text
+    "assignment": "(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\\s{0,3}[=:]\\s{0,3}[\"']?(?!-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)[^\\s\"',;]{6,}+",
 }
 DICTIONARY = "example|placeholder|password|changeme|change|secret|token|sample|dummy|default|insert|replace|your|test|fake|none|null|true|false|user|admin|here|key|value|hidden|redacted|env|config|my|the|and|ing|tion"
 LEAD = "(?i)password|passwd|pwd|secret|token|key|credential|auth|login|bearer"
