@@ -13,7 +13,8 @@ Text: character references are decoded; white space inside a block becomes one s
 page order by one line break. Scripts, styles, forms, comments of the markup and the head never count as text.
 
 Defined cases: a null or empty page, or one without main text, has the empty text; broken markup is read as browsers do in
-the common cases (unclosed paragraphs, cells and list items; stray end tags are ignored); repeated rows are separate;
+the common cases (unclosed paragraphs, cells and list items; stray end tags are ignored; text, or an element that cannot
+stand in it, ends the head; the end of its parent ends an unclosed form, button or the like); repeated rows are separate;
 other columns are ignored.
 """
 
@@ -40,7 +41,9 @@ SYNTHETIC, WEAK, TREES, DEPTH = 500, 150, 30, 4
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("head script style noscript template iframe svg math canvas object form button select textarea audio video datalist".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math".split())
+FOREIGN = frozenset(("svg", "math"))
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
@@ -83,6 +86,9 @@ class Page:
         while at < end:
             m = TAG.search(text, at)
             stop = m.start() if m else end
+            if stack[-1][0] == "head" and text[at:stop].strip():  # as text, or an element that cannot stand in it, ends the head
+                stack.pop()
+                skip -= 1
             if stop > at and not skip:
                 piece = text[at:stop] if m else re.sub(r"<[a-zA-Z/!?][^>]*$", "", text[at:])  # a tag cut off by the end
                 piece = htmllib.unescape(piece) if "&" in piece else piece
@@ -98,23 +104,26 @@ class Page:
             name = name.lower()
             node = stack[-1][1]
             if m[1]:  # an end tag
-                if name in SKIPPED:
-                    skip = max(0, skip - 1)
                 if name == "a":
                     in_link = max(0, in_link - 1)
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == name:
                         if name in BLOCK or any(t in BLOCK for t, _ in stack[k:]):
                             self._flush(run, node)
-                        if name not in BLOCK and any(t in BLOCK for t, _ in stack[k + 1 :]):
+                        if name not in BLOCK and name not in SKIPPED and any(t in BLOCK or t in SKIPPED for t, _ in stack[k + 1 :]):
                             break  # an inline end does not close blocks
+                        skip -= sum(t in SKIPPED for t, _ in stack[k:])
                         del stack[k:]
                         break
                 continue
-            if name in RAW:
+            if stack[-1][0] == "head" and name not in IN_HEAD:
+                stack.pop()
+                skip -= 1
+            if name in RAW and not (name in FOREIGN and m[3].endswith("/")):
                 close = re.compile(rf"</{name}\s*>", re.I).search(text, at)
-                at = close.end() if close else end
-                continue
+                if close or name not in FOREIGN:
+                    at = close.end() if close else end
+                    continue
             if name in VOID or m[3].endswith("/"):
                 self.tags[node] += 1
                 if name == "br":
@@ -122,10 +131,15 @@ class Page:
                 elif name == "hr":
                     self._flush(run, node)
                 continue
+            if skip and name in BLOCK and stack[-1][0] in FOREIGN:  # a block cannot stand in svg or math
+                stack.pop()
+                skip -= 1
             if name in SKIPPED:
+                stack.append((name, node))
                 skip += 1
                 continue
             if skip and name == "body":
+                stack = [x for x in stack if x[0] not in SKIPPED]
                 skip = 0
             if name in BLOCK:
                 self._flush(run, node)
@@ -137,12 +151,12 @@ class Page:
                             del stack[k:]
                             in_link = 0
                             break
-                        if stack[k][0] in BLOCK:
+                        if stack[k][0] in BLOCK or stack[k][0] in SKIPPED:
                             break
                 if name in CLOSES:
                     closed, limits = CLOSES[name]
                     for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in limits:
+                        if stack[k][0] in limits or stack[k][0] in SKIPPED:
                             break
                         if stack[k][0] in closed:
                             del stack[k:]
