@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import html
+import math
 import random
 import re
 
@@ -248,3 +249,21 @@ def test_scores_odd_rows(odd_docs, no_docs):
     rows = {r.doc_id: r for r in lm_scoring.score(odd_docs).collect()}
     assert rows[3].n_words == 0 and rows[3].score is None and rows[8].n_words == 2 and rows[1].score == rows[2].score
     assert lm_scoring.score(no_docs).count() == 0
+
+
+def test_scores_count_what_was_seen_once(spark):
+    r = random.Random(6)
+    texts = [" ".join(r.choice("abcdef") for _ in range(r.randint(0, 30))) for _ in range(40)] + ["once upon a time", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for order, out in ((2, lm_scoring.score(docs)), (3, lm_scoring.score(docs, order=3, slices=4))):
+        words = [[" "] * (order - 1) + t.split() if t and t.split() else [] for t in texts]
+        count: dict[tuple, int] = {}
+        for w in words:
+            for k in range(order - 1, len(w)):
+                count[tuple(w[k - order + 1 : k + 1])] = count.get(tuple(w[k - order + 1 : k + 1]), 0) + 1
+            for k in range(order - 2, len(w)):
+                count[tuple(w[k - order + 2 : k + 1])] = count.get(tuple(w[k - order + 2 : k + 1]), 0) + 1
+        for x in out.collect():
+            w = words[x.doc_id]
+            want = sum(math.log(count[tuple(w[k - order + 1 : k + 1])] / count[tuple(w[k - order + 1 : k])]) for k in range(order - 1, len(w)))
+            assert x.n_words == max(0, len(w) - order + 1) and (x.score == pytest.approx(want) if w else x.score is None)
