@@ -65,9 +65,10 @@ def mmr_select(cands: DataFrame, query: str, rank: str, query_vec: str, vec: str
     return few.groupBy(query).applyInPandas(pick, out.schema)
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", query_vec: str = "query_vec", key: str = "vec_id", vec: str = "embedding", block: int = 2000) -> DataFrame:
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", query_vec: str = "query_vec", key: str = "vec_id", vec: str = "embedding", block: int = 2000, apart: bool = False) -> DataFrame:
     """Cosine of every query with every vector, k best of each: query_id, key, score, rank. Queries go to the tasks in
-    blocks of a fixed number; each batch of vectors is one matrix product and keeps its k best before the final ranking."""
+    blocks of a fixed number; each batch of vectors is one matrix product and keeps its k best before the final ranking.
+    apart: the row with the query's id, and rows with its very vector, do not take part."""
     names = f"{query_id} bigint, {key} bigint, score double"
     blocks = queries.select(query_id, query_vec).filter(F.col(query_vec).isNotNull())
     n = max(1, -(-blocks.count() // block))
@@ -76,18 +77,27 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "q
         some = [r for r in blocks.filter(F.pmod(F.xxhash64(query_id), F.lit(n)) == b).orderBy(query_id).collect()]
         ids = np.array([r[0] for r in some], dtype=np.int64)
         q = np.array([r[1] for r in some], dtype=np.float64)
+        same: dict[bytes | int, list[int]] = {}  # queries by their vector and by their id
+        if apart:
+            for i, (x, row) in enumerate(zip(ids.tolist(), q + 0.0, strict=True)):
+                same.setdefault(x, []).append(i)
+                same.setdefault(row.tobytes(), []).append(i)
         q = q / np.where((s := np.linalg.norm(q, axis=1, keepdims=True)) == 0, 1, s) if len(some) else q
 
-        def score(batches: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pd.DataFrame], ids=ids, q=q, same=same) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if not len(ids) or not len(pdf):
                     continue
                 v = np.array(pdf[vec].tolist(), dtype=np.float64)
                 norm = np.linalg.norm(v, axis=1, keepdims=True)
                 s = q @ (v / np.where(norm == 0, 1, norm)).T
+                if same:
+                    for j, (x, row) in enumerate(zip(pdf[key].tolist(), v + 0.0, strict=True)):
+                        s[same.get(x, []) + same.get(row.tobytes(), []), j] = -np.inf
                 keep = min(k + 1, s.shape[1])
                 at = np.argpartition(-s, keep - 1, axis=1)[:, :keep] if keep < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(ids), 1))
-                tied = s >= np.take_along_axis(s, at, 1).min(axis=1, keepdims=True)  # all rows that tie with the last kept
+                tied = s >= np.take_along_axis(s, at, 1).min(axis=1, keepdims=True) - 1e-9  # all rows that tie with the last kept, once rounded
+                tied &= s > -np.inf
                 rows, cols = np.nonzero(tied)
                 yield pd.DataFrame({query_id: ids[rows], key: pdf[key].to_numpy()[cols], "score": s[rows, cols]})
 

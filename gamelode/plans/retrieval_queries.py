@@ -47,9 +47,9 @@ sc as (select query_id, vec_id, ql, label, round(list_cosine_similarity(q::doubl
 de as (select * from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from sc) where rank <= 200)"""
 
 
-def _dense(t, k=200):
+def _dense(t, k=200, apart=False):
     e = t("embeddings")
-    return K.dense_topk(e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), e, k)
+    return K.dense_topk(e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), e, k, apart=apart)
 
 
 @R.add("r03_dense_search", f"with {DENSE} select query_id, vec_id, rank from de where rank <= 10")
@@ -122,10 +122,7 @@ def _(t):
 
 @R.add("r08_embedding_examples", "with qv as (select vec_id as query_id, embedding as q from embeddings where vec_id % 100 = 0), sc as (select query_id, vec_id, round(list_cosine_similarity(q::double[], embedding::double[]), 9) as score from qv, embeddings where query_id <> vec_id and q <> embedding) select query_id, vec_id, rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from sc) where rank <= 3")
 def _(t):
-    e = t("embeddings")
-    near = _dense(t, 60)
-    other = near.filter("query_id <> vec_id").join(e.select("vec_id", "embedding"), "vec_id").join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").filter("q <> embedding")
-    return K.topk_per_group(other.drop("rank"), ["query_id"], [F.desc("score"), F.col("vec_id")], 3).select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"))
+    return _dense(t, 3, apart=True).select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 CANDS = "cands as (select p_size % 5 as query_id, p_partkey as doc_id, row_number() over (partition by p_size % 5 order by p_retailprice desc, p_partkey) as rank from part join embeddings on vec_id = p_partkey)"

@@ -90,6 +90,14 @@ def test_bm25_by_hand(spark):
     assert got == {2: pytest.approx((math.log(2.5) - math.log(1.5)) * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / 2)), abs=1e-6)}
 
 
+def test_copies_of_a_query_take_no_place(spark, tmp_path):
+    rows = [(k, [1.0, 2.0]) for k in range(100)] + [(200 + k, [1.0, 2.0 + k]) for k in range(1, 6)] + [(300, [5.0, 1.0]), (301, None)]
+    e = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = catalogue.queries()["r08_embedding_examples"](spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in out) == [(0, 1, 201), (0, 2, 202), (0, 3, 203), (300, 1, 0), (300, 2, 1), (300, 3, 2)]
+
+
 def test_mmr_by_hand(spark):
     rows = [(1, 1, [1.0, 0.0], [1.0, 0.0]), (1, 2, [1.0, 0.0], [0.99, 0.1]), (1, 3, [1.0, 0.0], [0.6, 0.8]), (1, 4, [1.0, 0.0], [0.0, 1.0])]
     df = spark.createDataFrame(rows, "q int, r int, qv array<double>, v array<double>")
