@@ -92,6 +92,8 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
 
 
 def _split(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    if not len(bucket):
+        return []
     order = np.argsort(bucket, kind="stable")
     keys, first = np.unique(bucket[order], return_index=True)
     return list(zip(keys.tolist(), np.split(order, first[1:]), strict=True))
