@@ -5,12 +5,15 @@ links; a single-pass Viterbi relaxes the best score at that position from each p
 model file. On equal scores the longest last piece wins.
 
 White space is escaped and a space put before the text as the model file asks. No piece has a space mark after another
-character (checked when the model is loaded), so the path never crosses the places where a run of marks begins: a text is
-cut there, and a bounded memory of segments already encoded saves work on frequent words. Characters without a piece
-become byte pieces, or the unknown id where the model has none.
+character (checked when the model is loaded), so the path never crosses the places where a run of marks begins, and none
+crosses a line break: texts are cut there. The distinct segments of a few hundred texts go through the automaton once; ids
+are put together, and decoded, by look-ups over whole arrays. Characters without a piece become byte pieces, or the
+unknown id where the model has none.
+
+The model file is read on the driver, when the operator is called, and travels with the tasks (about half a megabyte).
 
 Defined cases: a null text has no ids and decodes to null; the empty text has no ids; very long segments are encoded like
-any other, in time proportional to their length.
+any other, in time proportional to their length; bytes that form no character decode to U+FFFD.
 """
 
 from __future__ import annotations
@@ -30,43 +33,43 @@ from .common import read
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 REMEMBERED = 200_000  #: segments kept by a worker; at this number the memory starts anew
+AT_A_TIME = 256  #: texts whose ids are held at a time
 
 
 class PieceCodec:
-    def __init__(self, model_file: str):
-        import sentencepiece
+    def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2
 
-        model = sentencepiece_model_pb2.ModelProto()
-        with open(model_file, "rb") as f:
-            model.ParseFromString(f.read())
-        del sentencepiece
-        spec = model.normalizer_spec
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(model)
+        spec = proto.normalizer_spec
         if spec.precompiled_charsmap:
             raise ValueError("this model rewrites characters; only models that keep them are supported")
         self.prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
-        self.pieces: list[str | bytes] = []
+        pieces: list[bytes] = []
         self.byte_ids: dict[int, int] = {}
         self.unknown = 0
         normal = []
-        for k, p in enumerate(model.pieces):
+        for k, p in enumerate(proto.pieces):
             if p.type == p.BYTE:
                 self.byte_ids[int(p.piece[3:-1], 16)] = k
-                self.pieces.append(bytes([int(p.piece[3:-1], 16)]))
+                pieces.append(bytes([int(p.piece[3:-1], 16)]))
             elif p.type in (p.NORMAL, p.USER_DEFINED):
                 normal.append((p.piece, k, p.score))
-                self.pieces.append(p.piece.replace(MARK, " ").encode())
+                pieces.append(p.piece.replace(MARK, " ").encode())
             else:
                 self.unknown = k if p.type == p.UNKNOWN else self.unknown
-                self.pieces.append(b"")
-        if crossing := [p for p, _, _ in normal if re.search(f"[^{MARK}]{MARK}", p)]:
-            raise ValueError(f"pieces across a space: {crossing[:3]}")
+                pieces.append(b"")
+        if crossing := [p for p, _, _ in normal if re.search(f"[^{MARK}]{MARK}|.\n|\n.", p, re.S)]:
+            raise ValueError(f"pieces across a space or line break: {crossing[:3]}")
+        self.pieces = pa.array(pieces, pa.binary())
+        self.sizes = np.array(list(map(len, pieces)), dtype=np.int64)
         self.fallback_score = min((s for _, _, s in normal), default=0.0) - 10.0
         self.automaton = ahocorasick.Automaton()
         for p, k, s in normal:
             self.automaton.add_word(p, (len(p), k, s))
         self.automaton.make_automaton()
-        self.seen: dict[str, bytes] = {}
+        self.seen: dict[bytes, np.ndarray] = {}
 
     def viterbi(self, segment: str) -> list[int]:
         """Ids of the best path. best[i] is final once all pieces that end at i have been seen: starts lie before ends."""
@@ -95,77 +98,145 @@ class PieceCodec:
             if ids[i] >= 0:
                 path.append(ids[i])
             else:
-                raw = segment[back[i] : i].encode()
+                raw = segment[back[i] : i].encode("utf-8", "surrogatepass")
                 path.extend(reversed([self.byte_ids[b] for b in raw] if self.byte_ids else [self.unknown]))
             i = back[i]
         return path[::-1]
 
-    def escape(self, text: str) -> str:
+    def _segment(self, raw: bytes) -> np.ndarray:
+        got = self.seen.get(raw)
+        if got is None:
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
+            got = np.array(self.viterbi(raw.decode("utf-8", "surrogatepass").replace(" ", MARK)), dtype=np.int32)
+            if len(raw) <= 64:
+                self.seen[raw] = got
+        return got
+
+    def _spaced(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
-        return ((" " + text if self.prefix else text) if text else "").replace(" ", MARK)
+        return " " + text if self.prefix and text else text
+
+    def escape(self, text: str) -> str:
+        return self._spaced(text).replace(" ", MARK)
 
     def encode(self, text: str) -> np.ndarray:
-        out = []
-        for segment in re.findall(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n", self.escape(text)):
-            got = self.seen.get(segment)
-            if got is None:
-                if len(self.seen) >= REMEMBERED:
-                    self.seen.clear()
-                got = np.array(self.viterbi(segment), dtype=np.int32).tobytes()
-                if len(segment) <= 64:
-                    self.seen[segment] = got
-            out.append(got)
-        return np.frombuffer(b"".join(out), dtype=np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        raw, places = self.decode_all(ids, np.array([0, len(ids)]))
+        return _text_array(raw, places, [True])[0].as_py()
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text's ids end (0 first)."""
+        raws = [self._spaced(t).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        ends = np.cumsum([0, *map(len, raws)])
+        buf = np.frombuffer(b"".join(raws), dtype=np.uint8)
+        if not len(buf):
+            return np.zeros(0, dtype=np.int32), np.zeros(len(ends), dtype=np.int64)
+        space, line = buf == 32, buf == 10
+        cut = np.empty(len(buf), dtype=bool)  # a segment begins here: a run of spaces, a line break, or what follows one
+        cut[0] = True
+        cut[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+        cut[ends[:-1][np.diff(ends) > 0]] = True
+        begins = np.flatnonzero(cut)
+        segments = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(np.append(begins, len(buf)).astype(np.int64)), pa.py_buffer(buf)]).dictionary_encode()
+        which = segments.indices.to_numpy()
+        known = [self._segment(raw) for raw in segments.dictionary.to_pylist()]
+        size = np.array(list(map(len, known)), dtype=np.int64)
+        first = np.cumsum(size) - size
+        n = size[which]
+        stop = np.cumsum(n)
+        ids = np.concatenate(known)[np.repeat(first[which] - (stop - n), n) + np.arange(stop[-1])]
+        return ids, np.concatenate([[0], stop])[np.searchsorted(begins, ends)]
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The UTF-8 bytes of all texts end to end, and where each begins and ends (two rows)."""
+        taken = self.pieces.take(pa.array(ids))
+        raw = (taken.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        at = np.concatenate([[0], np.cumsum(self.sizes[ids])])[ends]
+        begin, stop = at[:-1].copy(), at[1:]
+        if self.prefix:
+            begin[[b < s and raw[b] == 32 for b, s in zip(begin.tolist(), stop.tolist(), strict=True)]] += 1
+        return raw, np.stack([begin, stop])
 
 
 @lru_cache(2)
+def _codec(model: bytes) -> PieceCodec:
+    return PieceCodec(model)
+
+
 def codec(model_file: str) -> PieceCodec:
-    return PieceCodec(model_file)
+    return _codec(_read_model(model_file))
 
 
-def encode(docs: DataFrame, model_file: str = MODEL, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with ids array<int> added (null for a null text); all other columns pass through."""
-    names = [c for c in docs.columns if c != ids_col]
+def _text_array(raw: bytes, places: np.ndarray, valid: list[bool]) -> pa.Array:
+    """Strings at the places; whole bytes are checked at once, and text by text only where that fails."""
+    try:
+        raw.decode("utf-8")
+        good = True  # pieces are whole characters or single bytes; a text may still end within a character
+        buf = np.frombuffer(raw + b"\0", dtype=np.uint8)
+        good = not ((buf[places] & 0xC0) == 0x80).any()
+    except UnicodeDecodeError:
+        good = False
+    read_as = "strict" if good else "replace"
+    return pa.array([raw[a:b].decode("utf-8", read_as) if v else None for a, b, v in zip(*places.tolist(), valid, strict=True)], pa.string())
+
+
+def _read_model(model_file: str) -> bytes:
+    with open(model_file, "rb") as f:
+        return f.read()
+
+
+def _apply(docs: DataFrame, model_file: str, text_col: str | None, ids_col: str, out_col: str | None) -> DataFrame:
+    """One pass: ids from text_col (where given), decoded to out_col (where given)."""
+    made = [c for c in (ids_col if text_col else None, out_col) if c]
+    names = [c for c in docs.columns if c not in made]
     docs = docs.select(*names)
+    model = docs.sparkSession.sparkContext.broadcast(_read_model(model_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(model_file)
+        tool = _codec(model.value)
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):  # so that ids of few texts are held at a time
-                part = batch.slice(first, 256)
-                texts = part.column(names.index(text_col)).to_pylist()
-                got = [tool.encode(t) if t is not None else np.zeros(0, dtype=np.int32) for t in texts]
-                ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got)), mask=pa.array([t is None for t in texts]))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*names, ids_col])
+            for first in range(0, batch.num_rows, AT_A_TIME):
+                part = batch.slice(first, AT_A_TIME)
+                columns = list(part.columns)
+                if text_col:
+                    texts = part.column(names.index(text_col)).to_pylist()
+                    valid = [t is not None for t in texts]
+                    ids, ends = tool.encode_all(texts)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids), mask=pa.array([not v for v in valid])))
+                else:
+                    lists = part.column(names.index(ids_col))
+                    valid = lists.is_valid().to_pylist()
+                    ids = lists.flatten().to_numpy(zero_copy_only=False)
+                    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
+                if out_col:
+                    columns.append(_text_array(*tool.decode_all(ids, ends), valid))
+                yield pa.RecordBatch.from_arrays(columns, names=names + made)
+
+    for c in made:
+        docs = docs.withColumn(c, F.lit(None).cast("string" if c == out_col else "array<int>"))
+    return docs.select(*names).mapInArrow(run, docs.schema)
+
 
-    return docs.mapInArrow(run, docs.withColumn(ids_col, F.lit(None).cast("array<int>")).schema)
+def encode(docs: DataFrame, model_file: str = MODEL, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """docs with ids array<int> added (null for a null text); all other columns pass through."""
+    return _apply(docs, model_file, text_col, ids_col, None)
 
 
 def decode(encoded: DataFrame, model_file: str = MODEL, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """encoded with the text of ids_col added (null for null ids); all other columns pass through."""
-    names = [c for c in encoded.columns if c != out_col]
-    encoded = encoded.select(*names)
+    return _apply(encoded, model_file, None, ids_col, out_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(model_file)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                lists = part.column(names.index(ids_col))
-                texts = [tool.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in lists]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, out_col])
 
-    return encoded.mapInArrow(run, encoded.withColumn(out_col, F.lit(None).cast("string")).schema)
+def round_trip(docs: DataFrame, model_file: str = MODEL, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """docs with both, the ids and the text they decode to, in one pass of Python workers."""
+    return _apply(docs, model_file, text_col, ids_col, out_col)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its ids, their number, and whether they decode to the text again."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs))
+    both = round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_ids"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")

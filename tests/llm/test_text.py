@@ -51,6 +51,22 @@ def test_pieces_round_trip(spark, sf, odd_docs, no_docs, codec):
             assert codec.decode(codec.encode(text)) == text
 
 
+def test_pieces_of_many_texts_at_once_are_those_of_each(spark, sf, codec):
+    """Ties (equal scores take the longest last piece), repeated rows, empty and null texts, long words, breaks."""
+    texts = ["a b", "", None, "a b", "  a\n\n b ", "x" * 3000, "\n", " ", "naïve 漢字\u0000", "aaaa aaaa", *(r.text for r in read(spark, sf, "documents").select("text").limit(80).collect())]
+    ids, ends = codec.encode_all(texts)
+    for k, t in enumerate(texts):
+        segments = re.findall("▁+[^▁\n]*|[^▁\n]+|\n", codec.escape(t)) if t else []
+        assert ids[ends[k] : ends[k + 1]].tolist() == [i for x in segments for i in codec.viterbi(x)]
+    raw, places = codec.decode_all(ids, ends)
+    assert [raw[a:b].decode() for a, b in places.T.tolist()] == [t or "" for t in texts]
+    half = codec.encode("\U00013000")[:-1]  # bytes of a character without its last
+    assert len(half) == 3 and "\ufffd" in codec.decode(half)
+    rows = spark.createDataFrame([(1, "same"), (1, "same"), (2, None)], "doc_id bigint, text string")
+    got = sentencepiece_codec.round_trip(rows).collect()
+    assert [r.decoded for r in got] == [r.text for r in got] and got[0].ids == got[1].ids
+
+
 def slow_phrases(sample, text):
     n, at = 0, 0
     while at < len(text):
