@@ -6,9 +6,9 @@ model file. On equal scores the longest last piece wins.
 
 White space is escaped and a space put before the text as the model file asks. No piece has a space mark after another
 character (checked when the model is loaded), so the path never crosses the places where a run of marks begins, and none
-crosses a line break: texts are cut there. The distinct segments of a few hundred texts go through the automaton once; ids
-are put together, and decoded, by look-ups over whole arrays. Characters without a piece become byte pieces, or the
-unknown id where the model has none.
+crosses a line break: texts are cut there. The distinct segments of some megabytes of text go through the automaton once and
+through the Viterbi side by side, one position of all of them after the other; ids are put together, and decoded, by
+look-ups over whole arrays. Characters without a piece become byte pieces, or the unknown id where the model has none.
 
 The model file is read on the driver, when the operator is called, and travels with the tasks (about half a megabyte).
 
@@ -22,9 +22,9 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +32,70 @@ from .common import read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-REMEMBERED = 200_000  #: segments kept by a worker; at this number the memory starts anew
-AT_A_TIME = 256  #: texts whose ids are held at a time
+AT_A_TIME = 3_000_000  #: bytes of text whose ids are held at a time (one text at least)
+TOGETHER = 200  #: characters of a segment that goes through the Viterbi beside others; longer ones go alone
+
+
+class Automaton:
+    """Aho-Corasick over words, in arrays. States are the words' beginnings, 0 the empty one; fail leads to the longest proper
+    suffix that is a state; link to the longest suffix that is a word (0 for none). Moves on the DENSE most frequent
+    characters are one table; others are looked up among the trie's edges, down the fails."""
+
+    DENSE = 128
+
+    def __init__(self, words: dict[str, int]):
+        states = sorted({w[:n] for w in words for n in range(len(w) + 1)}, key=len)
+        number = {x: k for k, x in enumerate(states)}
+        counts: dict[str, int] = {}
+        for w in words:
+            for c in w:
+                counts[c] = counts.get(c, 0) + 1
+        frequent = sorted(counts, key=lambda c: (-counts[c], c))[: self.DENSE]
+        self.column = np.full(0x110000, self.DENSE, dtype=np.uint8)
+        self.column[[ord(c) for c in frequent]] = np.arange(len(frequent))
+        n = len(states)
+        self.word = np.array([words.get(x, -1) for x in states], dtype=np.int32)
+        self.fail, self.link = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
+        children: list[list[tuple[str, int]]] = [[] for _ in states]
+        for k, x in enumerate(states[1:], 1):
+            children[number[x[:-1]]].append((x[-1], k))
+        edges = {(k, c): to for k, found in enumerate(children) for c, to in found}
+        self.move = np.zeros((n, self.DENSE), dtype=np.int32)
+        for k in range(n):  # shorter states first
+            if k:
+                x = states[k]
+                f = self.fail[number[x[:-1]]] if len(x) > 1 else 0
+                while f and (int(f), x[-1]) not in edges:
+                    f = self.fail[f]
+                self.fail[k] = edges.get((int(f), x[-1]), 0) if len(x) > 1 else 0
+                f = self.fail[k]
+                self.link[k] = f if self.word[f] >= 0 else self.link[f]
+                self.move[k] = self.move[f]
+            for c, to in children[k]:
+                if (at := self.column[ord(c)]) < self.DENSE:
+                    self.move[k, at] = to
+        rare = sorted(((k << 21) | ord(c), to) for (k, c), to in edges.items() if self.column[ord(c)] == self.DENSE)
+        self.edge, self.edge_to = np.array([e for e, _ in rare], dtype=np.int64), np.array([t for _, t in rare], dtype=np.int32)
+        self.first = np.where(self.word >= 0, np.arange(n, dtype=np.int32), self.link)  # the longest word that ends in a state
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The states after one more character each."""
+        column = self.column[code]
+        dense = column < self.DENSE
+        if dense.all():
+            return self.move[state, column]
+        out = np.zeros_like(state)
+        out[dense] = self.move[state[dense], column[dense]]
+        at = np.flatnonzero(~dense) if len(self.edge) else dense[:0]
+        here = state[at].astype(np.int64)
+        while len(at):
+            key = here << 21 | code[at]
+            e = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+            hit = self.edge[e] == key
+            out[at[hit]] = self.edge_to[e[hit]]
+            on = ~hit & (here > 0)
+            at, here = at[on], self.fail[here[on]].astype(np.int64)
+        return out
 
 
 class PieceCodec:
@@ -49,69 +111,102 @@ class PieceCodec:
         pieces: list[bytes] = []
         self.byte_ids: dict[int, int] = {}
         self.unknown = 0
-        normal = []
+        normal: dict[str, int] = {}
         for k, p in enumerate(proto.pieces):
             if p.type == p.BYTE:
                 self.byte_ids[int(p.piece[3:-1], 16)] = k
                 pieces.append(bytes([int(p.piece[3:-1], 16)]))
             elif p.type in (p.NORMAL, p.USER_DEFINED):
-                normal.append((p.piece, k, p.score))
+                normal[p.piece] = k
                 pieces.append(p.piece.replace(MARK, " ").encode())
             else:
                 self.unknown = k if p.type == p.UNKNOWN else self.unknown
                 pieces.append(b"")
-        if crossing := [p for p, _, _ in normal if re.search(f"[^{MARK}]{MARK}|.\n|\n.", p, re.S)]:
+        if crossing := [p for p in normal if re.search(f"[^{MARK}]{MARK}|.\n|\n.", p, re.S)]:
             raise ValueError(f"pieces across a space or line break: {crossing[:3]}")
         self.pieces = pa.array(pieces, pa.binary())
         self.sizes = np.array(list(map(len, pieces)), dtype=np.int64)
-        self.fallback_score = min((s for _, _, s in normal), default=0.0) - 10.0
-        self.automaton = ahocorasick.Automaton()
-        for p, k, s in normal:
-            self.automaton.add_word(p, (len(p), k, s))
-        self.automaton.make_automaton()
-        self.seen: dict[bytes, np.ndarray] = {}
+        self.letters, self.scores = np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces))  # characters and score of a piece
+        for p, k in normal.items():
+            self.letters[k], self.scores[k] = len(p), proto.pieces[k].score
+        self.fallback_score = float(min((self.scores[k] for k in normal.values()), default=0.0)) - 10.0
+        self.automaton = Automaton(normal)
+
+    def _alone(self, char: str) -> list[int]:
+        """Ids of a character without a piece."""
+        return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
 
     def viterbi(self, segment: str) -> list[int]:
-        """Ids of the best path. best[i] is final once all pieces that end at i have been seen: starts lie before ends."""
-        n = len(segment)
+        """Ids of the best path: best[i] is final once the words that end at i have been followed."""
+        a, n = self.automaton, len(segment)
         best, back, ids = [0.0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-        done = 0  # positions up to here are final
-
-        def settle(upto: int) -> None:
-            nonlocal done
-            for i in range(done + 1, upto + 1):  # no piece ends here: one character on its own
-                best[i], back[i], ids[i] = best[i - 1] + self.fallback_score, i - 1, -1
-            done = max(done, upto)
-
-        at = -1
-        for end, (size, k, score) in self.automaton.iter(segment):
-            if end != at:
-                settle(end)
-                at, i = end, end + 1
-                best[i], back[i], ids[i], done = best[end] + self.fallback_score, end, -1, i
-            if (s := best[end + 1 - size] + score) > best[end + 1]:
-                best[end + 1], back[end + 1], ids[end + 1] = s, end + 1 - size, k
-        settle(n)
+        state = np.zeros(1, dtype=np.int32)
+        for i, c in enumerate(segment, 1):
+            state = a.step(state, np.array([ord(c)]))
+            best[i], back[i] = best[i - 1] + self.fallback_score, i - 1
+            word = int(a.first[state[0]])
+            while word:
+                k = int(a.word[word])
+                if (s := best[i - int(self.letters[k])] + float(self.scores[k])) > best[i]:
+                    best[i], back[i], ids[i] = s, i - int(self.letters[k]), k
+                word = int(a.link[word])
         path: list[int] = []
         i = n
         while i:
-            if ids[i] >= 0:
-                path.append(ids[i])
-            else:
-                raw = segment[back[i] : i].encode("utf-8", "surrogatepass")
-                path.extend(reversed([self.byte_ids[b] for b in raw] if self.byte_ids else [self.unknown]))
+            path.extend([ids[i]] if ids[i] >= 0 else reversed(self._alone(segment[back[i] : i])))
             i = back[i]
         return path[::-1]
 
-    def _segment(self, raw: bytes) -> np.ndarray:
-        got = self.seen.get(raw)
-        if got is None:
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            got = np.array(self.viterbi(raw.decode("utf-8", "surrogatepass").replace(" ", MARK)), dtype=np.int32)
-            if len(raw) <= 64:
-                self.seen[raw] = got
-        return got
+    def paths(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all segments' best paths end to end, and how many each has: viterbi() for many at once.
+
+        Segments lie end to end with a line break after each, which no piece crosses; the place of a character in that string
+        is also the number of the node before it."""
+        joined = b"\n".join([*segments, b""])
+        text = joined.decode("utf-8", "surrogatepass").replace(" ", MARK)
+        heads = np.cumsum((np.frombuffer(joined, dtype=np.uint8) & 0xC0) != 0x80)
+        stop = heads[np.cumsum([len(x) + 1 for x in segments]) - 1]  # the node after each break
+        begin = np.concatenate([[0], stop[:-1]])
+        size = stop - begin - 1
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        a, word_letters, word_scores = self.automaton, self.letters, self.scores
+        best, back, via = np.zeros(len(text) + 1), np.arange(-1, len(text)), np.full(len(text) + 1, -1)
+        together = np.flatnonzero(size <= TOGETHER)
+        together = together[np.argsort(-size[together], kind="stable")]
+        first, length = begin[together], size[together]
+        state = np.zeros(len(together), dtype=np.int32)
+        for p in range(1, int(length.max(initial=0)) + 1):
+            n = np.searchsorted(-length, -p, side="right")  # segments that are p long or more
+            node = first[:n] + p
+            state = a.step(state[:n], code[node - 1])
+            best[node] = best[node - 1] + self.fallback_score
+            ends = a.first[state]
+            node, ends = node[ends > 0], ends[ends > 0]
+            while len(node):  # along the output links
+                k = a.word[ends]
+                start = node - word_letters[k]
+                s = best[start] + word_scores[k]
+                more = s > best[node]
+                t = node[more]
+                best[t], back[t], via[t] = s[more], start[more], k[more]
+                ends = a.link[ends]
+                node, ends = node[ends > 0], ends[ends > 0]
+        ids, of = [], []
+        node, alive = begin[together] + size[together], together
+        while len(alive):
+            going = node > begin[alive]
+            node, alive = node[going], alive[going]
+            ids.append(np.where(via[node] >= 0, via[node], -node))
+            of.append(alive)
+            node = back[node]
+        ids, of = (np.concatenate(x[::-1]) if x else np.zeros(0, dtype=np.int64) for x in (ids, of))
+        if (ids < 0).any() or len(together) < len(segments):  # characters without a piece, and long segments
+            rows = [[i] if i >= 0 else self._alone(text[-i - 1]) for i in ids.tolist()]
+            long = {k: self.viterbi(text[begin[k] : begin[k] + size[k]]) for k in np.flatnonzero(size > TOGETHER).tolist()}
+            of = np.concatenate([np.repeat(of, list(map(len, rows))), np.repeat(np.array(list(long), dtype=np.int64), list(map(len, long.values())))])
+            ids = np.array([i for r in (*rows, *long.values()) for i in r], dtype=np.int64)
+        order = np.argsort(of, kind="stable")
+        return ids[order].astype(np.int32), np.bincount(of, minlength=len(segments))
 
     def _spaced(self, text: str) -> str:
         if self.squeeze:
@@ -143,12 +238,11 @@ class PieceCodec:
         begins = np.flatnonzero(cut)
         segments = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(np.append(begins, len(buf)).astype(np.int64)), pa.py_buffer(buf)]).dictionary_encode()
         which = segments.indices.to_numpy()
-        known = [self._segment(raw) for raw in segments.dictionary.to_pylist()]
-        size = np.array(list(map(len, known)), dtype=np.int64)
+        known, size = self.paths(segments.dictionary.to_pylist())
         first = np.cumsum(size) - size
         n = size[which]
         stop = np.cumsum(n)
-        ids = np.concatenate(known)[np.repeat(first[which] - (stop - n), n) + np.arange(stop[-1])]
+        ids = known[np.repeat(first[which] - (stop - n), n) + np.arange(stop[-1])]
         return ids, np.concatenate([[0], stop])[np.searchsorted(begins, ends)]
 
     def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -189,6 +283,17 @@ def _read_model(model_file: str) -> bytes:
         return f.read()
 
 
+def _pieces_of(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about AT_A_TIME bytes of text, or a third as many ids."""
+    x = batch.column(column)
+    size = x.value_lengths() if pa.types.is_list(x.type) else pc.binary_length(x)
+    part = np.cumsum(size.fill_null(0).to_numpy() * (3 if pa.types.is_list(x.type) else 1)) // AT_A_TIME
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def _apply(docs: DataFrame, model_file: str, text_col: str | None, ids_col: str, out_col: str | None) -> DataFrame:
     """One pass: ids from text_col (where given), decoded to out_col (where given)."""
     made = [c for c in (ids_col if text_col else None, out_col) if c]
@@ -199,8 +304,7 @@ def _apply(docs: DataFrame, model_file: str, text_col: str | None, ids_col: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = _codec(model.value)
         for batch in batches:
-            for first in range(0, batch.num_rows, AT_A_TIME):
-                part = batch.slice(first, AT_A_TIME)
+            for part in _pieces_of(batch, names.index(text_col or ids_col)):
                 columns = list(part.columns)
                 if text_col:
                     texts = part.column(names.index(text_col)).to_pylist()
