@@ -16,9 +16,9 @@
 With 32 bands of 4 registers a pair at similarity 0.8 shares a bucket with probability 1 - 5e-8.
 
 Defined cases: a null text, or one without words, has 0 shingles and links with nothing; a text with fewer words than a
-shingle is one shingle; rows that repeat an id are taken to repeat its text, and count once as a document (each row is
-returned); rows without an id keep
-component null and are kept; an empty table gives no rows; other columns are ignored.
+shingle is one shingle; rows that repeat an id count once as a document (each row is returned), and if their texts differ,
+the least of them is the one whose set is compared; rows without an id keep component null and are kept; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ log = logging.getLogger(__name__)
 
 REGISTERS, BANDS = 128, 32
 RARE, LARGE = 64, 64  #: see _could_link
-CHUNK = 60_000  #: shingles handled at a time
+CHUNK, TOGETHER = 60_000, 1_000_000  #: shingles handled at a time
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -168,15 +168,27 @@ def _could_link(members: DataFrame, components: DataFrame, sets: DataFrame, perc
     members = members.filter(F.col("n") > LARGE).drop("n")
     own = sets.join(members.select("node").distinct(), "node", "left_semi")
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each shingle of some classes once: how many of them have it, and which (null if more than RARE: it is not rare)."""
         for batch in batches:
-            for node, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                e = np.frombuffer(s.as_buffer(), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), node)), pa.array(e)], names=["node", "e"])
-
-    exploded = own.mapInArrow(each, "node bigint, e bigint")
-    rare = exploded.groupBy("e").agg(F.count("*").alias("k")).filter(F.col("k") <= RARE)
-    lists = stored(exploded.join(rare, "e").groupBy("e").agg(F.sort_array(F.collect_list("node")).alias("nodes")), "rare")
+            node = batch.column(0).to_numpy(zero_copy_only=False)
+            size = np.array([len(s.as_buffer()) // 8 for s in batch.column(1)], dtype=np.int64)
+            part = np.cumsum(size) // TOGETHER
+            for p in np.unique(part):
+                at = np.flatnonzero(part == p)
+                e = np.concatenate([np.frombuffer(batch.column(1)[k].as_buffer(), dtype=np.int64) for k in at.tolist()])
+                order = np.argsort(e, kind="stable")
+                e, holder = e[order], np.repeat(node[at], size[at])[order]
+                new = np.flatnonzero(np.append(True, e[1:] != e[:-1])[: len(e)])
+                n = np.diff(np.append(new, len(e)))
+                few = n <= RARE
+                kept = np.repeat(few, n)
+                ends = np.cumsum([0, *np.where(few, n, 0)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(e[new]), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(holder[kept]), mask=pa.array(~few))], names=["e", "n", "nodes"])
+
+    held_by = own.mapInArrow(together, "e bigint, n bigint, nodes array<bigint>")
+    rare = held_by.groupBy("e").agg(F.sum("n").alias("k")).filter(F.col("k") <= RARE).select("e")
+    lists = stored(held_by.join(rare, "e").groupBy("e").agg(F.sort_array(F.flatten(F.collect_list("nodes"))).alias("nodes")), "rare")
     count = lists.select(F.explode("nodes").alias("node")).groupBy("node").agg(F.count("*").alias("rare"))
     size = own.select("node", (F.octet_length("elements") / 8).cast("bigint").alias("size")).join(count, "node", "left")
     others = F.col("size") - F.coalesce("rare", F.lit(0))
@@ -219,7 +231,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # a class near the middle of a group is in the large buckets of all bands: it is tried first
     fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
     members = stored(members.drop("n").join(fame, "node").withColumn("lead", F.struct(F.col("fame"), (-F.col("node")).alias("minus"))).drop("fame"), "members")
-    sets = stored(full_sets(docs.join(stands.join(members.select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words), "sets")
+    sets = stored(full_sets(docs.join(stands.join(members.select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), words), "sets")
 
     leaders = members.groupBy("bucket").agg(F.max("lead").alias("first"))
     star = members.select("node", "bucket").join(leaders, "bucket").groupBy("node").agg((-F.max("first")["minus"]).alias("first")).filter("node != first")
