@@ -118,6 +118,24 @@ def test_near_group_with_a_middle_and_a_chain(spark):
         assert got == want
 
 
+def test_near_strays_in_the_buckets_of_a_large_group(spark):
+    """Links that only the rare shingles find."""
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(90)]
+    texts = {}
+    for k in range(220):
+        words = list(base)
+        for p in r.sample(range(90), r.choice((2, 4, 7, 10))):
+            words[p] = f"x{r.randrange(40)}"
+        texts[k] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    want = brute_components(texts, 2)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash_dedup.near_duplicates(df, words=2).collect()}
+    assert got == want
+    two = spark.createDataFrame([(1, "a b c"), (1, "d e f"), (2, "d e f"), (3, "a b c")], "doc_id bigint, text string")
+    assert {(x.doc_id, x.component_id) for x in minhash_dedup.near_duplicates(two, words=2).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_near_odd_rows(odd_docs, no_docs):
     rows = minhash_dedup.near_duplicates(odd_docs, words=2).collect()
     by = {r.doc_id: r for r in rows}
