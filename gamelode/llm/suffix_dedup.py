@@ -3,40 +3,50 @@
 Triggers. A rolling hash of 16 bytes is taken at every position; in each 50-byte string the least of them is its trigger.
 So every 50-byte string holds a trigger that depends on its own bytes alone, and equal strings hold equal triggers at
 equal places. The strings with the same trigger position are contiguous and lie in one phrase; phrases overlap by 49
-bytes, which makes the parse prefix-free for this depth.
-
-Dictionary and parse. Phrases are dealt out by their trigger's hash; a bucket is one part of the dictionary with its part
-of the parse (which document holds the phrase, and where). Inside a bucket all suffixes of phrases, to a depth of 50
-bytes, are brought into one order and equal ones are compared by document; since matches end at that depth, the order
-by 64-bit hash of the 50 bytes groups them as the lexicographic one would (expected false merges: below 1e-3 at 1 TB).
-A string that also starts in a smaller document marks its bytes.
-
-Two passes over the texts. The first counts triggers over documents, in 4 bytes each, and leaves a filter of fixed size
-(FILTER_BITS) of those in two documents or more; the second ships the phrases that pass. The filter only saves work: when
-it is full, more phrases travel and the result is the same.
-
-Defined cases: a null text has no bytes; texts under 50 bytes keep all; rows without an id are left whole and remove
-nothing; rows that repeat an id are one document, and each is cut where any of them is marked; an empty table gives no
-rows; other columns are ignored.
+bytes, which makes the parse prefix-free for this depth: what follows a string's phrase cannot change its place in the
+order of 50-byte strings, and the parse needs no order beyond that of its phrases.
+
+Dictionary. Each distinct phrase (by 128 bits) once, with the smallest and the largest document that holds it. It is dealt out
+by triggers; in each part the suffixes of its phrases are sorted by their bytes (suffix array, eight bytes a round, only
+ties going on), and neighbours with 50 equal bytes form a group, whose least document is the smallest one that has the
+string. A trigger in a large part of all documents may have as many phrases as there are documents, at the edges of a
+shared passage: the strings of such triggers' phrases are grouped by 128-bit digests in a plain aggregation instead, which
+no single task has to hold.
+
+Parse. The phrases of all documents in order, as (phrase, document, place). Joined to the dictionary's results (AQE splits what
+is frequent), it gives the corpus order its documents: each string whose group has a smaller document is a span.
+
+Three passes over the texts. The first counts the triggers with the 17 bytes on either side (every equal string shares one of
+the two) over documents, in 4 bytes each, and leaves a filter of fixed size (FILTER_BITS) of those in two documents or more,
+and a smaller one of frequent triggers. The other passes make the dictionary and the parse of the phrases that pass. The
+filters only save work: when they are full, more phrases travel and the result is the same.
+
+Defined cases: a null text has no bytes; texts under 50 bytes keep all; texts are read in pieces of CHUNK_BYTES; rows
+without an id are left whole and remove nothing; rows that repeat an id are one document, and each is cut where any of them
+is marked; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, mix, read
+from .common import GOLDEN, U64, mix, read
 
-DEPTH, K = 50, 16
-FILTER_BITS = 28
-BUCKET_BYTES = 3_000_000  #: bytes of text for each bucket of the dictionary
+DEPTH, K, SIDE = 50, 16, 17
+FILTER_BITS, HOT_BITS, BLOCK = 28, 24, 1 << 17
+HOT = 50_000  #: a trigger counted so often is frequent
+BUCKET_BYTES = 3_000_000  #: bytes of text for each part of the dictionary
 CHUNK_BYTES = 2_000_000
 _PLACE = U64((1 << 28) - 1)
+_TOP = U64(32)
 
 
 def words_at(buf: np.ndarray, n: int) -> np.ndarray:
@@ -48,12 +58,52 @@ def words_at(buf: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def phrases(buf: np.ndarray, ends: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts that lie end to end in buf: each phrase's text number, first string, number of strings and trigger hash."""
+@dataclass
+class Phrases:
+    """Of some pieces of text that lie end to end: each phrase's piece, first string, number of strings, trigger and its hash."""
+
+    g: np.ndarray  # the word at every position
+    piece: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    trigger: np.ndarray
+    hash: np.ndarray
+
+    def pick(self, at: np.ndarray) -> Phrases:
+        return Phrases(self.g, self.piece[at], self.start[at], self.count[at], self.trigger[at], self.hash[at])
+
+    def sides(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes (32 bits) of the trigger with what stands before and after it, and whether a string has all of that."""
+        out = []
+        for first, seed in ((-SIDE, 0xA0761D6478BD642F), (0, 0xE7037ED1A0B428DB)):
+            h = np.full(len(self.start), U64(seed))
+            at = np.clip(self.trigger + first, 0, len(self.g) - K - SIDE + 7)  # out of bounds only where the side is not whole
+            for k in (0, 8, 16, 24, K + SIDE - 8):
+                h = mix(h * GOLDEN + self.g[at + k])
+            out.append((h >> _TOP).astype(np.uint32))
+        left = self.trigger - self.start >= SIDE
+        right = self.trigger - (self.start + self.count - 1) < SIDE
+        return out[0], left, out[1], right
+
+    def digests(self, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of the bytes of each phrase."""
+        size = self.count + depth - 1
+        a, b = size.astype(U64), mix(size.astype(U64))
+        for k in range(0, 2 * depth, 8):
+            on = size >= k + 8
+            if not on.any():
+                break
+            w = self.g[np.where(on, self.start + k, 0)]
+            a, b = np.where(on, mix(a * GOLDEN + w), a), np.where(on, mix(b + (w ^ U64(0x8EBC6AF09C88C6E3))) * GOLDEN, b)
+        w = self.g[self.start + size - 8]
+        return mix(a * GOLDEN + w), mix(b + (w ^ U64(0x589965CC75374CC3)))
+
+
+def phrases(buf: np.ndarray, ends: np.ndarray, depth: int = DEPTH) -> Phrases:
     n = len(buf) - depth + 1
     none = np.zeros(0, dtype=np.int64)
     if n <= 0:
-        return none, none, none, np.zeros(0, dtype=U64)
+        return Phrases(np.zeros(1, dtype=U64), none, none, none, none, np.zeros(0, dtype=U64))
     g = words_at(np.concatenate([buf, np.zeros(8, dtype=np.uint8)]), len(buf))
     h = mix(g[:-8] * U64(0x9E3779B97F4A7C15) + mix(g[8:] * U64(0xC2B2AE3D27D4EB4F)))[: len(buf) - K + 1]
     key = (h & ~_PLACE) | np.arange(len(h), dtype=U64)
@@ -65,30 +115,36 @@ def phrases(buf: np.ndarray, ends: np.ndarray, depth: int = DEPTH) -> tuple[np.n
     if width > reach:
         least = np.minimum(least[: len(least) - (width - reach)], least[width - reach :])
     trigger = (least[:n] & _PLACE).astype(np.int64)
-    text = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[:n]
-    inside = np.arange(n) + depth <= ends[1:][text]
-    at = np.flatnonzero(inside)
-    if not len(at):
-        return none, none, none, np.zeros(0, dtype=U64)
+    piece = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[:n]
+    at = np.flatnonzero(np.arange(n) + depth <= ends[1:][piece])
     t = trigger[at]
     new = np.ones(len(at), dtype=bool)
     new[1:] = (t[1:] != t[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(at)))
-    start = at[first]
-    return text[start], start, count, mix(h[t[first]] ^ U64(0xD6E8FEB86659FD93))
+    return Phrases(g, piece[at[first]], at[first], count, t[first], mix(h[t[first]] ^ U64(0xD6E8FEB86659FD93)))
+
 
+def _chunks(batch: pa.RecordBatch, depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, places in their texts, end-to-end bytes and ends of pieces of text, about CHUNK_BYTES at a time. Each string starts
+    in one piece and lies whole in it."""
+    ids, at, some, size = [], [], [], 0
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Ids, end-to-end bytes and ends of a few texts at a time."""
-    ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-    some, size, first = [], 0, 0
-    for k, t in enumerate(texts):
-        some.append(t.encode("utf-8", "surrogatepass") if t else b"")
-        size += len(some[-1])
-        if size >= CHUNK_BYTES or k == len(texts) - 1:
-            yield ids[first : k + 1], np.frombuffer(b"".join(some), dtype=np.uint8), np.cumsum([0, *map(len, some)])
-            some, size, first = [], 0, k + 1
+    def out():
+        return np.array(ids, dtype=np.int64), np.array(at, dtype=np.int64), np.frombuffer(b"".join(some), dtype=np.uint8), np.cumsum([0, *map(len, some)])
+
+    for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        raw = t.encode("utf-8", "surrogatepass") if t else b""
+        for first in range(0, max(0, len(raw) - depth + 1), CHUNK_BYTES):
+            ids.append(i)
+            at.append(first)
+            some.append(raw[first : first + CHUNK_BYTES + depth - 1])
+            size += len(some[-1])
+            if size >= CHUNK_BYTES:
+                yield out()
+                ids, at, some, size = [], [], [], 0
+    if some:
+        yield out()
 
 
 def _split(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -99,99 +155,254 @@ def _split(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return list(zip(keys.tolist(), np.split(order, first[1:]), strict=True))
 
 
-def repeated_triggers(docs: DataFrame, buckets: int) -> np.ndarray:
-    """The filter: one bit for each slot of the hash range, set where a trigger occurs in two documents or more."""
-    low = 32 - FILTER_BITS
+def _has(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
+def _bits(slots: np.ndarray, kind: bool) -> pa.Table:
+    """The sorted slots as bits, in blocks of BLOCK bytes: from the byte of the first slot of a block on."""
+    byte = slots.astype(np.int64) >> 3
+    rows = []
+    for block in np.unique(byte // BLOCK).tolist():
+        on = byte // BLOCK == block
+        at = byte[on]
+        bits = np.zeros(int(at[-1] - at[0]) + 1, dtype=np.uint8)
+        np.bitwise_or.at(bits, at - at[0], (1 << (slots[on] & 7)).astype(np.uint8))
+        rows.append((kind, block, int(at[0]), bits.tobytes()))
+    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("kind", pa.bool_()), ("block", pa.int64()), ("at", pa.int64()), ("bits", pa.binary())))})
+
+
+def filters(docs: DataFrame, buckets: int, hot: int = HOT) -> tuple[np.ndarray, np.ndarray]:
+    """One bit for each slot of the hash range: of triggers with a side in two documents or more, and of frequent triggers."""
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for _, buf, ends in _chunks(batch):
-                text, _, _, h = phrases(buf, ends)
-                parts.append((np.unique(text.astype(U64) << U64(32) | h >> U64(32)) & U64(0xFFFFFFFF)).astype(np.uint32))
-            if parts and len(top := np.concatenate(parts)):
-                rows = [(p, top[at].tobytes()) for p, at in _split((top.astype(U64) * U64(buckets) >> U64(32)).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["bucket", "triggers"])
+            sides, often = [], []
+            for ids, _, buf, ends in _chunks(batch):
+                p = phrases(buf, ends)
+                left, has_left, right, has_right = p.sides()
+                piece = np.concatenate([p.piece[has_left], p.piece[has_right]]).astype(U64)
+                both = np.unique(piece << _TOP | np.concatenate([left[has_left], right[has_right]]))
+                sides.append((both & U64(0xFFFFFFFF)).astype(np.uint32))
+                slot, n = np.unique((p.hash >> U64(64 - HOT_BITS)).astype(np.uint32), return_counts=True)
+                often.append(np.repeat(slot[n >= 3], n[n >= 3]))
+            rows = []
+            if sides:
+                x = np.concatenate(sides)
+                rows += [(p, x[at].tobytes()) for p, at in _split((x.astype(U64) * U64(buckets) >> _TOP).astype(np.int64))]
+                slot, n = np.unique(np.concatenate(often), return_counts=True)
+                rows += [(-1 - p, np.stack([slot[at], n[at].astype(np.uint32)]).tobytes()) for p, at in _split(slot % min(64, buckets))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["bucket", "slots"])
 
     def twice(table: pa.Table) -> pa.Table:
-        top = np.sort(np.frombuffer(b"".join(table.column("triggers").to_pylist()), dtype=np.uint32))
-        slots = np.unique(top[1:][top[1:] == top[:-1]] >> low)
-        byte = (slots >> 3).astype(np.int64)
-        if not len(byte):
-            return pa.table({"at": pa.array([], pa.int64()), "bits": pa.array([], pa.binary())})
-        bits = np.zeros(int(byte[-1] - byte[0]) + 1, dtype=np.uint8)
-        np.bitwise_or.at(bits, byte - byte[0], (1 << (slots & 7)).astype(np.uint8))
-        return pa.table({"at": pa.array([byte[0]], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    told = docs.mapInArrow(tell, "bucket bigint, triggers binary")
-    out = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
-    for r in told.groupBy("bucket").applyInArrow(twice, "at bigint, bits binary").toLocalIterator():
-        part = np.frombuffer(bytes(r.bits), dtype=np.uint8)
-        out[r["at"] : r["at"] + len(part)] |= part
-    return out
+        bucket, raws = table.column("bucket")[0].as_py(), table.column("slots").to_pylist()
+        if bucket >= 0:
+            x = np.sort(np.frombuffer(b"".join(raws), dtype=np.uint32))
+            return _bits(np.unique(x[1:][x[1:] == x[:-1]] >> (32 - FILTER_BITS)), False)
+        parts = [np.frombuffer(r, dtype=np.uint32).reshape(2, -1) for r in raws]
+        slot, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return _bits(slot[np.bincount(back, np.concatenate([p[1] for p in parts])) > hot], True)
 
+    def merged(table: pa.Table) -> pa.Table:
+        block = np.zeros(BLOCK, dtype=np.uint8)
+        for at, bits in zip(table.column("at").to_pylist(), table.column("bits").to_pylist(), strict=True):
+            block[at % BLOCK : at % BLOCK + len(bits)] |= np.frombuffer(bits, dtype=np.uint8)
+        return pa.table({"kind": table.column("kind").slice(0, 1), "block": table.column("block").slice(0, 1), "bits": pa.array([block.tobytes()], pa.binary())})
 
-def repeated_spans(docs: DataFrame, buckets: int, depth: int = DEPTH) -> DataFrame:
-    """doc_id, spans array<bigint> (start << 32 | end, unordered) of the strings that start in a smaller document too."""
-    seen = docs.sparkSession.sparkContext.broadcast(repeated_triggers(docs, buckets).tobytes())  # 32 MB at any size of input
-    low = 32 - FILTER_BITS
+    told = docs.mapInArrow(tell, "bucket bigint, slots binary").groupBy("bucket").applyInArrow(twice, "kind boolean, block bigint, at bigint, bits binary")
+    blocks = told.groupBy("kind", "block").applyInArrow(merged, "kind boolean, block bigint, bits binary")
+    out = [np.zeros(max(BLOCK, 1 << (n - 3)), dtype=np.uint8) for n in (FILTER_BITS, HOT_BITS)]
+    for r in blocks.collect():  # 272 rows at most
+        out[r.kind][r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+    return out[0], out[1]
+
+
+class Known:
+    """The filters in a task."""
+
+    def __init__(self, both: tuple[bytes, bytes]):
+        self.repeated, self.hot = (np.frombuffer(x, dtype=np.uint8) for x in both)
+
+    def passing(self, p: Phrases) -> Phrases:
+        left, has_left, right, has_right = p.sides()
+        low = 32 - FILTER_BITS
+        return p.pick(np.flatnonzero((has_left & _has(self.repeated, left >> low)) | (has_right & _has(self.repeated, right >> low))))
 
-    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = np.frombuffer(seen.value, dtype=np.uint8)
+    def frequent(self, p: Phrases) -> np.ndarray:
+        return _has(self.hot, (p.hash >> U64(64 - HOT_BITS)).astype(np.int64))
+
+
+def _bytes_of(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return buf[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def _distinct(d1: np.ndarray, d2: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal digests: the place of one, and the least and greatest document."""
+    order = np.lexsort((d2, d1))
+    a, b = d1[order], d2[order]
+    new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
+    if not len(new):
+        return new, low[:0], high[:0]
+    return order[new], np.minimum.reduceat(low[order], new), np.maximum.reduceat(high[order], new)
+
+
+DICTIONARY = "bucket bigint, d1 binary, d2 binary, low binary, high binary, counts binary, bytes binary"
+
+
+def dictionary(docs: DataFrame, seen: Broadcast, buckets: int, depth: int = DEPTH) -> DataFrame:
+    """The distinct phrases of each batch, dealt out by trigger; those of frequent triggers in bucket -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(seen.value)
         for batch in batches:
-            parts = []
-            for ids, buf, ends in _chunks(batch):
-                text, start, count, h = phrases(buf, ends)
-                slot = (h >> U64(32 + low)).astype(np.int64)
-                ok = (filled[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-                text, start, count, h = text[ok], start[ok], count[ok], h[ok]
-                for p, at in _split(((h >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)):
-                    size = count[at] + depth - 1
-                    where = np.repeat(start[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                    parts.append((p, ids[text[at]].astype(np.int64).tobytes(), (start[at] - ends[text[at]]).astype(np.int32).tobytes(), count[at].astype(np.uint8).tobytes(), buf[where].tobytes()))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in parts], pa.int64()), *(pa.array([x[k] for x in parts], pa.binary()) for k in (1, 2, 3, 4))], names=["bucket", "ids", "starts", "counts", "bytes"])
+            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+            texts = []
+            for ids, _, buf, ends in _chunks(batch):
+                p = known.passing(phrases(buf, ends))
+                doc = ids[p.piece]
+                d1, d2 = p.digests(depth)
+                at, low, high = _distinct(d1, d2, doc, doc)
+                p = p.pick(at)
+                bucket = np.where(known.frequent(p), -1, ((p.hash >> _TOP) * U64(buckets) >> _TOP).astype(np.int64))
+                for c, x in zip(columns, (bucket, d1[at], d2[at], low, high, p.count.astype(np.uint8)), strict=True):
+                    c.append(x)
+                texts.append(_bytes_of(buf, p.start, p.count + depth - 1))
+            if not texts:
+                continue
+            bucket, d1, d2, low, high, count = map(np.concatenate, columns)
+            text, size = np.concatenate(texts), count.astype(np.int64) + depth - 1
+            begin = np.cumsum(size) - size
+            at, low, high = _distinct(d1, d2, low, high)
+            bucket, d1, d2, count, size, begin = (x[at] for x in (bucket, d1, d2, count, size, begin))
+            rows = [(b, *(x[k].tobytes() for x in (d1, d2, low, high, count)), _bytes_of(text, begin[k], size[k]).tobytes()) for b, k in _split(bucket)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 7))], names=["bucket", "d1", "d2", "low", "high", "counts", "bytes"])
+
+    return docs.mapInArrow(run, DICTIONARY)
+
+
+def _entries(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    kinds = (("d1", U64), ("d2", U64), ("low", np.int64), ("high", np.int64), ("counts", np.uint8), ("bytes", np.uint8))
+    return tuple(np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=d) for c, d in kinds)
+
+
+def suffix_array(buf: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of depth bytes at the places, in the order of their bytes, and the number of each one's group of equal ones."""
+    g = words_at(np.concatenate([buf, np.zeros(8, dtype=np.uint8)]), len(buf)).byteswap()  # so that integers are in the order of bytes
+    order = np.argsort(g[at], kind="stable")
+    first = g[at[order]]
+    group = np.cumsum(np.append(0, first[1:] != first[:-1]))[: len(at)]
+    for k in [*range(8, depth - 7, 8), depth - 8]:
+        size = np.bincount(group)
+        tied = np.flatnonzero(size[group] > 1)
+        if not len(tied):
+            break
+        word = g[at[order[tied]] + k]
+        again = np.lexsort((word, group[tied]))
+        order[tied] = order[tied][again]
+        word = word[again]
+        apart = np.zeros(len(order), dtype=np.int64)
+        apart[tied[1:]] = word[1:] != word[:-1]
+        same = np.append(0, group[1:] != group[:-1])
+        group = np.cumsum(np.maximum(same, apart))
+    return order, group
+
+
+def _runs(d1: np.ndarray, d2: np.ndarray, high: np.ndarray, phrase: np.ndarray, inner: np.ndarray, least: np.ndarray) -> list[pa.Array]:
+    """Rows of phrase, first string, number of strings and least document, for strings that a larger document has too."""
+    on = np.flatnonzero(least < high[phrase])
+    phrase, inner, least = phrase[on], inner[on], least[on]
+    new = np.flatnonzero(np.append(True, (phrase[1:] != phrase[:-1]) | (inner[1:] != inner[:-1] + 1) | (least[1:] != least[:-1]))[: len(on)])
+    n = np.diff(np.append(new, len(on)))
+    of = phrase[new]
+    return [pa.array(d1[of].view(np.int64)), pa.array(d2[of].view(np.int64)), pa.array(inner[new], pa.int64()), pa.array(n, pa.int64()), pa.array(least[new], pa.int64())]
+
+
+RUNS = "d1 bigint, d2 bigint, first bigint, n bigint, least bigint"
+_RUN_NAMES = ["d1", "d2", "first", "n", "least"]
+
+
+def repeated_runs(entries: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Of each phrase of the dictionary, the runs of strings that a smaller document than its largest has."""
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, starts, counts, buf = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=d) for c, d in (("ids", np.int64), ("starts", np.int32), ("counts", np.uint8), ("bytes", np.uint8)))
-        counts = counts.astype(np.int64)
-        begin = np.concatenate([[0], np.cumsum(counts + depth - 1)[:-1]])
-        total = int(counts.sum())
-        before = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        inner = np.arange(total) - np.repeat(before, counts)
-        at = np.repeat(begin, counts) + inner
-        g = words_at(np.concatenate([buf, np.zeros(8, dtype=np.uint8)]), len(buf))
-        h = np.zeros(total, dtype=U64)
-        for k in [*range(0, depth - 7, 8), depth - 8]:
-            h = mix(h * U64(0x9E3779B97F4A7C15) + g[at + k])
-        doc = np.repeat(ids, counts)
-        order = np.argsort(h)
-        hs, ds = h[order], doc[order]
-        edge = np.flatnonzero(np.append(True, hs[1:] != hs[:-1]))
-        least = np.repeat(np.minimum.reduceat(ds, edge), np.diff(np.append(edge, total)))
-        again = np.zeros(total, dtype=bool)
-        again[order] = ds > least
-        on = np.flatnonzero(again)
-        if not len(on):
-            return pa.table({"doc_id": pa.array([], pa.int64()), "span": pa.array([], pa.int64())})
-        record = np.repeat(np.arange(len(counts)), counts)[on]
-        cut = np.append(True, (on[1:] != on[:-1] + 1) | (record[1:] != record[:-1]))
-        first, last = np.flatnonzero(cut), np.append(np.flatnonzero(cut)[1:], len(on)) - 1
-        a = starts[record[first]] + inner[on[first]]
-        b = starts[record[first]] + inner[on[last]] + depth
-        return pa.table({"doc_id": pa.array(ids[record[first]]), "span": pa.array((a.astype(np.int64) << 32) | b)})
-
-    phrase_rows = docs.mapInArrow(ship, "bucket bigint, ids binary, starts binary, counts binary, bytes binary")
-    spans = phrase_rows.groupBy("bucket").applyInArrow(compare, "doc_id bigint, span bigint")
-    return spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        d1, d2, low, high, counts, buf = _entries(table)
+        size = counts.astype(np.int64) + depth - 1
+        begin = np.cumsum(size) - size
+        at, low, high = _distinct(d1, d2, low, high)
+        d1, d2, n, begin = d1[at], d2[at], counts[at].astype(np.int64), begin[at]
+        phrase = np.repeat(np.arange(len(n)), n)
+        inner = np.arange(len(phrase)) - np.repeat(np.cumsum(n) - n, n)
+        order, group = suffix_array(buf, begin[phrase] + inner, depth)
+        least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, group, low[phrase[order]])
+        of = np.empty(len(order), dtype=np.int64)
+        of[order] = least[group]
+        return pa.Table.from_arrays(_runs(d1, d2, high, phrase, inner, of), names=_RUN_NAMES)
+
+    return entries.groupBy("bucket").applyInArrow(compare, RUNS)
+
+
+def repeated_runs_by_digest(entries: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """The same for phrases of frequent triggers: each string is a row, and equal ones meet in an aggregation."""
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                d1, d2, low, high, counts, buf = _entries(batch.slice(r, 1))
+                n = counts.astype(np.int64)
+                size = n + depth - 1
+                begin = np.cumsum(size) - size
+                g = words_at(np.concatenate([buf, np.zeros(8, dtype=np.uint8)]), len(buf))
+                for a in range(0, len(n), 50_000):
+                    k = slice(a, a + 50_000)
+                    phrase = np.repeat(np.arange(len(n))[k], n[k])
+                    inner = np.arange(len(phrase)) - np.repeat(np.cumsum(n[k]) - n[k], n[k])
+                    one = np.ones(len(phrase), dtype=np.int64)
+                    h1, h2 = Phrases(g, phrase, begin[phrase] + inner, one, one, one).digests(depth)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (h1, h2, d1[phrase], d2[phrase])] + [pa.array(x) for x in (inner, low[phrase], high[phrase])], names=["h1", "h2", "d1", "d2", "first", "low", "high"])
+
+    rows = entries.mapInArrow(strings, "h1 bigint, h2 bigint, d1 bigint, d2 bigint, first bigint, low bigint, high bigint")
+    least = rows.groupBy("h1", "h2").agg(F.min("low").alias("least"))
+    found = rows.join(least, ["h1", "h2"]).filter("least < high")
+    return found.select("d1", "d2", "first", F.lit(1).cast("bigint").alias("n"), "least").distinct()
+
+
+def parse(docs: DataFrame, seen: Broadcast, depth: int = DEPTH) -> DataFrame:
+    """doc_id, start, d1, d2: the documents as phrases, those that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(seen.value)
+        for batch in batches:
+            for ids, place, buf, ends in _chunks(batch):
+                p = known.passing(phrases(buf, ends))
+                d1, d2 = p.digests(depth)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[p.piece]), pa.array(p.start - ends[p.piece] + place[p.piece]), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], names=["doc_id", "start", "d1", "d2"])
+
+    return docs.mapInArrow(run, "doc_id bigint, start bigint, d1 bigint, d2 bigint")
+
+
+def repeated_spans(docs: DataFrame, buckets: int, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
+    """doc_id, spans array<bigint> (start << 32 | end, unordered) of the strings that start in a smaller document too."""
+    repeated, frequent = filters(docs, buckets, hot)
+    seen = docs.sparkSession.sparkContext.broadcast((repeated.tobytes(), frequent.tobytes()))  # 34 MB at any size of input
+    entries = dictionary(docs, seen, buckets, depth)
+    runs = repeated_runs(entries.filter("bucket >= 0"), depth)
+    if frequent.any():
+        runs = runs.unionByName(repeated_runs_by_digest(entries.filter("bucket < 0"), depth))
+    marked = parse(docs, seen, depth).join(runs, ["d1", "d2"]).filter("least < doc_id")
+    first = F.col("start") + F.col("first")
+    span = F.shiftleft(first, 32).bitwiseOR(first + F.col("n") + (depth - 1))
+    return marked.groupBy("doc_id").agg(F.collect_list(span).alias("spans"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, removed array<struct<start,end>> (maximal runs, in bytes), kept binary."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     known = docs.filter("doc_id is not null and text is not null")
     buckets = max(8, (known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
-    joined = docs.join(repeated_spans(known, int(buckets)), "doc_id", "left").select("doc_id", "text", "spans")
+    joined = docs.join(repeated_spans(known, int(buckets), hot=hot), "doc_id", "left").select("doc_id", "text", "spans")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,6 +40,24 @@ def test_exact_index_takes_only_what_is_new(spark):
     assert kept == {7: (2, False), 8: (8, True)} and index.rows().count() == 3
 
 
+def test_exact_index_is_opened_again_by_its_folder(spark):
+    df = lambda *rows: spark.createDataFrame(list(rows), "doc_id bigint, text string")
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    exact_dedup.exact_dedup(df((1, "a"), (2, "b"), (None, "n")), index).collect()
+    index.close()
+    again = exact_dedup.DigestIndex(spark, path=index.path)
+    assert again.buckets == 4 and again.rows().count() == 3
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df((7, "b"), (8, "c"), (9, "n")), again).collect()}
+    assert got == {7: (2, 1, False), 8: (8, 1, True), 9: (None, 1, False)}
+    before = len(again.rows().inputFiles())
+    again.compact()
+    assert again.rows().count() == 4 and len(again.rows().inputFiles()) < before
+    again.close()
+    third = exact_dedup.DigestIndex(spark, path=index.path)
+    plan = exact_dedup.with_digest(df((1, "a"))).hint("merge").join(third.rows().select("text_sha256", "keep_id"), "text_sha256", "left")
+    assert {r.keep_id for r in plan.collect()} == {1} and plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_exact_anti_join_reads_the_index_without_a_shuffle(spark):
     index = exact_dedup.DigestIndex(spark)
     df = spark.range(50).selectExpr("id as doc_id", "cast(id as string) as text")
@@ -178,6 +196,38 @@ def test_suffix_small_cases(spark):
     assert {x.doc_id: (x.n_bytes, x.n_removed, len(x.removed), hashlib.sha256(x.kept).hexdigest()) for x in got} == want
 
 
+def test_suffix_frequent_triggers_and_pieces(spark, monkeypatch):
+    """A passage in all documents between texts of their own, by both ways of grouping and with texts read in pieces; chunks
+    in which nothing repeats."""
+    r = random.Random(11)
+    text = lambda n: "".join(r.choice("abcdefgh ij") for _ in range(n))
+    shared = text(130)
+    texts = {k: text(r.randint(0, 90)) + shared + text(r.randint(0, 90)) for k in range(60)} | {90: "a" * 500, 91: "b" + "a" * 77, 92: text(400), 93: shared[:52] + shared[40:]}
+    want = suffix_dedup.brute_force(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").coalesce(2)
+
+    def got(**options):
+        return {x.doc_id: (x.n_bytes, x.n_removed, len(x.removed), hashlib.sha256(x.kept).hexdigest()) for x in suffix_dedup.remove_repeats(df, **options).collect()}
+
+    assert got() == want and got(hot=2) == want
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 64)
+    assert len(list(suffix_dedup._chunks(df.toArrow().to_batches()[0]))) > 60
+    unique = {k: text(300) for k in range(5)}
+    rows = suffix_dedup.remove_repeats(spark.createDataFrame(list(unique.items()), "doc_id bigint, text string")).collect()
+    assert all(x.n_removed == 0 and bytes(x.kept).decode() == unique[x.doc_id] for x in rows)
+
+
+def test_suffix_array_is_that_of_the_bytes():
+    r = random.Random(2)
+    for alphabet in (b"a", b"ab", bytes(range(256))):
+        buf = np.frombuffer(bytes(r.choice(alphabet) for _ in range(300)), dtype=np.uint8)
+        raw, at = buf.tobytes(), np.arange(251)
+        order, group = suffix_dedup.suffix_array(buf, at, 50)
+        found = [raw[k : k + 50] for k in order.tolist()]
+        assert found == sorted(raw[k : k + 50] for k in range(251))
+        assert all((a == b) == (x == y) for a, b, x, y in zip(found, found[1:], group.tolist(), group.tolist()[1:], strict=False))
+
+
 def test_suffix_odd_rows(odd_docs, no_docs):
     rows = {r.doc_id: r for r in suffix_dedup.remove_repeats(odd_docs).collect()}
     assert rows[7].n_removed == rows[7].n_bytes and rows[6].n_removed == 0 and rows[None].n_removed == 0 and rows[3].n_bytes == 0
