@@ -1,21 +1,23 @@
 """Operator 2, main text of HTML pages by gradient-boosted trees over DOM nodes.
 
-A page becomes a tree of block elements; inline elements belong to the block they stand in. Each node gets features:
-text and tag density of its subtree, link density, tokens of class, id and role (a short list of tell-tale words, and
-hash bins for all others), depth, place and likeness among its siblings, and landmarks above it. Gradient-boosted trees
-give the probability that a node holds main text. Decoding is over the whole tree: a node can only be kept if its parent
+A page becomes a tree of block elements, forms, and inline elements that bear a class, id or role; other inline elements
+belong to the node they stand in. Each node gets features: text and tag density of its subtree, link density, tokens of
+class, id and role (a short list of tell-tale words, and hash bins for all others), depth, place and likeness among its
+siblings, and landmarks above it. Gradient-boosted trees give the probability that a node holds main text. Decoding is over the whole tree: a node can only be kept if its parent
 is, and of all such choices the likeliest is taken, so no kept block lies in a dropped one.
 
 Training is bounded: SYNTHETIC labelled pages of many layouts made here from a seed, and at most WEAK pages of the given
 table whose landmark elements tell article and surroundings apart. Every page is then read whole.
 
 Text: character references are decoded; white space inside a block becomes one space; blocks are trimmed and joined in
-page order by one line break. Scripts, styles, forms, comments of the markup and the head never count as text.
+page order by one line break. Scripts, styles, controls of forms, comments of the markup and the head never count as text. A
+form is judged like any other node, so that one around the whole page does not take the article with it.
 
 Defined cases: a null or empty page, or one without main text, has the empty text; broken markup is read as browsers do in
 the common cases (unclosed paragraphs, cells and list items; stray end tags are ignored; text, or an element that cannot
-stand in it, ends the head; the end of its parent ends an unclosed form, button or the like); repeated rows are separate;
-other columns are ignored.
+stand in it, ends the head; a slash at the end of a start tag means nothing outside of svg and math; a button, svg or the
+like that is never closed ends with its parent or before the next block; a quote that is never closed ends with its tag);
+repeated rows are separate; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,26 +37,29 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-SYNTHETIC, WEAK, TREES, DEPTH = 500, 150, 30, 4
+SYNTHETIC, WEAK, TREES, DEPTH = 600, 150, 30, 4
 
 # Element names and tell-tale words.
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("head script style noscript template iframe svg math canvas object form button select textarea audio video datalist".split())
+SKIPPED = frozenset("head script style noscript template iframe svg math canvas object button select textarea audio video datalist #unclosed".split())
+CONTROLS = frozenset("input select textarea button label".split())
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math".split())
 FOREIGN = frozenset(("svg", "math"))
+UNCLOSED = "#unclosed"  # a skipped element without an end tag: the next block, or the end of its parent, ends it
+TO_THE_END = frozenset(("script", "style"))  # without an end tag these go on to the end of the page
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-GROUPS = ("article", "main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "li dd dt", "ul ol dl menu", "table tbody tr td th thead", "nav menu", "header", "footer", "aside", "blockquote pre figure figcaption", "body html")
+GROUPS = ("article", "main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "li dd dt", "ul ol dl menu", "table tbody tr td th thead", "nav menu", "header", "footer", "aside", "blockquote pre figure figcaption", "body html", "form fieldset", "a b i em strong span small u s mark cite code q sub sup label font abbr time ins del")
 GROUP_OF = {t: k for k, g in enumerate(GROUPS) for t in g.split()}
 AWAY = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright discussion disqus foot footer form header login masthead menu meta modal nav navbar navigation newsletter notice pager pagination popup promo recommended related replies reply responses share sharing sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget".split())
 TOWARDS = frozenset("article body content copy entry main paragraph post story text".split())
 BINS = 8
 
-TAG = re.compile(r"""<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+>|[^>]*>)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 TOKEN = re.compile(r"[a-z]+|[A-Z]+[a-z]*")
 
@@ -64,23 +69,46 @@ class Page:
 
     def __init__(self, text: str):
         self.tag, self.parent, self.depth, self.tokens, self.truth = ["html"], [-1], [0], [()], [None]
-        self.blocks: list[tuple[int, str]] = []
-        self.own, self.links, self.marks, self.tags = [0], [0], [0], [1]
+        self.lines: list[list[tuple[int, str]]] = []  # each block's pieces of text with their nodes
+        self.own, self.links, self.marks, self.tags, self.controls = [0], [0], [0], [1], [0]
         self._parse(text)
 
-    def _flush(self, run: list[str], node: int) -> None:
-        if run:
-            joined = "".join(run)
-            run.clear()
-            joined = " ".join(joined.split())
-            if joined:
-                self.blocks.append((node, joined))
-                self.own[node] += len(joined)
-                self.marks[node] += joined.count(",") + joined.count(".")
+    def _flush(self, run: list[tuple[int, str]]) -> None:
+        if not run:
+            return
+        pieces: list[tuple[int, str]] = []
+        for node, text in run:  # neighbours of one node become one piece
+            if pieces and pieces[-1][0] == node:
+                pieces[-1] = (node, pieces[-1][1] + text)
+            else:
+                pieces.append((node, text))
+        run.clear()
+        if any(t.strip() for _, t in pieces):
+            self.lines.append(pieces)
+            for node, text in pieces:
+                self.own[node] += len(" ".join(text.split()))
+                self.marks[node] += text.count(",") + text.count(".")
+
+    @property
+    def blocks(self) -> list[tuple[int, str]]:
+        """The text of each block with its outermost node."""
+        return [(min(n for n, _ in pieces), " ".join("".join(t for _, t in pieces).split())) for pieces in self.lines]
+
+    def _open(self, name: str, attributes: str, parent: int, depth: int) -> int:
+        truth, found = None, []
+        for a, *v in ATTRIBUTE.findall(attributes):
+            v = v[0] or v[1] or v[2]
+            if a.lower() == "data-y":
+                truth = v == "1"
+            else:
+                found += [t.lower() for t in TOKEN.findall(v)]
+        for of, x in ((self.tag, name), (self.parent, parent), (self.depth, depth), (self.tokens, tuple(found)), (self.truth, truth), (self.own, 0), (self.links, 0), (self.marks, 0), (self.tags, 1), (self.controls, 0)):
+            of.append(x)
+        return len(self.tag) - 1
 
     def _parse(self, text: str) -> None:
-        stack: list[tuple[str, int]] = [("html", 0)]  # open elements with their block node
-        run: list[str] = []
+        stack: list[tuple[str, int]] = [("html", 0)]  # open elements with their node
+        run: list[tuple[int, str]] = []
         at, skip, in_link = 0, 0, 0
         end = len(text)
         while at < end:
@@ -90,9 +118,9 @@ class Page:
                 stack.pop()
                 skip -= 1
             if stop > at and not skip:
-                piece = text[at:stop] if m else re.sub(r"<[a-zA-Z/!?][^>]*$", "", text[at:])  # a tag cut off by the end
+                piece = text[at:stop] if m else re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", text[at:])  # a tag cut off by the end
                 piece = htmllib.unescape(piece) if "&" in piece else piece
-                run.append(piece)
+                run.append((stack[-1][1], piece))
                 if in_link:
                     self.links[stack[-1][1]] += len(piece)
             if not m:
@@ -101,15 +129,16 @@ class Page:
             name = m[2]
             if name is None:
                 continue
-            name = name.lower()
+            name, attributes = name.lower(), m[3][:-1]
             node = stack[-1][1]
+            self.controls[node] += name in CONTROLS and not m[1]
             if m[1]:  # an end tag
                 if name == "a":
                     in_link = max(0, in_link - 1)
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == name:
                         if name in BLOCK or any(t in BLOCK for t, _ in stack[k:]):
-                            self._flush(run, node)
+                            self._flush(run)
                         if name not in BLOCK and name not in SKIPPED and any(t in BLOCK or t in SKIPPED for t, _ in stack[k + 1 :]):
                             break  # an inline end does not close blocks
                         skip -= sum(t in SKIPPED for t, _ in stack[k:])
@@ -119,30 +148,35 @@ class Page:
             if stack[-1][0] == "head" and name not in IN_HEAD:
                 stack.pop()
                 skip -= 1
-            if name in RAW and not (name in FOREIGN and m[3].endswith("/")):
+            if name in RAW and not (name in FOREIGN and attributes.endswith("/")):
                 close = re.compile(rf"</{name}\s*>", re.I).search(text, at)
-                if close or name not in FOREIGN:
+                if close or name in TO_THE_END:
                     at = close.end() if close else end
-                    continue
-            if name in VOID or m[3].endswith("/"):
+                elif name in FOREIGN:
+                    stack.append((UNCLOSED, node))
+                    skip += 1
+                continue
+            if name in VOID or name in FOREIGN:
                 self.tags[node] += 1
                 if name == "br":
-                    run.append(" ")
+                    run.append((node, " "))
                 elif name == "hr":
-                    self._flush(run, node)
+                    self._flush(run)
                 continue
-            if skip and name in BLOCK and stack[-1][0] in FOREIGN:  # a block cannot stand in svg or math
-                stack.pop()
-                skip -= 1
             if name in SKIPPED:
-                stack.append((name, node))
+                following = re.compile(rf"<(/?){name}\b", re.I).search(text, at)
+                closed = name == "head" or following and (following[1] or name == "object")
+                stack.append((name if closed else UNCLOSED, node))
                 skip += 1
                 continue
+            if skip and name in BLOCK and stack[-1][0] == UNCLOSED:
+                stack.pop()
+                skip -= 1
             if skip and name == "body":
                 stack = [x for x in stack if x[0] not in SKIPPED]
                 skip = 0
             if name in BLOCK:
-                self._flush(run, node)
+                self._flush(run)
                 if name in ("html", "body") and (name == "html" or any(t == "body" for t, _ in stack)):
                     continue
                 if "p" in (t for t, _ in stack[-6:]):  # a block ends an open paragraph
@@ -162,36 +196,18 @@ class Page:
                             del stack[k:]
                             break
                 parent = stack[-1][1]
-                node = len(self.tag)
-                truth, tokens = None, ()
-                if m[3]:
-                    found = []
-                    for a, *v in ATTRIBUTE.findall(m[3]):
-                        v = v[0] or v[1] or v[2]
-                        if a.lower() == "data-y":
-                            truth = v == "1"
-                        else:
-                            found += [t.lower() for t in TOKEN.findall(v)]
-                    tokens = tuple(found)
-                self.tag.append(name)
-                self.parent.append(parent)
-                self.depth.append(self.depth[parent] + 1)
-                self.tokens.append(tokens)
-                self.truth.append(truth)
-                self.own.append(0)
-                self.links.append(0)
-                self.marks.append(0)
-                self.tags.append(1)
-                stack.append((name, node))
+                stack.append((name, self._open(name, attributes, parent, self.depth[parent] + 1)))
             else:
-                self.tags[node] += 1
                 in_link += name == "a"
+                self.tags[node] += 1
+                if attributes and not skip and ATTRIBUTE.search(attributes):
+                    node = self._open(name, attributes, node, self.depth[node] + 1)
                 stack.append((name, node))
-        self._flush(run, stack[-1][1])
+        self._flush(run)
 
     def features(self) -> np.ndarray:
         n = len(self.tag)
-        text, links, marks, tags = (list(x) for x in (self.own, self.links, self.marks, self.tags))
+        text, links, marks, tags, controls = (list(x) for x in (self.own, self.links, self.marks, self.tags, self.controls))
         kids = [0] * n
         kids_text = [0] * n
         same: dict[tuple[int, str], int] = {}
@@ -201,6 +217,7 @@ class Page:
             links[p] += links[i]
             marks[p] += marks[i]
             tags[p] += tags[i]
+            controls[p] += controls[i]
         place = [0] * n
         for i in range(1, n):
             p = self.parent[i]
@@ -212,7 +229,7 @@ class Page:
         before = [0] * n  # text that stands before the node
         filled = [0] * n
         x = np.zeros((n, FEATURES), dtype=np.float32)
-        up_away, up_to, up_mark = [0] * n, [0] * n, [0] * n
+        up_away, up_to, up_mark, up_form = [0] * n, [0] * n, [0] * n, [1.0] * n  # up_form: the nearest form's share of the text
         log = np.log1p
         for i in range(n):
             p = self.parent[i]
@@ -229,13 +246,15 @@ class Page:
             row = x[i]
             row[0:8] = (self.own[i], text[i], tags[i], text[i] / (tags[i] + 1), 0, kids[p] if i else 0, kids_text[p] / max(1, kids[p]) if i else 0, marks[i])
             row[8:20] = (links[i] / max(1, text[i]), self.depth[i], place[i] / max(1, kids[p]) if i else 0, same.get((p, self.tag[i]), 0) / max(1, kids[p]) if i else 0, text[i] / total, links[p] / max(1, text[p]) if i else 0, before[i] / total, 100 * marks[i] / max(1, text[i]), away, to, up_away[i], up_to[i])
-            row[20] = up_mark[i]
+            if i:
+                up_form[i] = text[i] / total if self.tag[i] == "form" else up_form[p]
+            row[20:24] = (up_mark[i], up_form[i], min(controls[i], 50), 100 * controls[i] / max(1, text[i]))
             g = GROUP_OF.get(self.tag[i])
             if g is not None:
-                row[21 + g] = 1
+                row[PLAIN + g] = 1
             for t in words:
                 if t not in AWAY and t not in TOWARDS:
-                    row[21 + len(GROUPS) + zlib.crc32(t.encode()) % BINS] += 1
+                    row[PLAIN + len(GROUPS) + zlib.crc32(t.encode()) % BINS] += 1
         x[:, :8] = log(x[:, :8])
         return x
 
@@ -255,7 +274,8 @@ class Page:
 
     def main_text(self, p: np.ndarray) -> str:
         kept = self.decode(p)
-        return "\n".join(t for node, t in self.blocks if kept[node])
+        lines = (" ".join("".join(t for node, t in pieces if kept[node]).split()) for pieces in self.lines)
+        return "\n".join(x for x in lines if x)
 
     def labels(self) -> np.ndarray:
         """Of marked pages: 1 for a node with main text in it, 0 for others, -1 if the page does not tell."""
@@ -274,13 +294,14 @@ class Page:
         if len(tops) != 1:
             return False
         for i, t in enumerate(self.tag):
-            if t in ("nav", "footer", "aside") or any(w in AWAY for w in self.tokens[i]):
+            if t in ("nav", "footer", "aside", "form") or any(w in AWAY for w in self.tokens[i]):
                 self.truth[i] = False
         self.truth[tops[0]] = True
         return True
 
 
-FEATURES = 21 + len(GROUPS) + BINS
+PLAIN = 24  #: features before those of element groups and hashed tokens
+FEATURES = PLAIN + len(GROUPS) + BINS
 
 
 def synthetic_page(r: random.Random) -> str:
@@ -288,16 +309,34 @@ def synthetic_page(r: random.Random) -> str:
     word = lambda: "".join(r.choice("aeiou bcdfglmnprst".replace(" ", "")) for _ in range(r.randint(2, 9)))
     words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
     sentence = lambda: words(4, 16).capitalize() + r.choice((".", ".", ".", ",", "?"))
-    para = lambda: " ".join(sentence() for _ in range(r.choice((1, 1, 2, 4, 7))))
+    plain_para = lambda: " ".join(sentence() for _ in range(r.choice((1, 1, 2, 4, 7))))
     link = lambda: f'<a href="/{word()}">{words(1, 4)}</a>'
     naming = lambda *c: r.choice((f' class="{r.choice(c)}"', f' id="{r.choice(c)}"', f' class="{word()} {r.choice(c)}"', f' class="{r.choice(c)}-{word()}"'))
     soup = r.random() < 0.5
 
+    def para() -> str:
+        """Sometimes with an inline element that bears a name, as part of the text or as an advert in it."""
+        out = plain_para()
+        if r.random() < 0.12:
+            tag = r.choice(("span", "em", "a", "strong", "mark"))
+            out += f" <{tag}{naming('term', 'link', 'note', 'name', word())}>{words(1, 6)}</{tag}> {sentence()}"
+        if r.random() < 0.06:
+            tag = r.choice(("span", "a", "small"))
+            out += f' <{tag}{naming("ad", "ads", "advert", "sponsored", "promo", "sponsor")} data-y="0">{words(1, 8)}</{tag}> {sentence()}'
+        return out
+
+    def form() -> str:
+        fields = "".join(f"<label>{words(1, 3)}</label><input name={word()}>" for _ in range(r.randint(1, 4)))
+        text = r.choice(("", f"<p>{words(2, 9)}</p>", f"<h3>{words(1, 4)}</h3>"))
+        return f'<form{r.choice(("", naming("search", "signup", "login", "newsletter", "comment-form", "subscribe")))} data-y="0">{text}{fields}<button>{words(1, 2)}</button></form>'
+
     def menu(n: int) -> str:
         return "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(n)) + "</ul>"
 
     def away() -> str:
-        kind = r.randrange(12)
+        kind = r.randrange(13)
+        if kind == 12:
+            return form()
         inner = [
             lambda: menu(r.randint(3, 12)), lambda: f"<p>{words(2, 12)}</p>", lambda: f"{words(2, 14)}.", lambda: f"<h3>{words(1, 3)}</h3>{menu(r.randint(2, 6))}",
             lambda: "".join(f"<div{naming('comment', 'reply')}><p>{para()}</p></div>" for _ in range(r.randint(1, 4))), lambda: f"&copy; {words(1, 4)} &middot; {sentence()}",
@@ -323,7 +362,9 @@ def synthetic_page(r: random.Random) -> str:
             body.append("<ul>" + "".join(f"<li>{sentence()}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
         elif kind < 0.92:
             body.append(f"<blockquote><p>{para()}</p></blockquote>")
-        elif kind < 0.95:
+        elif kind < 0.94:
+            body.append(form())
+        elif kind < 0.96:
             body.append("<table>" + "".join(f"<tr><td>{words(1, 3)}</td><td>{words(1, 5)}</td></tr>" for _ in range(r.randint(2, 5))) + "</table>")
         else:
             body.append(away())
@@ -335,7 +376,10 @@ def synthetic_page(r: random.Random) -> str:
         side = [away() for _ in range(r.randrange(2))]
         content = f"<div{naming('wrapper', 'container', 'page', 'row')}>{''.join(side)}{content}{away() if r.random() < 0.3 else ''}</div>"
     top, bottom = ("".join(away() for _ in range(r.randint(0, 3))) for _ in range(2))
-    return f'<html><head><title>{words(1, 5)}</title></head><body data-y="0">{top}{content}{bottom}</body></html>'
+    whole = f"{top}{content}{bottom}"
+    if r.random() < 0.2:  # one form around the page
+        whole = f"<form{r.choice(('', naming('pageForm', 'form', 'form1', 'main-form', 'page')))} method=post>{whole}</form>"
+    return f'<html><head><title>{words(1, 5)}</title></head><body data-y="0">{whole}</body></html>'
 
 
 class Trees:

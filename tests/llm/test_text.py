@@ -213,11 +213,38 @@ def test_no_text_is_lost_on_open_elements():
         assert read_as(f"<body><div><p>one {icon}</p><p>two</p></div>") == ["one", "two"], icon
     assert read_as("<html><head><title>t</title><meta charset=x><p>one<p>two") == ["one", "two"]
     assert read_as("<head><title>t</title> <link rel=x>\n one") == ["one"]
-    for name in ("form", "button", "object", "select"):
+    for name in ("button", "object", "select"):
         assert read_as(f"<body><div>a<{name}>gone</div><div>b</div>") == ["a", "b"], name
         assert read_as(f"<body><div>a<{name}><div>gone</{name}>b</div>c") == ["a", "b", "c"], name
+        assert read_as(f"<body><{name}>gone<p>a</p><div>b") == ["a", "b"], name
     assert read_as("<div><p>a<button><p>gone</button> b</p>c</div>") == ["a", "b", "c"]
-    assert read_as("<ul><li>a<form><ul><li>gone<li>gone</ul></form><li>b</ul>") == ["a", "b"]
+    page = html_extraction.Page("<ul><li>a<form><ul><li>in<li>in</ul></form><li>b</ul>")  # a form is a node that the trees judge
+    inside = lambda n: n >= 0 and (page.tag[n] == "form" or inside(page.parent[n]))
+    assert [(t, inside(n)) for n, t in page.blocks] == [("a", False), ("in", True), ("in", True), ("b", False)]
+    assert read_as('<p title="x>one</p><p>two</p>')[-1] == "two" and not any("<" in x or ">" in x for x in read_as('<p title="x>one</p><p>two</p>'))
+    page = html_extraction.Page("<div class=a/><p>one</p></div><div id=b>two</div>")
+    assert page.tokens[1:] == [("a",), (), ("b",)] and page.parent[1:] == [0, 1, 0] and [t for _, t in page.blocks] == ["one", "two"]
+
+
+LAYOUTS = {  # not made by the generator of the training pages
+    "form around the page": '<html><body><form id="aspnetForm" method="post"><div id="menu"><a href="/">Home</a> | <a href="/a">About us</a></div><div id="main"><h2>{t}</h2><p>{a}</p><p>{b}</p><p>{c}</p></div><div id="foot">Copyright 2021, all rights reserved</div></form></body></html>',
+    "paragraphs in the body": '<html><head><title>x</title></head><body><h1>{t}</h1><p>{a}<p>{b}<p>{c}<div class="footer"><a href="/p">Privacy</a> <a href="/t">Terms</a></div></body></html>',
+    "inline advert": '<html><body><nav><a href="/">Start</a></nav><article><h1>{t}</h1><p>{a} <span class="ad sponsored">Buy now, only today</span></p><p>{b}</p><p>{c}</p></article><aside class="sidebar"><h3>More</h3><ul><li><a href="/1">One</a></li><li><a href="/2">Two</a></li></ul></aside></body></html>',
+    "form in the article": '<html><body><main><h1>{t}</h1><p>{a}</p><form class="newsletter"><p>Get our letter</p><input name=m><button>Go</button></form><p>{b}</p><p>{c}</p></main><footer>Some Company Ltd.</footer></body></html>',
+    "nested wrappers": '<html><body><div class="page"><div class="header"><a href="/">Site</a></div><div class="row"><div class="col sidebar"><ul><li><a href="/x">x</a></li><li><a href="/y">y</a></li></ul></div><div class="col content"><h1>{t}</h1><p>{a}</p><p>{b}</p><p>{c}</p></div></div></div></body></html>',
+    "comments below": '<html><body><header class="site-header"><a href="/">Site</a></header><section class="post"><h1>{t}</h1><p>{a}</p><p>{b}</p><p>{c}</p></section><section id="comments"><h3>2 comments</h3><div class="comment"><p>I like it.</p></div><div class="comment"><p>So do I.</p></div></section></body></html>',
+}
+
+
+def test_layouts_that_the_generator_does_not_make(spark, trees):
+    prose = lambda k: f"Sentence number {k} of this text tells of walks along the river, and it goes on for a while. Then another follows, somewhat shorter than the first."
+    parts = {"t": "A day by the river", "a": prose(1), "b": prose(2), "c": prose(3)}
+    rows = [(k, n, h.format(**parts), "x", "y") for k, (n, h) in enumerate(LAYOUTS.items())]
+    rows = spark.createDataFrame(rows + rows[:1], "page_id bigint, url string, html string, text string, n_chars string")
+    got = html_extraction.extract(rows, trees).collect()
+    assert len(got) == len(LAYOUTS) + 1 and len({r.text for r in got if r.page_id == 0}) == 1
+    wrong = {r.url: r.text for r in got if r.text != "\n".join(parts.values())}
+    assert not wrong
 
 
 def test_secrets_are_taken_whole(spark):
