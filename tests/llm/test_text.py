@@ -4,6 +4,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -276,6 +277,36 @@ def test_secrets(spark, odd_docs, no_docs):
     assert secret_scan.scan(odd_docs, model).count() == 0 and secret_scan.scan(no_docs, model).count() == 0
 
 
+HELD_OUT = {  # shapes that labelled_findings() does not make
+    True: ['api_key="glpat-{b62:20}"', "secret: {B32:26}", 'password = "{Word}-{b62:6}-{d:4}"', "token='npm_{b62:36}'", "access_key={b62:40}", "passwd={b62:9}%{b62:3}", "pwd: {hex:28}", "secret={hex:48}", "AKIA{B32:16}", "ghs_{b62:36}", 'api-key: "{b62:22}=="'],
+    False: ["token = self.{word}er.encode({word})", "password: required|min:8", "api_key=API_KEY", "access_key: <ACCESS-{WORD}>", "pwd=/home/{word}/{word}.txt", "secret = os.environ[{WORD}]", "password={word}.{word}.{word}", "token: {word}{word}s", "api_key={{{{ {word} }}}}", 'passwd="insert-{word}-here"', "secret=None,None", "token: string,{word}", "password=@{word}/{word}_{word}"],
+}
+
+
+def test_secrets_of_other_shapes(spark, sf):
+    """Precision and recall of the forest on findings whose shapes it has not seen."""
+    words = secret_scan.dictionary(read(spark, sf, "documents"))
+    assert words == tuple(w for w, _ in sorted(
+        Counter(w for r in read(spark, sf, "documents").collect() for w in re.split(r"[\W\d_]+", (r.text or "").lower()) if 3 <= len(w) <= 12).items(), key=lambda x: (-x[1], x[0]))[: secret_scan.WORDS])
+    model = secret_scan.train(secret_scan.labelled_findings(spark, words=words), words=words)
+    r = random.Random(17)
+    abc = {"b62": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "B32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "hex": "0123456789abcdef", "d": "0123456789"}
+
+    def fill(shape):
+        shape = re.sub(r"\{(b62|B32|hex|d):(\d+)\}", lambda m: "".join(r.choice(abc[m[1]]) for _ in range(int(m[2]))), shape)
+        for k, f in (("{word}", str.lower), ("{Word}", str.title), ("{WORD}", str.upper)):
+            while k in shape:
+                shape = shape.replace(k, f(r.choice(words[:300])), 1)
+        return shape
+
+    rows = [(k, f"some {r.choice(words)} before {fill(shape)} and after", "src/a", good) for k, (good, shape) in enumerate([(g, s) for g in HELD_OUT for s in HELD_OUT[g] for _ in range(20)])]
+    out = secret_scan.scan(spark.createDataFrame([x[:3] for x in rows], "doc_id bigint, text string, source string"), model).filter("is_secret").select("doc_id").distinct().collect()
+    said, true = {x.doc_id for x in out}, {k for k, _, _, good in rows if good}
+    precision, recall = len(said & true) / len(said), len(said & true) / len(true)
+    print("precision", precision, "recall", recall, Counter(rows[k][1] for k in said ^ true).most_common(5))
+    assert precision >= 0.9 and recall >= 0.9
+
+
 def test_secret_candidates_are_those_of_the_patterns(spark, sf):
     docs = read(spark, sf, "documents")
     want = sorted((r.doc_id, m.start(), m[0]) for r in docs.collect() for m in re.finditer(secret_scan.ANY, r.text or ""))
