@@ -9,7 +9,7 @@ from gamelode.operators.sampling import global_row_number
 
 
 def value_at(df: DataFrame, col: str, places: dict[str, int]) -> dict:
-    """Values at 0-based places of the sorted non-null column, by name."""
+    """Values at 0-based places of the sorted non-null column, by name; equal values may stand in any order."""
     wanted = df.sparkSession.createDataFrame([(k, v + 1) for k, v in places.items()], "name string, rn bigint")
     rows = global_row_number(df.select(col).filter(F.col(col).isNotNull()), [col]).join(F.broadcast(wanted), "rn").select("name", col).collect()  # a few named places
     return {r[0]: r[1] for r in rows}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gamelode.functions.hashing import hash_order
+from gamelode.sources.scratch import stored
 
 
 def dedup_key(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -27,9 +28,10 @@ def dedup_id_then_text(df: DataFrame, key: str, text: str, order: list[Column |
 def global_row_number(df: DataFrame, order: list[str], name: str = "rn", parts: int | None = None) -> DataFrame:
     """1..N in the given order: rows are dealt out by range, counted per part, and numbered inside each part.
 
-    The order columns must tell all rows apart, so that a part computed again has the same rows."""
+    The dealt rows are stored once: ranges are sampled anew whenever such a plan runs, so counting and numbering must not
+    each deal the rows out. Rows that the order does not tell apart are numbered in any order among themselves."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    placed = stored(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "dealt")
     counts = placed.groupBy("_part").agg(F.count("*").alias("_c"))
     offsets = counts.withColumn("_before", F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))  # one row per part
     w = Window.partitionBy("_part").orderBy(*order)
@@ -96,16 +98,23 @@ def eval_subset(pool: DataFrame, targets: DataFrame, key: str, n: int, seed: int
 
 
 def multilabel_split(df: DataFrame, labels: str, key: str, ratio: float, seed: int | str) -> DataFrame:
-    """Rows in order of (rarest label, hash): each 1/ratio-th of a label goes to validation. Rows without labels likewise."""
+    """Rows in order of (rarest label, hash): each 1/ratio-th of a label goes to validation. Rows without labels likewise.
+    Rows are numbered over all labels at once, and a row's place in its label is its number less what stands before."""
     counts = df.select(F.explode(labels).alias("_l")).groupBy("_l").agg(F.count("*").alias("_c"))
     rare = df.select(key, F.explode(labels).alias("_l")).join(counts, "_l").groupBy(key).agg(F.min_by("_l", F.struct("_c", "_l")).alias("_rarest"))
-    out = df.join(rare, key, "left").withColumn("_rarest", F.coalesce("_rarest", F.lit("")))
-    w = Window.partitionBy("_rarest").orderBy(hash_order(seed, key), key)
-    step = round(1 / ratio)
-    return out.withColumn("split", F.when(F.row_number().over(w) % step == 0, "valid").otherwise("train")).drop("_rarest")
+    out = df.join(rare, key, "left").withColumns({"_rarest": F.coalesce("_rarest", F.lit("")), "_h": hash_order(seed, key)})
+    numbered = stored(global_row_number(out, ["_rarest", "_h", key], "_rn"), "numbered")
+    first = numbered.groupBy("_rarest").agg(F.min("_rn").alias("_first"))
+    place = F.col("_rn") - F.col("_first") + 1
+    return numbered.join(first, "_rarest").withColumn("split", F.when(place % round(1 / ratio) == 0, "valid").otherwise("train")).drop("_rarest", "_h", "_rn", "_first")
 
 
 def cyclic_assign(df: DataFrame, order: list[str], values: list[str]) -> DataFrame:
     """The i-th row gets value i mod n."""
     arr = F.array(*(F.lit(v) for v in values))
     return global_row_number(df, order, "_rn").withColumn("assigned", F.get(arr, F.pmod(F.col("_rn") - 1, F.lit(len(values))).cast("int"))).drop("_rn")
+
+
+def request_chunks(df: DataFrame, order: list[str], size: int = 25_000) -> DataFrame:
+    """Rows in order, cut into chunks of `size`: adds chunk, from 0."""
+    return global_row_number(df, order, "_rn").withColumn("chunk", F.floor((F.col("_rn") - 1) / size)).drop("_rn")

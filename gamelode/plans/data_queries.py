@@ -253,7 +253,7 @@ def _(t):
 @R.add("s10_request_chunks", "with d as (select doc_id, substr(text, 1, 2000) as text from documents where doc_id not in (select doc_id from labels)) select doc_id, (row_number() over (order by doc_id) - 1) // 250 as chunk, length(text) as chars from d")
 def _(t):
     d = t("documents").join(t("labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", F.substring("text", 1, 2000).alias("text"))
-    return U.global_row_number(d, ["doc_id"]).select("doc_id", F.floor((F.col("rn") - 1) / 250).alias("chunk"), F.length("text").alias("chars"))
+    return U.request_chunks(d, ["doc_id"], 250).select("doc_id", "chunk", F.length("text").alias("chars"))
 
 
 @R.add("g01_length_stats", """with r as (select n_chars, row_number() over (order by n_chars) - 1 as i, count(*) over () as n from documents)

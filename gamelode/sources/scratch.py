@@ -1,18 +1,27 @@
-"""A new folder for tables that a query writes and reads again."""
+"""Tables that a query writes and reads again."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """In the folder of spark.checkpoint.dir, which all executors see; in /tmp only where the session has none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder where spark.checkpoint.dir says, which all executors see. A session without one gets a folder in /tmp if it
+    runs in one process; a cluster has to name its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gamelode-", dir="/tmp"))
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gamelode-", dir="/tmp"))
         named = spark.sparkContext.getCheckpointDir()
     return f"{named.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df written to such a folder and read again: lineage ends there, and every use sees the same rows."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -26,6 +26,24 @@ def test_three_percentile_rules(spark):
     assert G.describe(df, "v", [], [0.9]).first()["q90"] == pytest.approx(9.1)
 
 
+def test_row_numbers_of_many_rows_that_carry_more_columns(spark):
+    n = 300_000
+    rows = spark.range(n, numPartitions=8).select("id", F.xxhash64("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    rows.write.mode("overwrite").saveAsTable("many_rows")
+    rows = spark.table("many_rows")
+    got = U.global_row_number(rows, ["k"]).agg(F.count_distinct("rn").alias("d"), F.min("rn").alias("a"), F.max("rn").alias("b")).first()
+    assert (got.d, got.a, got.b) == (n, 1, n)
+    split = {r.split: r["count"] for r in U.split_exact(rows, (0.8, 0.1, 0.1), ("train", "valid", "test"), 42, "id").groupBy("split").count().collect()}
+    assert split == {"train": 240_000, "valid": 30_000, "test": 30_000}
+    assert U.quantile_sample(rows, "k", "id", 25).count() == 25
+    assert {r["count"] for r in U.cyclic_assign(rows, ["k"], ["a", "b", "c"]).groupBy("assigned").count().collect()} == {100_000}
+    sizes = [r["count"] for r in U.request_chunks(rows, ["k"], 70_000).groupBy("chunk").count().orderBy("chunk").collect()]
+    assert sizes == [70_000] * 4 + [20_000]
+    labelled = rows.withColumn("labels", F.when(F.col("id") % 5 > 0, F.array(F.concat(F.lit("l"), (F.col("id") % 3).cast("string")))).otherwise(F.array().cast("array<string>")))
+    valid = {r.l: (r.v, r.n) for r in U.multilabel_split(labelled, "labels", "id", 0.1, 9).groupBy(F.coalesce(F.get("labels", 0), F.lit("")).alias("l")).agg(F.count_if(F.col("split") == "valid").alias("v"), F.count("*").alias("n")).collect()}
+    assert valid == {k: (c // 10, c) for k, c in (("", 60_000), ("l0", 80_000), ("l1", 80_000), ("l2", 80_000))}
+
+
 def test_text_dedup_keeps_empty_texts(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, ""), (4, ""), (1, "z"), (5, None)], "id bigint, t string").withColumn("o", F.monotonically_increasing_id())
     assert sorted(r.id for r in U.dedup_id_then_text(df, "id", "t", ["o"]).collect()) == [1, 3, 4, 5]
