@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gamelode.operators.sampling import global_row_number
+from gamelode.sources.scratch import stored
 
 
 def value_at(df: DataFrame, col: str, places: dict[str, int]) -> dict:
@@ -87,3 +88,23 @@ def pos_weights(scored: DataFrame, power: float = 0.5, cap: float = 10.0) -> Dat
     c = scored.groupBy("label").agg(F.count_if("gold").alias("pos"), F.count_if(~F.col("gold")).alias("neg"))
     w = F.least(F.lit(cap), F.greatest(F.lit(1.0), F.pow(F.col("neg") / F.col("pos"), F.lit(power))))
     return c.withColumn("weight", F.when(F.col("pos") == 0, F.raise_error(F.concat(F.lit("no positive for "), F.col("label"))).cast("double")).otherwise(w))
+
+
+def qc_rules(flags: DataFrame) -> DataFrame:
+    """flags: hard, soft (arrays). How often each rule (a flag's part before the colon) was broken."""
+    return flags.select(F.explode(F.concat("hard", "soft")).alias("r")).groupBy(F.substring_index("r", ":", 1).alias("rule")).agg(F.count("*").alias("n"))
+
+
+def qc_summary(flags: DataFrame) -> DataFrame:
+    """flags: hard, soft, overlap. One row: how many fail, are only doubtful, or are clean, and how the overlap is distributed
+    (a percentile is the value at min(n-1, int(q n)))."""
+    flags = stored(flags.select("hard", "soft", "overlap"), "flags")
+    hard, soft = F.size("hard") > 0, F.size("soft") > 0
+    base = flags.agg(
+        F.count("*").alias("total"), F.count_if(hard).alias("hard_fail"), F.count_if(~hard & soft).alias("soft_only"), F.count_if(~hard & ~soft).alias("clean"), F.count_if(F.col("overlap") >= 0.5).alias("copied"),
+        F.round(F.min("overlap"), 3).alias("min"), F.round(F.percentile("overlap", F.lit(0.5)), 3).alias("median"), F.round(F.avg("overlap"), 3).alias("mean"), F.round(F.max("overlap"), 3).alias("max"),
+    )
+    n = base.first()["total"]
+    at = value_at(flags, "overlap", {p: min(n - 1, int(q * n)) for p, q in (("p90", 0.9), ("p99", 0.99))}) if n else {}
+    shown = [F.round(F.lit(at.get(p)).cast("double"), 3).alias(p) for p in ("p90", "p99")]
+    return base.select("total", "hard_fail", "soft_only", "clean", "copied", "min", "median", "mean", *shown, "max")

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from gamelode.functions import text as T
 from gamelode.functions.hashing import hash_order
 from gamelode.operators import aggregates as G
+from gamelode.operators import decisions as D
 from gamelode.operators import ranking as K
 from gamelode.operators import sampling as U
 from gamelode.plans.bindings import Registry
 
 R = Registry()
+AXES = ["ax1", "ax2", "ax3"]
 WORDS = "(case when trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' then 0 else len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) end)"
 H = "md5(concat('{0}:', {1}))"
 
@@ -91,13 +93,13 @@ def _(t):
     return out.select("doc_id", F.when(F.col("review") == "fix", F.concat(F.lit("fixed "), "lang")).when(F.col("review") == "ea_fix", F.col("text_fix")).otherwise(F.col("source")).alias("summary"), "review")
 
 
-@R.add("j06_classify_by_keyword", "select p_partkey, case when contains(p_name, 'ring') then 'drop' when contains(p_name, 'gear') then 'fix' when contains(p_name, 'red') then 'fix' else 'keep' end as decision from part")
+DECISIONS = (("drop", ("ring", "old anvil")), ("fix", ("gear", "red")), ("keep", ("rod", "plate", "bolt", "widget", "gizmo", "anvil")))
+DECISION_SQL = " ".join(f"when contains(p_name, '{w}') then '{d}'" for d, words in DECISIONS for w in words)
+
+
+@R.add("j06_classify_by_keyword", f"select p_partkey, case {DECISION_SQL} end as decision from part")
 def _(t):
-    spark = t("part").sparkSession
-    rules = spark.createDataFrame([("drop", 0, "ring"), ("fix", 1, "gear"), ("fix", 1, "red"), ("keep", 2, "")], "decision string, rank int, word string").withColumn("at", F.monotonically_increasing_id())
-    p = t("part").select("p_partkey", "p_name")
-    hit = p.join(F.broadcast(rules), F.contains("p_name", "word"))  # four rules
-    return K.first_per_key(hit, ["p_partkey"], ["rank", "at"]).select("p_partkey", "decision")
+    return D.classify_by_keyword(t("part"), "p_name", DECISIONS).select("p_partkey", "decision")
 
 
 @R.add("j07_priority_union", "select doc_id, source as name, 'primary' as origin from documents where doc_id % 3 <> 0 union all select doc_id, lang, 'secondary' from documents where doc_id % 3 = 0")
@@ -105,7 +107,7 @@ def _(t):
     d = t("documents")
     first = d.filter("doc_id % 3 <> 0").select("doc_id", F.col("source").alias("name"), F.lit("primary").alias("origin"))
     second = d.filter("doc_id % 2 = 0 or doc_id % 3 = 0").select("doc_id", F.col("lang").alias("name"), F.lit("secondary").alias("origin"))
-    return first.unionByName(second.join(first.select("doc_id"), "doc_id", "left_anti"))
+    return D.priority_union(first, second, "doc_id")
 
 
 @R.add("j11_ground", """
@@ -116,12 +118,8 @@ u as (select * from a union all select * from b)
 select l_orderkey, l_partkey, text, rank from (select *, row_number() over (partition by l_orderkey order by pos, l_partkey) as rank from u) where rank <= 3""")
 def _(t):
     line = t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    told = line.filter("l_linenumber % 2 = 0")
-    c = line.filter("l_linenumber <> 4").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("pos"))
-    keys = ["l_orderkey", "l_partkey"]
-    a = told.join(c.select(keys), keys, "left_semi").groupBy(keys).agg(F.min("l_linenumber").alias("pos")).withColumn("text", F.lit("told"))
-    b = c.join(a.select(keys), keys, "left_anti").withColumn("pos", F.col("pos") + 100).withColumn("text", F.lit(""))
-    return K.topk_per_group(a.unionByName(b), ["l_orderkey"], ["pos", "l_partkey"], 3).select(*keys, "text", F.col("rank").cast("bigint").alias("rank"))
+    out = D.ground(line.filter("l_linenumber % 2 = 0"), line.filter("l_linenumber <> 4"), ["l_orderkey"], "l_partkey", "l_linenumber", 3)
+    return out.select("l_orderkey", "l_partkey", F.when(F.col("is_told"), "told").otherwise("").alias("text"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @R.add("j12_common_ids", "select conv_id from conversations group by conv_id having count(distinct role) = (select count(distinct role) from conversations)")
@@ -134,16 +132,14 @@ def _(t):
 @R.add("j13_variant_corpus", "select v.variant, e.vec_id, case when v.variant = 'b' and e.vec_id % 10 = 0 then e.label + 100 else e.label end as label from embeddings e cross join (values ('a'), ('b')) v(variant)")
 def _(t):
     e = t("embeddings").select("vec_id", "label")
-    names = e.sparkSession.createDataFrame([("a",), ("b",)], "variant string")
-    put = e.filter("vec_id % 10 = 0").select(F.lit("b").alias("variant"), "vec_id", (F.col("label") + 100).alias("new"))
-    return e.crossJoin(F.broadcast(names)).join(put, ["variant", "vec_id"], "left").select("variant", "vec_id", F.coalesce("new", "label").alias("label"))
+    put = e.filter("vec_id % 10 = 0").select(F.lit("b").alias("variant"), "vec_id", (F.col("label") + 100).alias("label"))
+    return D.variant_corpus(e, put, "vec_id", "label", ["a", "b"]).select("variant", "vec_id", "label")
 
 
 @R.add("j14_first_game_hit", "with r as (select l_orderkey as query_id, l_partkey as appid, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber) as rank from lineitem) select query_id, arg_min(r.appid, rank) as appid from r join apps a on a.appid = r.appid and a.type = 'game' and a.name is not null where rank <= 50 group by 1", "apps")
 def _(t):
-    r = K.rank_rows(t("lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("appid"), "l_extendedprice", "l_linenumber"), ["query_id"], [F.desc("l_extendedprice"), F.col("l_linenumber")]).filter("rank <= 50")
-    games = t("apps").filter("type = 'game' and name is not null").select("appid")
-    return r.join(games, "appid").groupBy("query_id").agg(F.min_by("appid", "rank").alias("appid"))
+    r = K.rank_rows(t("lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("appid"), "l_extendedprice", "l_linenumber"), ["query_id"], [F.desc("l_extendedprice"), F.col("l_linenumber")])
+    return D.first_hit(r, t("apps").filter("type = 'game' and name is not null"), "query_id", "appid")
 
 
 PARTNER = "case when event_id % 3 = 0 then concat('[\"', event_id, '\",\"x\",\"', user_id, '\"]') when event_id % 3 = 1 then '[\"7\",null]' else '[]' end"
@@ -152,9 +148,7 @@ PARTNER = "case when event_id % 3 = 0 then concat('[\"', event_id, '\",\"x\",\"'
 @R.add("j15_partner_results", f"""with l as (select event_id, json_extract_string({PARTNER}, '$[*]') as a from events), e as (select event_id, unnest(a) as v, generate_subscripts(a, 1) as pos from l)
 select event_id, try_cast(v as bigint) as appid, row_number() over (partition by event_id order by pos) as rank, '' as text from e where try_cast(v as bigint) is not null""")
 def _(t):
-    rows = t("events").select("event_id", F.posexplode(F.from_json(F.expr(PARTNER), "array<string>")).alias("pos", "v"))
-    rows = rows.withColumn("appid", F.expr("try_cast(v as bigint)")).filter("appid is not null")
-    return K.rank_rows(rows, ["event_id"], ["pos"]).select("event_id", "appid", F.col("rank").cast("bigint").alias("rank"), F.lit("").alias("text"))
+    return D.partner_results(t("events").select("event_id", F.expr(PARTNER).alias("ids")), "event_id", "ids")
 
 
 @R.add("j16_eval_targets", "select d.doc_id, coalesce(l.quality::varchar, '') as short from documents d left join labels l on l.doc_id = d.doc_id where length(d.text) > 0 and d.doc_id in (select doc_id from labels where toxic = 0)")
@@ -304,9 +298,19 @@ def _(t):
 @R.add("g16_judge_tiers", """with t as (select *, case when least(ax1, ax2, ax3) = 0 then 'critical' when verdict = 'review' or least(ax1, ax2, ax3) = 1 then 'minor' else 'auto' end as tier from judge_scores)
 select tier, count(*) as n, round(avg(ax1), 6) as mean1, round(avg(ax2), 6) as mean2, round(avg(ax3), 6) as mean3, count(*) filter (where ax1 = 0) as zero1 from t group by tier""", "judge_scores")
 def _(t):
-    least = F.least("ax1", "ax2", "ax3")
-    tier = F.when(least == 0, "critical").when((F.col("verdict") == "review") | (least == 1), "minor").otherwise("auto")
-    return t("judge_scores").withColumn("tier", tier).groupBy("tier").agg(F.count("*").alias("n"), *(F.round(F.avg(f"ax{k}"), 6).alias(f"mean{k}") for k in (1, 2, 3)), F.count_if(F.col("ax1") == 0).alias("zero1"))
+    return D.judge_tiers(t("judge_scores"), AXES).groupBy("tier").agg(F.count("*").alias("n"), *(F.round(F.avg(f"ax{k}"), 6).alias(f"mean{k}") for k in (1, 2, 3)), F.count_if(F.col("ax1") == 0).alias("zero1"))
+
+
+@R.add("g16_review_queue", f"""with t as (select id, least(ax1, ax2, ax3) as low, case when least(ax1, ax2, ax3) = 0 then 'critical' when verdict = 'review' or least(ax1, ax2, ax3) = 1 then 'minor' else 'auto' end as tier from judge_scores),
+m as (select id, tier, 9 as a, {H.format(42, 'id')} as b from t where tier = 'minor' order by b, id limit 60), u as (select id, tier, low as a, '' as b from t where tier = 'critical' union all select * from m)
+select id, tier, row_number() over (order by a, b, id) as place from u""", "judge_scores")
+def _(t):
+    return D.review_queue(D.judge_tiers(t("judge_scores"), AXES), AXES, "id").select("id", "tier", "place")
+
+
+@R.add("g16_score_distribution", "select axis, score, count(*) as n from (select 'ax1' as axis, ax1 as score from judge_scores union all select 'ax2', ax2 from judge_scores union all select 'ax3', ax3 from judge_scores) group by 1, 2", "judge_scores")
+def _(t):
+    return D.score_distribution(t("judge_scores"), AXES)
 
 
 @R.add("g17_marker_targets", "select count(*) as targets, count(*) filter (where quality = 1) as supported, count(*) filter (where quality = 0) as unsupported from documents d left join labels l using (doc_id) where regexp_matches(text, 'License|trash|stupid') and doc_id not in (select doc_id from labels where toxic = 1)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gamelode.functions import text as T
+from gamelode.functions import notes as N
 from gamelode.operators import ranking as K
 from gamelode.operators import search as S
 from gamelode.plans.bindings import Registry
@@ -189,35 +189,26 @@ select query_id, coalesce(nullif(concat_ws(' / ', case when max_price_usd = 0 th
 
 @R.add("p25_format_note", NOTE_SQL, "constraint_scalars")
 def _(t):
-    krw = F.floor(F.col("max_price_usd") * 1300).cast("double")
-    w = (F.bround(krw / 5000.0, 0) * 5000).cast("bigint")
-    text = lambda c: c.cast("string")
-    man, cheon = F.floor(w / 10000), F.floor(F.pmod(w, F.lit(10000)) / 1000)
-    price = F.when(F.col("max_price_usd") == 0, "무료").when(w >= 10000, F.concat(F.lit("가격 "), text(man), F.lit("만"), F.when(cheon > 0, F.concat(F.lit(" "), text(cheon), F.lit("천"))).otherwise(""), F.lit("원 이하")))
-    price = price.when(F.col("max_price_usd").isNotNull(), F.concat(F.lit("가격 "), text(w), F.lit("원 이하"))).when(F.col("free_only"), "무료")
-    players = F.when(F.col("min_players").isNotNull(), F.concat(text(F.col("min_players")), F.lit("인 이상")))
-    return t("constraint_scalars").select("query_id", F.coalesce(F.nullif(F.concat_ws(" / ", price, players), F.lit("")), F.lit("조건에 맞는 게임 없음")).alias("note"))
+    return t("constraint_scalars").select("query_id", N.format_note("max_price_usd", "free_only", "min_players").alias("note"))
 
 
-REASON_SQL = """with c as (select *, cast(floor(price_cents * 13) as bigint) as krw from apps),
-d as (select appid, case when is_free then '무료로 즐길 수 있으며' when krw // 10000 > 0 then concat('약 ', krw // 10000, '만원대 가격이며') when price_cents is not null then concat('약 ', krw, '원대 가격이며') end as condition,
- case when contains(english_categories, 'Multi-player') or contains(english_categories, 'Co-op') then '다른 유저와 함께하는 멀티플레이 경험' when contains(english_categories, 'Single-player') then '혼자서 편하게 즐기는 플레이' end as experience from c),
-e as (select *, case when experience is not null then concat(experience, case when (unicode(right(experience, 1)) - 44032) % 28 <> 0 then '을' else '를' end, ' 즐길 수 있는') end as x from d)
-select appid, concat(case when condition is not null and x is not null then concat(condition, ' ', x, ' 게임입니다.') when condition is not null then concat(replace(condition, '있으며', '있는'), ' 게임입니다.')
- when x is not null then concat(x, ' 게임입니다.') else '추천 조건에 부합하는 게임입니다.' end, ' 다양한 플랫폼을 지원합니다.') as reason from e"""
+GENRE_SQL = "case appid % 9 when 0 then 'Horror' when 1 then 'Action RPG' when 2 then 'Simulation' when 3 then 'Casual' when 4 then 'Strategy' when 5 then 'Puzzle Action' when 6 then 'Adventure' when 7 then 'Indie' end"
+MOOD_SQL = " ".join(f"when contains(lower(genre), '{w}') then '{p}'" for w, p in N.GENRE_MOODS)
+_AFTER = "(unicode(right({0}, 1)) - 44032) % 28 <> 0 and unicode(right({0}, 1)) between 44032 and 55203"
+REASON_SQL = f"""with c as (select *, {GENRE_SQL} as genre, price_cents / 100.0::double as usd, json_extract_string(english_categories, '$[*]') as cats from apps),
+d as (select *, cast(floor(usd * 1300) as bigint) as krw, case when list_has_any(cats, ['Multi-player', 'Co-op', 'Online Co-op', 'Local Co-op', 'Cross-Platform Multiplayer', 'PvP']) then '{N.TOGETHER}' when list_contains(cats, 'Single-player') then '{N.ALONE}' end as company, case {MOOD_SQL} end as mood from c),
+e as (select *, case when is_free then '무료로 즐길 수 있으며' when krw // 10000 > 0 then concat('약 ', krw // 10000, '만원대 가격이며') when usd is not null then concat('약 ', krw, '원대 가격이며') end as price,
+ case when company is not null and mood is not null then concat(company, case when {_AFTER.format('company')} then '과' else '와' end, ' ', mood) else coalesce(company, mood) end as joined from d),
+f as (select *, joined || case when {_AFTER.format('joined')} then '을' else '를' end || ' 즐길 수 있는' as x from e)
+select appid, concat(case when price is not null and x is not null then concat(price, ' ', x, ' 게임입니다.') when price is not null then concat(replace(price, '있으며', '있는'), ' 게임입니다.')
+ when x is not null then concat(x, ' 게임입니다.') else '추천 조건에 부합하는 게임입니다.' end, case when win or mac or linux then ' 다양한 플랫폼을 지원합니다.' else '' end) as reason from f"""
 
 
 @R.add("p26_build_reason", REASON_SQL, "apps")
 def _(t):
-    krw = F.floor(F.col("price_cents") * 13)
-    text = lambda c: c.cast("string")
-    condition = F.when(F.col("is_free"), "무료로 즐길 수 있으며").when(F.floor(krw / 10000) > 0, F.concat(F.lit("약 "), text(F.floor(krw / 10000)), F.lit("만원대 가격이며"))).when(krw.isNotNull(), F.concat(F.lit("약 "), text(krw), F.lit("원대 가격이며")))
-    kind = F.when(F.col("english_categories").rlike("Multi-player|Co-op"), "다른 유저와 함께하는 멀티플레이 경험").when(F.contains("english_categories", F.lit("Single-player")), "혼자서 편하게 즐기는 플레이")
-    a = t("apps").select("appid", condition.alias("c"), kind.alias("k"))
-    a = a.withColumn("x", F.when(F.col("k").isNotNull(), F.concat("k", F.when(T.final_consonant("k"), "을").otherwise("를"), F.lit(" 즐길 수 있는"))))
-    end = F.lit(" 게임입니다.")
-    body = F.when(F.col("c").isNotNull() & F.col("x").isNotNull(), F.concat("c", F.lit(" "), "x", end)).when(F.col("c").isNotNull(), F.concat(F.replace("c", F.lit("있으며"), F.lit("있는")), end)).when(F.col("x").isNotNull(), F.concat("x", end)).otherwise(F.lit("추천 조건에 부합하는 게임입니다."))
-    return a.select("appid", F.concat(body, F.lit(" 다양한 플랫폼을 지원합니다.")).alias("reason"))
+    genre = F.expr(GENRE_SQL)
+    genres = F.when(genre.isNull(), F.array().cast("array<string>")).otherwise(F.array(genre))
+    return t("apps").select("appid", N.build_reason("is_free", F.col("price_cents") / 100.0, F.from_json("english_categories", "array<string>"), genres, S.platforms_of()).alias("reason"))
 
 
 @R.add("n01_normalize_constraint", "select query_id, case when max_price_usd <> 0 then max_price_usd end as max_price_usd, case when max_price_usd = 0 then true else free_only end as free_only from (select query_id, case when query_id % 6 = 0 then 0.0 else max_price_usd end as max_price_usd, free_only from constraint_scalars)", "constraint_scalars")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gamelode.functions import hashing as H
+from gamelode.functions import notes as N
 from gamelode.functions import text as T
+from gamelode.operators import aggregates as G
 from gamelode.plans.bindings import Registry
 
 R = Registry()
@@ -171,7 +173,8 @@ def _(t):
  (regexp_matches(text, '(\\d+kg|\\d+m){2,}') or length(text) < 10 or contains(text, 'License')) as fixed from documents""")
 def _(t):
     bad = F.col("text").rlike(r"(\d+kg|\d+m){2,}") | (F.length("text") < 10) | F.contains("text", F.lit("License"))
-    return t("documents").select("doc_id", F.when(bad, F.concat(F.lit("repaired "), "lang")).otherwise(F.col("text")).alias("text"), bad.alias("fixed"))
+    text, fixed = N.repair_text("text", bad, F.concat(F.lit("repaired "), "lang"))
+    return t("documents").select("doc_id", text.alias("text"), fixed.alias("fixed"))
 
 
 WORDS = {"the onon": "alpha beta", "the": "gamma", "and": "delta gamma", "erst": "epsilon"}
@@ -190,9 +193,7 @@ def _(t):
 select doc_id, concat('Genres: ', case when doc_id % 3 = 0 then '(정보 없음)' else concat(lang, ', ', source) end, chr(10), 'Text: ', substr(text, 1, 2000), chr(10), 'Answer with JSON only.') as prompt from documents""")
 def _(t):
     genres = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("lang", "source"))
-    head = F.when(F.size(genres) == 0, "(정보 없음)").otherwise(F.array_join(genres, ", "))
-    prompt = F.concat(F.lit("Genres: "), head, F.lit("\nText: "), F.substring("text", 1, 2000), F.lit("\nAnswer with JSON only."))
-    return t("documents").select("doc_id", prompt.alias("prompt"))
+    return t("documents").select("doc_id", N.prompt(genres, "text").alias("prompt"))
 
 
 @R.add("p23_chat_messages", """
@@ -210,9 +211,7 @@ def _(t):
 @R.add("p24_rule_reason", """select appid, case when is_free then concat(name, ' is free to play') when coalesce(metacritic_score, 0) >= 80 then concat(name, ' is acclaimed')
  when price_cents > 0 and price_cents <= 100000 then concat(name, ' is good value') else concat(name, ' may suit you') end as reason from apps""", "apps")
 def _(t):
-    name = F.col("name")
-    return t("apps").select("appid", F.when(F.col("is_free"), F.concat(name, F.lit(" is free to play"))).when(F.coalesce("metacritic_score", F.lit(0)) >= 80, F.concat(name, F.lit(" is acclaimed")))
-        .when(F.expr("price_cents > 0 and price_cents <= 100000"), F.concat(name, F.lit(" is good value"))).otherwise(F.concat(name, F.lit(" may suit you"))).alias("reason"))
+    return t("apps").select("appid", N.rule_reason("name", "is_free", "metacritic_score", "price_cents").alias("reason"))
 
 
 @R.add("p27_pick_text_column", "select doc_id, text as body from documents")
@@ -224,74 +223,100 @@ def _(t):
     return docs.select("doc_id", F.col(found[0]).alias("body"))
 
 
-FIELDS = {"genre": "case when doc_id % 4 = 0 then concat(lang, ' (RPG)') when doc_id % 4 = 1 then '액션 RPG' when doc_id % 4 = 2 then '' else '퍼즐' end", "play": "case when doc_id % 2 = 0 then '적을 물리치며 성장하는 최고의 게임' else substr(text, 1, 90) end", "feature": "case when doc_id % 5 = 0 then concat('- ', lang) else '협동 플레이와 다양한 장비를 갖춘 작품이다.' end", "short": "case when doc_id % 7 = 0 then '협동 플레이와 다양한 장비를 갖춘 작품이다.' else substr(text, 1, 60) end"}
+FIELDS = {
+    "genre": "case when doc_id % 4 = 0 then concat(lang, ' (RPG)') when doc_id % 4 = 1 then '액션 RPG' when doc_id % 4 = 2 then '' else '퍼즐 css' end",
+    "play": "case when doc_id % 2 = 0 then '적을 물리치며 성장하는 최고의 게임' when doc_id % 9 = 1 then '  이 게임은 짧다' else text end",
+    "feature": "case when doc_id % 5 = 0 then concat('- ', lang) when doc_id % 5 = 1 then cast(null as varchar(9)) else '협동 플레이와 다양한 장비를 갖춘 작품이다.' end",
+    "short": "case when doc_id % 7 = 0 then '협동 플레이와 다양한 장비를 갖춘 작품이다.' else text end",
+}
 FIELD_SQL = ", ".join(f"{v} as {k}" for k, v in FIELDS.items())
-LATIN = "'" + "','".join(T.LATIN_GENRE_WORDS) + "'"
+FIELD_COLUMNS = [v.replace("varchar(9)", "string") + f" as {k}" for k, v in FIELDS.items()]
 RATIO = """case when length(regexp_replace({0}, '[^가-힣ᄀ-ᇿ一-鿿A-Za-z]', '', 'g')) = 0 then 1.0 else length(regexp_replace({0}, '[^가-힣ᄀ-ᇿ]', '', 'g'))::double / length(regexp_replace({0}, '[^가-힣ᄀ-ᇿ一-鿿A-Za-z]', '', 'g')) end"""
 
 
+def _fields(t):
+    return t("documents").selectExpr("doc_id", *FIELD_COLUMNS)
+
+
 @R.add("f16_hangul_ratio", f"with f as (select doc_id, {FIELD_SQL} from documents) select doc_id, round({RATIO.format('concat(genre, play)')}, 6) as ratio from f")
 def _(t):
-    f = t("documents").select("doc_id", *(F.expr(v).alias(k) for k, v in FIELDS.items()))
-    return f.select("doc_id", F.round(T.hangul_ratio(F.concat("genre", "play")), 6).alias("ratio"))
+    return _fields(t).select("doc_id", F.round(T.hangul_ratio(F.concat("genre", "play")), 6).alias("ratio"))
+
+
+def _latin(words: tuple[str, ...]) -> str:
+    listed = "','".join(words)
+    return f"list_filter(regexp_extract_all(genre, '[A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*'), lambda w : lower(w) not in ('{listed}'))"
 
 
-CHECKS = f"""
-f as (select doc_id, {FIELD_SQL} from documents),
-b as (select *, concat_ws(chr(10), genre, play, feature) as body, list_filter(regexp_extract_all(genre, '[A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*'), lambda w : lower(w) not in ({LATIN})) as latin from f),
-c as (select *, trim(genre) <> '' and trim(play) <> '' and trim(feature) <> '' as "schema", not regexp_matches(genre, '[()（）]') and len(latin) = 0 as genre_noun,
- not regexp_matches(body, '(^|\\n)\\s*[-*•·▪◦]\\s') as no_bullet, {RATIO.format('body')} >= 0.4 as korean from b)
+STRIPPED = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+BULLET, EMOJI = "'(^|\\n)\\s*[-*•·▪◦]\\s'", "'[\\x{1F000}-\\x{10FFFF}]'"
+SUMMARY_SQL = f"""
+f as (select doc_id, {FIELD_SQL} from documents), d as (select doc_id, genre, coalesce(play, '') as play, coalesce(feature, '') as feature, coalesce(short, '') as short from f),
+b as (select *, concat_ws(chr(10), genre, play, feature) as whole, concat_ws(chr(10), play, feature) as pf from d),
+c as (select *, {RATIO.format('whole')} as ratio, regexp_matches(genre, '[()（）]') as paren, regexp_matches(whole, {BULLET}) as bullet, regexp_matches(whole, {EMOJI}) as emoji,
+ {STRIPPED.format('genre')} as g, {STRIPPED.format('play')} as p, {STRIPPED.format('feature')} as t from b)
 """
+CHECKS = f"""{SUMMARY_SQL}, k as (select doc_id, g <> '' and p <> '' and t <> '' as "schema", not paren and len({_latin(T.FORMAT_LATIN_WORDS)}) = 0 as genre_noun, not bullet and not emoji as no_bullet, ratio >= 0.4 as korean from c)"""
 
 
-@R.add("f15_format_checks", f'with {CHECKS} select doc_id, "schema", genre_noun, no_bullet, korean, "schema" and genre_noun and no_bullet and korean as compliant from c')
+@R.add("f15_format_checks", f'with {CHECKS} select *, "schema" and genre_noun and no_bullet and korean as compliant from k')
 def _(t):
-    f = t("documents").select("doc_id", *(F.expr(v).alias(k) for k, v in FIELDS.items()))
-    return f.select("doc_id", *(v.alias(k) for k, v in T.format_checks("genre", "play", "feature").items()))
+    return _fields(t).select("doc_id", *(v.alias(k) for k, v in T.format_checks("genre", "play", "feature").items()))
 
 
-GRAMS = "list_distinct(list_transform(range(1, greatest(1, length(regexp_replace({0}, '\\s+', '', 'g')) - 2) + 1), lambda i : substr(regexp_replace({0}, '\\s+', '', 'g'), i::int, 3)))"
+GRAMS = "case when length({0}) < 3 then [{0}] else list_distinct(list_transform(range(1, length({0}) - 1), lambda i : substr({0}, i::int, 3))) end"
+BARE = "regexp_replace({0}, '\\s+', '', 'g')"
+_SENTENCES = "greatest(1, len(list_filter(regexp_split_to_array({0}, '[.!?。！？]\\s|\\n'), lambda x : trim(x) <> '')))"
+_HYPE = "','".join(T.HYPE)
+_LEAD = "|".join(T.LEAD_INS)
 QC_SQL = f"""
-with {CHECKS},
-g as (select *, concat_ws(chr(10), play, feature) as pf from c),
-h as (select *, {GRAMS.format('pf')} as a, {GRAMS.format('short')} as z from g),
-o as (select *, case when short = '' then 0.0 else len(list_intersect(a, z))::double / len(list_distinct(list_concat(a, z))) end as overlap,
- greatest(1, len(list_filter(regexp_split_to_array(trim(pf), '[.!?。！？]\\s|\\n'), lambda x : trim(x) <> ''))) as sentences from h)
+with {SUMMARY_SQL},
+x as (select *, {BARE.format('pf')} as pfx, {BARE.format('short')} as shx, {_latin(T.LATIN_GENRE_WORDS)} as latin, list_filter(['{_HYPE}'], lambda w : contains(whole, w)) as hype from c),
+h as (select *, {GRAMS.format('pfx')} as a, {GRAMS.format('shx')} as z from x),
+o as (select *, case when short = '' then 0.0 else len(list_intersect(a, z))::double / len(list_distinct(list_concat(a, z))) end as overlap from h),
+flags as (select doc_id, overlap, concat_ws('|', case when g = '' then 'H1_field_empty:장르' end, case when p = '' then 'H1_field_empty:핵심플레이' end, case when t = '' then 'H1_field_empty:특징' end, case when paren then 'H2_genre_paren' end,
+ case when bullet then 'H3_bullet' end, case when emoji then 'H3_emoji' end, case when regexp_matches(play, '^\\s*({_LEAD})') then 'H4_leadin:핵심플레이' end, case when regexp_matches(feature, '^\\s*({_LEAD})') then 'H4_leadin:특징' end,
+ case when ratio < 0.4 then printf('H5_low_hangul:%.2f', ratio) end) as hard,
+ concat_ws('|', case when len(latin) > 0 then 'S1_genre_latin:' || array_to_string(latin[1:3], ',') end, case when len(hype) > 0 then 'S2_hype:' || array_to_string(hype[1:3], ',') end,
+ case when {_SENTENCES.format('p')} > 3 or length(play) > 220 then 'S3_long:핵심플레이' end, case when length(p) < 10 then 'S4_short:핵심플레이' end,
+ case when {_SENTENCES.format('t')} > 3 or length(feature) > 220 then 'S3_long:특징' end, case when length(t) < 10 then 'S4_short:특징' end,
+ case when length(g) < 2 then 'S4_short:장르' end, case when overlap >= 0.5 then printf('S5_copy:%.2f', overlap) end) as soft from o)
 """
-QC_END = """select doc_id, concat_ws('|', case when trim(genre) = '' then 'H1_field_empty:genre' end, case when trim(play) = '' then 'H1_field_empty:core_play' end, case when regexp_matches(genre, '[()（）]') then 'H2_genre_paren' end,
- case when not no_bullet then 'H3_bullet' end, case when not korean then 'H5' end) as hard,
- concat_ws('|', case when len(latin) > 0 then 'S1_latin_genre' end, case when contains(body, '최고의') then 'S2_hype' end, case when sentences > 3 or length(pf) > 220 then 'S3_long' end,
- case when length(play) < 10 or length(feature) < 10 or length(genre) < 2 then 'S4_short' end, case when overlap >= 0.5 then 'S5_overlap' end) as soft, round(overlap, 6) as overlap from o"""
 
 
 def _flags(t):
-    f = t("documents").select("doc_id", *(F.expr(v).alias(k) for k, v in FIELDS.items()))
     q = T.qc_flags("genre", "play", "feature", "short")
-    hard = F.transform(q["hard"], lambda x: F.when(x.startswith("H5"), "H5").otherwise(x))
-    return f.select("doc_id", hard.alias("hard"), q["soft"].alias("soft"), q["overlap"].alias("overlap"))
+    return _fields(t).select("doc_id", q["hard"].alias("hard"), q["soft"].alias("soft"), q["overlap"].alias("overlap"))
 
 
-@R.add("f14_qc_flags", QC_SQL + QC_END)
+@R.add("f14_qc_flags", QC_SQL + "select doc_id, hard, soft, round(overlap, 6) as overlap from flags")
 def _(t):
     return _flags(t).select("doc_id", F.array_join("hard", "|").alias("hard"), F.array_join("soft", "|").alias("soft"), F.round("overlap", 6).alias("overlap"))
 
 
-@R.add("g18_qc_report", QC_SQL + f", flags as ({QC_END}), one as (select unnest(string_split(concat_ws('|', nullif(hard, ''), nullif(soft, '')), '|')) as rule from flags) select split_part(rule, ':', 1) as rule, count(*) as n from one where rule <> '' group by 1 order by 1")
+@R.add("g18_qc_report", QC_SQL + ", one as (select unnest(string_split(concat_ws('|', nullif(hard, ''), nullif(soft, '')), '|')) as rule from flags) select split_part(rule, ':', 1) as rule, count(*) as n from one where rule <> '' group by 1 order by 1")
+def _(t):
+    return G.qc_rules(_flags(t))
+
+
+@R.add("g18_qc_summary", QC_SQL + """, r as (select *, row_number() over (order by overlap) - 1 as i, count(*) over () as n from flags)
+select count(*) as total, count(*) filter (where hard <> '') as hard_fail, count(*) filter (where hard = '' and soft <> '') as soft_only, count(*) filter (where hard = '' and soft = '') as clean, count(*) filter (where overlap >= 0.5) as copied,
+ round(min(overlap), 3) as min, round(median(overlap), 3) as median, round(avg(overlap), 3) as mean, round(max(overlap) filter (where i = least(n - 1, floor(0.9 * n))), 3) as p90, round(max(overlap) filter (where i = least(n - 1, floor(0.99 * n))), 3) as p99, round(max(overlap), 3) as max from r""")
 def _(t):
-    return _flags(t).select(F.explode(F.concat("hard", "soft")).alias("r")).groupBy(F.substring_index("r", ":", 1).alias("rule")).agg(F.count("*").alias("n"))
+    return G.qc_summary(_flags(t))
 
 
-@R.add("x04_char_ngrams", "with d as (select doc_id, substr(text, 1, 400) as s from documents) select doc_id, len(" + GRAMS.format("s") + ") as n, array_to_string(list_sort(" + GRAMS.format("s") + "), '#') as grams from d")
+@R.add("x04_char_ngrams", f"with d as (select doc_id, {BARE.format('text')} as s from documents), g as (select doc_id, {GRAMS.format('s')} as a from d) select doc_id, len(a) as n, array_to_string(list_sort(a), '#') as grams from g")
 def _(t):
-    g = T.char_ngrams(F.substring("text", 1, 400))
-    return t("documents").select("doc_id", F.size(g).alias("n"), F.array_join(F.array_sort(g), "#").alias("grams"))
+    g = t("documents").select("doc_id", T.char_ngrams("text").alias("g"))
+    return g.select("doc_id", F.size("g").alias("n"), F.array_join(F.array_sort("g"), "#").alias("grams"))
 
 
-@R.add("x05_jaccard", "with d as (select a.doc_id, substr(a.text, 1, 300) as s, substr(b.text, 1, 300) as u from documents a join documents b on b.doc_id = a.doc_id + 1), g as (select doc_id, " + GRAMS.format("s") + " as a, " + GRAMS.format("u") + " as b from d) select doc_id, round(case when len(a) = 0 or len(b) = 0 then 0 else len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))) end, 6) as similarity from g")
+@R.add("x05_jaccard", f"with d as (select a.doc_id, {BARE.format('a.text')} as s, {BARE.format('b.text')} as u from documents a join documents b on b.doc_id = a.doc_id + 1), g as (select doc_id, {GRAMS.format('s')} as a, {GRAMS.format('u')} as b from d) select doc_id, round(case when len(a) = 0 or len(b) = 0 then 0 else len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))) end, 6) as similarity from g")
 def _(t):
-    d = t("documents").select("doc_id", F.substring("text", 1, 300).alias("s"))
-    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("u"))
-    return d.join(b, "doc_id").select("doc_id", F.round(T.jaccard(T.char_ngrams("s"), T.char_ngrams("u")), 6).alias("similarity"))
+    d = t("documents").select("doc_id", "text")
+    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("u"))
+    return d.join(b, "doc_id").select("doc_id", F.round(T.jaccard(T.char_ngrams("text"), T.char_ngrams("u")), 6).alias("similarity"))
 
 
 @R.add("x06_sentence_count", "select doc_id, greatest(1, len(list_filter(regexp_split_to_array(trim(text), '[.!?。！？]\\s|\\n'), lambda x : trim(x) <> ''))) as sentences from documents")

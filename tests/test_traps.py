@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gamelode.functions import text as T
 from gamelode.operators import aggregates as G
 from gamelode.operators import behaviour as B
+from gamelode.operators import decisions as D
 from gamelode.operators import labels as L
 from gamelode.operators import ranking as K
 from gamelode.operators import retrieval as V
@@ -87,6 +88,40 @@ def test_void_tag(spark):
     assert [tuple(r) for r in df.select(T.html_to_text("h"), T.html_to_text("h", False)).collect()] == [("ab", "a"), (None, None)]
 
 
+def test_pages_break_at_headers_and_decode_references(spark):
+    pages = ["<header>a</header><footer>b</footer>c", "<blockquote>a</blockquote>b", "x<script>if (a<b) {}</script>y<style>p {}</style>z", "<p>caf&eacute; &#8217;&#x27;</p>\n \n\n<ul><li>one<li>two</ul>", "<video><p>no</p></video>yes", "</video>still<br/>here", "<!-- <p>no</p> -->a < b"]
+    df = spark.createDataFrame([(p,) for p in pages], "h string")
+    want = ["a\n\nb\nc", "ab", "xyz", "café ’'\n\n- one\n- two", "yes", "still\nhere", "a < b"]
+    assert [r[0] for r in df.select(T.html_to_text("h")).collect()] == want
+
+
+def test_review_references_are_all_decoded(spark):
+    df = spark.createDataFrame([("it&#8217;s &eacute;t&#x27; &amp;lt; &lt;b&gt;x&lt;/b&gt;",), ("[b]a[/b] [url=http://x.y]l[/url] www.z.w/q [img]i[/img] [",), (None,), ("plain  text",)], "r string")
+    assert [r[0] for r in df.select(T.clean_review("r")).collect()] == ["it’s ét' &lt; x", "a l [URL] [", "", "plain text"]
+
+
+def test_quality_flags_are_of_each_field(spark):
+    korean = "가나다라마바사아자차카타파하 " * 9  # 135 characters: two such fields are long together, not alone
+    rows = [("퍼즐", korean, korean, None), (None, None, None, "x"), ("RPG Foo Bar (괄호)", "이 게임은 최고의 압도적 환상적 황홀 재미", "짧다", None), ("css", korean * 2, korean, None)]
+    df = spark.createDataFrame(rows, "g string, p string, f string, s string")
+    q = T.qc_flags("g", "p", "f", "s")
+    got = [(r.hard, r.soft) for r in df.select(q["hard"].alias("hard"), q["soft"].alias("soft")).collect()]
+    assert got == [
+        ([], []), (["H1_schema_missing"], []), (["H2_genre_paren", "H4_leadin:핵심플레이"], ["S1_genre_latin:Foo,Bar", "S2_hype:최고의,압도적,환상적", "S4_short:특징"]),
+        ([], ["S3_long:핵심플레이"]),
+    ]
+    checks = T.format_checks("g", "p", "f")
+    assert [(r.n, r.s) for r in df.select(checks["genre_noun"].alias("n"), checks["schema"].alias("s")).collect()] == [(True, True), (False, False), (False, True), (False, True)]
+
+
+def test_a_name_without_a_rule_stops_the_job(spark):
+    df = spark.createDataFrame([("old ring",), ("gear",)], "n string")
+    rules = (("drop", ("ring",)), ("fix", ("gear", "old")))
+    assert [r.decision for r in D.classify_by_keyword(df, "n", rules).collect()] == ["drop", "fix"]
+    with pytest.raises(Exception, match="no rule for gear"):
+        D.classify_by_keyword(df, "n", rules[:1]).collect()
+
+
 def test_spellings(spark):
     df = spark.createDataFrame([('["a"]',), ("['a']",), ("a,b",), ("a|b",), ("nan",), ("[]",), ("-",), (None,)], "s string")
     assert [r[0] for r in df.select(T.split_topics("s", ",|;/")).collect()] == [["a"], ["a"], ["a", "b"], ["a", "b"], [], [], [], []]
