@@ -66,6 +66,12 @@ def threshold_sweep(scored: DataFrame, low: int = 5, high: int = 50) -> DataFram
     return out.select((F.col("step") / 100).alias("threshold"), "micro_f1", "macro_f1", (F.coalesce("exact_rows", F.lit(0)) / F.col("rows")).alias("exact"))
 
 
+def best_thresholds(sweep: DataFrame) -> DataFrame:
+    """Of a sweep's rows: by (micro_f1, macro_f1), threshold, and both scores at it. The least threshold wins a tie."""
+    parts = [sweep.agg(F.max_by(F.struct("threshold", "micro_f1", "macro_f1"), F.struct(F.col(by), -F.col("threshold"))).alias("x")).select(F.lit(by).alias("by"), "x.*") for by in ("micro_f1", "macro_f1")]
+    return parts[0].unionByName(parts[1])
+
+
 def rouge_n(pred: Column, ref: Column, n: int) -> dict[str, Column]:
     """Clipped n-gram overlap of two token arrays: match, p, r, f."""
     grams = lambda a: F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(a) - n + 1)), lambda i: F.array_join(F.slice(a, i, n), " "))).otherwise(F.array().cast("array<string>"))
@@ -111,3 +117,26 @@ def rouge_l(pred: Column, ref: Column) -> dict[str, Column]:
     lcs = lcs_length(pred, ref)
     p, r = _ratio(lcs, F.size(pred)), _ratio(lcs, F.size(ref))
     return {"p": p, "r": r, "f": _ratio(2 * p * r, p + r)}
+
+
+def summary_report(pairs: DataFrame, keys: list[str], checks: dict[str, Column], pred: str = "pred", gold: str = "gold", lcs: bool = True) -> DataFrame:
+    """pairs: keys, and the structs pred and gold of the same text fields; one row for each gold summary, pred null where it has
+    none. Rows of metric and value, to four places: how many were scored and lack a prediction, the mean scores of the whole
+    summaries and of each field, and the share of predictions that pass each of the checks (columns over pred)."""
+    fields = pairs.schema[gold].dataType.fieldNames()
+    scored = pairs.filter(F.col(pred).isNotNull())
+    counts = pairs.agg(F.count("*").alias("gold_total"), F.count_if(F.col(pred).isNotNull()).alias("scored"), F.count_if(F.col(pred).isNull()).alias("missing"))
+    rates = scored.agg(*(F.avg(c.cast("int")).alias(f"format.{n}") for n, c in checks.items()))
+    side = lambda c: {"all": F.concat_ws(" ", *(F.col(f"{c}.{f}") for f in fields)), **{f: F.coalesce(F.col(f"{c}.{f}"), F.lit("")) for f in fields}}
+    p, g = side(pred), side(gold)
+    parts = F.explode(F.array(*(F.struct(F.lit(n).alias("part"), p[n].alias("_p"), g[n].alias("_g")) for n in p)))
+    long = scored.select(*keys, parts.alias("_x")).select(*keys, "_x.*")
+    scores = None
+    for n in (1, 2):
+        one = rouge_n_table(long, [*keys, "part"], n, "_p", "_g").groupBy("part").agg(F.avg("f").alias("f")).select(F.concat(F.lit(f"rouge{n}."), "part").alias("metric"), F.col("f").alias("value"))
+        scores = one if scores is None else scores.unionByName(one)
+    if lcs:
+        l = long.select("part", rouge_l(T.tokenize("_p"), T.tokenize("_g"))["f"].alias("f")).groupBy("part").agg(F.avg("f").alias("f"))  # noqa: E741
+        scores = scores.unionByName(l.select(F.concat(F.lit("rougeL."), "part").alias("metric"), F.col("f").alias("value")))
+    flat = lambda d: d.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").cast("double").alias("value")) for c in d.columns))).alias("x")).select("x.*")
+    return flat(counts).unionByName(flat(rates)).unionByName(scores).select("metric", F.round("value", 4).alias("value"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gamelode.operators.ranking import rank_rows
+from gamelode.sources.scratch import stored
+
 # Categories that stand for two players or more.
 TOGETHER = ("Multi-player", "Co-op", "Online Co-op", "Online Multi-Player", "Local Co-op", "Shared/Split Screen", "Cross-Platform Multiplayer")
 TERM_FIELDS = ("genres", "categories", "platforms", "exclude_genres", "exclude_categories", "exclude_platforms")
@@ -131,27 +134,21 @@ def top_by_popularity(matched: DataFrame, k: int) -> DataFrame:
     return matched.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-LEVELS = ("strict", "relaxed", "minimal", "popular")
-
-
 def fallback_levels(constraints: DataFrame, catalogue: DataFrame, k: int) -> DataFrame:
-    """Each constraint as four rows of falling strictness, matched in one join; the first level with a result wins."""
+    """Levels of falling strictness, one after the other, each for the constraints that have no result yet; what none of them
+    answers gets the k most popular games that all may see, which are found once."""
     no_list, no_int = F.lit(None).cast("array<string>"), F.lit(None).cast("int")
-    keep = {"strict": set(TERM_FIELDS) | {"min_players", "price"}, "relaxed": {"genres", "categories", "price"}, "minimal": {"price"}, "popular": set()}
-    rows = None
-    for n, level in enumerate(LEVELS):
-        have = keep[level]
-        one = constraints.withColumns(
-            {f: F.col(f) if f in have else no_list for f in TERM_FIELDS}
-            | {"min_players": F.col("min_players").cast("int") if "min_players" in have else no_int}
-            | ({} if "price" in have else {"max_price_usd": F.lit(None).cast("double"), "free_only": F.lit(None).cast("boolean")})
-        ).withColumn("level", F.lit(n))
-        rows = one if rows is None else rows.unionByName(one)
-    hit = constraint_match(rows, catalogue)
-    w = Window.partitionBy("query_id", "level").orderBy(*popularity_order())
-    top = hit.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    best = F.min("level").over(Window.partitionBy("query_id"))
-    return top.withColumn("_best", best).filter("level = _best").drop("_best").withColumn("level", F.get(F.array(*map(F.lit, LEVELS)), "level"))
+    keep = {"strict": set(TERM_FIELDS) | {"min_players"}, "relaxed": {"genres", "categories"}, "minimal": set()}
+    columns = ["query_id", "level", "rank", *catalogue.columns]
+    pending, out = constraints, None
+    for level, have in keep.items():
+        loose = pending.withColumns({f: F.col(f) if f in have else no_list for f in TERM_FIELDS} | {"min_players": F.col("min_players").cast("int") if "min_players" in have else no_int})
+        found = stored(top_by_popularity(constraint_match(loose, catalogue), k).withColumn("level", F.lit(level)).select(*columns), level)
+        out = found if out is None else out.unionByName(found)
+        pending = pending.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    best = adult_filter(catalogue).orderBy(*popularity_order()).limit(k)
+    best = rank_rows(best.withColumn("_one", F.lit(1)), ["_one"], popularity_order()).drop("_one").withColumn("level", F.lit("popular"))  # k rows
+    return out.unionByName(pending.select("query_id").crossJoin(F.broadcast(best)).select(*columns))
 
 
 def normalize_constraint(c: DataFrame) -> DataFrame:

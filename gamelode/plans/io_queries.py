@@ -140,10 +140,18 @@ gone as (select distinct user_id, appid from r where type = 'click' and appid is
 select user_id, appid, round(0.5 + sum(s), 12) as score from s where not exists (select 1 from gone where gone.user_id = s.user_id and gone.appid = s.appid) group by 1, 2"""
 
 
+def _games(t):
+    return t("part").select(F.col("p_partkey").alias("appid"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("context"), F.array("p_brand", "p_type").alias("tags"))
+
+
 @R.add("t02_preference_scores", f"with {PREF}", "interactions")
 def _(t):
-    games = t("part").select(F.col("p_partkey").alias("appid"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("context"), F.array("p_brand", "p_type").alias("tags"))
-    return B.preference_scores(t("interactions"), games).select("user_id", "appid", F.round("score", 12).alias("score"))
+    return B.preference_scores(t("interactions"), _games(t)).select("user_id", "appid", F.round("score", 12).alias("score"))
+
+
+@R.add("t02_preference_topk", f"with p as (with {PREF}) select user_id, appid, score, rank from (select *, row_number() over (partition by user_id order by score desc, appid) as rank from p) where rank <= 20", "interactions")
+def _(t):
+    return B.preference_scores(t("interactions"), _games(t), 20).select("user_id", "appid", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @R.add("t08_recent_context", """with recent as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) - 1 as place from interactions)

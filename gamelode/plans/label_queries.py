@@ -74,6 +74,13 @@ def _(t):
     return L.threshold_sweep(t("logits")).select("threshold", *(F.round(c, 6).alias(c) for c in ("micro_f1", "macro_f1", "exact")))
 
 
+@R.add("x12_best_threshold", SWEEP.replace("select step / 100.0", ", curve as (select step / 100.0", 1) + """)
+select 'micro_f1' as by, threshold, micro_f1, macro_f1 from (select * from curve order by micro_f1 desc, threshold limit 1) union all select 'macro_f1', threshold, micro_f1, macro_f1 from (select * from curve order by macro_f1 desc, threshold limit 1)""", "logits")
+def _(t):
+    sweep = L.threshold_sweep(t("logits")).select("threshold", *(F.round(c, 6).alias(c) for c in ("micro_f1", "macro_f1")))
+    return L.best_thresholds(sweep).select("by", "threshold", "micro_f1", "macro_f1")
+
+
 STRATEGY = "scored as (select row_id % 3 as strategy, row_id, label, gold, 1 / (1 + exp(-logit)) >= 0.39 and row_id % 10 <> 0 as predicted, row_id % 10 <> 0 as valid from logits)"
 
 
@@ -118,9 +125,9 @@ def _(t):
     return panel(t)
 
 
-@R.add("j10_panel_join", f"""with {PANEL} select d.doc_id, case when p.appid is null then 'unavailable' else 'ok' end as status, coalesce('reviews=' || p.review_count || '; top=' || replace(p.top_positive, ',', ', '), '') as fields from (select doc_id from documents where doc_id < 100) d left join panel p on p.appid = d.doc_id""", "rows_of picked")
+@R.add("j10_panel_join", f"""with {PANEL} select d.doc_id, case when p.appid is null then 'unavailable' else 'ok' end as status, coalesce('reviews=' || p.review_count || '; top=' || replace(p.top_positive, ',', ', '), '') as fields from documents d left join panel p on p.appid = d.doc_id""", "rows_of picked")
 def _(t):
-    d = t("documents").filter("doc_id < 100").select("doc_id")
+    d = t("documents").select("doc_id")
     j = d.join(panel(t).withColumnRenamed("appid", "doc_id"), "doc_id", "left")
     fields = F.array(F.struct(F.lit("reviews").alias("k"), F.format_string("%,d", "review_count").alias("v")), F.struct(F.lit("top").alias("k"), F.array_join(F.split("top_positive", ","), ", ").alias("v")))
     text = F.array_join(F.transform(fields, lambda x: F.concat(x["k"], F.lit("="), x["v"])), "; ")
@@ -149,11 +156,12 @@ def _(t):
     return g.withColumn("missing", F.col("valid") == 0)
 
 
-@R.add("g15_pos_weights", "select label, count(*) filter (where gold) as pos, count(*) filter (where not gold) as neg, round(least(10.0, greatest(1.0, sqrt(count(*) filter (where not gold) / count(*) filter (where gold)))), 6) as weight from logits where label_id < 9 or label_id between 19 and 27 group by 1 having count(*) filter (where gold) > 0", "logits")
+@R.add("g15_pos_weights", "select label, count(*) filter (where gold) as pos, count(*) filter (where not gold) as neg, round(least(10.0, greatest(1.0, sqrt(count(*) filter (where not gold) / count(*) filter (where gold)))), 6) as weight from logits group by 1 having count(*) filter (where gold) > 0", "logits")
 def _(t):
-    some = t("logits").filter("label_id < 9 or label_id between 19 and 27")
-    named = some.filter("gold").select("label").distinct()
-    return G.pos_weights(some.join(named, "label", "left_semi")).select("label", "pos", "neg", F.round("weight", 6).alias("weight"))
+    """Labels of the whole table; those without a positive, which would stop the operator, are taken out first."""
+    s = t("logits")
+    named = s.filter("gold").select("label").distinct()
+    return G.pos_weights(s.join(named, "label", "left_semi")).select("label", "pos", "neg", F.round("weight", 6).alias("weight"))
 
 
 @R.add("g21_leaderboard", f"with {STRATEGY}, {METRICS.format('strategy, ', '')}, m as (select strategy, 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) as micro, avg(f) as macro from sc group by 1) select strategy, round(micro, 6) as micro_f1, row_number() over (order by micro desc, macro desc, strategy) as place from m", "logits")
@@ -211,11 +219,38 @@ def _(t):
     return t("rouge_pairs").select("conv_id", "turn", *(F.round(v, 6).alias(k) for k, v in m.items()))
 
 
-@R.add("x03_summary_report", f"with {_rouge_sql(1)}, {_rouge_sql(2)} select count(*) as n, (select count(*) from conversations where role = 'user') - count(*) as missing, round(avg(o1.f), 4) as rouge1, round(avg(o2.f), 4) as rouge2 from o1 join o2 on o2.conv_id = o1.conv_id and o2.turn = o1.turn", "rouge_pairs")
+def _summary_of(text: str) -> str:
+    return f"case when turn % 3 = 0 then 'RPG' else split_part({text}, ' ', 1) end as genre, case when turn % 4 < 2 then '적을 물리치며 성장하는 게임' else {text} end as core_play, {text} as feature"
+
+
+def _x03() -> str:
+    """The SQL of the report: each part of the summaries as rows, scored by n-grams, beside the format checks."""
+    checks = f"""select conv_id, turn, trim(genre) <> '' and trim(core_play) <> '' and trim(feature) <> '' as s, not regexp_matches(genre, '[()（）]') and len(list_filter(regexp_extract_all(genre, '[A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*'), lambda w : lower(w) not in ('{"','".join(T.FORMAT_LATIN_WORDS)}'))) = 0 as g,
+ not regexp_matches(w, '(^|\\n)\\s*[-*•·▪◦]\\s') and not regexp_matches(w, '[\\x{{1F000}}-\\x{{10FFFF}}]') as b,
+ case when length(regexp_replace(w, '[^가-힣ᄀ-ᇿ一-鿿A-Za-z]', '', 'g')) = 0 then true else length(regexp_replace(w, '[^가-힣ᄀ-ᇿ]', '', 'g')) / length(regexp_replace(w, '[^가-힣ᄀ-ᇿ一-鿿A-Za-z]', '', 'g')) >= 0.4 end as k from (select *, concat_ws(chr(10), genre, core_play, feature) as w from preds)"""
+    body = ""
+    for n in (1, 2):
+        grams = lambda c, n=n: f"(select conv_id, turn, part, g, count(*) as c from (select conv_id, turn, part, unnest(list_transform(range(1, greatest(0, len(a) - {n} + 1) + 1), lambda i : array_to_string(a[i:i + {n - 1}], ' '))) as g from (select conv_id, turn, part, {TOK.format(c)} as a from parts)) group by 1, 2, 3, 4)"
+        body += f""", p{n} as {grams('p')}, r{n} as {grams('r')}, m{n} as (select conv_id, turn, part, sum(least(p{n}.c, r{n}.c)) as m from p{n} join r{n} using (conv_id, turn, part, g) group by 1, 2, 3),
+ f{n} as (select part, coalesce(m, 0) / greatest(1, len({TOK.format('p')}) - {n} + 1) as x, coalesce(m, 0) / greatest(1, len({TOK.format('r')}) - {n} + 1) as y from parts left join m{n} using (conv_id, turn, part)),
+ o{n} as (select 'rouge{n}.' || part as metric, avg(case when x + y = 0 then 0 else 2 * x * y / (x + y) end) as value from f{n} group by 1)"""
+    return f"""with preds as (select conv_id, turn, {_summary_of('pred')} from rouge_pairs), golds as (select conv_id, turn, {_summary_of('ref')} from rouge_pairs),
+both_ as (select p.conv_id, p.turn, p.genre as pg, p.core_play as pc, p.feature as pf, g.genre as gg, g.core_play as gc, g.feature as gf from preds p join golds g using (conv_id, turn)),
+parts as (select conv_id, turn, 'all' as part, concat_ws(' ', pg, pc, pf) as p, concat_ws(' ', gg, gc, gf) as r from both_ union all select conv_id, turn, 'genre', pg, gg from both_ union all select conv_id, turn, 'core_play', pc, gc from both_ union all select conv_id, turn, 'feature', pf, gf from both_),
+chk as ({checks}){body},
+users as (select count(*) as n from conversations where role = 'user'), have as (select count(*) as n from rouge_pairs),
+every_ as (select 'gold_total' as metric, users.n::double as value from users union all select 'scored', have.n from have union all select 'missing', users.n - have.n from users, have
+ union all select 'format.schema', avg(s::int) from chk union all select 'format.genre_noun', avg(g::int) from chk union all select 'format.no_bullet', avg(b::int) from chk union all select 'format.korean', avg(k::int) from chk
+ union all select 'format.compliant', avg((s and g and b and k)::int) from chk union all select * from o1 union all select * from o2)
+select metric, round(value, 4) as value from every_"""
+
+
+@R.add("x03_summary_report", _x03(), "rouge_pairs")
 def _(t):
     pairs = t("rouge_pairs")
-    one = L.rouge_n_table(pairs, ["conv_id", "turn"], 1).select("conv_id", "turn", F.col("f").alias("f1"))
-    two = L.rouge_n_table(pairs, ["conv_id", "turn"], 2).select("conv_id", "turn", F.col("f").alias("f2"))
-    users = t("conversations").filter("role = 'user'").agg(F.count("*").alias("users"))
-    out = one.join(two, ["conv_id", "turn"]).agg(F.count("*").alias("n"), F.round(F.avg("f1"), 4).alias("rouge1"), F.round(F.avg("f2"), 4).alias("rouge2"))
-    return out.crossJoin(users).select("n", (F.col("users") - F.col("n")).alias("missing"), "rouge1", "rouge2")
+    struct = lambda c: F.struct(
+        F.expr(f"case when turn % 3 = 0 then 'RPG' else split_part({c}, ' ', 1) end").alias("genre"), F.expr(f"case when turn % 4 < 2 then '적을 물리치며 성장하는 게임' else {c} end").alias("core_play"), F.col(c).alias("feature"))
+    users = t("conversations").filter("role = 'user'").select("conv_id", "turn", F.lit(True).alias("user"))
+    j = users.join(pairs, ["conv_id", "turn"], "left")
+    j = j.select("conv_id", "turn", F.when(F.col("pred").isNotNull(), struct("pred")).alias("pred"), struct("ref").alias("gold"))
+    return L.summary_report(j, ["conv_id", "turn"], T.format_checks("pred.genre", "pred.core_play", "pred.feature"), lcs=False)

@@ -117,7 +117,7 @@ select query_id, doc_id, rank from (select *, row_number() over (partition by qu
 def _(t):
     d = t("documents").join(t("labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("key"), "text")
     q = t("documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("key"), "text")
-    return V.tfidf_examples(q, d).select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"))
+    return V.tfidf_examples(q, d, stop=V.STOP).select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @R.add("r08_embedding_examples", "with qv as (select vec_id as query_id, embedding as q from embeddings where vec_id % 100 = 0), sc as (select query_id, vec_id, round(list_cosine_similarity(q::double[], embedding::double[]), 9) as score from qv, embeddings where query_id <> vec_id and q <> embedding) select query_id, vec_id, rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from sc) where rank <= 3")
