@@ -10,8 +10,8 @@ Dictionary. Each distinct phrase (by 128 bits) once, with the smallest and the l
 by triggers; in each part the suffixes of its phrases are sorted by their bytes (suffix array, eight bytes a round, only
 ties going on), and neighbours with 50 equal bytes form a group, whose least document is the smallest one that has the
 string. A trigger in a large part of all documents may have as many phrases as there are documents, at the edges of a
-shared passage: the strings of such triggers' phrases are grouped by 128-bit digests in a plain aggregation instead, which
-no single task has to hold.
+shared passage: the strings of such triggers' phrases are dealt out one by one, by their own hash, so that no part of the
+dictionary grows with the documents that share a passage.
 
 Parse. The phrases of all documents in order, as (phrase, document, place). Joined to the dictionary's results (AQE splits what
 is frequent), it gives the corpus order its documents: each string whose group has a smaller document is a span.
@@ -44,7 +44,7 @@ DEPTH, K, SIDE = 50, 16, 17
 FILTER_BITS, HOT_BITS, BLOCK = 28, 24, 1 << 17
 HOT = 50_000  #: a trigger counted so often is frequent
 BUCKET_BYTES = 3_000_000  #: bytes of text for each part of the dictionary
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES, TOGETHER_BYTES = 2_000_000, 16_000_000  #: bytes of text, and of phrases, handled at a time
 _PLACE = U64((1 << 28) - 1)
 _TOP = U64(32)
 
@@ -229,8 +229,8 @@ class Known:
         low = 32 - FILTER_BITS
         return p.pick(np.flatnonzero((has_left & _has(self.repeated, left >> low)) | (has_right & _has(self.repeated, right >> low))))
 
-    def frequent(self, p: Phrases) -> np.ndarray:
-        return _has(self.hot, (p.hash >> U64(64 - HOT_BITS)).astype(np.int64))
+    def frequent(self, trigger: np.ndarray) -> np.ndarray:
+        return _has(self.hot, (trigger >> U64(64 - HOT_BITS)).astype(np.int64))
 
 
 def _bytes_of(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -247,46 +247,66 @@ def _distinct(d1: np.ndarray, d2: np.ndarray, low: np.ndarray, high: np.ndarray)
     return order[new], np.minimum.reduceat(low[order], new), np.maximum.reduceat(high[order], new)
 
 
-DICTIONARY = "bucket bigint, d1 binary, d2 binary, low binary, high binary, counts binary, bytes binary"
+DICTIONARY = "bucket bigint, low binary, above binary, counts binary, d1 binary, d2 binary, bytes binary"
+_NAMES = ["bucket", "low", "above", "counts", "d1", "d2", "bytes"]
 
 
 def dictionary(docs: DataFrame, seen: Broadcast, buckets: int, depth: int = DEPTH) -> DataFrame:
-    """The distinct phrases of each batch, dealt out by trigger; those of frequent triggers in bucket -1."""
+    """The distinct phrases of some texts at a time (low: the smallest document, above: how far the largest is above it), dealt
+    out by trigger. Strings of frequent triggers' phrases go one by one to buckets from `buckets` on: counts is the place of the
+    string in its phrase then, and d1, d2 the phrase's digest, which the bytes of others tell."""
+
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[j].tobytes() for r in rows], pa.binary()) for j in range(1, 7))], names=_NAMES)
+
+    def packed(columns: list[list[np.ndarray]], texts: list[np.ndarray], known: Known) -> Iterator[pa.RecordBatch]:
+        trigger, d1, d2, low, high, count = map(np.concatenate, columns)
+        text, size = np.concatenate(texts), count + depth - 1
+        begin = np.cumsum(size) - size
+        at, low, high = _distinct(d1, d2, low, high)
+        trigger, d1, d2, count, size, begin = (x[at] for x in (trigger, d1, d2, count, size, begin))
+        above, none = high - low, np.zeros(0, dtype=np.int64)
+        often = known.frequent(trigger)
+        of_bucket = _split(np.where(often, -1, ((trigger >> _TOP) * U64(buckets) >> _TOP).astype(np.int64)))
+        yield rows_of([(b, low[k], above[k], count[k].astype(np.uint8), none, none, _bytes_of(text, begin[k], size[k])) for b, k in of_bucket if b >= 0])
+        one = np.flatnonzero(often)
+        if not len(one):
+            return
+        g = words_at(np.concatenate([text, np.zeros(8, dtype=np.uint8)]), len(text))
+        for first in range(0, len(one), 10_000):  # some 200,000 strings at a time
+            some = one[first : first + 10_000]
+            of = np.repeat(some, count[some])
+            inner = np.arange(len(of)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
+            start = begin[of] + inner
+            h = np.zeros(len(of), dtype=U64)
+            for j in [*range(0, depth - 7, 8), depth - 8]:
+                h = mix(h * GOLDEN + g[start + j])
+            of_bucket = _split(buckets + ((h >> _TOP) * U64(buckets) >> _TOP).astype(np.int64))
+            yield rows_of([(b, low[of[k]], above[of[k]], inner[k].astype(np.uint8), d1[of[k]], d2[of[k]], _bytes_of(text, start[k], np.full(len(k), depth))) for b, k in of_bucket])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(seen.value)
+        columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+        texts: list[np.ndarray] = []
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
-            texts = []
             for ids, _, buf, ends in _chunks(batch):
                 p = known.passing(phrases(buf, ends))
                 doc = ids[p.piece]
                 d1, d2 = p.digests(depth)
                 at, low, high = _distinct(d1, d2, doc, doc)
                 p = p.pick(at)
-                bucket = np.where(known.frequent(p), -1, ((p.hash >> _TOP) * U64(buckets) >> _TOP).astype(np.int64))
-                for c, x in zip(columns, (bucket, d1[at], d2[at], low, high, p.count.astype(np.uint8)), strict=True):
+                for c, x in zip(columns, (p.hash, d1[at], d2[at], low, high, p.count), strict=True):
                     c.append(x)
                 texts.append(_bytes_of(buf, p.start, p.count + depth - 1))
-            if not texts:
-                continue
-            bucket, d1, d2, low, high, count = map(np.concatenate, columns)
-            text, size = np.concatenate(texts), count.astype(np.int64) + depth - 1
-            begin = np.cumsum(size) - size
-            at, low, high = _distinct(d1, d2, low, high)
-            bucket, d1, d2, count, size, begin = (x[at] for x in (bucket, d1, d2, count, size, begin))
-            rows = [(b, *(x[k].tobytes() for x in (d1, d2, low, high, count)), _bytes_of(text, begin[k], size[k]).tobytes()) for b, k in _split(bucket)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 7))], names=["bucket", "d1", "d2", "low", "high", "counts", "bytes"])
+                if sum(map(len, texts)) > TOGETHER_BYTES:
+                    yield from packed(columns, texts, known)
+                    columns, texts = [[] for _ in range(6)], []
+        if texts:
+            yield from packed(columns, texts, known)
 
     return docs.mapInArrow(run, DICTIONARY)
 
 
-def _entries(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    kinds = (("d1", U64), ("d2", U64), ("low", np.int64), ("high", np.int64), ("counts", np.uint8), ("bytes", np.uint8))
-    return tuple(np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=d) for c, d in kinds)
-
-
 def suffix_array(buf: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The strings of depth bytes at the places, in the order of their bytes, and the number of each one's group of equal ones."""
     g = words_at(np.concatenate([buf, np.zeros(8, dtype=np.uint8)]), len(buf)).byteswap()  # so that integers are in the order of bytes
@@ -323,18 +343,28 @@ RUNS = "d1 bigint, d2 bigint, first bigint, n bigint, least bigint"
 _RUN_NAMES = ["d1", "d2", "first", "n", "least"]
 
 
-def repeated_runs(entries: DataFrame, depth: int = DEPTH) -> DataFrame:
+def repeated_runs(entries: DataFrame, buckets: int, depth: int = DEPTH) -> DataFrame:
     """Of each phrase of the dictionary, the runs of strings that a smaller document than its largest has."""
 
     def compare(table: pa.Table) -> pa.Table:
-        d1, d2, low, high, counts, buf = _entries(table)
-        size = counts.astype(np.int64) + depth - 1
-        begin = np.cumsum(size) - size
-        at, low, high = _distinct(d1, d2, low, high)
-        d1, d2, n, begin = d1[at], d2[at], counts[at].astype(np.int64), begin[at]
-        phrase = np.repeat(np.arange(len(n)), n)
-        inner = np.arange(len(phrase)) - np.repeat(np.cumsum(n) - n, n)
-        order, group = suffix_array(buf, begin[phrase] + inner, depth)
+        kinds = (("low", np.int64), ("above", np.int64), ("counts", np.uint8), ("d1", U64), ("d2", U64), ("bytes", np.uint8))
+        low, above, counts, d1, d2, buf = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=d) for c, d in kinds)
+        high, counts = low + above, counts.astype(np.int64)
+        if table.column("bucket")[0].as_py() < buckets:  # phrases
+            size = counts + depth - 1
+            begin = np.cumsum(size) - size
+            g = words_at(np.concatenate([buf, np.zeros(8, dtype=np.uint8)]), len(buf))
+            d1, d2 = Phrases(g, begin, begin, counts, begin, begin).digests(depth)
+            at, low, high = _distinct(d1, d2, low, high)
+            d1, d2, n, begin = d1[at], d2[at], counts[at], begin[at]
+            phrase = np.repeat(np.arange(len(n)), n)
+            inner = np.arange(len(phrase)) - np.repeat(np.cumsum(n) - n, n)
+            place = begin[phrase] + inner
+        else:  # strings; the same one of the same phrase may have come from several batches
+            key = mix(d2 ^ mix(counts.astype(U64)))
+            at, low, high = _distinct(d1, key, low, high)
+            d1, d2, inner, place, phrase = d1[at], d2[at], counts[at], at * depth, np.arange(len(at))
+        order, group = suffix_array(buf, place, depth)
         least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, group, low[phrase[order]])
         of = np.empty(len(order), dtype=np.int64)
@@ -344,31 +374,6 @@ def repeated_runs(entries: DataFrame, depth: int = DEPTH) -> DataFrame:
     return entries.groupBy("bucket").applyInArrow(compare, RUNS)
 
 
-def repeated_runs_by_digest(entries: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """The same for phrases of frequent triggers: each string is a row, and equal ones meet in an aggregation."""
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                d1, d2, low, high, counts, buf = _entries(batch.slice(r, 1))
-                n = counts.astype(np.int64)
-                size = n + depth - 1
-                begin = np.cumsum(size) - size
-                g = words_at(np.concatenate([buf, np.zeros(8, dtype=np.uint8)]), len(buf))
-                for a in range(0, len(n), 50_000):
-                    k = slice(a, a + 50_000)
-                    phrase = np.repeat(np.arange(len(n))[k], n[k])
-                    inner = np.arange(len(phrase)) - np.repeat(np.cumsum(n[k]) - n[k], n[k])
-                    one = np.ones(len(phrase), dtype=np.int64)
-                    h1, h2 = Phrases(g, phrase, begin[phrase] + inner, one, one, one).digests(depth)
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (h1, h2, d1[phrase], d2[phrase])] + [pa.array(x) for x in (inner, low[phrase], high[phrase])], names=["h1", "h2", "d1", "d2", "first", "low", "high"])
-
-    rows = entries.mapInArrow(strings, "h1 bigint, h2 bigint, d1 bigint, d2 bigint, first bigint, low bigint, high bigint")
-    least = rows.groupBy("h1", "h2").agg(F.min("low").alias("least"))
-    found = rows.join(least, ["h1", "h2"]).filter("least < high")
-    return found.select("d1", "d2", "first", F.lit(1).cast("bigint").alias("n"), "least").distinct()
-
-
 def parse(docs: DataFrame, seen: Broadcast, depth: int = DEPTH) -> DataFrame:
     """doc_id, start, d1, d2: the documents as phrases, those that pass the filter."""
 
@@ -387,10 +392,7 @@ def repeated_spans(docs: DataFrame, buckets: int, depth: int = DEPTH, hot: int =
     """doc_id, spans array<bigint> (start << 32 | end, unordered) of the strings that start in a smaller document too."""
     repeated, frequent = filters(docs, buckets, hot)
     seen = docs.sparkSession.sparkContext.broadcast((repeated.tobytes(), frequent.tobytes()))  # 34 MB at any size of input
-    entries = dictionary(docs, seen, buckets, depth)
-    runs = repeated_runs(entries.filter("bucket >= 0"), depth)
-    if frequent.any():
-        runs = runs.unionByName(repeated_runs_by_digest(entries.filter("bucket < 0"), depth))
+    runs = repeated_runs(dictionary(docs, seen, buckets, depth), buckets, depth)
     marked = parse(docs, seen, depth).join(runs, ["d1", "d2"]).filter("least < doc_id")
     first = F.col("start") + F.col("first")
     span = F.shiftleft(first, 32).bitwiseOR(first + F.col("n") + (depth - 1))
