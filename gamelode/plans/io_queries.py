@@ -48,18 +48,13 @@ def _(t):
     esc = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t"))
     name = esc(F.concat("p_name", F.lit("\tx\\y")))
     row = F.concat_ws("\t", F.col("p_partkey").cast("string"), name, F.when(F.col("p_partkey") % 5 != 0, F.col("p_brand")).otherwise("\\N"))
-    block = p.groupBy((F.col("p_partkey") % 4).alias("k")).agg(F.array_join(F.collect_list(row), "\n").alias("b"))
-    lines = F.concat(F.lit("-- dump\nCOPY public.other (a) FROM stdin;\n1\n\\.\nCOPY public.part (id, name, brand) FROM stdin;\n"), "b", F.lit("\nshort\n\\.\n"))
-    block.select(lines.alias("value")).repartition(4).write.text(path)
-    # one block for each part file: a file with several dumps would hold several
-    return S.read_pg_copy(spark, path, "part", ["id", "name", "brand"]) if block.count() == 1 else _each_file(spark, path)
-
-
-def _each_file(spark, path):
-    from functools import reduce
-
-    names = [r[0] for r in spark.read.format("binaryFile").load(path).filter("length > 0").select("path").collect()]  # four files
-    return reduce(lambda a, b: a.unionByName(b), (S.read_pg_copy(spark, n, "part", ["id", "name", "brand"]) for n in names))
+    key = F.pmod(F.xxhash64("p_partkey"), F.lit(8)).alias("k")  # a dump file each; lines are rows, put in order file by file
+    head = ["-- dump", "COPY public.other (a) FROM stdin;", "1", "\\.", "COPY public.part (id, name, brand) FROM stdin;"]
+    fixed = spark.range(8).select("id", F.posexplode(F.array(*map(F.lit, [*head, "short", "\\."]))).alias("at", "value"))
+    around = fixed.select(F.col("id").alias("k"), F.when(F.col("at") < len(head), F.col("at")).otherwise(F.col("at") + 1).alias("at"), F.lit(0).cast("bigint").alias("n"), "value")
+    lines = around.unionByName(p.select(key, F.lit(len(head)).alias("at"), F.col("p_partkey").cast("bigint").alias("n"), row.alias("value")))
+    lines.repartition("k").sortWithinPartitions("k", "at", "n").select("k", "value").write.partitionBy("k").text(path)
+    return S.read_pg_copy(spark, path, "part", ["id", "name", "brand"])
 
 
 @R.add("s06_parse_embedding_json", "select vec_id, len(embedding) as dim, round(list_sum(embedding::double[]), 4) as total from embeddings")
@@ -110,23 +105,13 @@ def _(t):
     return S.collect_responses(t("conversations").select(env.alias("value")))[1]
 
 
-@R.add("s05_read_f32_matrix", "select vec_id as vector_index, len(embedding) as dim, round(list_sum(embedding::double[]), 4) as total from embeddings where vec_id < 200")
+@R.add("s05_read_f32_matrix", "select vec_id as vector_index, len(embedding) as dim, round(list_sum(embedding::double[]), 4) as total from embeddings")
 def _(t):
-    """A float file made by Spark from the vectors of the table, read as records."""
-    e = t("embeddings").filter("vec_id < 200").select("vec_id", "embedding")
-    spark = e.sparkSession
-    path = scratch(spark, "f32")
-    # text part files cannot hold bytes, so the file is put together by the file system of the path, from a bounded few rows
-    import numpy as np
-
-    rows = sorted(e.collect(), key=lambda r: r[0])  # 200 vectors: the fixture of this reader
-    dim = len(rows[0][1]) if rows else 1
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
-    out.write(bytearray(np.array([r[1] for r in rows], dtype="<f4").tobytes()))
-    out.close()
-    m = S.read_f32_matrix(spark, path, dim)
+    """All vectors of the table written as float files by the tasks, and read as records."""
+    e = t("embeddings")
+    dim, path = e.agg(F.max(F.size("embedding"))).first()[0] or 1, scratch(e.sparkSession, "f32")
+    S.write_f32_matrix(e, path, "vec_id", "embedding")
+    m = S.read_f32_matrix(e.sparkSession, path, dim)
     return m.select("vector_index", F.size("vector").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
 
 

@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gamelode.functions.text import extract_json, parse_summary
-from gamelode.operators.sampling import global_row_number
+from gamelode.operators.sampling import request_chunks
 
 NAMED = "array<struct<id:string,description:string>>"
 GAME = f"struct<type:string,name:string,is_free:boolean,detailed_description:string,short_description:string,genres:{NAMED},categories:{NAMED},release_date:struct<date:string>>"
@@ -62,14 +65,17 @@ def read_pg_copy(spark: SparkSession, path: str, table: str, columns: list[str])
 
 
 def read_f32_matrix(spark: SparkSession, path: str, dim: int, rows: int | None = None) -> DataFrame:
-    """vector_index, vector of a file of float32 records without a header, or with `size - 4 dim rows` bytes of one.
+    """vector_index, vector of a file of float32 records without a header, or with `size - 4 dim rows` bytes of one; or of a
+    folder of such files without headers, as write_f32_matrix() makes them, in order of their names.
 
-    Records of exact length are split over tasks; a header needs the file whole, in one task per file."""
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    One file with records of exact length is split over tasks; a header, or one of many files, is read whole by a task."""
+    files = spark.read.format("binaryFile").load(path)
+    found = sorted((r.path, r.length) for r in files.select("path", "length").filter("length > 0").collect())  # names alone
+    size = sum(n for _, n in found)
     offset = size - 4 * dim * rows if rows is not None else 0
-    if offset < 0 or (size - offset) % (4 * dim):
+    if offset < 0 or (size - offset) % (4 * dim) or len(found) > 1 and (offset or any(n % (4 * dim) for _, n in found)):
         raise ValueError(f"{size} bytes are no whole number of rows of {dim} floats")
-    if not offset:
+    if not offset and len(found) == 1:
         raw = spark.sparkContext.binaryRecords(path, 4 * dim).zipWithIndex().map(lambda x: (x[1], bytearray(x[0])))
         table = raw.toDF("vector_index bigint, b binary")
 
@@ -78,15 +84,37 @@ def read_f32_matrix(spark: SparkSession, path: str, dim: int, rows: int | None =
                 yield pd.DataFrame({"vector_index": p.vector_index, "vector": [np.frombuffer(b, dtype="<f4") for b in p.b]})
 
         return table.mapInPandas(decode, "vector_index bigint, vector array<float>")
+    first, before = {}, 0
+    for name, n in found:
+        first[name] = before
+        before += n // (4 * dim)
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            for b in p.content:
+            for name, b in zip(p.path, p.content, strict=True):
                 m = np.frombuffer(b, dtype="<f4", offset=offset).reshape(-1, dim)
                 for at in range(0, len(m), 4096):
-                    yield pd.DataFrame({"vector_index": np.arange(at, min(len(m), at + 4096)), "vector": list(m[at : at + 4096])})
+                    yield pd.DataFrame({"vector_index": first[name] + np.arange(at, min(len(m), at + 4096)), "vector": list(m[at : at + 4096])})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(cut, "vector_index bigint, vector array<float>")
+    return files.filter("length > 0").select("path", "content").mapInPandas(cut, "vector_index bigint, vector array<float>")
+
+
+def write_f32_matrix(df: DataFrame, path: str, key: str, vector: str, parts: int = 8) -> int:
+    """Vectors in order of their key as float32 records without a header, in files whose names are in that order too, written by
+    the tasks. path: a folder of a store that Arrow knows (local, hdfs, s3, gs). Returns how many were written."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = FileSystem.from_uri(path)
+        store.create_dir(folder)
+        n = 0
+        with store.open_output_stream(f"{folder}/part-{TaskContext.get().partitionId():05d}.f32") as out:
+            for batch in batches:
+                n += batch.num_rows
+                out.write(batch.column(0).flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows = df.select(key, F.col(vector).cast("array<float>").alias("v")).repartitionByRange(parts, key).sortWithinPartitions(key).select("v")
+    return rows.mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
 def parse_embedding_json(c: str | Column) -> Column:
@@ -113,7 +141,7 @@ def build_request_chunks(df: DataFrame, key: str, text: str, done: DataFrame, si
     """key, chunk, request (JSON) of rows that are not done; chunks of at most `size` rows in key order."""
     rest = df.join(done.select(key).distinct(), key, "left_anti").select(key, F.substring(text, 1, limit).alias("_t"))
     request = F.to_json(F.struct(F.col(key).cast("string").alias("key"), F.col("_t").alias("text")))
-    return global_row_number(rest, [key]).select(key, F.floor((F.col("rn") - 1) / size).alias("chunk"), request.alias("request"))
+    return request_chunks(rest, [key], size).select(key, "chunk", request.alias("request"))
 
 
 ENVELOPE = "key string, response string, input_tokens bigint, output_tokens bigint"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,3 +191,99 @@ def test_plans_stay_native(spark, sf):
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan, name
     pushed = view(spark, sf, "documents").filter("n_chars >= 200").select("doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(n_chars,200)" in pushed and "text" not in pushed.split("ReadSchema")[1]
+
+
+def _lcs(a: list[str], b: list[str]) -> int:
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_rouge_l_is_that_of_the_full_table(spark, sf):
+    got = {(r.conv_id, r.turn): r for r in catalogue.queries()["x02_rouge_l"](spark, sf).collect()}
+    pairs = view(spark, sf, "rouge_pairs").collect()
+    assert len(got) == len(pairs) > 0
+    for r in pairs:
+        a, b = (re.findall("[가-힣]+|[a-zA-Z]+|[0-9]+", x) for x in (r.pred, r.ref))
+        n = _lcs(a, b)
+        p, q = (n / len(x) if x else 0.0 for x in (a, b))
+        f = 2 * p * q / (p + q) if p + q else 0.0
+        x = got[r.conv_id, r.turn]
+        assert (x.p, x.r, x.f) == pytest.approx((p, q, f), abs=1e-6)
+
+
+def test_gold_as_prediction_scores_full(spark):
+    rows = [(k, ("퍼즐", f"적을 물리치며 {w} 성장하는 게임", f"협동 플레이와 {w} 장비를 갖춘 작품이다")) for k, w in enumerate(("다양한", "많은", "좋은"))]
+    df = spark.createDataFrame(rows, "id int, gold struct<genre:string,core_play:string,feature:string>").withColumn("pred", F.when(F.col("id") < 2, F.col("gold")))
+    got = {r.metric: r.value for r in L.summary_report(df, ["id"], T.format_checks("pred.genre", "pred.core_play", "pred.feature")).collect()}
+    assert (got["gold_total"], got["scored"], got["missing"]) == (3, 2, 1)
+    # a genre of one word has no pairs of words, so its score for them is 0
+    assert {m: v for m, v in got.items() if m.startswith(("rouge", "format")) and m != "rouge2.genre"} == {m: 1.0 for m in got if m.startswith(("rouge", "format")) and m != "rouge2.genre"}
+    assert len(got) == 3 + 5 + 12
+
+
+def test_best_threshold_is_the_first_on_ties(spark):
+    df = spark.createDataFrame([(0.1, 0.5, 0.2), (0.2, 0.7, 0.3), (0.3, 0.7, 0.4), (0.4, 0.1, 0.4)], "threshold double, micro_f1 double, macro_f1 double")
+    assert {r.by: r.threshold for r in L.best_thresholds(df).collect()} == {"micro_f1": 0.2, "macro_f1": 0.3}
+
+
+def _mmr(rows, k, lam=0.5):
+    unit = lambda v: [x / n for x in v] if (n := math.sqrt(sum(x * x for x in v))) else v
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    rows = sorted(rows, key=lambda r: r[0])
+    if len(rows) <= k:
+        return [r[1] for r in rows]
+    q, vecs = unit(rows[0][3]), [unit(r[2]) for r in rows]
+    chosen = [max(range(len(rows)), key=lambda i: (dot(vecs[i], q), -i))]
+    while len(chosen) < k:
+        left = [i for i in range(len(rows)) if i not in chosen]
+        chosen.append(max(left, key=lambda i: (lam * dot(vecs[i], q) - (1 - lam) * max(dot(vecs[i], vecs[j]) for j in chosen), -i)))
+    return [rows[i][1] for i in chosen]
+
+
+def test_diverse_choice_is_the_greedy_one(spark, sf):
+    e = view(spark, sf, "embeddings")
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    cands = K.dense_topk(q, e, 50).join(e.select("vec_id", "embedding"), "vec_id").join(q, "query_id").collect()
+    want = {}
+    for qid in {r.query_id for r in cands}:
+        for place, vec in enumerate(_mmr([(r["rank"], r.vec_id, r.embedding, r.query_vec) for r in cands if r.query_id == qid], 5), 1):
+            want[qid, place] = vec
+    got = {(r.query_id, r.mmr_rank): r.vec_id for r in catalogue.queries()["w06_mmr_select"](spark, sf).collect()}
+    assert got == want
+
+
+def test_the_funnel_is_what_its_steps_say(spark, sf):
+    """R19 again in plain Python from the tables of its first step: order by similarity, diversity, quota, final ranks."""
+    cat = S.catalog_join(view(spark, sf, "apps"), view(spark, sf, "app_genres"), view(spark, sf, "genres")).filter("type = 'game'")
+    hit = S.constraint_match(S.constraint_rows(view(spark, sf, "constraint_scalars"), view(spark, sf, "constraint_terms")), cat).collect()
+    vecs = {r.vec_id: r.embedding for r in view(spark, sf, "embeddings").collect()}
+    low = lambda x: (x is None, -(x or 0))
+    want = {}
+    for qid in {r.query_id for r in hit}:
+        if qid not in vecs:
+            continue
+        rows = sorted((r for r in hit if r.query_id == qid), key=lambda r: (low(r.metacritic_score), low(r.recommendations_total), r.appid))[:200]
+        rows = [(round(sum(x * y for x, y in zip(vecs[r.appid], vecs[qid], strict=True)), 6), r.appid, r.genres[0] if r.genres else "Unknown") for r in rows if r.appid in vecs]
+        rows = sorted(rows, key=lambda r: (-r[0], r[1]))[:50]
+        order = _mmr([(k, r, vecs[r[1]], vecs[qid]) for k, r in enumerate(rows)], 20)
+        if len(order) > 5:
+            seen: dict[str, int] = {}
+            few = []
+            for r in order:
+                seen[r[2]] = seen.get(r[2], 0) + 1
+                few += [r] if seen[r[2]] <= 2 else []
+            order = few[:5]
+        want |= {(qid, k): r[1] for k, r in enumerate(order, 1)}
+    got = {(r.query_id, r["rank"]): r.doc_id for r in catalogue.queries()["r19_recommend"](spark, sf).collect()}
+    assert got == want and len(want) > 20
+
+
+def test_preferences_by_both_joins(spark, sf):
+    games = view(spark, sf, "part").select(F.col("p_partkey").alias("appid"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_name", "p_brand").alias("context"), F.array("p_brand", "p_type").alias("tags"))
+    a, b = ({(r.user_id, r.appid, round(r.score, 9)) for r in B.preference_scores(view(spark, sf, "interactions"), games, 30, n).collect()} for n in (10**6, 0))
+    assert a == b and a
