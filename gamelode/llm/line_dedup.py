@@ -45,7 +45,10 @@ def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text"
         salts = common.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_gl_salt"))
         joined = hosts.withColumn("_gl_salt", salt).join(salts, ["_gl_host", "_gl_salt"], "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.when(F.col("_gl_common").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_gl_common"), F.xxhash64(x)) | (F.trim(x) == "")))
+    # which of the page's own lines are in the host's list, by one hash table for each page
+    joined = joined.withColumn("_gl_bad", F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), "_gl_common"))
+    some = F.coalesce(F.size("_gl_bad") > 0, F.lit(False))
+    kept = F.when(some, F.filter(lines, lambda x: ~F.array_contains(F.col("_gl_bad"), F.xxhash64(x)) | (F.trim(x) == ""))).otherwise(lines)
     names = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     size = lambda c: F.coalesce(F.when(c.isNotNull(), F.size(c)), F.lit(0)).cast("bigint")
     return joined.withColumn("_gl_kept", kept).select(*names, F.array_join("_gl_kept", "\n").alias(text_col), size(lines).alias("n_lines"), (size(lines) - size(F.col("_gl_kept"))).alias("n_dropped"))
