@@ -32,7 +32,7 @@ from .common import read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-AT_A_TIME = 3_000_000  #: bytes of text whose ids are held at a time (one text at least)
+AT_A_TIME = 1_500_000  #: bytes of text whose ids are held at a time (one text at least)
 TOGETHER = 200  #: characters of a segment that goes through the Viterbi beside others; longer ones go alone
 
 
