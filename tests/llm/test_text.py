@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from gamelode.llm import decontamination, html_extraction, language_id, lm_scoring, secret_scan, sentencepiece_codec
@@ -154,6 +155,52 @@ def test_distance_is_that_of_the_full_table():
         assert decontamination.banded_distance(a.encode(), b.encode(), 12) == min(row)
 
 
+def leaks(docs: dict[int, str | None], passages: dict[int, str | None]) -> set[tuple[int, int]]:
+    """(doc_id, item_id) where a passage stands with at most a tenth of its letters edited, by the full table of edit distances
+    over all texts end to end."""
+    plain = lambda t: re.sub(r"[\x00-/:-@\[-`{-\x7f]", "", (t or "").lower())
+    codes, owner = [], []
+    for k, t in docs.items():
+        c = np.array([*map(ord, plain(t)), *[-1] * 60], dtype=np.int32)
+        codes.append(c)
+        owner.append(np.full(len(c), k))
+    text, owner = np.concatenate(codes), np.concatenate(owner)
+    step = np.arange(len(text) + 1, dtype=np.int32)
+    found = set()
+    for item, t in passages.items():
+        p = plain(t)
+        if not p:
+            continue
+        e = max(0, min(int(0.1 * len(p)), (len(p) - 8) // 8))
+        row = np.zeros(len(text) + 1, dtype=np.int32)
+        for i, c in enumerate(map(ord, p), 1):
+            new = np.empty_like(row)
+            new[0] = i
+            new[1:] = np.minimum(row[:-1] + (text != c), row[1:] + 1)
+            row = np.minimum.accumulate(new - step) + step
+        found |= {(int(k), item) for k in np.unique(owner[np.flatnonzero(row[1:] <= e)])}
+    return found
+
+
+def test_passages_are_those_of_the_full_table(spark, sf):
+    """Every document against every passage, and texts with characters beyond ASCII, where an edit is one character."""
+    docs = {r.doc_id: r.text for r in read(spark, sf, "documents").collect()}
+    passages = {r.item_id: r.text for r in read(spark, sf, "benchmark").collect()}
+    got = {(r.doc_id, i) for r in decontamination.op10_decontamination(spark, sf).collect() for i in r.item_ids}
+    assert got == leaks(docs, passages) and got
+    r = random.Random(12)
+    abc = "абвгдежзиклмнопрстуфхцчшщьюя漢字éñ"
+    passage = "".join(r.choice(abc) for _ in range(120))
+    texts = {}
+    for n in range(24):
+        t = list(passage)
+        for p in r.sample(range(len(t)), n % 16):
+            t[p] = r.choice(("", "ж", "xy", t[p] + "я"))
+        texts[n] = "".join(r.choice(abc) for _ in range(200)) + "".join(t) + "".join(r.choice(abc) for _ in range(150))
+    rows = decontamination.find_passages(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), spark.createDataFrame([(7, passage)], "item_id bigint, text string")).collect()
+    assert {(x.doc_id, s.item_id) for x in rows for s in x.spans} == leaks(texts, {7: passage})
+
+
 def test_passages_in_all_documents(spark, sf, odd_docs, no_docs):
     norm = lambda t: re.sub(r"[\W_]+", "", (t or "").lower())
     items = {r.item_id: norm(r.text) for r in read(spark, sf, "benchmark").collect()}
