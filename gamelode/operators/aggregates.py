@@ -17,7 +17,8 @@ def value_at(df: DataFrame, col: str, places: dict[str, int]) -> dict:
 
 
 def length_stats(df: DataFrame, col: str) -> DataFrame:
-    """n, min, int(median), mean to 1 decimal, p90, p99, max; a percentile is the value at min(n-1, int(q n))."""
+    """n, min, int(median), mean to 1 decimal, p90, p99, max; a percentile is the value at min(n-1, int(q n)). The median keeps a
+    count of each distinct value in one task, which is few for lengths."""
     base = df.agg(F.count(col).alias("n"), F.min(col).alias("min"), F.floor(F.percentile(col, F.lit(0.5))).alias("median"), F.round(F.avg(col), 1).alias("mean"), F.max(col).alias("max"))
     n = base.first()["n"]
     at = value_at(df, col, {p: min(n - 1, int(q * n)) for p, q in (("p90", 0.9), ("p99", 0.99))}) if n else {}
@@ -32,7 +33,8 @@ def pct_round(df: DataFrame, col: str, percents: list[float]) -> DataFrame:
 
 
 def describe(df: DataFrame, col: str, groups: list[str], quantiles: list[float], exact: bool = True) -> DataFrame:
-    """count, mean, sample deviation, min, linear quantiles, max; exact=False takes sketches for very large groups."""
+    """count, mean, sample deviation, min, linear quantiles, max. Exact quantiles keep a count of each distinct value of a group;
+    exact=False takes sketches, for groups with very many values."""
     q = [F.percentile(col, F.lit(p)) if exact else F.percentile_approx(col, F.lit(p)) for p in quantiles]
     return df.groupBy(*groups).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), *(c.alias(f"q{round(p * 100)}") for c, p in zip(q, quantiles, strict=True)), F.max(col).alias("max"))
 

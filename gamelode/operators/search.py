@@ -105,15 +105,15 @@ def matches() -> Column:
     )
 
 
-MAX_BROADCAST_QUERIES = 100_000
+BROADCAST_BYTES = 32_000_000
 
 
-def constraint_match(constraints: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """All pairs of a constraint and an app that meets it. Constraints are a stated query set: up to
-    MAX_BROADCAST_QUERIES rows go to every task (checked by a count), more of them in blocks of that size."""
+def constraint_match(constraints: DataFrame, catalogue: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """All pairs of a constraint and an app that meets it. Constraints are a stated query set: they go to every task in blocks
+    of broadcast_bytes (measured as text), and each block is one pass over the catalogue."""
     wanted = constraints.withColumnRenamed("genres", "genres_wanted")
-    n = wanted.count()
-    blocks = max(1, -(-n // MAX_BROADCAST_QUERIES))
+    size = wanted.agg(F.sum(F.length(F.to_json(F.struct(*wanted.columns))))).first()[0] or 0
+    blocks = max(1, -(-size // broadcast_bytes))
     out = None
     for b in range(blocks):
         some = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)

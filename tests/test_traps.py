@@ -287,3 +287,10 @@ def test_preferences_by_both_joins(spark, sf):
     games = view(spark, sf, "part").select(F.col("p_partkey").alias("appid"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_name", "p_brand").alias("context"), F.array("p_brand", "p_type").alias("tags"))
     a, b = ({(r.user_id, r.appid, round(r.score, 9)) for r in B.preference_scores(view(spark, sf, "interactions"), games, 30, n).collect()} for n in (10**6, 0))
     assert a == b and a
+
+
+def test_constraints_in_blocks_match_the_same_apps(spark, sf):
+    cat = S.catalog_join(view(spark, sf, "apps"), view(spark, sf, "app_genres"), view(spark, sf, "genres"))
+    wanted = S.constraint_rows(view(spark, sf, "constraint_scalars"), view(spark, sf, "constraint_terms"))
+    one, many = ({(r.query_id, r.appid) for r in S.constraint_match(wanted, cat, n).select("query_id", "appid").collect()} for n in (10**9, 1000))
+    assert one == many and one
