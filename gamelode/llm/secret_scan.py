@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, stored
 
 # The shapes of credentials, and words that stand in placeholders and near secrets.
 PATTERNS = {
@@ -86,8 +86,7 @@ def with_features(found: DataFrame, words: tuple[str, ...] = ()) -> DataFrame:
     entropy = -F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, x: a + F.size(F.filter(chars, lambda y: y == x)) / n * F.log2(F.size(F.filter(chars, lambda y: y == x)) / n))
     around = F.concat_ws(" ", "before", "after")
     parts = F.transform(F.regexp_extract_all(v, F.lit("([A-Z]?[a-z\\u00df-\\u00ff]+|[A-Z]+)"), F.lit(1)), F.lower)  # of camel case and what other signs divide
-    known = F.array_intersect(parts, F.array(*map(F.lit, words))) if words else F.array().cast("array<string>")
-    covered = F.aggregate(F.filter(parts, lambda x: F.array_contains(known, x)), F.lit(0), lambda a, x: a + F.length(x))
+    covered = F.aggregate(F.filter(parts, lambda x: x.isin(*words)), F.lit(0), lambda a, x: a + F.length(x)) if words else F.lit(0)
     shape = F.coalesce(*(F.when(v.rlike(f"^(?:{p})$"), 1.0) for k, p in PATTERNS.items() if k != "assignment"), F.lit(0.0))
     values = {
         "f_length": n, "f_changes": changes / n, "f_entropy": entropy, "f_digits": share("[0-9]"), "f_upper": share("[A-Z]"), "f_symbols": share("[A-Za-z0-9]") * -1 + 1,
@@ -105,7 +104,7 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS, words: tuple[st
     b36 = lambda s, n: f"upper(substr(translate(base64(unhex({h(s)})), '+/=', 'QZX'), 1, {n}))"
     b62 = lambda s, n: f"substr(translate(base64(unhex({h(s)})), '+/=', 'aZ3'), 1, {n})"
     pick = lambda s, some: "element_at(array({}), 1 + cast(pmod(xxhash64('{}', id), {}) as int))".format(", ".join(some), s, len(some))
-    word = lambda s: pick(s, [f"'{w}'" for w in plain])
+    word = lambda s: f"element_at(words, 1 + cast(pmod(xxhash64('{s}', id), {len(plain)}) as int))"
     digits = lambda s, n: f"substr(cast(100000 + pmod(xxhash64('{s}', id), 900000) as string), 1, {n})"
     lead = lambda s: f"concat({pick('n' + s, NAMES)}, {pick('s' + s, SIGNS)})"
     assigned = lambda s, *x: f"concat({lead(s)}, {', '.join(x)})"
@@ -125,12 +124,12 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS, words: tuple[st
         assigned("f21", "'{{'", word("d8"), "'.'", word("d9"), "'}}'"), assigned("f22", f"upper({word('d0')})", "'_'", f"upper({word('e1')})"), assigned("f23", word("e2"), "'('", word("e3"), "')'"), assigned("f24", "'v'", digits("e4", 1), "'.'", digits("e5", 2), "'.'", digits("e6", 1), "'-beta'"),
     ]
     nth = lambda some: "element_at(array({}), 1 + cast(pmod(id div 2, {}) as int))".format(", ".join(some), len(some))
-    base = spark.range(rows).selectExpr(
+    base = spark.range(rows).withColumn("words", F.array(*map(F.lit, plain))).selectExpr(
         "cast(id % 2 as double) as label", f"case when id % 2 = 1 then {nth(true)} else {nth(false)} end as match", f"concat({word('q')}, ' ', {word('r')}, ' ') as before",
         f"concat(' ', {word('t')}, case when id % 2 = 0 and pmod(xxhash64('u', id), 3) = 0 then ' for example' else '' end) as after",
         f"case when id % 2 = 0 and pmod(xxhash64('v', id), 3) = 0 then concat('tests/', {word('w')}) else concat('src/', {word('x')}) end as path",
     )
-    return base.withColumn("value", value_of(F.col("match")))
+    return stored(base.withColumn("value", value_of(F.col("match"))), "labelled-findings")  # or each feature would make its row anew
 
 
 class Scanner:
@@ -142,6 +141,7 @@ class Scanner:
 
 def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 11, words: tuple[str, ...] = ()) -> Scanner:
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_features(labelled, words)).select("label", "features")
+    rows = stored(rows, "labelled-features")
     return Scanner(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(rows), words)
 
 
