@@ -18,8 +18,9 @@ is frequent), it gives the corpus order its documents: each string whose group h
 
 Three passes over the texts. The first counts the triggers with the 17 bytes on either side (every equal string shares one of
 the two) over documents, in 4 bytes each, and leaves a filter of fixed size (FILTER_BITS) of those in two documents or more,
-and a smaller one of frequent triggers. The other passes make the dictionary and the parse of the phrases that pass. The
-filters only save work: when they are full, more phrases travel and the result is the same.
+and a smaller one of frequent triggers. The second makes the dictionary of the phrases that pass, and its results another
+filter; the third makes the parse of phrases that pass both. The filters only save work: when they are full, more phrases
+travel and the result is the same.
 
 Defined cases: a null text has no bytes; texts under 50 bytes keep all; texts are read in pieces of CHUNK_BYTES; rows
 without an id are left whole and remove nothing; rows that repeat an id are one document, and each is cut where any of them
@@ -38,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, U64, mix, read
+from .common import GOLDEN, U64, mix, read, stored
 
 DEPTH, K, SIDE = 50, 16, 17
 FILTER_BITS, HOT_BITS, BLOCK = 28, 24, 1 << 17
@@ -172,6 +173,16 @@ def _bits(slots: np.ndarray, kind: bool) -> pa.Table:
     return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("kind", pa.bool_()), ("block", pa.int64()), ("at", pa.int64()), ("bits", pa.binary())))})
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Sorted numbers as the bytes of their steps, all first bytes first: small steps leave planes of zeros, which compress."""
+    return np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _unplaned(raw: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return np.cumsum(steps, dtype=np.uint32)
+
+
 def filters(docs: DataFrame, buckets: int, hot: int = HOT) -> tuple[np.ndarray, np.ndarray]:
     """One bit for each slot of the hash range: of triggers with a side in two documents or more, and of frequent triggers."""
 
@@ -189,7 +200,7 @@ def filters(docs: DataFrame, buckets: int, hot: int = HOT) -> tuple[np.ndarray,
             rows = []
             if sides:
                 x = np.concatenate(sides)
-                rows += [(p, x[at].tobytes()) for p, at in _split((x.astype(U64) * U64(buckets) >> _TOP).astype(np.int64))]
+                rows += [(p, _planes(np.sort(x[at]))) for p, at in _split((x.astype(U64) * U64(buckets) >> _TOP).astype(np.int64))]
                 slot, n = np.unique(np.concatenate(often), return_counts=True)
                 rows += [(-1 - p, np.stack([slot[at], n[at].astype(np.uint32)]).tobytes()) for p, at in _split(slot % min(64, buckets))]
             if rows:
@@ -198,24 +209,43 @@ def filters(docs: DataFrame, buckets: int, hot: int = HOT) -> tuple[np.ndarray,
     def twice(table: pa.Table) -> pa.Table:
         bucket, raws = table.column("bucket")[0].as_py(), table.column("slots").to_pylist()
         if bucket >= 0:
-            x = np.sort(np.frombuffer(b"".join(raws), dtype=np.uint32))
+            x = np.sort(np.concatenate(list(map(_unplaned, raws))))
             return _bits(np.unique(x[1:][x[1:] == x[:-1]] >> (32 - FILTER_BITS)), False)
         parts = [np.frombuffer(r, dtype=np.uint32).reshape(2, -1) for r in raws]
         slot, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         return _bits(slot[np.bincount(back, np.concatenate([p[1] for p in parts])) > hot], True)
 
+    told = docs.mapInArrow(tell, "bucket bigint, slots binary").groupBy("bucket").applyInArrow(twice, _BITS)
+    return tuple(_gathered(told, (FILTER_BITS, HOT_BITS)))
+
+
+_BITS = "kind boolean, block bigint, at bigint, bits binary"
+
+
+def _gathered(told: DataFrame, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """The bits of all parts, of one or two kinds, put together block by block: at most as many rows as the filters have blocks."""
+
     def merged(table: pa.Table) -> pa.Table:
         block = np.zeros(BLOCK, dtype=np.uint8)
         for at, bits in zip(table.column("at").to_pylist(), table.column("bits").to_pylist(), strict=True):
             block[at % BLOCK : at % BLOCK + len(bits)] |= np.frombuffer(bits, dtype=np.uint8)
         return pa.table({"kind": table.column("kind").slice(0, 1), "block": table.column("block").slice(0, 1), "bits": pa.array([block.tobytes()], pa.binary())})
 
-    told = docs.mapInArrow(tell, "bucket bigint, slots binary").groupBy("bucket").applyInArrow(twice, "kind boolean, block bigint, at bigint, bits binary")
-    blocks = told.groupBy("kind", "block").applyInArrow(merged, "kind boolean, block bigint, bits binary")
-    out = [np.zeros(max(BLOCK, 1 << (n - 3)), dtype=np.uint8) for n in (FILTER_BITS, HOT_BITS)]
-    for r in blocks.collect():  # 272 rows at most
+    out = [np.zeros(max(BLOCK, 1 << (n - 3)), dtype=np.uint8) for n in sizes]
+    for r in told.groupBy("kind", "block").applyInArrow(merged, "kind boolean, block bigint, bits binary").collect():
         out[r.kind][r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
-    return out[0], out[1]
+    return out
+
+
+def marked_phrases(runs: DataFrame, buckets: int) -> np.ndarray:
+    """A filter of FILTER_BITS of the phrases that have a run."""
+
+    def bits(table: pa.Table) -> pa.Table:
+        d1 = table.column("d1").to_numpy().view(U64)
+        return _bits(np.unique(d1 >> U64(64 - FILTER_BITS)).astype(np.uint32), False)
+
+    part = F.shiftrightunsigned(F.shiftrightunsigned("d1", 32) * buckets, 32)
+    return _gathered(runs.select("d1").withColumn("part", part).groupBy("part").applyInArrow(bits, _BITS), (FILTER_BITS,))[0]
 
 
 class Known:
@@ -374,15 +404,17 @@ def repeated_runs(entries: DataFrame, buckets: int, depth: int = DEPTH) -> DataF
     return entries.groupBy("bucket").applyInArrow(compare, RUNS)
 
 
-def parse(docs: DataFrame, seen: Broadcast, depth: int = DEPTH) -> DataFrame:
-    """doc_id, start, d1, d2: the documents as phrases, those that pass the filter."""
+def parse(docs: DataFrame, seen: Broadcast, marked: Broadcast, depth: int = DEPTH) -> DataFrame:
+    """doc_id, start, d1, d2: the documents as phrases, those that pass both filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(seen.value)
+        known, runs = Known(seen.value), np.frombuffer(marked.value, dtype=np.uint8)
         for batch in batches:
             for ids, place, buf, ends in _chunks(batch):
                 p = known.passing(phrases(buf, ends))
                 d1, d2 = p.digests(depth)
+                ok = _has(runs, (d1 >> U64(64 - FILTER_BITS)).astype(np.int64))
+                p, d1, d2 = p.pick(ok), d1[ok], d2[ok]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[p.piece]), pa.array(p.start - ends[p.piece] + place[p.piece]), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], names=["doc_id", "start", "d1", "d2"])
 
     return docs.mapInArrow(run, "doc_id bigint, start bigint, d1 bigint, d2 bigint")
@@ -392,11 +424,12 @@ def repeated_spans(docs: DataFrame, buckets: int, depth: int = DEPTH, hot: int =
     """doc_id, spans array<bigint> (start << 32 | end, unordered) of the strings that start in a smaller document too."""
     repeated, frequent = filters(docs, buckets, hot)
     seen = docs.sparkSession.sparkContext.broadcast((repeated.tobytes(), frequent.tobytes()))  # 34 MB at any size of input
-    runs = repeated_runs(dictionary(docs, seen, buckets, depth), buckets, depth)
-    marked = parse(docs, seen, depth).join(runs, ["d1", "d2"]).filter("least < doc_id")
+    runs = stored(repeated_runs(dictionary(docs, seen, buckets, depth), buckets, depth), "runs")
+    marked = docs.sparkSession.sparkContext.broadcast(marked_phrases(runs, buckets).tobytes())
+    found = parse(docs, seen, marked, depth).join(runs, ["d1", "d2"]).filter("least < doc_id")
     first = F.col("start") + F.col("first")
     span = F.shiftleft(first, 32).bitwiseOR(first + F.col("n") + (depth - 1))
-    return marked.groupBy("doc_id").agg(F.collect_list(span).alias("spans"))
+    return found.groupBy("doc_id").agg(F.collect_list(span).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
