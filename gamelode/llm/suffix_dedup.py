@@ -45,7 +45,7 @@ DEPTH, K, SIDE = 50, 16, 17
 FILTER_BITS, HOT_BITS, BLOCK = 28, 24, 1 << 17
 HOT = 50_000  #: a trigger counted so often is frequent
 BUCKET_BYTES = 3_000_000  #: bytes of text for each part of the dictionary
-CHUNK_BYTES, TOGETHER_BYTES = 2_000_000, 16_000_000  #: bytes of text, and of phrases, handled at a time
+CHUNK_BYTES, TOGETHER_BYTES = 500_000, 8_000_000  #: bytes of text, and of phrases, handled at a time
 _PLACE = U64((1 << 28) - 1)
 _TOP = U64(32)
 
@@ -302,17 +302,18 @@ def dictionary(docs: DataFrame, seen: Broadcast, buckets: int, depth: int = DEPT
         one = np.flatnonzero(often)
         if not len(one):
             return
-        g = words_at(np.concatenate([text, np.zeros(8, dtype=np.uint8)]), len(text))
         for first in range(0, len(one), 10_000):  # some 200,000 strings at a time
             some = one[first : first + 10_000]
+            own = _bytes_of(text, begin[some], size[some])
+            g = words_at(np.concatenate([own, np.zeros(8, dtype=np.uint8)]), len(own))
             of = np.repeat(some, count[some])
             inner = np.arange(len(of)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
-            start = begin[of] + inner
+            start = np.repeat(np.cumsum(size[some]) - size[some], count[some]) + inner
             h = np.zeros(len(of), dtype=U64)
             for j in [*range(0, depth - 7, 8), depth - 8]:
                 h = mix(h * GOLDEN + g[start + j])
             of_bucket = _split(buckets + ((h >> _TOP) * U64(buckets) >> _TOP).astype(np.int64))
-            yield rows_of([(b, low[of[k]], above[of[k]], inner[k].astype(np.uint8), d1[of[k]], d2[of[k]], _bytes_of(text, start[k], np.full(len(k), depth))) for b, k in of_bucket])
+            yield rows_of([(b, low[of[k]], above[of[k]], inner[k].astype(np.uint8), d1[of[k]], d2[of[k]], _bytes_of(own, start[k], np.full(len(k), depth))) for b, k in of_bucket])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(seen.value)
