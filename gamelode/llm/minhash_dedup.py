@@ -42,7 +42,7 @@ log = logging.getLogger(__name__)
 REGISTERS, BANDS = 128, 32
 RARE, LARGE = 64, 64  #: see _could_link
 CHUNK, TOGETHER = 60_000, 1_000_000  #: shingles handled at a time
-MAP_WORDS = 16  #: a set's map has 64 bits in each
+MAP_WORDS = 4  #: a set's map has 64 bits in each
 MAP = tuple(f"m{k}" for k in range(MAP_WORDS))
 
 
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             break
         if left <= many * n_classes + 1000 or left > 0.9 * tried:
             # every pair that shares a bucket and no component yet, each once
-            rest = stored(held.join(mixed.select("bucket"), "bucket").join(sets.drop("elements"), "node").select("bucket", "node", "c", "size", "cap", "n_el", *MAP), "rest")
+            rest = held.join(mixed.select("bucket"), "bucket").join(sets.drop("elements"), "node").select("bucket", "node", "c", "size", "cap", "n_el", *MAP)
             one, other = (rest.select("bucket", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("c", "size", "cap", "n_el", *MAP))) for x in ("a", "b"))
             pairs = one.join(other, "bucket").filter("c_a != c_b and a > b and size_a <= cap_b and size_b <= cap_a").filter(could_be_alike(percent)).select("a", "b").distinct()
             components = _joined(components, confirmed(pairs, sets, percent))
