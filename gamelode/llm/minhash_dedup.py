@@ -42,7 +42,7 @@ log = logging.getLogger(__name__)
 REGISTERS, BANDS = 128, 32
 RARE, LARGE = 64, 64  #: see _could_link
 CHUNK, TOGETHER = 60_000, 1_000_000  #: shingles handled at a time
-MAP_WORDS = 4  #: a set's map has 64 bits in each
+MAP_WORDS = 8  #: a set's map has 64 bits in each
 MAP = tuple(f"m{k}" for k in range(MAP_WORDS))
 
 
