@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, html_extraction, language_id, line_dedup, lm_scoring, minhash_dedup, prefix_trie, secret_scan, sentencepiece_codec, source_audit, suffix_dedup
+from . import decontamination, exact_dedup, html_extraction, language_id, line_dedup, lm_scoring, minhash_dedup, prefix_trie, quality_rules, secret_scan, sentencepiece_codec, source_audit, suffix_dedup
 
 
 def queries() -> dict:
@@ -11,7 +11,7 @@ def queries() -> dict:
         for f in (
             sentencepiece_codec.op1_sentencepiece, html_extraction.op2_html_extraction, secret_scan.op3_secret_scan, exact_dedup.op4_exact_dedup, minhash_dedup.op5_minhash_dedup,
             lm_scoring.op6_lm_scoring, language_id.op7_language_id, line_dedup.op8_line_dedup, suffix_dedup.op9_suffix_dedup, decontamination.op10_decontamination,
-            prefix_trie.op11_prefix_trie, source_audit.op12_source_audit,
+            prefix_trie.op11_prefix_trie, source_audit.op12_source_audit, quality_rules.op13_quality_rules,
         )
     }
 
