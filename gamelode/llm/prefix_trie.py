@@ -15,8 +15,8 @@ A task holds TURNS_IN_TASK turns (a key and a few numbers for each), besides one
 longest conversation.
 
 Defined cases: rows without conv_id belong to no conversation and are left out; a null role or text counts as ''; null
-turns come first and repeated turns in the order of their ids; rows that repeat a turn are turns of their own; a
-conversation without turns ends in the root; an empty table gives no rows; other columns are ignored.
+turns come first and repeated turns in the order of their ids; rows that repeat a turn are turns of their own; % has the
+sign of its first operand; a conversation without turns ends in the root; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -173,6 +173,8 @@ class Field:
     def decode(self, lines: Lines) -> np.ndarray:
         """The best labelling of each text's lines; of equally good ones, that with content."""
         e = self.for_content(lines.features).tolist()
+        if not e:
+            return np.zeros(0, dtype=bool)
         (m00, m01), (m10, m11) = self.moves.tolist()
         s0, s1 = self.start.tolist()
         back, starts, of = [], [], lines.text.tolist()
