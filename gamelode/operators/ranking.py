@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gamelode.sources.scratch import stored
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     return topk_per_group(df, keys, order, 1).drop("rank")
@@ -67,7 +69,7 @@ def mmr_select(cands: DataFrame, query: str, rank: str, query_vec: str, vec: str
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", query_vec: str = "query_vec", key: str = "vec_id", vec: str = "embedding", block: int = 2000, apart: bool = False) -> DataFrame:
     """Cosine of every query with every vector, k best of each: query_id, key, score, rank. Queries go to the tasks in
-    blocks of a fixed number; each batch of vectors is one matrix product and keeps its k best before the final ranking.
+    blocks of a fixed number, one after the other: what a block leaves is written before the next is read. Each batch of vectors is one matrix product and keeps its k best before the final ranking.
     apart: the row with the query's id, and rows with its very vector, do not take part."""
     names = f"{query_id} bigint, {key} bigint, score double"
     blocks = queries.select(query_id, query_vec).filter(F.col(query_vec).isNotNull())
@@ -102,6 +104,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "q
                 yield pd.DataFrame({query_id: ids[rows], key: pdf[key].to_numpy()[cols], "score": s[rows, cols]})
 
         got = corpus.select(key, vec).filter(F.col(vec).isNotNull()).mapInPandas(score, names)
+        got = got if n == 1 else stored(got, "nearest")
         parts = got if parts is None else parts.union(got)
     rounded = parts.withColumn("score", F.round("score", 9))
     return topk_per_group(rounded, [query_id], [F.desc("score"), F.col(key)], k)

@@ -1,13 +1,10 @@
-"""Catalogue filters, and search for many constraints at once with fallback levels."""
+"""Catalogue filters and constraint rows. The search for many constraints at once is in bitmaps.py."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gamelode.operators.ranking import rank_rows
-from gamelode.sources.scratch import stored
-
 # Categories that stand for two players or more.
 TOGETHER = ("Multi-player", "Co-op", "Online Co-op", "Online Multi-Player", "Local Co-op", "Shared/Split Screen", "Cross-Platform Multiplayer")
 TERM_FIELDS = ("genres", "categories", "platforms", "exclude_genres", "exclude_categories", "exclude_platforms")
@@ -87,41 +84,6 @@ def constraint_rows(scalars: DataFrame, terms: DataFrame) -> DataFrame:
     return wide.withColumns({f: F.when(F.size(f) > 0, F.col(f)) for f in TERM_FIELDS})
 
 
-def matches() -> Column:
-    """Whether an app (of catalog_join) meets a constraint row: all of F05 to F11 as one condition."""
-    each = lambda terms, test: F.coalesce(F.forall(terms, test), F.lit(True))
-    none = lambda terms, test: F.coalesce(~F.exists(terms, test), F.lit(True))
-    low = F.lower("english_categories")
-    return (
-        (F.col("required_age").isNull() | (F.col("required_age") < 18))
-        & price_ok(F.col("max_price_usd"), F.col("free_only"))
-        & each("genres_wanted", lambda g: F.exists("match_genres", lambda m: F.contains(F.lower(m), F.lower(g))))
-        & each("categories", lambda c: F.contains(low, F.lower(c)))
-        & each("platforms", lambda p: F.array_contains(platforms_of(), p))
-        & (F.coalesce(F.col("min_players") < 2, F.lit(True)) | plays_together())
-        & none("exclude_genres", lambda g: F.array_contains("genres", g))
-        & none("exclude_categories", lambda c: F.contains(F.col("english_categories"), c))
-        & none("exclude_platforms", lambda p: F.array_contains(platforms_of(), p))
-    )
-
-
-BROADCAST_BYTES = 32_000_000
-
-
-def constraint_match(constraints: DataFrame, catalogue: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """All pairs of a constraint and an app that meets it. Constraints are a stated query set: they go to every task in blocks
-    of broadcast_bytes (measured as text), and each block is one pass over the catalogue."""
-    wanted = constraints.withColumnRenamed("genres", "genres_wanted")
-    size = wanted.agg(F.sum(F.length(F.to_json(F.struct(*wanted.columns))))).first()[0] or 0
-    blocks = max(1, -(-size // broadcast_bytes))
-    out = None
-    for b in range(blocks):
-        some = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        got = catalogue.join(F.broadcast(some), matches())
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
 POPULAR = ("metacritic_score", "recommendations_total")
 
 
@@ -129,28 +91,6 @@ def popularity_order() -> list[Column]:
     return [F.desc_nulls_last("metacritic_score"), F.desc_nulls_last("recommendations_total"), F.col("appid")]
 
 
-def top_by_popularity(matched: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(*popularity_order())
-    return matched.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def fallback_levels(constraints: DataFrame, catalogue: DataFrame, k: int) -> DataFrame:
-    """Levels of falling strictness, one after the other, each for the constraints that have no result yet; what none of them
-    answers gets the k most popular games that all may see, which are found once."""
-    no_list, no_int = F.lit(None).cast("array<string>"), F.lit(None).cast("int")
-    keep = {"strict": set(TERM_FIELDS) | {"min_players"}, "relaxed": {"genres", "categories"}, "minimal": set()}
-    columns = ["query_id", "level", "rank", *catalogue.columns]
-    pending, out = constraints, None
-    for level, have in keep.items():
-        loose = pending.withColumns({f: F.col(f) if f in have else no_list for f in TERM_FIELDS} | {"min_players": F.col("min_players").cast("int") if "min_players" in have else no_int})
-        found = stored(top_by_popularity(constraint_match(loose, catalogue), k).withColumn("level", F.lit(level)).select(*columns), level)
-        out = found if out is None else out.unionByName(found)
-        pending = pending.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    best = adult_filter(catalogue).orderBy(*popularity_order()).limit(k)
-    best = rank_rows(best.withColumn("_one", F.lit(1)), ["_one"], popularity_order()).drop("_one").withColumn("level", F.lit("popular"))  # k rows
-    return out.unionByName(pending.select("query_id").crossJoin(F.broadcast(best)).select(*columns))
-
-
 def normalize_constraint(c: DataFrame) -> DataFrame:
     """Empty lists and texts become null; a maximum price of 0 means free only."""
     lists = {f: F.when(F.size(f) > 0, F.col(f)) for f in TERM_FIELDS if f in c.columns}

@@ -136,7 +136,7 @@ def _(t):
 
 @R.add("t02_preference_topk", f"with p as (with {PREF}) select user_id, appid, score, rank from (select *, row_number() over (partition by user_id order by score desc, appid) as rank from p) where rank <= 20", "interactions")
 def _(t):
-    return B.preference_scores(t("interactions"), _games(t), 20).select("user_id", "appid", "score", F.col("rank").cast("bigint").alias("rank"))
+    return B.best_games(t("interactions"), _games(t), 20).best.select("user_id", "appid", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @R.add("t08_recent_context", """with recent as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) - 1 as place from interactions)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gamelode.operators import funnel as W
 from gamelode.operators import ranking as K
 from gamelode.operators import retrieval as V
 from gamelode.operators import search as S
+from gamelode.operators.postings import PostingsIndex
+from gamelode.plans import search_queries as Q
 from gamelode.plans.bindings import Registry
+from gamelode.sources.scratch import stored
 
 R = Registry()
 PAT = "'[가-힣]+|[a-zA-Z]+|[0-9]+'"
@@ -17,17 +21,18 @@ raw as (select term, ln(n - df + 0.5) - ln(df + 0.5) as idf from df, st), idf as
 q as (select item_id as query_id, term, count(*) as qf from (select item_id, unnest(regexp_extract_all(text, {PAT})) as term from benchmark) group by 1, 2),
 bm as (select query_id, p.doc_id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / av))), 6) as score from q join idf using (term) join post p using (term) join len on len.doc_id = p.doc_id, st group by 1, 2),
 bmr as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from bm) where rank <= 200)"""
+DEEP = BM25.replace("rank <= 200", "rank <= 1000")
 
 
 def _bm25(t, k=200):
     q = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return V.bm25_search(q, V.bm25_index(t("documents")), k)
+    return PostingsIndex(q.sparkSession).add(t("documents")).search(q, k).hits
 
 
 @R.add("r01_bm25_index", f"with {BM25} select term, df, round(idf, 6) as idf from idf join df using (term)")
 def _(t):
-    index = V.bm25_index(t("documents"))
-    return V.bm25_idf(index).join(index.terms, "term").select("term", "df", F.round("idf", 6).alias("idf"))
+    d = t("documents")
+    return PostingsIndex(d.sparkSession).add(d).idf().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @R.add("r02_bm25_search", f"with {BM25} select query_id, doc_id, rank from bmr where rank <= 10")
@@ -62,11 +67,11 @@ def _(t):
     return _dense(t, 10).select("query_id", "vec_id", F.round(V.cosine_to_unit(F.col("score")), 6).alias("unit"))
 
 
-def _second(t):
+def _second(t, depth=200):
     """A second ranking of the same documents: by length of the text within the first one's candidates."""
-    bm = _bm25(t)
+    bm = stored(_bm25(t, depth), "ranking")
     d = bm.select("query_id", "doc_id").join(t("documents").select("doc_id", "n_chars"), "doc_id")
-    return bm, K.topk_per_group(d, ["query_id"], ["n_chars", "doc_id"], 200)
+    return bm, K.topk_per_group(d, ["query_id"], ["n_chars", "doc_id"], depth)
 
 
 SECOND = "sec as (select query_id, doc_id, row_number() over (partition by query_id order by n_chars, doc_id) as rank from bmr join documents using (doc_id))"
@@ -77,7 +82,7 @@ def _(t):
     return V.rrf(list(_second(t))).select("query_id", "doc_id", F.round("score", 9).alias("score"))
 
 
-@R.add("r06_hybrid_pop", f"""with {BM25}, {SECOND}, u as (select query_id, doc_id, 1.0 / (59 + rank) as s from bmr union all select query_id, doc_id, 1.0 / (59 + rank) from sec),
+@R.add("r06_hybrid_pop", f"""with {DEEP}, {SECOND}, u as (select query_id, doc_id, 1.0 / (59 + rank) as s from bmr union all select query_id, doc_id, 1.0 / (59 + rank) from sec),
 f as (select query_id, u.doc_id, sum(s) as score, ln(1 + any_value(doc_id % 97)) as pop from u group by 1, 2),
 a as (select *, round((score - min(score) over w) / (max(score) over w - min(score) over w + 1e-9) + 0.6 * (pop - min(pop) over w) / (max(pop) over w - min(pop) over w + 1e-9), 9) as first from f window w as (partition by query_id)),
 b as (select * from (select *, row_number() over (partition by query_id order by first desc, doc_id) as n from a) where n <= 40),
@@ -85,7 +90,7 @@ c as (select *, round((score - min(score) over w) / (max(score) over w - min(sco
 select query_id, doc_id, rank from (select *, row_number() over (partition by query_id order by final desc, doc_id) as rank from c) where rank <= 5""")
 def _(t):
     pop = t("documents").select("doc_id", (F.col("doc_id") % 97).alias("popularity"))
-    return V.hybrid_pop(list(_second(t)), pop, 5).select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"))
+    return V.hybrid_pop(list(_second(t, 1000)), pop, 5).select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @R.add("r13_retrieval_metrics", f"with {BM25}, g as (select b.item_id as query_id, min(d.doc_id) as gold_doc from benchmark b join documents d on position(b.text in d.text) > 0 group by 1), h as (select g.query_id, r.rank from g left join bmr r on r.query_id = g.query_id and r.doc_id = g.gold_doc) select count(*) as queries, round(avg(coalesce((rank <= 1)::int, 0)), 6) as r1, round(avg(coalesce((rank <= 5)::int, 0)), 6) as r5, round(avg(coalesce((rank <= 10)::int, 0)), 6) as r10, round(avg(coalesce(1.0 / rank, 0)), 6) as mrr from h")
@@ -192,22 +197,66 @@ def _(t):
     return parts[0].unionByName(parts[1]).select("variant", "queries", F.round("mrr", 6).alias("mrr"))
 
 
-@R.add("r16_vector_then_filter", f"with {DENSE} select query_id, vec_id, rank from de join apps a on a.appid = vec_id where (required_age is null or required_age < 18) and (is_free or price_cents <= 95000) and rank <= 200", "apps")
+BOUND = "(required_age is null or required_age < 18) and (is_free or price_cents <= 95000) and (query_id % 200 <> 0 or linux)"
+
+
+def _bounded(t):
+    """Queries by vector, each with a constraint: a maximum price, and for every second one a platform."""
+    e = t("embeddings")
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    terms = {f: F.lit(None).cast("array<string>") for f in S.TERM_FIELDS} | {"platforms": F.when(F.col("query_id") % 200 == 0, F.array(F.lit("linux")))}
+    c = q.select("query_id", F.lit(950.0).alias("max_price_usd"), F.lit(None).cast("boolean").alias("free_only"), F.lit(None).cast("int").alias("min_players")).withColumns(terms)
+    return q, e, c, S.catalog_join(t("apps"), t("app_genres"), t("genres"))
+
+
+@R.add("r16_vector_then_filter", f"with {DENSE.replace('rank <= 200', 'rank <= 500')} select query_id, vec_id, rank from de join apps a on a.appid = vec_id where {BOUND}", "apps")
 def _(t):
-    ok = S.price_filter(S.adult_filter(t("apps")), 950.0).select(F.col("appid").alias("vec_id"))
-    return _dense(t, 200).join(ok, "vec_id", "left_semi").select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"))
+    return W.vector_then_filter(*_bounded(t)).select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@R.add("r19_recommend")
+@R.add("r16_filter_then_vector", f"with {DENSE}, ok as (select query_id, vec_id, row_number() over (partition by query_id order by score desc, vec_id) as rank from sc join apps a on a.appid = vec_id where {BOUND}) select query_id, vec_id, rank from ok where rank <= 100", "apps")
 def _(t):
-    """The whole funnel: constraints, exclusions, semantic order, review order, diversity, quota, final ranks."""
+    return W.filter_then_vector(*_bounded(t), 100).select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+def _recommended(t, diversity: bool) -> W.Funnel:
     cat = S.catalog_join(t("apps"), t("app_genres"), t("genres")).filter("type = 'game'")
-    e = t("embeddings")
-    hit = S.top_by_popularity(S.constraint_match(S.constraint_rows(t("constraint_scalars"), t("constraint_terms")), cat), 200)
-    hit = hit.select("query_id", F.col("appid").alias("doc_id"), F.coalesce(F.get("genres", 0), F.lit("Unknown")).alias("genre"))
-    vec, q = e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    s = hit.join(vec, "doc_id").join(q, "query_id").withColumn("score", F.round(V.dot("vec", "query_vec"), 6))
-    top = K.topk_per_group(s, ["query_id"], [F.desc("score"), F.col("doc_id")], 50)
-    mmr = K.mmr_select(top, "query_id", "rank", "query_vec", "vec", 20)
-    few = K.bucket_quota(mmr, "query_id", "genre", "mmr_rank", 5)
-    return K.rank_rows(few.drop("rank"), ["query_id"], ["mmr_rank"]).select("query_id", "doc_id", "genre", "score", "rank")
+    e, told = t("embeddings"), t("part").select((F.col("p_partkey") % 25).alias("query_id"), F.col("p_partkey").alias("doc_id"), F.col("p_size").cast("bigint").alias("place"))
+    q, v = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    reviews = _review_vectors(t).select(F.col("appid").alias("a"), F.col("vec").alias("review_vec"))
+    reviews = e.select(F.col("vec_id").alias("doc_id"), (F.col("vec_id") % 12).alias("a")).join(reviews, "a").drop("a")
+    scorer = lambda pairs: pairs.withColumn("score", (F.col("doc_id") * 7 % 101).cast("double"))
+    return W.recommend(S.constraint_rows(t("constraint_scalars"), t("constraint_terms")), cat, q, v, told, scorer, reviews, diversity=diversity)
+
+
+FUNNEL = f"""{Q.LISTS}, {Q.WANTED}, {REVIEW_VEC},
+c0 as (select * from (select w.query_id, w.xc, a.*, row_number() over (partition by w.query_id order by {Q.ORDER}) as place from wanted w join catalogue a on a.type = 'game' and {Q._condition('on', 'on', 'open')}) where place <= 200),
+c1 as (select query_id, appid as doc_id, coalesce(genres[1], 'Unknown') as genre, place from c0 where xc is null or len(list_filter(xc, lambda x : contains(english_categories, x))) = 0),
+s2 as (select c1.query_id, doc_id, genre, round(list_inner_product(e.embedding::double[], q.embedding::double[]), 6) as score from c1 join embeddings e on e.vec_id = doc_id join embeddings q on q.vec_id = query_id),
+c2 as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s2) where rank <= 50),
+s3 as (select *, count(*) over (partition by query_id) as n from c2),
+c3 as (select query_id, doc_id, genre, pos as rank from (select *, row_number() over (partition by query_id order by case when n > 30 then -(doc_id * 7 % 101) else 0 end, rank) as pos from s3) where pos <= 30),
+s4 as (select *, round(coalesce((select sum(rv.v * q.v) from rv join emb_long q on q.idx = rv.idx where rv.appid = doc_id % 12 and q.vec_id = query_id), 0), 6) as near from c3),
+c4 as (select query_id, doc_id, genre, pos as rank from (select *, row_number() over (partition by query_id order by near desc, rank) as pos from s4) where pos <= 30),
+s5 as (select *, count(*) over (partition by query_id) as n, row_number() over (partition by query_id, genre order by rank) as b from c4),
+c5 as (select * from (select *, row_number() over (partition by query_id order by rank) as pos from s5 where n <= 5 or b <= 2) where n <= 5 or pos <= 5),
+s6 as (select c5.query_id, doc_id, genre, p_partkey is not null as is_told, case when p_partkey is not null then p_size else rank end as spot from c5 left join part on p_partkey = doc_id and p_partkey % 25 = c5.query_id),
+c6 as (select * from (select query_id, doc_id, genre, is_told, row_number() over (partition by query_id order by is_told desc, spot, doc_id) as rank from s6) where rank <= 5)"""
+STAGES = (("candidates", "c0"), ("not_excluded", "c1"), ("semantic", "c2"), ("pairs", "c3"), ("reviews", "c4"), ("quota", "c5"), ("grounded", "c6"))
+NEEDED = "apps genres constraint_scalars constraint_terms emb_long"
+
+
+@R.add("r19_without_diversity", f"with {FUNNEL} select * from c6", NEEDED)
+def _(t):
+    return _recommended(t, False).rows.select("query_id", "doc_id", "genre", "is_told", F.col("rank").cast("bigint").alias("rank"))
+
+
+@R.add("r19_stage_counts", f"with {FUNNEL} " + " union all ".join(f"select {k}::integer as stage, '{name}' as name, count(*) as n_rows from {c}" for k, (name, c) in enumerate(STAGES, 1)), NEEDED)
+def _(t):
+    return _recommended(t, False).counts().select("stage", "name", "n_rows")
+
+
+@R.add("r19_recommend")
+def _(t):
+    """The whole funnel, greedy diversity included."""
+    return _recommended(t, True).rows.select("query_id", "doc_id", "genre", "is_told", "rank")

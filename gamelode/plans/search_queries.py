@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gamelode.functions import notes as N
+from gamelode.operators import bitmaps as M
 from gamelode.operators import ranking as K
 from gamelode.operators import search as S
 from gamelode.plans.bindings import Registry
@@ -96,8 +97,9 @@ def _condition(price="true", genres="true", rest="true"):
     price_sql = "case when w.max_price_usd is not null then a.is_free or coalesce(a.price_cents <= cast(w.max_price_usd * 100 as bigint), false) when coalesce(w.free_only, false) then a.is_free else true end"
     genre_sql = "(w.g is null or len(list_filter(w.g, lambda x : len(list_filter(a.match_genres, lambda m : contains(lower(m), lower(x)))) = 0)) = 0)"
     cat_sql = "(w.c is null or len(list_filter(w.c, lambda x : not contains(lower(a.english_categories), lower(x)))) = 0)"
-    rest_sql = f"(w.p is null or len(list_filter(w.p, lambda x : not ((x = 'linux' and a.linux) or (x = 'mac' and a.mac) or x = 'windows'))) = 0) and (coalesce(w.min_players, 0) < 2 or {TOGETHER}) and (w.xc is null or len(list_filter(w.xc, lambda x : contains(a.english_categories, x))) = 0)"
-    return " and ".join(["(a.required_age is null or a.required_age < 18)", price_sql if price == "on" else "true", f"{genre_sql} and {cat_sql}" if genres == "on" else "true", rest_sql if rest == "on" else "true"])
+    open_sql = f"(w.p is null or len(list_filter(w.p, lambda x : not ((x = 'linux' and a.linux) or (x = 'mac' and a.mac) or x = 'windows'))) = 0) and (coalesce(w.min_players, 0) < 2 or {TOGETHER})"
+    rest_sql = open_sql + " and (w.xc is null or len(list_filter(w.xc, lambda x : contains(a.english_categories, x))) = 0)"
+    return " and ".join(["(a.required_age is null or a.required_age < 18)", price_sql if price == "on" else "true", f"{genre_sql} and {cat_sql}" if genres == "on" else "true", {"on": rest_sql, "open": open_sql}.get(rest, "true")])
 
 
 MATCHED = f"matched as (select w.query_id, a.* from wanted w join catalogue a on {_condition('on', 'on', 'on')})"
@@ -114,7 +116,7 @@ def _catalogue(t):
 
 @R.add("j08_constraint_match", f"with {LISTS}, {WANTED}, {MATCHED} select query_id, appid from matched", "apps genres constraint_scalars constraint_terms")
 def _(t):
-    return S.constraint_match(_constraints(t), _catalogue(t)).select("query_id", "appid")
+    return M.constraint_match(_constraints(t), _catalogue(t)).select("query_id", "appid")
 
 
 @R.add("constraint_topk", f"""with {LISTS}, {WANTED}, {MATCHED},
@@ -124,7 +126,7 @@ cut as (select *, row_number() over (partition by query_id order by rank) as pos
 select query_id, pos as rank, appid, name, coalesce(genres[1], 'Unknown') as genre, case when is_free then 0.0 else price_cents / 100.0 end as price from cut where n <= 10 or pos <= 10""", "apps genres constraint_scalars constraint_terms")
 def _(t):
     games = _catalogue(t).filter("type = 'game'")
-    top = S.top_by_popularity(S.constraint_match(_constraints(t), games), 50).withColumn("genre", F.coalesce(F.get("genres", 0), F.lit("Unknown")))
+    top = M.constraint_match(_constraints(t), games, 50).withColumn("genre", F.coalesce(F.get("genres", 0), F.lit("Unknown")))
     few = K.bucket_quota(top, "query_id", "genre", "rank", 10)
     price = F.when(F.col("is_free"), 0.0).otherwise(F.col("price_cents") / 100.0)
     return K.rank_rows(few.withColumnRenamed("rank", "_r"), ["query_id"], ["_r"]).select("query_id", F.col("rank").cast("bigint").alias("rank"), "appid", "name", "genre", price.alias("price"))
@@ -135,7 +137,7 @@ select c.query_id, c.appid, c.rank from cands c join matched m on m.query_id = c
 def _(t):
     p = t("part").select(F.col("p_partkey").alias("appid"), "p_retailprice", (F.col("p_partkey") % 7).alias("m"))
     cands = K.rank_rows(t("constraint_scalars").select("query_id", (F.col("query_id") % 7).alias("m")).join(p, "m"), ["query_id"], ["p_retailprice", "appid"])
-    hit = S.constraint_match(_constraints(t), _catalogue(t)).select("query_id", "appid")
+    hit = M.constraint_match(_constraints(t), _catalogue(t)).select("query_id", "appid")
     return cands.join(hit, ["query_id", "appid"]).select("query_id", "appid", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -146,20 +148,22 @@ best as (select query_id, min(level) as level from hits group by 1),
 ranked as (select h.query_id, h.level, h.appid, row_number() over (partition by h.query_id order by {ORDER}) as rank from hits h join best b on b.query_id = h.query_id and b.level = h.level)
 select query_id, ['strict', 'relaxed', 'minimal', 'popular'][level + 1] as level, rank, appid from ranked where rank <= 5""", "apps genres constraint_scalars constraint_terms")
 def _(t):
-    out = S.fallback_levels(_constraints(t), _catalogue(t), 5)
+    out = M.fallback_levels(_constraints(t), _catalogue(t), 5)
     return out.select("query_id", "level", F.col("rank").cast("bigint").alias("rank"), "appid")
 
 
-@R.add("r18_relax_once", f"""with {LISTS}, {WANTED}, {MATCHED}, none as (select query_id from wanted where query_id not in (select query_id from matched)),
-again as (select w.query_id, a.* from wanted w join none n on n.query_id = w.query_id join catalogue a on {_condition('on', 'on')})
-select query_id, 'all' as used, count(*) as n from matched group by 1 union all select query_id, 'relaxed', count(*) from again group by 1""", "apps genres constraint_scalars constraint_terms")
+HAS = {"min_players": "w.min_players >= 2", "platforms": "w.p is not null", "exclude_categories": "w.xc is not null", "categories": "w.c is not null", "genres": "w.g is not null", "price": "w.max_price_usd is not null or w.free_only"}
+DROPPED = "case " + " ".join(f"when {HAS[f]} then '{f}'" for f in M.RELAX_ORDER if f in HAS) + " end"
+LESS = {"min_players": "min_players", "platforms": "p", "exclude_categories": "xc", "categories": "c", "genres": "g"}
+
+
+@R.add("r18_relax_once", f"""with {LISTS}, {WANTED}, {MATCHED}, none as (select w.*, {DROPPED} as dropped from wanted w where query_id not in (select query_id from matched)),
+less as (select query_id, dropped, case when dropped <> 'price' then max_price_usd end as max_price_usd, case when dropped <> 'price' then free_only end as free_only, {', '.join(f"case when dropped <> '{f}' then {c} end as {c}" for f, c in LESS.items())} from none),
+again as (select w.query_id, w.dropped, a.* from less w join catalogue a on {_condition('on', 'on', 'on')})
+select query_id, 'all' as used, count(*) as n, min(appid) as least from matched group by 1 union all select query_id, dropped, count(*), min(appid) from again group by 1, 2""", "apps genres constraint_scalars constraint_terms")
 def _(t):
-    c, cat = _constraints(t), _catalogue(t)
-    hit = S.constraint_match(c, cat).groupBy("query_id").agg(F.count("*").alias("n"))
-    rest = c.join(hit, "query_id", "left_anti")
-    rest = rest.withColumns({f: F.lit(None).cast("array<string>") for f in ("platforms", "exclude_genres", "exclude_categories", "exclude_platforms")} | {"min_players": F.lit(None).cast("int")})
-    again = S.constraint_match(rest, cat).groupBy("query_id").agg(F.count("*").alias("n"))
-    return hit.select("query_id", F.lit("all").alias("used"), "n").unionByName(again.select("query_id", F.lit("relaxed").alias("used"), "n"))
+    out = M.relax_once(_constraints(t), _catalogue(t))
+    return out.groupBy("query_id", "used").agg(F.count("*").alias("n"), F.min("appid").alias("least"))
 
 
 @R.add("w04_order_nulls_last", f"select appid, metacritic_score, recommendations_total from apps order by {ORDER} limit 200", "apps")
