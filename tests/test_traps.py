@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -297,3 +298,20 @@ def test_the_funnel_is_what_its_steps_say(spark, sf):
         want |= {(qid, k): r[1] for k, r in enumerate(order, 1)}
     got = {(r.query_id, r["rank"]): r.doc_id for r in catalogue.queries()["r19_recommend"](spark, sf).collect()}
     assert got == want and len(want) > 20
+
+
+@pytest.mark.parametrize("unit", ["<a", "<!", "<svg>", "<span>", "<script", "<!--", '<p a="', "<p a='x", "</b>", "a<b>", "<p>"])
+def test_hostile_pages_take_time_in_proportion(unit):
+    pages = [unit * (n // len(unit)) + end for n in (100_000, 400_000) for end in ("", ">")]
+    took = []
+    for page in pages:
+        began = time.perf_counter()
+        T.page_lines(page, True)
+        took.append(time.perf_counter() - began)
+    assert max(took[2:]) < 10 * max(0.2, *took[:2])
+
+
+def test_a_value_is_quoted_only_after_its_sign():
+    assert T.page_lines("<p class=it's>don't one</p><p>two</p>", True) == "don't one\n\ntwo"
+    assert T.page_lines("a <!-- b > c <p>x", True) == "a" and T.page_lines("a > b <!-- c", True) == "a > b" and T.page_lines("x <script> 1 > 2", True) == "x"
+    assert T.page_lines("x <script> 1 </script> y <b title=\"1 > 2\">z</b>", True) == "x y z"
