@@ -26,7 +26,10 @@ import html as htmllib
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +62,9 @@ AWAY = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcru
 TOWARDS = frozenset("article body content copy entry main paragraph post story text".split())
 BINS = 8
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+>|[^>]*>)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# a value is quoted only after "="; no part gives back what it has taken
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>|[^>]*+>)""", re.S)
+ATTRIBUTE = re.compile(r"""\b(class|id|role|data-y)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+))""", re.I)
 TOKEN = re.compile(r"[a-z]+|[A-Z]+[a-z]*")
 
 
@@ -76,12 +80,8 @@ class Page:
     def _flush(self, run: list[tuple[int, str]]) -> None:
         if not run:
             return
-        pieces: list[tuple[int, str]] = []
-        for node, text in run:  # neighbours of one node become one piece
-            if pieces and pieces[-1][0] == node:
-                pieces[-1] = (node, pieces[-1][1] + text)
-            else:
-                pieces.append((node, text))
+        # neighbours of one node become one piece
+        pieces = [(node, "".join(t for _, t in some)) for node, some in groupby(run, key=itemgetter(0))]
         run.clear()
         if any(t.strip() for _, t in pieces):
             self.lines.append(pieces)
@@ -109,13 +109,23 @@ class Page:
     def _parse(self, text: str) -> None:
         stack: list[tuple[str, int]] = [("html", 0)]  # open elements with their node
         run: list[tuple[int, str]] = []
+        opened, never_closed = Counter(("html",)), set()  # how often each name is open; raw elements that no end tag follows
+
+        def push(name: str, node: int) -> None:
+            stack.append((name, node))
+            opened[name] += 1
+
+        def cut(k: int) -> None:
+            opened.subtract(t for t, _ in stack[k:])
+            del stack[k:]
+
         at, skip, in_link = 0, 0, 0
-        end = len(text)
+        end, last = len(text), text.rfind(">") + 1  # no tag begins where no end of one follows
         while at < end:
-            m = TAG.search(text, at)
+            m = TAG.search(text, at, last) if at < last else None
             stop = m.start() if m else end
             if stack[-1][0] == "head" and text[at:stop].strip():  # as text, or an element that cannot stand in it, ends the head
-                stack.pop()
+                cut(len(stack) - 1)
                 skip -= 1
             if stop > at and not skip:
                 piece = text[at:stop] if m else re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", text[at:])  # a tag cut off by the end
@@ -125,7 +135,7 @@ class Page:
                     self.links[stack[-1][1]] += len(piece)
             if not m:
                 break
-            at = m.end()
+            at = end if m[0].startswith("<!--") and not m[0].endswith("-->") else m.end()
             name = m[2]
             if name is None:
                 continue
@@ -135,25 +145,27 @@ class Page:
             if m[1]:  # an end tag
                 if name == "a":
                     in_link = max(0, in_link - 1)
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if opened[name] > 0 else ():
                     if stack[k][0] == name:
                         if name in BLOCK or any(t in BLOCK for t, _ in stack[k:]):
                             self._flush(run)
                         if name not in BLOCK and name not in SKIPPED and any(t in BLOCK or t in SKIPPED for t, _ in stack[k + 1 :]):
                             break  # an inline end does not close blocks
                         skip -= sum(t in SKIPPED for t, _ in stack[k:])
-                        del stack[k:]
+                        cut(k)
                         break
                 continue
             if stack[-1][0] == "head" and name not in IN_HEAD:
-                stack.pop()
+                cut(len(stack) - 1)
                 skip -= 1
             if name in RAW and not (name in FOREIGN and attributes.endswith("/")):
-                close = re.compile(rf"</{name}\s*>", re.I).search(text, at)
+                close = None if name in never_closed else re.compile(rf"</{name}\s*+>", re.I).search(text, at)
+                if not close:
+                    never_closed.add(name)
                 if close or name in TO_THE_END:
                     at = close.end() if close else end
                 elif name in FOREIGN:
-                    stack.append((UNCLOSED, node))
+                    push(UNCLOSED, node)
                     skip += 1
                 continue
             if name in VOID or name in FOREIGN:
@@ -166,23 +178,23 @@ class Page:
             if name in SKIPPED:
                 following = re.compile(rf"<(/?){name}\b", re.I).search(text, at)
                 closed = name == "head" or following and (following[1] or name == "object")
-                stack.append((name if closed else UNCLOSED, node))
+                push(name if closed else UNCLOSED, node)
                 skip += 1
                 continue
             if skip and name in BLOCK and stack[-1][0] == UNCLOSED:
-                stack.pop()
+                cut(len(stack) - 1)
                 skip -= 1
             if skip and name == "body":
                 stack = [x for x in stack if x[0] not in SKIPPED]
-                skip = 0
+                opened, skip = Counter(t for t, _ in stack), 0
             if name in BLOCK:
                 self._flush(run)
-                if name in ("html", "body") and (name == "html" or any(t == "body" for t, _ in stack)):
+                if name in ("html", "body") and (name == "html" or opened["body"] > 0):
                     continue
                 if "p" in (t for t, _ in stack[-6:]):  # a block ends an open paragraph
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k][0] == "p":
-                            del stack[k:]
+                            cut(k)
                             in_link = 0
                             break
                         if stack[k][0] in BLOCK or stack[k][0] in SKIPPED:
@@ -193,16 +205,16 @@ class Page:
                         if stack[k][0] in limits or stack[k][0] in SKIPPED:
                             break
                         if stack[k][0] in closed:
-                            del stack[k:]
+                            cut(k)
                             break
                 parent = stack[-1][1]
-                stack.append((name, self._open(name, attributes, parent, self.depth[parent] + 1)))
+                push(name, self._open(name, attributes, parent, self.depth[parent] + 1))
             else:
                 in_link += name == "a"
                 self.tags[node] += 1
                 if attributes and not skip and ATTRIBUTE.search(attributes):
                     node = self._open(name, attributes, node, self.depth[node] + 1)
-                stack.append((name, node))
+                push(name, node)
         self._flush(run)
 
     def features(self) -> np.ndarray:

@@ -4,6 +4,7 @@ import html
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -388,3 +389,19 @@ def test_scores_count_what_was_seen_once(spark):
             w = words[x.doc_id]
             want = sum(math.log(count[tuple(w[k - order + 1 : k + 1])] / count[tuple(w[k - order + 1 : k])]) for k in range(order - 1, len(w)))
             assert x.n_words == max(0, len(w) - order + 1) and (x.score == pytest.approx(want) if w else x.score is None)
+
+
+@pytest.mark.parametrize("unit", ["<a", "<!", "<svg>", "<span>", "<script", "<!--", '<p a="', "<p a='x", "</b>", "a<b>", "<li>", "<p>"])
+def test_hostile_pages_take_time_in_proportion(unit):
+    took = []
+    for n in (100_000, 400_000):
+        for end in ("", ">"):
+            began = time.perf_counter()
+            html_extraction.Page(unit * (n // len(unit)) + end)
+            took.append(time.perf_counter() - began)
+    assert max(took[2:]) < 10 * max(0.3, *took[:2])
+
+
+def test_a_value_is_quoted_only_after_its_sign():
+    assert [t for _, t in html_extraction.Page("<p class=it's>don't one</p><p>two</p>").blocks] == ["don't one", "two"]
+    assert [t for _, t in html_extraction.Page("<p>a</p><!-- b > c <p>x").blocks] == ["a"] and [t for _, t in html_extraction.Page("<p>a > b <!-- c").blocks] == ["a > b"]
