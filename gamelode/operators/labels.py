@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import IntegerType
 
 from gamelode.functions import text as T
 
@@ -96,25 +93,22 @@ def rouge_n_table(pairs: DataFrame, keys: list[str], n: int, pred: str = "pred",
     return out.select(*keys, p.alias("p"), r.alias("r"), _ratio(2 * p * r, p + r).alias("f"))
 
 
-@pandas_udf(IntegerType())
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence of token arrays, by bit-parallel rows."""
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of token arrays: for each token of a, where it stands in b, from the last place
+    to the first; the longest increasing chain of these places is as long. The chain's state is, for each length, the least
+    place that such a chain can end with."""
+    places = F.transform(a, lambda x: F.reverse(F.filter(F.transform(b, lambda y, i: F.when(y == x, i)), lambda i: i.isNotNull())))
 
-    def one(x, y) -> int:
-        where: dict[str, int] = {}
-        for i, w in enumerate(x):
-            where[w] = where.get(w, 0) | 1 << i
-        v = full = (1 << len(x)) - 1
-        for w in y:
-            u = v & where.get(w, 0)
-            v = ((v + u) | (v - u)) & full
-        return len(x) - bin(v).count("1")
+    def put(ends: Column, at: Column) -> Column:
+        n = F.size(F.filter(ends, lambda e: e < at))
+        return F.concat(F.slice(ends, F.lit(1), n), F.array(at), F.slice(ends, n + 2, F.greatest(F.lit(0), F.size(ends) - n - 1)))
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+    return F.size(F.aggregate(F.flatten(places), F.array().cast("array<int>"), put))
 
 
-def rouge_l(pred: Column, ref: Column) -> dict[str, Column]:
-    lcs = lcs_length(pred, ref)
+def rouge_l(pred: Column, ref: Column, lcs: Column | None = None) -> dict[str, Column]:
+    """lcs: a column that has lcs_length() already, so that the three measures share it."""
+    lcs = lcs_length(pred, ref) if lcs is None else lcs
     p, r = _ratio(lcs, F.size(pred)), _ratio(lcs, F.size(ref))
     return {"p": p, "r": r, "f": _ratio(2 * p * r, p + r)}
 
@@ -136,7 +130,9 @@ def summary_report(pairs: DataFrame, keys: list[str], checks: dict[str, Column],
         one = rouge_n_table(long, [*keys, "part"], n, "_p", "_g").groupBy("part").agg(F.avg("f").alias("f")).select(F.concat(F.lit(f"rouge{n}."), "part").alias("metric"), F.col("f").alias("value"))
         scores = one if scores is None else scores.unionByName(one)
     if lcs:
-        l = long.select("part", rouge_l(T.tokenize("_p"), T.tokenize("_g"))["f"].alias("f")).groupBy("part").agg(F.avg("f").alias("f"))  # noqa: E741
+        tokens = long.select("part", T.tokenize("_p").alias("_a"), T.tokenize("_g").alias("_b"))
+        tokens = tokens.withColumn("_lcs", lcs_length(F.col("_a"), F.col("_b")))
+        l = tokens.select("part", rouge_l(F.col("_a"), F.col("_b"), F.col("_lcs"))["f"].alias("f")).groupBy("part").agg(F.avg("f").alias("f"))  # noqa: E741
         scores = scores.unionByName(l.select(F.concat(F.lit("rougeL."), "part").alias("metric"), F.col("f").alias("value")))
     flat = lambda d: d.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").cast("double").alias("value")) for c in d.columns))).alias("x")).select("x.*")
     return flat(counts).unionByName(flat(rates)).unionByName(scores).select("metric", F.round("value", 4).alias("value"))

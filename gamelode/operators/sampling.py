@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,13 +59,21 @@ def split_exact(df: DataFrame, ratios: tuple[float, ...], names: tuple[str, ...]
     return numbered.withColumn("split", split).drop("_h", "_rn")
 
 
-def sample_per_label(df: DataFrame, label: str, app: str, key: str, n: int, cap: int, seed: int | str) -> DataFrame:
-    """At most cap rows of an app in a label, then n of the label, all in hash order."""
+def sample_per_label(df: DataFrame, label: str, app: str, key: str, n: int, cap: int, seed: int | str, strict: bool = True) -> DataFrame:
+    """At most cap rows of an app in a label, then n of the label, all in hash order; the sample then gets an order of its own
+    and annotation_id from 1 in it. strict: a label with fewer than n rows left is an error."""
     h = hash_order(seed, key)
     a = Window.partitionBy(label, app).orderBy(h, key)
     b = Window.partitionBy(label).orderBy(h, key)
     few = df.withColumn("_a", F.row_number().over(a)).filter(F.col("_a") <= cap)
-    return few.withColumn("_b", F.row_number().over(b)).filter(F.col("_b") <= n).drop("_a", "_b")
+    few = few.withColumn("_b", F.row_number().over(b)).filter(F.col("_b") <= n).drop("_a", "_b")
+    few = stored(few, "sample")
+    if strict:
+        short = [f"{r[0]}: {r[1]}" for r in few.groupBy(label).agg(F.count("*").alias("n")).filter(F.col("n") < n).orderBy(label).limit(20).collect()]
+        if short:
+            raise ValueError(f"fewer than {n} rows for {', '.join(short)}")
+    shuffled = few.withColumn("_o", hash_order(f"{seed} order", key))
+    return global_row_number(shuffled, ["_o", key], "annotation_id").drop("_o")
 
 
 def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int | str) -> DataFrame:
@@ -98,15 +108,83 @@ def eval_subset(pool: DataFrame, targets: DataFrame, key: str, n: int, seed: int
 
 
 def multilabel_split(df: DataFrame, labels: str, key: str, ratio: float, seed: int | str) -> DataFrame:
-    """Rows in order of (rarest label, hash): each 1/ratio-th of a label goes to validation. Rows without labels likewise.
-    Rows are numbered over all labels at once, and a row's place in its label is its number less what stands before."""
+    """Rows in order of (rarest label, hash): each 1/ratio-th of a label goes to validation. Rows without labels likewise, and
+    one of them at least. Rows are numbered over all labels at once, and a row's place in its label is its number less what
+    stands before."""
     counts = df.select(F.explode(labels).alias("_l")).groupBy("_l").agg(F.count("*").alias("_c"))
     rare = df.select(key, F.explode(labels).alias("_l")).join(counts, "_l").groupBy(key).agg(F.min_by("_l", F.struct("_c", "_l")).alias("_rarest"))
     out = df.join(rare, key, "left").withColumns({"_rarest": F.coalesce("_rarest", F.lit("")), "_h": hash_order(seed, key)})
     numbered = stored(global_row_number(out, ["_rarest", "_h", key], "_rn"), "numbered")
-    first = numbered.groupBy("_rarest").agg(F.min("_rn").alias("_first"))
+    first = numbered.groupBy("_rarest").agg(F.min("_rn").alias("_first"), F.count("*").alias("_n"))
     place = F.col("_rn") - F.col("_first") + 1
-    return numbered.join(first, "_rarest").withColumn("split", F.when(place % round(1 / ratio) == 0, "valid").otherwise("train")).drop("_rarest", "_h", "_rn", "_first")
+    every = round(1 / ratio)
+    alone = (F.col("_rarest") == "") & (F.col("_n") < every) & (place == 1)
+    return numbered.join(first, "_rarest").withColumn("split", F.when((place % every == 0) | alone, "valid").otherwise("train")).drop("_rarest", "_h", "_rn", "_first", "_n")
+
+
+MAX_SETS = 200_000  #: distinct sets of labels that are looked at one by one; beyond it, sets are told apart by their rarest labels
+
+
+def quotas(sets: list[tuple[tuple[str, ...], int]], ratio: float, size: int) -> dict[tuple[str, ...], int]:
+    """How many rows of each set of labels (with its number of rows) go to validation, `size` in all. In rounds, the label with
+    the fewest rows left sends as many as validation still wants of it, spread over its sets in proportion; what a set sends
+    counts for its other labels, whose rounds come later. A round's sets are taken in order of how many labels they have, so
+    that rows with few and many labels are sent alike. The last round takes what is missing in all."""
+    have: Counter = Counter()
+    of: dict[str, list[int]] = {}
+    for k, (labels, n) in enumerate(sets):
+        for x in labels:
+            have[x] += n
+            of.setdefault(x, []).append(k)
+    wanted = {x: n * ratio for x, n in have.items()}
+    out, left, sent = {}, dict(have), 0
+    while left:
+        label = min(left, key=lambda x: (left[x], x))
+        mine = sorted((k for k in of[label] if sets[k][0] not in out), key=lambda k: (len(sets[k][0]), sorted(sets[k][0], key=lambda x: (-have[x], x))))
+        rows = sum(sets[k][1] for k in mine)
+        last = len(out) + len(mine) == len(sets)
+        send = max(0, min(rows, size - sent, size - sent if last else round(wanted[label])))
+        sent += send
+        before = 0
+        for k in mine:
+            labels, n = sets[k]
+            out[labels] = (2 * (before + n) * send + rows) // (2 * rows) - (2 * before * send + rows) // (2 * rows)
+            before += n
+            for x in labels:
+                wanted[x] -= out[labels]
+                left[x] -= n
+        left = {x: n for x, n in left.items() if n > 0 and x != label}
+    return out
+
+
+def iterative_split(df: DataFrame, labels: str, key: str, ratio: float, seed: int | str, max_sets: int = MAX_SETS) -> DataFrame:
+    """Multi-label stratification: validation gets round(ratio * n) rows, with each label's share as near to ratio as quotas()
+    can make it; which rows of a set of labels go is by hash. Rows without labels are split apart, one at least to
+    validation. The driver sees the number of rows of each set of labels, max_sets at most; of the rows nothing."""
+    none = F.array().cast("array<string>")
+    rows = df.withColumns({"_set": F.array_sort(F.array_distinct(F.array_compact(F.coalesce(labels, none)))), "_h": hash_order(seed, key)})
+    counts = rows.groupBy("_set").agg(F.count("*").alias("_n"))
+    if counts.count() > max_sets:
+        each = rows.select(F.explode("_set").alias("_l")).groupBy("_l").agg(F.count("*").alias("_c"))
+        rarest = rows.select(key, F.explode("_set").alias("_l")).join(each, "_l").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_c", "_l"))).alias("_r"))
+        for depth in (3, 2, 1):
+            cut = rows.drop("_set").join(rarest.select(key, F.array_sort(F.transform(F.slice("_r", 1, depth), lambda x: x["_l"])).alias("_set")), key, "left").withColumn("_set", F.coalesce("_set", none))
+            counts = cut.groupBy("_set").agg(F.count("*").alias("_n"))
+            if counts.count() <= max_sets:
+                break
+        rows = cut
+    known = sorted((tuple(r["_set"]), r["_n"]) for r in counts.collect())
+    n, empty = sum(c for _, c in known), dict(known).get((), 0)
+    bare = min(empty, max(1, round(empty * ratio)))
+    size = round(n * ratio) - bare
+    if size <= 0 < n - empty:
+        raise ValueError("validation has no room for rows with labels")
+    quota = {(): bare} | quotas([x for x in known if x[0]], ratio, size)
+    table = df.sparkSession.createDataFrame([(list(k), v) for k, v in quota.items()] or [([], 0)], "_set array<string>, _v bigint")
+    numbered = stored(global_row_number(rows, ["_set", "_h", key], "_rn"), "numbered")
+    first = numbered.groupBy("_set").agg(F.min("_rn").alias("_first"))
+    placed = numbered.join(first, "_set").join(F.broadcast(table), "_set")  # one row for each set
+    return placed.withColumn("split", F.when(F.col("_rn") - F.col("_first") < F.col("_v"), "valid").otherwise("train")).drop("_set", "_h", "_rn", "_first", "_v")
 
 
 def cyclic_assign(df: DataFrame, order: list[str], values: list[str]) -> DataFrame:

@@ -188,10 +188,10 @@ def _(t):
 
 
 @R.add("u07_sample_per_label", f"""with d as (select d.doc_id, quality, doc_id % 50 as appid from documents d join labels using (doc_id)), a as (select *, row_number() over (partition by quality, appid order by {H.format(42, 'doc_id')}, doc_id) as k from d),
-b as (select *, row_number() over (partition by quality order by {H.format(42, 'doc_id')}, doc_id) as n from a where k <= 2) select doc_id, quality from b where n <= 40""")
+b as (select *, row_number() over (partition by quality order by {H.format(42, 'doc_id')}, doc_id) as n from a where k <= 2) select doc_id, quality, row_number() over (order by {H.format('42 order', 'doc_id')}, doc_id) as annotation_id from b where n <= 5""")
 def _(t):
     d = t("documents").select("doc_id", (F.col("doc_id") % 50).alias("appid")).join(t("labels"), "doc_id")
-    return U.sample_per_label(d, "quality", "appid", "doc_id", 40, 2, 42).select("doc_id", "quality")
+    return U.sample_per_label(d, "quality", "appid", "doc_id", 5, 2, 42).select("doc_id", "quality", "annotation_id")
 
 
 @R.add("u08_reservoir_per_group", f"select doc_id, lang from (select *, row_number() over (partition by lang order by {H.format(3, 'doc_id')}, doc_id) as n from documents) where n <= 20")
@@ -221,6 +221,12 @@ def _(t):
     return U.multilabel_split(d, "labels", "doc_id", 0.1, 9).select("doc_id", "split")
 
 
+@R.add("u11_iterative_split")
+def _(t):
+    d = t("documents").select("doc_id", F.array("lang", "source").alias("labels"))
+    return U.iterative_split(d, "labels", "doc_id", 0.1, 9).select("doc_id", "split")
+
+
 @R.add("u12_eval_subset", f"(select vec_id from embeddings where label = 0) union all (select vec_id from embeddings where label <> 0 order by {H.format(4, 'vec_id')}, vec_id limit (select greatest(0, 120 - count(*)) from embeddings where label = 0))")
 def _(t):
     e = t("embeddings").select("vec_id", "label")

@@ -215,8 +215,9 @@ def _(t):
 
 @R.add("x02_rouge_l")
 def _(t):
-    m = L.rouge_l(T.tokenize("pred"), T.tokenize("ref"))
-    return t("rouge_pairs").select("conv_id", "turn", *(F.round(v, 6).alias(k) for k, v in m.items()))
+    tokens = t("rouge_pairs").select("conv_id", "turn", T.tokenize("pred").alias("a"), T.tokenize("ref").alias("b"))
+    m = L.rouge_l(F.col("a"), F.col("b"), F.col("lcs"))
+    return tokens.withColumn("lcs", L.lcs_length(F.col("a"), F.col("b"))).select("conv_id", "turn", *(F.round(v, 6).alias(k) for k, v in m.items()))
 
 
 def _summary_of(text: str) -> str:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
+import random
 import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -315,3 +318,56 @@ def test_a_value_is_quoted_only_after_its_sign():
     assert T.page_lines("<p class=it's>don't one</p><p>two</p>", True) == "don't one\n\ntwo"
     assert T.page_lines("a <!-- b > c <p>x", True) == "a" and T.page_lines("a > b <!-- c", True) == "a > b" and T.page_lines("x <script> 1 > 2", True) == "x"
     assert T.page_lines("x <script> 1 </script> y <b title=\"1 > 2\">z</b>", True) == "x y z"
+
+
+def test_a_sample_that_cannot_be_drawn_is_an_error(spark):
+    df = spark.createDataFrame([(k, k % 2, k % 3) for k in range(9)], "id bigint, label int, app int")
+    with pytest.raises(ValueError, match="1: 4"):
+        U.sample_per_label(df, "label", "app", "id", 5, 5, 1)
+    got = U.sample_per_label(df, "label", "app", "id", 4, 5, 1).collect()
+    assert sorted(r.annotation_id for r in got) == list(range(1, 9)) and len({r.label for r in got}) == 2
+
+
+def _drift(rows, split):
+    """The largest difference between a label's share in validation and in all rows."""
+    every, valid = Counter(x for ls in rows.values() for x in ls), Counter(x for k, ls in rows.items() if split[k] == "valid" for x in ls)
+    n, v = len(rows), sum(x == "valid" for x in split.values())
+    return max(abs(valid[x] / v - c / n) for x, c in every.items())
+
+
+def test_stratification_keeps_every_label(spark):
+    draw = random.Random(4)
+    rows = {k: [x for x in "abcdefghij" if draw.random() < 0.03 * (1 + "abcdefghij".index(x))] for k in range(1500)}
+    df = spark.createDataFrame(list(rows.items()), "id bigint, labels array<string>")
+    got, old = ({r.id: r.split for r in f(df, "labels", "id", 0.1, 9).collect()} for f in (U.iterative_split, U.multilabel_split))
+    assert sum(x == "valid" for x in got.values()) == 150
+    assert _drift(rows, got) <= 0.015 and _drift(rows, got) < 0.5 * _drift(rows, old)
+    empty = [k for k, ls in rows.items() if not ls]
+    assert sum(got[k] == "valid" for k in empty) == max(1, round(0.1 * len(empty)))
+    cut = {r.id: r.split for r in U.iterative_split(df, "labels", "id", 0.1, 9, max_sets=60).collect()}
+    assert sum(x == "valid" for x in cut.values()) == 150 and _drift(rows, cut) <= 0.03
+    few = spark.createDataFrame([(k, [] if k < 6 else ["x"]) for k in range(46)], "id bigint, labels array<string>")
+    for f in (U.iterative_split, U.multilabel_split):
+        assert f(few, "labels", "id", 0.1, 9).filter("split = 'valid' and id < 6").count() == 1
+
+
+def test_sketched_quantiles_are_within_their_rank_error(spark):
+    rows = spark.range(200_000).select((F.col("id") % 2).alias("g"), ((F.col("id") * 7919) % 200_003).cast("double").alias("x"))
+    sketches = G.quantile_sketch(rows.withColumn("part", F.col("x") < 60_000), "x", ["g", "part"])
+    merged = {r.g: r for r in G.merge_sketches(sketches, ["g"]).select("g", *(G.sketched_quantile(F.col("sketch"), p).alias(f"q{k}") for k, p in enumerate((0.1, 0.5, 0.99)))).collect()}
+    direct = {r.g: r for r in G.describe(rows, "x", ["g"], [0.1, 0.5, 0.99], exact=False).collect()}
+    for g in (0, 1):
+        values = sorted(r.x for r in rows.filter(F.col("g") == g).collect())
+        for k, p in enumerate((0.1, 0.5, 0.99)):
+            for got in (merged[g][f"q{k}"], direct[g][f"q{round(p * 100)}"]):
+                assert abs(bisect.bisect_right(values, got) / len(values) - p) <= 0.01
+    exact, odd = (G.describe(spark.createDataFrame([(1, None), (2, 1.0), (2, 3.0)], "g int, x double"), "x", ["g"], [0.5], e).orderBy("g").collect() for e in (True, False))
+    assert exact[1].q50 == 2.0 and odd[0].q50 is None and odd[1].q50 in (1.0, 3.0)
+
+
+def test_longest_common_subsequence_stays_in_the_jvm(spark, sf):
+    plan = catalogue.queries()["x02_rouge_l"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    rows = [([], []), (["a"], []), (["a", "b", "a", "c"], ["b", "a", "a", "c", "a"]), (None, ["a"]), (["x"] * 30, ["x"] * 20)]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select(L.lcs_length(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == [0, 0, 3, None, 20]
