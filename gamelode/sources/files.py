@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow.fs import FileSystem
 from pyspark import TaskContext
@@ -15,6 +13,7 @@ from pyspark.sql import types as T
 
 from gamelode.functions.text import extract_json, parse_summary
 from gamelode.operators.sampling import request_chunks
+from gamelode.sources.ranges import RANGE_BYTES, read_float_files
 
 NAMED = "array<struct<id:string,description:string>>"
 GAME = f"struct<type:string,name:string,is_free:boolean,detailed_description:string,short_description:string,genres:{NAMED},categories:{NAMED},release_date:struct<date:string>>"
@@ -64,39 +63,21 @@ def read_pg_copy(spark: SparkSession, path: str, table: str, columns: list[str])
     return body.select(*(plain(F.col("v")[k]).alias(name) for k, name in enumerate(columns)))
 
 
-def read_f32_matrix(spark: SparkSession, path: str, dim: int, rows: int | None = None) -> DataFrame:
+def read_f32_matrix(spark: SparkSession, path: str, dim: int, rows: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """vector_index, vector of a file of float32 records without a header, or with `size - 4 dim rows` bytes of one; or of a
-    folder of such files without headers, as write_f32_matrix() makes them, in order of their names.
-
-    One file with records of exact length is split over tasks; a header, or one of many files, is read whole by a task."""
+    folder of such files without headers, as write_f32_matrix() makes them, in order of their names. A task reads range_bytes
+    of records at most, whatever the header; the store is one that Arrow knows."""
     files = spark.read.format("binaryFile").load(path)
     found = sorted((r.path, r.length) for r in files.select("path", "length").filter("length > 0").collect())  # names alone
     size = sum(n for _, n in found)
     offset = size - 4 * dim * rows if rows is not None else 0
     if offset < 0 or (size - offset) % (4 * dim) or len(found) > 1 and (offset or any(n % (4 * dim) for _, n in found)):
         raise ValueError(f"{size} bytes are no whole number of rows of {dim} floats")
-    if not offset and len(found) == 1:
-        raw = spark.sparkContext.binaryRecords(path, 4 * dim).zipWithIndex().map(lambda x: (x[1], bytearray(x[0])))
-        table = raw.toDF("vector_index bigint, b binary")
-
-        def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in parts:
-                yield pd.DataFrame({"vector_index": p.vector_index, "vector": [np.frombuffer(b, dtype="<f4") for b in p.b]})
-
-        return table.mapInPandas(decode, "vector_index bigint, vector array<float>")
-    first, before = {}, 0
+    before, ranges = 0, []
     for name, n in found:
-        first[name] = before
-        before += n // (4 * dim)
-
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            for name, b in zip(p.path, p.content, strict=True):
-                m = np.frombuffer(b, dtype="<f4", offset=offset).reshape(-1, dim)
-                for at in range(0, len(m), 4096):
-                    yield pd.DataFrame({"vector_index": first[name] + np.arange(at, min(len(m), at + 4096)), "vector": list(m[at : at + 4096])})
-
-    return files.filter("length > 0").select("path", "content").mapInPandas(cut, "vector_index bigint, vector array<float>")
+        ranges.append((name, offset, before, (n - offset) // (4 * dim)))
+        before += (n - offset) // (4 * dim)
+    return read_float_files(spark, ranges, dim, range_bytes)
 
 
 def write_f32_matrix(df: DataFrame, path: str, key: str, vector: str, parts: int = 8) -> int:
