@@ -10,6 +10,7 @@ from gamelode.plans.label_queries import PANEL, panel
 from gamelode.sources import files as S
 from gamelode.sources.scratch import scratch
 from gamelode.streaming import events as E
+from gamelode.streaming.live import LiveIndex, write_live_index
 
 R = Registry()
 
@@ -192,8 +193,8 @@ def _(t):
     d.repartition(4, "doc_id").write.parquet(path)
     out = scratch(spark, "index")
     stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    _finished(E.write_live_index(stream, out, scratch(spark, "ckpt")))
-    return E.read_live_index(spark, out)[0]
+    _finished(write_live_index(stream, out, scratch(spark, "ckpt")))
+    return LiveIndex(spark, out).index().terms
 
 
 @R.add("t09_stream_quality", "select recommendationid from reviews where lower(trim(language)) = 'english' and trim(regexp_replace(review_text, '\\s+', ' ', 'g')) <> ''", "reviews")
@@ -206,7 +207,8 @@ def _(t):
     return spark.read.parquet(out)
 
 
-@R.add("t06_recent_state", "select user_id, event_id, n - 1 as place from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from interactions) where n <= 10", "interactions")
+@R.add("t06_recent_state", """with c as (select user_id, string_agg(appid::varchar, ',' order by appid) as clicked from (select distinct user_id, appid from interactions where type = 'click' and appid is not null) group by 1)
+select n.user_id, event_id, n - 1 as place, coalesce(clicked, '') as clicked from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from interactions) n left join c on c.user_id = n.user_id where n <= 10""", "interactions")
 def _(t):
     """State needs the RocksDB store, which is set for this query alone. The last output of each user is its state."""
     spark, events = _stream(t)
@@ -220,4 +222,4 @@ def _(t):
         spark.conf.set(key, before)
     rows = spark.read.parquet(out)
     last = rows.groupBy("user_id").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["user_id", "batch"]).select("user_id", "event_id", "place")
+    return rows.join(last, ["user_id", "batch"]).select("user_id", "event_id", "place", F.array_join(F.transform("clicked", lambda x: x.cast("string")), ",").alias("clicked"))

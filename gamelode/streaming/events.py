@@ -12,7 +12,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 from gamelode.functions.text import clean_review
-from gamelode.operators.retrieval import bm25_index
 
 EVENT_SCHEMA = StructType([StructField("event_id", LongType()), StructField("user_id", LongType()), StructField("ts", TimestampType()), StructField("type", StringType()), StructField("appid", LongType()), StructField("query", StringType())])
 
@@ -32,55 +31,78 @@ def running_counters(events: DataFrame) -> DataFrame:
     return events.groupBy("type").agg(F.count("*").alias("n"))
 
 
-STATE_OUT = "user_id bigint, place bigint, event_id bigint, ts timestamp, type string, appid bigint, query string"
+STATE_OUT = "user_id bigint, place bigint, event_id bigint, ts timestamp, type string, appid bigint, query string, clicked array<bigint>"
 
 
 class RecentActions(StatefulProcessor):
-    """The newest actions of a user, ordered by event time: a late event takes its place, or is left out if older than all."""
+    """The newest actions of a user, ordered by event time: a late event takes its place, or is left out if older than all. The
+    games that a user has clicked are kept beside them, with the time of the last click. With a lifetime (seconds of event
+    time), actions and clicks older than that are forgotten when the watermark passes, by a timer of the user's oldest one."""
 
-    def __init__(self, size: int = 10):
-        self.size = size
+    def __init__(self, size: int = 10, lifetime: int | None = None):
+        self.size, self.lifetime = size, lifetime
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.recent = handle.getListState("recent", "event_id bigint, ts timestamp, type string, appid bigint, query string")
+        self.clicked = handle.getMapState("clicked", "appid bigint", "ts timestamp")
+
+    def _rows(self, user_id: Any, newest: list[tuple]) -> pd.DataFrame:
+        """The state as rows; one with a null place for a user of whom nothing is left."""
+        clicked = sorted(int(k[0]) for k in self.clicked.keys()) if self.clicked.exists() else []  # noqa: SIM118
+        out = pd.DataFrame(newest or [(None, None, None, None, None)], columns=["event_id", "ts", "type", "appid", "query"])
+        out = out.astype({"event_id": "Int64", "appid": "Int64"})
+        out["ts"] = pd.to_datetime(out["ts"])
+        out.insert(0, "place", pd.array(range(len(newest)) if newest else [None], dtype="Int64"))
+        out.insert(0, "user_id", user_id)
+        out["clicked"] = [clicked] * len(out)
+        return out
+
+    def _wake_at_the_oldest(self, newest: list[tuple]) -> None:
+        if self.lifetime is None:
+            return
+        times = [r[1] for r in newest] + ([v[0] for v in self.clicked.values()] if self.clicked.exists() else [])  # noqa: PD011
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if times:
+            self.handle.registerTimer(int(pd.Timestamp(min(times)).timestamp() * 1000) + 1000 * self.lifetime)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         known = {r[0]: tuple(r) for r in self.recent.get()} if self.recent.exists() else {}
         for pdf in rows:
             for r in pdf[["event_id", "ts", "type", "appid", "query"]].itertuples(index=False):
-                known[int(r.event_id)] = (int(r.event_id), r.ts.to_pydatetime(), r.type, None if pd.isna(r.appid) else int(r.appid), None if pd.isna(r.query) else r.query)
+                appid, ts = None if pd.isna(r.appid) else int(r.appid), r.ts.to_pydatetime()
+                known[int(r.event_id)] = (int(r.event_id), ts, r.type, appid, None if pd.isna(r.query) else r.query)
+                if r.type == "click" and appid is not None:
+                    before = self.clicked.getValue((appid,)) if self.clicked.containsKey((appid,)) else None
+                    if before is None or before[0] < ts:
+                        self.clicked.updateValue((appid,), (ts,))
         newest = sorted(known.values(), key=lambda r: (r[1], r[0]), reverse=True)[: self.size]
         self.recent.put(newest)
-        out = pd.DataFrame(newest, columns=["event_id", "ts", "type", "appid", "query"])
-        out["appid"] = out["appid"].astype("Int64")
-        out.insert(0, "place", range(len(out)))
-        out.insert(0, "user_id", key[0])
-        yield out
+        self._wake_at_the_oldest(newest)
+        yield self._rows(key[0], newest)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        until = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms") - pd.Timedelta(seconds=self.lifetime)
+        newest = [tuple(r) for r in self.recent.get() if pd.Timestamp(r[1]) > until] if self.recent.exists() else []
+        for k, v in list(self.clicked.iterator()) if self.clicked.exists() else []:
+            if pd.Timestamp(v[0]) <= until:
+                self.clicked.removeKey((int(k[0]),))
+        if newest:
+            self.recent.put(newest)
+        else:
+            self.recent.clear()
+        self._wake_at_the_oldest(newest)
+        yield self._rows(key[0], newest)
 
     def close(self) -> None:
         pass
 
 
-def recent_state(events: DataFrame, size: int = 10) -> DataFrame:
-    """Every user's newest actions after each batch. Needs the RocksDB state store."""
-    return events.groupBy("user_id").transformWithStateInPandas(RecentActions(size), STATE_OUT, "Update", "none")
-
-
-def write_live_index(docs: DataFrame, path: str, checkpoint: str):
-    """Postings, lengths and statistics of every micro-batch, in folders by batch: a batch that runs again replaces its own."""
-
-    def put(batch: DataFrame, batch_id: int) -> None:
-        index = bm25_index(batch)
-        for name in ("postings", "lengths", "terms", "stats"):
-            getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
-
-    return docs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def read_live_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """terms (df over all batches) and stats."""
-    terms = spark.read.parquet(f"{path}/terms").groupBy("term").agg(F.sum("df").alias("df"))
-    return terms, spark.read.parquet(f"{path}/stats").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+def recent_state(events: DataFrame, size: int = 10, lifetime: int | None = None) -> DataFrame:
+    """Every user's newest actions and clicked games after each batch. Needs the RocksDB state store. lifetime: seconds of event
+    time after which they are forgotten; events then need a watermark on ts, and the session the time zone UTC."""
+    return events.groupBy("user_id").transformWithStateInPandas(RecentActions(size, lifetime), STATE_OUT, "Update", "none" if lifetime is None else "EventTime")
 
 
 def stream_quality(reviews: DataFrame, delay: str = "1 hour") -> DataFrame:
