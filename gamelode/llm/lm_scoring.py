@@ -1,28 +1,33 @@
 """Operator 6, language-model scores with stupid backoff, computed relationally.
 
-Words are lower-cased runs without white space; the model has the grams of `order` words of all documents, the document
-itself included. A word scores ln(c(gram) / c(gram without the word)) if its gram was seen MIN_COUNT times, which is once;
-as the scored documents are part of the model, every gram was, and none backs off to ALPHA. A document's score is the sum.
-Marks that no text can hold stand before each document.
-
-The sum is split so that each look-up is one equi-join on a 64-bit hash: ln c of all grams, less ln c of what stands before
-the words. As ln 1 = 0, what was counted once counts in full without being stored or joined. Grams are hashed, and counted
-within a document or a batch, in Arrow batches; counting, joining and summing are Spark's. Counts are made, and joined to
-the documents' grams, for one slice of the hash range after the other; what each slice leaves is a table of sums per
-document, so the shuffled data of one slice at a time has to fit on disk. Everything is pre-aggregated before it is
-shuffled; a gram that is in a large part of all documents has one row for each of them and is split by AQE in the join.
-The counts of what stands before the words (of single words, for pairs) go to every task if they are broadcast_keys rows at
-most, which is counted; beyond that they are joined like the grams. Nothing is sampled or cut off.
+Words are lower-cased runs without white space; marks that no text can hold stand before each text. The model is a set of
+count tables: for each length up to `order`, how often a sequence of so many words (or marks) was seen. A word is scored by the
+longest gram that ends with it and was seen, ln(c(gram) / c(gram without the word)), plus ln ALPHA for every word that had to
+be left off the gram's front; where no gram of two words or more was seen, by c(word) / N, with 1 for a word that was never
+seen. A document's score is the sum.
+
+count() makes the tables from the documents of a model, score() scores other documents with them, and score_each_by_others()
+scores each document of a corpus by a model of all the others: what a row has itself is taken off every count, so that most
+rare grams of a text are unseen there and back off.
+
+Everything is counted and looked up under 64-bit hashes: within a document or a batch in Arrow batches, between them by
+Spark's joins, for one slice of the hash range after the other, so that the shuffled data of one slice at a time has to fit on
+disk. Pairs of words, with a vocabulary that every task can hold (counted: broadcast_keys at most), take a shorter way: what a
+document scores if all its words back off needs no join, and only grams whose words and whose bits in a filter of fixed size
+say that they may have been seen are looked up, for what they change. In all other cases every word's grams are joined to the
+tables, and the longest one seen is taken. Nothing is sampled or cut off.
 
 Defined cases: a null text, or one without words, has 0 words and a null score; rows that repeat an id are scored each,
 as what they add up to, under that id once; rows without an id are counted by the model and returned as one row with a
-null id; an empty table gives no rows; other columns are ignored.
+null id; a model without words scores every word as seen once among one; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import GOLDEN, U64, mix, read, stored
 
-ALPHA, MIN_COUNT, ORDER, SLICES = 0.4, 1, 2, 2  #: slices: a power of two
+ALPHA, ORDER, SLICES = 0.4, 3, 2  #: slices: a power of two
 BROADCAST_KEYS = 2_000_000  #: 32 MB
+FILTER_WORDS = 1 << 21  #: 64 bits each
 START = U64(xxhash.xxh3_64_intdigest(b" "))  #: no word has a space
 ROWS_AT_A_TIME = 512
 _WHITE = np.zeros(256, dtype=bool)
@@ -57,36 +63,37 @@ class Words:
         self.text = np.searchsorted(ends, begins[first::2], side="right")
         self.count = np.bincount(self.text, minlength=len(texts))
 
-    def _ending(self, size: int, order: int, at: np.ndarray) -> np.ndarray:
-        """The hash of the size words up to each place of the texts with order - 1 marks before each."""
-        h = self.padded[at - size + 1]
+    def ending(self, size: int) -> np.ndarray:
+        """The hash of the `size` words up to each word, with marks before each text."""
+        at = np.arange(len(self.hash)) + (size - 1) * (self.text + 1)
+        padded = np.full(len(self.hash) + (size - 1) * len(self.count), START, dtype=U64)
+        padded[at] = self.hash
+        h = padded[at - size + 1]
         for k in range(1, size):
-            h = mix(h * GOLDEN + self.padded[at - size + 1 + k])
+            h = mix(h * GOLDEN + padded[at - size + 1 + k])
         return h
 
-    def _places(self, order: int) -> np.ndarray:
-        at = np.arange(len(self.hash)) + (order - 1) * (self.text + 1)
-        self.padded = np.full(len(self.hash) + (order - 1) * len(self.count), START, dtype=U64)
-        self.padded[at] = self.hash
-        return at
-
-    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the `order` words that end at each word, and their texts."""
-        return self._ending(order, order, self._places(order)), self.text
-
-    def before(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the order - 1 words before each word, and their texts."""
-        return self._ending(order - 1, order, self._places(order) - 1), self.text
+    def before(self, of: np.ndarray, first: U64) -> np.ndarray:
+        """For each word, what `of` has for the word before it, or `first` at the begin of a text."""
+        out = np.empty_like(of)
+        if len(of):
+            out[1:] = of[:-1]
+            out[np.append(True, self.text[1:] != self.text[:-1])] = first
+        return out
 
-    def contexts(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """What stands before a word or at the end: as before(), and the last words of each text."""
-        filled = np.flatnonzero(self.count)
-        h, text = self.before(order)
-        last = self._places(order)[np.cumsum(self.count)[filled] - 1]
-        return np.concatenate([h, self._ending(order - 1, order, last)]), np.concatenate([text, filled])
+    def own(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of keys of the words: the places of the first of each key in each text, which of these each word is, and how often
+        the text has it. Within a batch a key's text stands in for its last bits."""
+        _, first, which, n = np.unique((self.text.astype(U64) << U64(55)) | (keys >> U64(9)), return_index=True, return_inverse=True, return_counts=True)
+        return first, which, n
 
 
-Keys = Callable[[Words], tuple[np.ndarray, np.ndarray]]
+def marks(size: int) -> U64:
+    """The hash of `size` marks."""
+    h = np.array([START])
+    for _ in range(1, size):
+        h = mix(h * GOLDEN + START)
+    return h[0]
 
 
 def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, Words]]:
@@ -96,111 +103,176 @@ def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Re
             yield part, Words(part.column(1).to_pylist())
 
 
-def totals(docs: DataFrame, keys: Keys, k: int, slices: int) -> DataFrame:
-    """key, n: counts of the keys of a slice within some documents, to be added up."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words in _parts(batches, 4 * ROWS_AT_A_TIME):
-            x, _ = keys(words)
-            key, n = np.unique(x[x & U64(slices - 1) == k], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
+def _release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs whose tables have been written and are referenced no more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-    return docs.mapInArrow(run, "key bigint, n bigint")
 
+@dataclass(frozen=True)
+class Counts:
+    """tables: for each length from 1 to order, and of the longest one for each slice of the hash range, key and c of sequences
+    seen `least` times or more. words: how many words there are, n_texts: in how many texts."""
 
-def in_documents(docs: DataFrame, keys: Keys, k: int, slices: int) -> DataFrame:
-    """doc_id, key, n: the keys of a slice in each document, each once with its count."""
+    order: int
+    slices: int
+    least: int
+    tables: list[list[DataFrame]]
+    words: int
+    n_texts: int
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, words in _parts(batches, ROWS_AT_A_TIME):
-            x, text = keys(words)
-            some = x & U64(slices - 1) == k
-            x, text = x[some], text[some].astype(np.uint16)
-            order = np.argsort(x)
-            order = order[np.argsort(text[order], kind="stable")]
-            x, text = x[order], text[order]
-            new = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (text[1:] != text[:-1]))[: len(x)])
-            n = np.diff(np.append(new, len(x)))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text[new])), pa.array(x[new].view(np.int64)), pa.array(n, pa.int64())], names=["doc_id", "key", "n"])
 
-    return docs.mapInArrow(run, "doc_id bigint, key bigint, n bigint")
+def count(docs: DataFrame, text_col: str = "text", order: int = ORDER, slices: int = SLICES, least: int = 1) -> Counts:
+    """The model of some documents. least: 2 for a model from which every scored document is to be taken off again."""
+    texts = docs.select(F.lit(0).alias("_"), F.col(text_col).alias("text"))
 
+    def totals(size: int, k: int, of: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, words in _parts(batches, 4 * ROWS_AT_A_TIME):
+                x = words.ending(size)
+                x = np.append(x, np.full(int((words.count > 0).sum()) if size < order else 0, marks(size), dtype=U64))
+                key, n = np.unique(x[x & U64(of - 1) == k], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
 
-def lengths(docs: DataFrame, keys: Keys | None = None, table: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """doc_id, n_words, s: the sum of the logarithms that a table (sorted keys, logarithms) has for the keys, 0 without a
-    table, null for no words."""
-    known = docs.sparkSession.sparkContext.broadcast(table)
+        seen = texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("c")).filter(F.col("c") >= least)
+        out = stored(seen, "counts")
+        _release(docs.sparkSession)
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, words in _parts(batches, 4 * ROWS_AT_A_TIME):
+            yield pa.RecordBatch.from_arrays([pa.array([len(words.hash)], pa.int64()), pa.array([int((words.count > 0).sum())], pa.int64())], names=["w", "t"])
+
+    tables = [[totals(size, k, slices if size == order else 1) for k in range(slices if size == order else 1)] for size in range(1, order + 1)]
+    n = texts.mapInArrow(sizes, "w bigint, t bigint").agg(F.sum("w"), F.sum("t")).first()
+    return Counts(order, slices, least, tables, n[0] or 0, n[1] or 0)
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A bit for each key, in FILTER_WORDS words."""
+    at = F.col("key").bitwiseAND(F.lit(64 * FILTER_WORDS - 1))
+    bits = keys.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(FILTER_WORDS, dtype=np.int64)
+    out[bits.column(0).to_numpy()] = bits.column(1).to_numpy()
+    return out.view(U64)
+
+
+def _pairs(docs: DataFrame, model: Counts, leave_out: bool) -> DataFrame:
+    """doc_id, n_words, s: parts of the scores by pairs of words, to be added up."""
+    spark, rows = docs.sparkSession, model.tables[0][0].toArrow()
+    keys, counts = rows.column("key").to_numpy().view(U64), rows.column("c").to_numpy()
+    by_key = np.argsort(keys)
+    known = spark.sparkContext.broadcast((keys[by_key], counts[by_key]))
+    n_all, n_texts, slices, back = model.words, model.n_texts, model.slices, np.log(ALPHA)
+
+    def looked_up(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word its count in the model and that of the word before it; for each text the model's words."""
+        of, c = known.value
+        first, which, own = words.own(words.hash)
+        seen = np.zeros(len(first), dtype=np.int64)
+        if len(of) and len(first):
+            at = np.minimum(np.searchsorted(of, words.hash[first]), len(of) - 1)
+            seen = np.where(of[at] == words.hash[first], c[at], 0)
+        seen = np.maximum(0, seen - own) if leave_out else seen
+        each = seen[which].astype(np.int64)
+        return each, words.before(each, n_texts - leave_out), np.maximum(1, n_all - leave_out * words.count)
+
+    def backed_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in _parts(batches, ROWS_AT_A_TIME):
-            s = np.zeros(part.num_rows)
-            if known.value is not None and len(known.value[0]):
-                of, logs = known.value
-                x, text = keys(words)
-                at = np.searchsorted(of, x)
-                at[at == len(of)] = 0
-                s = np.bincount(text, np.where(of[at] == x, logs[at], 0.0), minlength=part.num_rows)
+            seen, _, total = looked_up(words)
+            s = np.bincount(words.text, back + np.log(np.maximum(1, seen) / total[words.text]), minlength=part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words.count, pa.int64()), pa.array(s, pa.float64(), mask=words.count == 0)], names=["doc_id", "n_words", "s"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_words bigint, s double")
-
+    def asked(k: int, bits) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, words in _parts(batches, ROWS_AT_A_TIME):
+                seen, context, total = looked_up(words)
+                gram = words.ending(2)
+                slot = gram & U64(64 * FILTER_WORDS - 1)
+                may = (gram & U64(slices - 1) == k) & (seen > 0) & (context > 0) & ((bits.value[slot >> U64(6)] >> (slot & U64(63)) & U64(1)) == 1)
+                first, _, n = words.own(np.where(may, gram, U64(0)))
+                first, n = first[may[first]], n[may[first]]
+                less = n * (np.log(context[first]) + back + np.log(seen[first] / total[words.text[first]]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(words.text[first])), pa.array(gram[first].view(np.int64)), pa.array(n, pa.int64()), pa.array(less)], names=["doc_id", "key", "n", "less"])
+
+        return run
+
+    out = docs.mapInArrow(backed_off, "doc_id bigint, n_words bigint, s double")
+    for k, table in enumerate(model.tables[1]):
+        bits = spark.sparkContext.broadcast(_filter(table))
+        found = docs.mapInArrow(asked(k, bits), "doc_id bigint, key bigint, n bigint, less double").join(table, "key")
+        c = F.col("c") - F.col("n") if leave_out else F.col("c")
+        found = found.withColumn("c", c).filter("c > 0")
+        out = out.union(stored(found.groupBy("doc_id").agg(F.lit(0).cast("bigint").alias("n_words"), F.sum(F.col("n") * F.log("c") - F.col("less")).alias("s")), "sums"))
+        _release(spark)
+    return out
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs whose tables have been written and are referenced no more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
+def _by_place(docs: DataFrame, model: Counts, leave_out: bool) -> DataFrame:
+    """As _pairs(), for grams of any length and vocabularies of any size: every word's grams are joined to the tables."""
+    order, n_all = model.order, model.words
+    base = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, slices: int = SLICES, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """doc_id, n_words bigint, score double (sum of natural logarithms); order: 2 or more words to a gram."""
-    if order < 2:
-        raise ValueError("a gram has two words or more")
-    spark = docs.sparkSession
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, words in _parts(batches, ROWS_AT_A_TIME):
+            place, total = np.arange(len(words.hash)), np.maximum(1, n_all - leave_out * words.count)[words.text]
+            row = part.column(2).take(pa.array(words.text))
+            doc = part.column(0).take(pa.array(words.text))
+            shorter = own_shorter = None
+            for size in range(1, order + 1):
+                key = words.ending(size)
+                _, which, n = words.own(key)
+                own = n[which] if len(key) else n
+                context = words.before(shorter, marks(size - 1)) if size > 1 else key
+                own_context = words.before(own_shorter, 1) if size > 1 else own
+                columns = [doc, row, pa.array(place), pa.array(np.full(len(key), size)), pa.array(key.view(np.int64)), pa.array(own), pa.array(context.view(np.int64)), pa.array(own_context), pa.array(total)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "place", "size", "key", "own", "context", "own_context", "total"])
+                shorter, own_shorter = key, own
+
+    asked = base.mapInArrow(grams, "doc_id bigint, row bigint, place bigint, size bigint, key bigint, own bigint, context bigint, own_context bigint, total bigint")
+    table = None
+    for t in [t for tables in model.tables for t in tables]:
+        table = t if table is None else table.union(t)
+    off = lambda c, own: F.coalesce(F.col(c), F.lit(0)) - (F.col(own) if leave_out else F.lit(0))
+    met = asked.join(table, "key", "left").withColumn("c", off("c", "own"))
+    met = met.filter("size = 1 or c > 0").join(table.select(F.col("key").alias("context"), F.col("c").alias("d")), "context", "left").withColumn("d", off("d", "own_context"))
+    value = F.when(F.col("size") == 1, F.log(F.greatest(F.lit(1), F.col("c")) / F.col("total"))).otherwise(F.log(F.col("c") / F.col("d"))) + (order - F.col("size")) * F.lit(float(np.log(ALPHA)))
+    best = met.groupBy("doc_id", "row", "place").agg(F.max_by(value, "size").alias("v"))
+    sums = best.groupBy("doc_id", "row").agg(F.count("*").alias("n_words"), F.sum("v").alias("s")).select("doc_id", "n_words", "s")
+    return sums.union(docs.select("doc_id", F.lit(0).cast("bigint").alias("n_words"), F.lit(None).cast("double").alias("s")))
+
+
+def score(docs: DataFrame, model: Counts, id_col: str = "doc_id", text_col: str = "text", leave_out: bool = False, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """doc_id, n_words bigint, score double (sum of natural logarithms). leave_out: every row is one of the model's, and is
+    taken off it."""
+    if model.least > 1 and not leave_out:
+        raise ValueError("a model of what was seen twice serves leave_out alone")
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    grams, before, contexts = (lambda w: w.grams(order)), (lambda w: w.before(order)), (lambda w: w.contexts(order))
-
-    def log_counts(counted: Keys, sign: int, k: int, slices: int) -> DataFrame:
-        seen = totals(docs, counted, k, slices).groupBy("key").agg(F.sum("n").alias("c")).filter("c > 1")  # ln 1 = 0
-        out = stored(seen.select("key", (sign * F.log("c")).alias("log")), "log-counts")
-        _release(spark)
-        return out
+    short = model.order == 2 and model.tables[0][0].count() <= broadcast_keys
+    out = _pairs(docs, model, leave_out) if short else _by_place(docs, model, leave_out)
+    return out.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("s").alias("score"))
 
-    def sums(looked_up: Keys, logs: DataFrame, k: int, slices: int) -> DataFrame:
-        found = in_documents(docs, looked_up, k, slices).join(logs, "key")
-        out = stored(found.groupBy("doc_id").agg(F.lit(0).cast("bigint").alias("n_words"), F.sum(F.col("n") * F.col("log")).alias("s")), "sums")
-        _release(spark)
-        return out
 
-    many = slices if order > 2 else 1  # single words are fewer by far
-    of = [log_counts(contexts, -1, k, many) for k in range(many)]
-    if sum(x.count() for x in of) <= broadcast_keys:
-        rows = pa.concat_tables([x.toArrow() for x in of])
-        key, log = rows.column("key").to_numpy().view(U64), rows.column("log").to_numpy()
-        by_key = np.argsort(key)
-        out = lengths(docs, before, (key[by_key], log[by_key]))
-    else:
-        out = lengths(docs)
-        for k, logs in enumerate(of):
-            out = out.union(sums(before, logs, k, many))
-    for k in range(slices):
-        out = out.union(sums(grams, log_counts(grams, 1, k, slices), k, slices))
-    return out.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("s").alias("score"))
+def score_each_by_others(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", slices: int = SLICES, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """score() of each document by a model of all the others."""
+    return score(docs, count(docs, text_col, order, slices, least=2), id_col, text_col, leave_out=True, broadcast_keys=broadcast_keys)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = score(read(spark, sf_dir, "documents"))
+    out = score_each_by_others(read(spark, sf_dir, "documents"), order=2)
     return out.select("doc_id", "n_words", F.round("score", 4).alias("score"))
 
 
 ORACLE = f"""
-with words as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') as a from documents),
-tokens as (select doc_id, unnest(a) as w, unnest(list_prepend(' ', a[:len(a) - 1])) as p from words where len(a) > 0),
-one as (select w, count(*) as c from tokens group by 1),
-ctx as (select * from one union all select ' ', count(*) from words where len(a) > 0),
-two as (select p, w, count(*) as c from tokens group by 1, 2),
-scored as (select t.doc_id, case when two.c >= {MIN_COUNT} then ln(two.c::double / ctx.c) else ln({ALPHA} * one.c / (select sum(c) from one)) end as s
- from tokens t join two on two.p = t.p and two.w = t.w join ctx on ctx.w = t.p join one on one.w = t.w),
-sums as (select doc_id, sum(s) as s from scored group by 1)
-select words.doc_id, cast(sum(len(a)) as bigint) as n_words, round(any_value(sums.s), 4) as score
-from words left join sums on sums.doc_id = words.doc_id group by words.doc_id
+with words as (select row_number() over () as r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') as a from documents),
+tokens as (select r, unnest(a) as w, unnest(list_prepend(' ', a[:len(a) - 1])) as p from words where len(a) > 0),
+seen as (select r, w from tokens union all select r, ' ' from words where len(a) > 0),
+one as (select w, count(*) as c from seen group by 1), own1 as (select r, w, count(*) as c from seen group by 1, 2),
+two as (select p, w, count(*) as c from tokens group by 1, 2), own2 as (select r, p, w, count(*) as c from tokens group by 1, 2, 3),
+n as (select sum(len(a)) as n from words), own as (select r, len(a) as n from words),
+scored as (select o.r, o.c as times, t.c - o.c as c2, x.c - xo.c as cp, u.c - uo.c as c1, n.n - own.n as total
+ from own2 o join two t on t.p = o.p and t.w = o.w join one x on x.w = o.p join own1 xo on xo.r = o.r and xo.w = o.p
+ join one u on u.w = o.w join own1 uo on uo.r = o.r and uo.w = o.w join own on own.r = o.r, n),
+sums as (select r, sum(times * case when c2 > 0 then ln(c2::double / cp) else ln({ALPHA}) + ln(greatest(1, c1)::double / greatest(1, total)) end) as s from scored group by 1)
+select doc_id, cast(sum(len(a)) as bigint) as n_words, round(sum(sums.s), 4) as score from words left join sums on sums.r = words.r group by doc_id
 """

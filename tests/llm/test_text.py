@@ -368,27 +368,55 @@ def test_secret_plan_has_no_python(spark, sf):
 
 
 def test_scores_odd_rows(odd_docs, no_docs):
-    rows = {r.doc_id: r for r in lm_scoring.score(odd_docs).collect()}
-    assert rows[3].n_words == 0 and rows[3].score is None and rows[8].n_words == 2 and rows[1].score == rows[2].score
-    assert lm_scoring.score(no_docs).count() == 0
-
-
-def test_scores_count_what_was_seen_once(spark):
-    r = random.Random(6)
-    texts = [" ".join(r.choice("abcdef") for _ in range(r.randint(0, 30))) for _ in range(40)] + ["once upon a time", None]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    for order, out in ((2, lm_scoring.score(docs)), (2, lm_scoring.score(docs, broadcast_keys=0)), (3, lm_scoring.score(docs, order=3, slices=4)), (3, lm_scoring.score(docs, order=3, broadcast_keys=0))):
-        words = [[" "] * (order - 1) + t.split() if t and t.split() else [] for t in texts]
-        count: dict[tuple, int] = {}
-        for w in words:
-            for k in range(order - 1, len(w)):
-                count[tuple(w[k - order + 1 : k + 1])] = count.get(tuple(w[k - order + 1 : k + 1]), 0) + 1
-            for k in range(order - 2, len(w)):
-                count[tuple(w[k - order + 2 : k + 1])] = count.get(tuple(w[k - order + 2 : k + 1]), 0) + 1
-        for x in out.collect():
-            w = words[x.doc_id]
-            want = sum(math.log(count[tuple(w[k - order + 1 : k + 1])] / count[tuple(w[k - order + 1 : k])]) for k in range(order - 1, len(w)))
-            assert x.n_words == max(0, len(w) - order + 1) and (x.score == pytest.approx(want) if w else x.score is None)
+    for order in (2, 3):
+        rows = {r.doc_id: r for r in lm_scoring.score_each_by_others(odd_docs, order).collect()}
+        assert rows[3].n_words == 0 and rows[3].score is None and rows[8].n_words == 2 and rows[1].score == pytest.approx(rows[2].score) and None in rows and len(rows) == 11
+        assert lm_scoring.score_each_by_others(no_docs, order).count() == 0
+        assert [r.score for r in lm_scoring.score(odd_docs, lm_scoring.count(no_docs, order=order)).filter("doc_id = 9").collect()] == [pytest.approx(5 * (order - 1) * math.log(0.4))]
+
+
+def slow_score(texts, model, order, leave_out):
+    """Sum of the longest seen gram's share, word by word; which levels were used."""
+    def sequences(t):
+        words = (t or "").lower().split()
+        padded = [" "] * order + words
+        return Counter(tuple(padded[k - m + 1 : k + 1]) for m in range(1, order + 1) for k in range(order - 1, len(padded))) if words else Counter()
+
+    every, levels, out = sum((sequences(t) for t in model), Counter()), Counter(), []
+    total = sum(len((t or "").split()) for t in model)
+    for t in texts:
+        words = (t or "").lower().split()
+        c, n = (every - sequences(t), total - len(words)) if leave_out else (every, total)
+        padded, s = [" "] * order + words, 0.0
+        for k in range(order, len(padded)):
+            m = next((m for m in range(order, 1, -1) if c[tuple(padded[k - m + 1 : k + 1])] > 0), 1)
+            gram = tuple(padded[k - m + 1 : k + 1])
+            s += (order - m) * math.log(0.4) + math.log(c[gram] / c[gram[:-1]] if m > 1 else max(1, c[gram]) / max(1, n))
+            levels[m if c[gram] else 0] += 1
+        out.append((len(words), s if words else None))
+    return out, levels
+
+
+@pytest.mark.parametrize("order,slices,keys", [(2, 2, 10**6), (2, 4, 0), (3, 2, 10**6), (4, 1, 0)])
+def test_scores_back_off_level_by_level(spark, order, slices, keys):
+    draw = random.Random(order)
+    texts = [" ".join(draw.choice("abcdefgh") if draw.random() < 0.9 else f"w{draw.randrange(300)}" for _ in range(draw.randint(0, 30))) for _ in range(60)]
+    texts += ["once upon a time", None, "", texts[0], texts[0], "A b C", "lonely"]
+    docs = spark.createDataFrame([(k, t, 1.0) for k, t in enumerate(texts)], "doc_id bigint, text string, score double")
+    others = {r.doc_id: (r.n_words, r.score) for r in lm_scoring.score_each_by_others(docs, order, slices=slices, broadcast_keys=keys).collect()}
+    model = lm_scoring.count(docs.filter("doc_id % 2 = 0"), order=order, slices=slices)
+    half = {r.doc_id: (r.n_words, r.score) for r in lm_scoring.score(docs, model, broadcast_keys=keys).collect()}
+    for got, (want, levels) in ((others, slow_score(texts, texts, order, True)), (half, slow_score(texts, texts[::2], order, False))):
+        assert all(levels[m] > 0 for m in range(order + 1)), levels  # each level is used, and words that nobody else has
+        assert got == {k: (n, pytest.approx(s) if s is not None else None) for k, (n, s) in enumerate(want)}
+
+
+def test_scores_through_a_full_filter(spark, monkeypatch):
+    """A filter whose bits are all set lets every gram through, with the same result."""
+    docs = spark.createDataFrame([(k, f"a b c w{k % 3} d{k}") for k in range(30)], "doc_id bigint, text string")
+    want = sorted(lm_scoring.score_each_by_others(docs, 2).collect())
+    monkeypatch.setattr(lm_scoring, "FILTER_WORDS", 1)
+    assert [(r[0], r[1], pytest.approx(r[2])) for r in want] == sorted(tuple(r) for r in lm_scoring.score_each_by_others(docs, 2).collect())
 
 
 @pytest.mark.parametrize("unit", ["<a", "<!", "<svg>", "<span>", "<script", "<!--", '<p a="', "<p a='x", "</b>", "a<b>", "<li>", "<p>"])
