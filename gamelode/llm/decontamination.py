@@ -17,7 +17,7 @@ the lemma could not hold.
 
 Defined cases: null and empty texts or passages match nothing; a passage without q letters must occur unchanged; passages
 that several items share are reported for each item; empty tables give empty results or rows without spans; other columns
-pass through.
+pass through, but for columns named spans, _more or _row, which the result replaces or leaves out.
 """
 
 from __future__ import annotations

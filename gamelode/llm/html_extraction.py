@@ -7,7 +7,8 @@ siblings, and landmarks above it. Gradient-boosted trees give the probability th
 is, and of all such choices the likeliest is taken, so no kept block lies in a dropped one.
 
 Training is bounded: SYNTHETIC labelled pages of many layouts made here from a seed, and at most WEAK pages of the given
-table whose landmark elements tell article and surroundings apart. Every page is then read whole.
+table, their first WEAK_CHARS characters, whose landmark elements tell article and surroundings apart. Every page is then
+read whole.
 
 Text: character references are decoded; white space inside a block becomes one space; blocks are trimmed and joined in
 page order by one line break. Scripts, styles, controls of forms, comments of the markup and the head never count as text. A
@@ -41,6 +42,7 @@ from pyspark.sql import functions as F
 from .common import read
 
 SYNTHETIC, WEAK, TREES, DEPTH = 600, 150, 30, 4
+WEAK_CHARS = 200_000  #: of a page that trains; no other page is cut
 
 # Element names and tell-tale words.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -461,7 +463,7 @@ def extract(pages: DataFrame, trees: Trees, id_col: str = "page_id", url_col: st
 
 def weak_sample(pages: DataFrame, rows: int = WEAK, id_col: str = "page_id", html_col: str = "html") -> list[str]:
     ids = pages.select(id_col).filter(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    few = pages.join(F.broadcast(ids.distinct()), id_col, "left_semi").select(id_col, F.substring(F.col(html_col), 1, 200_000).alias("html"))
+    few = pages.join(F.broadcast(ids.distinct()), id_col, "left_semi").select(id_col, F.substring(F.col(html_col), 1, WEAK_CHARS).alias("html"))
     return [x.html for x in sorted(few.limit(4 * rows).collect(), key=lambda x: (x[0], x.html or "")) if x.html]
 
 

@@ -10,8 +10,9 @@ Dictionary. Each distinct phrase (by 128 bits) once, with the smallest and the l
 by triggers; in each part the suffixes of its phrases are sorted by their bytes (suffix array, eight bytes a round, only
 ties going on), and neighbours with 50 equal bytes form a group, whose least document is the smallest one that has the
 string. A trigger in a large part of all documents may have as many phrases as there are documents, at the edges of a
-shared passage: the strings of such triggers' phrases are dealt out one by one, by their own hash, so that no part of the
-dictionary grows with the documents that share a passage.
+shared passage: the strings of such triggers' phrases are dealt out one by one, by their own hash. What still grows with the
+documents that share a passage is the part of a string at the passage's very edge: it has a row for each phrase that holds
+the string, and thus one for each different continuation.
 
 Parse. The phrases of all documents in order, as (phrase, document, place). Joined to the dictionary's results (AQE splits what
 is frequent), it gives the corpus order its documents: each string whose group has a smaller document is a span.
