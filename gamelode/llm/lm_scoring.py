@@ -32,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import GOLDEN, U64, mix, read, stored
@@ -81,10 +81,17 @@ class Words:
             out[np.append(True, self.text[1:] != self.text[:-1])] = first
         return out
 
-    def own(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of keys of the words: the places of the first of each key in each text, which of these each word is, and how often
-        the text has it. Within a batch a key's text stands in for its last bits."""
-        _, first, which, n = np.unique((self.text.astype(U64) << U64(55)) | (keys >> U64(9)), return_index=True, return_inverse=True, return_counts=True)
+    def own(self, keys: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of keys of the words (or of those at some places): a place of each key in each text, which of these each word is, and
+        how often the text has it. Within a batch a key's text stands in for its last bits."""
+        text, keys = (self.text, keys) if at is None else (self.text[at], keys[at])
+        x = (text.astype(U64) << U64(55)) | (keys >> U64(9))
+        order = np.argsort(x)
+        new = np.append(True, x[order[1:]] != x[order[:-1]])[: len(x)]
+        first = order[new] if at is None else at[order[new]]
+        which = np.empty(len(x), dtype=np.int64)
+        which[order] = np.cumsum(new) - 1
+        n = np.diff(np.append(np.flatnonzero(new), len(x)))
         return first, which, n
 
 
@@ -126,26 +133,37 @@ def count(docs: DataFrame, text_col: str = "text", order: int = ORDER, slices: i
     """The model of some documents. least: 2 for a model from which every scored document is to be taken off again."""
     texts = docs.select(F.lit(0).alias("_"), F.col(text_col).alias("text"))
 
-    def totals(size: int, k: int, of: int) -> DataFrame:
+    def totals(sizes: range, k: int) -> DataFrame:
+        """size, key, c of sequences of some lengths; of the longest ones, those of slice k. The words and texts that there are
+        go by in the same job, if it has single words."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, words in _parts(batches, 4 * ROWS_AT_A_TIME):
-                x = words.ending(size)
-                x = np.append(x, np.full(int((words.count > 0).sum()) if size < order else 0, marks(size), dtype=U64))
-                key, n = np.unique(x[x & U64(of - 1) == k], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
-
-        seen = texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("c")).filter(F.col("c") >= least)
-        out = stored(seen, "counts")
+                for size in sizes:
+                    x = words.ending(size)
+                    if size == order:
+                        x = x[x & U64(slices - 1) == k]
+                    else:
+                        x = np.append(x, np.full(int((words.count > 0).sum()), marks(size), dtype=U64))
+                    key, n = np.unique(x, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), size, dtype=np.int32)), pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["size", "key", "n"])
+
+        seen = texts.mapInArrow(run, "size int, key bigint, n bigint").groupBy("size", "key").agg(F.sum("n").alias("c"))
+        single = F.col("size") == 1
+        watch = Observation("counts")
+        begins = F.col("key") == int(marks(1).astype(np.int64))
+        seen = seen.observe(watch, F.sum(F.when(single & ~begins, F.col("c"))).alias("words"), F.sum(F.when(single & begins, F.col("c"))).alias("texts"))
+        out = stored(seen.filter(F.col("c") >= least), "counts")
+        if 1 in sizes:
+            sums.update(watch.get)
         _release(docs.sparkSession)
         return out
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words in _parts(batches, 4 * ROWS_AT_A_TIME):
-            yield pa.RecordBatch.from_arrays([pa.array([len(words.hash)], pa.int64()), pa.array([int((words.count > 0).sum())], pa.int64())], names=["w", "t"])
-
-    tables = [[totals(size, k, slices if size == order else 1) for k in range(slices if size == order else 1)] for size in range(1, order + 1)]
-    n = texts.mapInArrow(sizes, "w bigint, t bigint").agg(F.sum("w"), F.sum("t")).first()
-    return Counts(order, slices, least, tables, n[0] or 0, n[1] or 0)
+    sums: dict[str, int | None] = {}
+    all_sizes = totals(range(1, order + 1), 0)
+    of = lambda table, size: table.filter(F.col("size") == size).select("key", "c")
+    longest = [of(all_sizes, order), *(of(totals(range(order, order + 1), k), order) for k in range(1, slices))]
+    return Counts(order, slices, least, [*([of(all_sizes, size)] for size in range(1, order)), longest], sums["words"] or 0, sums["texts"] or 0)
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
@@ -177,33 +195,39 @@ def _pairs(docs: DataFrame, model: Counts, leave_out: bool) -> DataFrame:
         each = seen[which].astype(np.int64)
         return each, words.before(each, n_texts - leave_out), np.maximum(1, n_all - leave_out * words.count)
 
-    def backed_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, words in _parts(batches, ROWS_AT_A_TIME):
-            seen, _, total = looked_up(words)
-            s = np.bincount(words.text, back + np.log(np.maximum(1, seen) / total[words.text]), minlength=part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words.count, pa.int64()), pa.array(s, pa.float64(), mask=words.count == 0)], names=["doc_id", "n_words", "s"])
-
     def asked(k: int, bits) -> Callable:
+        """doc_id, key, n, less: pairs that may be in a slice's table, with what they score backed off. The first slice also has a
+        row for each text under a key of its own: its words, and what it scores if all of them back off, negative."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, words in _parts(batches, ROWS_AT_A_TIME):
                 seen, context, total = looked_up(words)
+                backed_off = back + np.log(np.maximum(1, seen) / total[words.text])
                 gram = words.ending(2)
                 slot = gram & U64(64 * FILTER_WORDS - 1)
-                may = (gram & U64(slices - 1) == k) & (seen > 0) & (context > 0) & ((bits.value[slot >> U64(6)] >> (slot & U64(63)) & U64(1)) == 1)
-                first, _, n = words.own(np.where(may, gram, U64(0)))
-                first, n = first[may[first]], n[may[first]]
-                less = n * (np.log(context[first]) + back + np.log(seen[first] / total[words.text[first]]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(words.text[first])), pa.array(gram[first].view(np.int64)), pa.array(n, pa.int64()), pa.array(less)], names=["doc_id", "key", "n", "less"])
+                may = np.flatnonzero((gram & U64(slices - 1) == k) & (seen > 0) & (context > 0) & ((bits.value[slot >> U64(6)] >> (slot & U64(63)) & U64(1)) == 1))
+                first, _, n = words.own(gram, may)
+                less = n * (np.log(context[first]) + backed_off[first])
+                texts, key = words.text[first], gram[first].view(np.int64)
+                if k == 0:
+                    texts, key = np.append(texts, np.arange(part.num_rows)), np.append(key, np.full(part.num_rows, whole))
+                    n, less = np.append(n, words.count), np.append(less, -np.bincount(words.text, backed_off, minlength=part.num_rows))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(texts)), pa.array(key), pa.array(n.astype(np.int64)), pa.array(less)], names=["doc_id", "key", "n", "less"])
 
         return run
 
-    out = docs.mapInArrow(backed_off, "doc_id bigint, n_words bigint, s double")
+    out, whole = None, int(mix(np.array([START ^ GOLDEN]))[0].astype(np.int64))
+    text = F.col("key") == whole
     for k, table in enumerate(model.tables[1]):
         bits = spark.sparkContext.broadcast(_filter(table))
+        if k == 0:
+            table = table.union(spark.range(1).select(F.lit(whole).alias("key"), F.lit(1).cast("bigint").alias("c")))
         found = docs.mapInArrow(asked(k, bits), "doc_id bigint, key bigint, n bigint, less double").join(table, "key")
         c = F.col("c") - F.col("n") if leave_out else F.col("c")
-        found = found.withColumn("c", c).filter("c > 0")
-        out = out.union(stored(found.groupBy("doc_id").agg(F.lit(0).cast("bigint").alias("n_words"), F.sum(F.col("n") * F.log("c") - F.col("less")).alias("s")), "sums"))
+        found = found.withColumn("c", F.when(text, 1).otherwise(c)).filter("c > 0")
+        s = F.when(text, F.when(F.col("n") > 0, -F.col("less"))).otherwise(F.col("n") * F.log("c") - F.col("less"))
+        some = stored(found.groupBy("doc_id").agg(F.sum(F.when(text, F.col("n")).otherwise(0)).alias("n_words"), F.sum(s).alias("s")), "sums")
+        out = some if out is None else out.union(some)
         _release(spark)
     return out
 
