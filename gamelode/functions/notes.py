@@ -82,3 +82,15 @@ def prompt(genres: C, text: C, question: str = "Answer with JSON only.", limit:
 def repair_text(text: C, broken: Column, replacement: C) -> tuple[Column, Column]:
     """The text, or the replacement where it is broken; and whether it was."""
     return F.when(broken, _c(replacement)).otherwise(_c(text)), broken
+
+
+def few_shot_prompt(text: C, examples: C, topics: dict[str, str], rules: tuple[str, ...] = (), task: str = "Sort the topics of the last review.", limit: int = 2000) -> Column:
+    """A request with the topics and their definitions, rules, and the row's own labelled examples: an array of structs review,
+    positive, negative (arrays of topics), in their order. Null or empty examples give a line that says so."""
+    listed = "\n".join(f"- {name}: {says}" for name, says in topics.items())
+    ruled = "\n".join(f"- {r}" for r in rules) or "- none"
+    names = lambda a: F.to_json(F.coalesce(a, F.array().cast("array<string>")))
+    block = lambda e, i: F.concat(F.lit("Example "), (i + 1).cast("string"), F.lit("\nReview: "), F.coalesce(e["review"], F.lit("")), F.lit("\npositive: "), names(e["positive"]), F.lit("\nnegative: "), names(e["negative"]))
+    shown = F.when(F.size(_c(examples)) > 0, F.array_join(F.transform(_c(examples), block), "\n\n")).otherwise(F.lit("(no examples)"))
+    head = f"{task}\n\nTopics: {', '.join(topics)}\n{listed}\n\nRules:\n{ruled}\n\n"
+    return F.concat(F.lit(head), shown, F.lit("\n\nReview: "), F.substring(F.coalesce(_c(text), F.lit("")), 1, limit), F.lit('\nAnswer as {"positive": [], "negative": []}.'))

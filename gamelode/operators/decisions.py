@@ -73,3 +73,25 @@ def score_distribution(scores: DataFrame, axes: list[str]) -> DataFrame:
     """axis, score, n."""
     long = scores.select(F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).alias("score")) for a in axes))).alias("x"))
     return long.groupBy("x.axis", "x.score").agg(F.count("*").alias("n"))
+
+
+def marker_targets(df: DataFrame, key: str, text: str, markers: tuple[str, ...], critical: DataFrame) -> DataFrame:
+    """Rows whose text has any of the markers, as plain text, and whose key is not among the critical ones."""
+    has = F.lit(False)
+    for m in markers:
+        has = has | F.contains(F.col(text), F.lit(m))
+    return df.filter(F.coalesce(has, F.lit(False))).join(critical.select(key), key, "left_anti")
+
+
+def fixes_of(judged: DataFrame, key: str, before: str = "before", after: str = "after", supported: str = "supported") -> DataFrame:
+    """judged: key, before, after, supported (null where there is no verdict). What is to be put in: rewrites of texts that are not
+    supported, if they are neither blank nor what stood there."""
+    changed = ~F.col(supported) & (F.trim(F.coalesce(after, F.lit(""))) != "") & ~F.col(after).eqNullSafe(F.col(before))
+    return judged.filter(F.coalesce(changed, F.lit(False))).select(key, F.col(after).alias("text"))
+
+
+def fix_report(judged: DataFrame, key: str, before: str = "before", after: str = "after", supported: str = "supported") -> DataFrame:
+    """One row: targets, supported, unsupported, applied_fixes."""
+    applied = fixes_of(judged, key, before, after, supported).agg(F.count("*").alias("applied_fixes"))
+    counts = judged.agg(F.count("*").alias("targets"), F.count_if(F.col(supported)).alias("supported"), F.count_if(~F.col(supported)).alias("unsupported"))
+    return counts.crossJoin(F.broadcast(applied))  # one row each

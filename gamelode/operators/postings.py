@@ -27,7 +27,7 @@ from gamelode.functions import text as T
 from gamelode.operators.ranking import topk_per_group
 from gamelode.sources.scratch import scratch, stored
 
-SPAN, BUCKETS, SHARE = 256, 16, 0.35  #: SHARE: of the bound that the second round may hold
+SPAN, BUCKETS, SHARE = 2048, 16, 0.35  #: SHARE: of the bound that the second round may hold
 LITERAL_TERMS, SLACK = 1000, 1e-5  #: up to so many different words are a filter of the scan; scores are rounded to 6 places
 
 
@@ -72,12 +72,10 @@ class PostingsIndex:
         rows = words.select("doc_id", F.size("t").cast("bigint").alias("len"), F.explode(F.array_append("t", F.lit(""))).alias("term"))
         postings = rows.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
         at = F.floor(F.col("doc_id") / self.span).alias("range")
-        blocks = postings.groupBy("term", at).agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("p"))
+        placed = postings.repartition(self.buckets, "term")  # the one shuffle that blocks and buckets share
+        blocks = placed.groupBy("term", at).agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.collect_list(F.struct("doc_id", "tf", "len")).alias("p"))
         blocks = blocks.select("term", "range", "n", "max_tf", "min_len", F.col("p.doc_id").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"))
-        (
-            blocks.repartition(self.buckets, "term").write.format("parquet").mode("append").option("path", f"{self.path}/blocks")
-            .bucketBy(self.buckets, "term").sortBy("term", "range").saveAsTable(self.name)
-        )
+        blocks.write.format("parquet").mode("append").option("path", f"{self.path}/blocks").bucketBy(self.buckets, "term").sortBy("term", "range").saveAsTable(self.name)
         if not self.made:
             self.spark.createDataFrame([(self.span, self.buckets)], "span int, buckets int").coalesce(1).write.json(f"{self.path}/about")
             self.made = True

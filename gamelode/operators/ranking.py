@@ -59,7 +59,7 @@ def mmr_select(cands: DataFrame, query: str, rank: str, query_vec: str, vec: str
         while len(chosen) < k:
             last = v @ v[chosen[-1]]
             nearest = last if nearest is None else np.maximum(nearest, last)
-            score = lam * sim - (1 - lam) * nearest
+            score = np.round(lam * sim - (1 - lam) * nearest, 12)  # equal scores, as beside the query's own vector, go by rank
             score[chosen] = -np.inf
             chosen.append(int(score.argmax()))
         return pdf.iloc[chosen].assign(mmr_rank=np.arange(1, k + 1, dtype="int32"))
@@ -132,15 +132,17 @@ def projection_codes(vectors: DataFrame, key: str, vec: str, tables: int, planes
     return vectors.select(key, vec).filter(F.col(vec).isNotNull()).mapInPandas(run, f"{key} bigint, table bigint, code bigint")
 
 
-def near_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", query_vec: str = "query_vec", key: str = "vec_id", vec: str = "embedding", tables: int = 8, planes: int = 8, probes: int = 12) -> DataFrame:
+def near_topk(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", query_vec: str = "query_vec", key: str = "vec_id", vec: str = "embedding", tables: int = 12, planes: int = 8, probes: int = 16) -> DataFrame:
     """An approximate dense_topk(): exact cosines, but only of vectors that share a code with the query in some table. A query is
     joined to its buckets on equal keys, so that what is compared follows the buckets and not the corpus; more tables or probes
     raise the recall. dense_topk() is the exact way."""
     own = projection_codes(corpus, key, vec, tables, planes)
     asked = projection_codes(queries, query_id, query_vec, tables, planes, probes)
     pairs = asked.join(own, ["table", "code"]).select(query_id, key).distinct()
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
-    left, right = queries.select(query_id, unit(F.col(query_vec)).alias("_q")), corpus.select(key, unit(F.col(vec)).alias("_v"))
-    dot = F.aggregate(F.zip_with("_q", "_v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.join(left, query_id).join(right, key).select(query_id, key, F.round(F.coalesce(F.nanvl(dot, F.lit(0.0)), F.lit(0.0)), 9).alias("score"))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double")))
+    left = queries.select(query_id, F.col(query_vec).alias("_q"), norm(F.col(query_vec)).alias("_qn"))
+    right = corpus.select(key, F.col(vec).alias("_v"), norm(F.col(vec)).alias("_vn"))
+    dot = F.aggregate(F.zip_with("_q", "_v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    both = F.col("_qn") * F.col("_vn")
+    scored = pairs.join(left, query_id).join(right, key).select(query_id, key, F.round(dot / F.when(both == 0, 1.0).otherwise(both), 9).alias("score"))
     return topk_per_group(scored, [query_id], [F.desc("score"), F.col(key)], k)

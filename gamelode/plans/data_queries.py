@@ -11,6 +11,7 @@ from gamelode.operators import aggregates as G
 from gamelode.operators import decisions as D
 from gamelode.operators import ranking as K
 from gamelode.operators import sampling as U
+from gamelode.operators.behaviour import STRIDES, cold_start
 from gamelode.plans.bindings import Registry
 
 R = Registry()
@@ -319,10 +320,25 @@ def _(t):
     return D.score_distribution(t("judge_scores"), AXES)
 
 
-@R.add("g17_marker_targets", "select count(*) as targets, count(*) filter (where quality = 1) as supported, count(*) filter (where quality = 0) as unsupported from documents d left join labels l using (doc_id) where regexp_matches(text, 'License|trash|stupid') and doc_id not in (select doc_id from labels where toxic = 1)")
+JUDGED = """t as (select d.doc_id, d.text as before, l.quality = 1 as supported, case doc_id % 4 when 0 then d.text when 1 then ' ' else substr(d.text, 1, 80) end as after
+ from documents d left join labels l using (doc_id) where regexp_matches(d.text, 'License|trash|stupid|!!|%%') and doc_id not in (select doc_id from labels where toxic = 1)),
+fixes as (select doc_id, after as text from t where supported = false and trim(after) <> '' and after <> before)"""
+
+
+def _judged(t):
+    hit = D.marker_targets(t("documents"), "doc_id", "text", ("License", "trash", "stupid", "!!", "%%"), t("labels").filter("toxic = 1")).join(t("labels"), "doc_id", "left")
+    after = F.when(F.col("doc_id") % 4 == 0, F.col("text")).when(F.col("doc_id") % 4 == 1, " ").otherwise(F.substring("text", 1, 80))
+    return hit.select("doc_id", F.col("text").alias("before"), (F.col("quality") == 1).alias("supported"), after.alias("after"))
+
+
+@R.add("g17_marker_targets", f"with {JUDGED} select count(*) as targets, count(*) filter (where supported) as supported, count(*) filter (where not supported) as unsupported, (select count(*) from fixes) as applied_fixes from t")
+def _(t):
+    return D.fix_report(_judged(t), "doc_id")
+
+
+@R.add("g17_fixes", f"with {JUDGED} select * from fixes")
 def _(t):
-    hit = t("documents").filter(F.col("text").rlike("License|trash|stupid")).join(t("labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_anti")
-    return hit.join(t("labels"), "doc_id", "left").agg(F.count("*").alias("targets"), F.count_if(F.col("quality") == 1).alias("supported"), F.count_if(F.col("quality") == 0).alias("unsupported"))
+    return D.fixes_of(_judged(t), "doc_id")
 
 
 @R.add("g19_source_summary", f"with r as ({RARE_SQL}), s as (select * from (select *, row_number() over (partition by target_label order by {H.format(3, 'doc_id')}, doc_id) as n from r) where n <= 10) select target_label, count(*) as matched, (select count(*) from s where s.target_label = r.target_label) as sampled, (select count(*) from s join r r2 on r2.doc_id = s.doc_id where r2.target_label = r.target_label and s.target_label = r.target_label) as mentions from r group by target_label")
@@ -351,13 +367,15 @@ def _(t):
     return t("interactions").withColumn("n", F.row_number().over(w)).filter("n <= 10").select("user_id", "event_id", (F.col("n") - 1).cast("bigint").alias("place"))
 
 
-@R.add("t04_cold_start", f"""with new as (select c_custkey from customer where c_custkey not in (select o_custkey from orders)),
-pick as (select appid, row_number() over (order by {H.format(1, 'appid')}, appid) as rank from apps where type = 'game' order by rank limit 5)
-select c_custkey, appid, rank, round(0.72 + 0.17 * (('0x' || substr(md5(concat('2:', c_custkey, ':', appid)), 1, 8))::bigint / 4294967296.0), 4) as score from new cross join pick""", "apps")
-def _(t):
-    from gamelode.functions.hashing import uniform
+NUMBER = "('0x' || substr(md5({0}), 1, 8))::bigint"
 
-    new = t("customer").select("c_custkey").join(t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
-    pick = t("apps").filter("type = 'game'").select("appid").orderBy(hash_order(1, "appid"), "appid").limit(5)
-    pick = K.rank_rows(pick.withColumn("one", F.lit(1)), ["one"], [hash_order(1, "appid"), F.col("appid")]).select("appid", F.col("rank").cast("bigint").alias("rank"))
-    return new.crossJoin(F.broadcast(pick)).select("c_custkey", "appid", "rank", F.round(0.72 + 0.17 * uniform(2, "c_custkey", "appid"), 4).alias("score"))
+
+@R.add("t04_cold_start", f"""with new as (select c_custkey from customer where c_custkey not in (select user_id from events)),
+placed as (select appid, row_number() over (order by {H.format(1, 'appid')}, appid) - 1 as at, count(*) over () as n from apps where type = 'game'),
+s as (select list(p order by o) as strides from (values {', '.join(f'({p}, {k})' for k, p in enumerate(STRIDES))}) v(p, o) where (select max(n) from placed) % p <> 0),
+u as (select c_custkey, {NUMBER.format("concat('1 begin own:', c_custkey)")} as b, strides[{NUMBER.format("concat('1 stride own:', c_custkey)")} % len(strides) + 1] as s from new, s)
+select c_custkey, p.appid, k + 1 as rank, round(0.72 + 0.17 * ({NUMBER.format("concat('1 score own:', c_custkey, ':', p.appid)")} / 4294967296.0), 4) as score
+from u, range(5) r(k) join placed p on p.at = (b + k * s) % p.n""", "apps")
+def _(t):
+    new = t("customer").select("c_custkey").join(t("events").select(F.col("user_id").alias("c_custkey")), "c_custkey", "left_anti")
+    return cold_start(new, t("apps").filter("type = 'game'"), t("apps"), 5, "c_custkey", 1)

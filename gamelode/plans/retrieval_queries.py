@@ -62,6 +62,13 @@ def _(t):
     return _dense(t, 10).select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"))
 
 
+@R.add("r03_near_search")
+def _(t):
+    e = t("embeddings")
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return K.near_topk(q, e, 10).select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"))
+
+
 @R.add("r04_cosine_to_unit", f"with {DENSE} select query_id, vec_id, round(least(1.0, greatest(0.0, (score + 1) / 2)), 6) as unit from de where rank <= 10")
 def _(t):
     return _dense(t, 10).select("query_id", "vec_id", F.round(V.cosine_to_unit(F.col("score")), 6).alias("unit"))

@@ -8,6 +8,7 @@ from gamelode.functions import hashing as H
 from gamelode.functions import notes as N
 from gamelode.functions import text as T
 from gamelode.operators import aggregates as G
+from gamelode.operators import ranking as K
 from gamelode.plans.bindings import Registry
 
 R = Registry()
@@ -196,6 +197,23 @@ def _(t):
     return t("documents").select("doc_id", N.prompt(genres, "text").alias("prompt"))
 
 
+TOPICS = {"story": "what is told", "price": "what it costs"}
+RULES = ("Only these topics.", "No other words.")
+FEW_HEAD = "Sort the topics of the last review.\n\nTopics: story, price\n- story: what is told\n- price: what it costs\n\nRules:\n- Only these topics.\n- No other words.\n\n"
+
+
+@R.add("p22_few_shot_prompts", f"""
+with ex as (select doc_id, source, text, quality, row_number() over (partition by source order by doc_id) as n from documents join labels using (doc_id)),
+shown as (select source, string_agg(concat('Example ', n, chr(10), 'Review: ', substr(text, 1, 100), chr(10), 'positive: ', case when quality = 1 then '["story"]' else '[]' end, chr(10), 'negative: ', case when quality = 0 then '["price"]' else '[]' end), chr(10) || chr(10) order by n) as blocks from ex where n <= 3 group by 1)
+select doc_id, concat('{FEW_HEAD}', coalesce(blocks, '(no examples)'), chr(10), chr(10), 'Review: ', substr(text, 1, 2000), chr(10), 'Answer as {{"positive": [], "negative": []}}.') as prompt from documents d left join shown on shown.source = d.source""")
+def _(t):
+    ex = K.topk_per_group(t("documents").join(t("labels"), "doc_id"), ["source"], ["doc_id"], 3)
+    topics = lambda value, name: F.when(F.col("quality") == value, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+    block = F.struct(F.col("rank"), F.substring("text", 1, 100).alias("review"), topics(1, "story").alias("positive"), topics(0, "price").alias("negative"))
+    shown = ex.groupBy("source").agg(F.sort_array(F.collect_list(block)).alias("examples"))
+    return t("documents").join(shown, "source", "left").select("doc_id", N.few_shot_prompt("text", "examples", TOPICS, RULES).alias("prompt"))
+
+
 @R.add("p23_chat_messages", """
 select conv_id, min(turn) as turn, first(text order by turn) as query, cast(len(list_distinct(regexp_extract_all(first(text order by turn), '[0-9A-Za-z_]+'))) as bigint) as n_tags from conversations where role = 'user' group by conv_id""")
 def _(t):

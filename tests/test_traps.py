@@ -251,7 +251,7 @@ def _mmr(rows, k, lam=0.5):
     chosen = [max(range(len(rows)), key=lambda i: (dot(vecs[i], q), -i))]
     while len(chosen) < k:
         left = [i for i in range(len(rows)) if i not in chosen]
-        chosen.append(max(left, key=lambda i: (lam * dot(vecs[i], q) - (1 - lam) * max(dot(vecs[i], vecs[j]) for j in chosen), -i)))
+        chosen.append(max(left, key=lambda i: (round(lam * dot(vecs[i], q) - (1 - lam) * max(dot(vecs[i], vecs[j]) for j in chosen), 12), -i)))
     return [rows[i][1] for i in chosen]
 
 
@@ -371,3 +371,37 @@ def test_longest_common_subsequence_stays_in_the_jvm(spark, sf):
     rows = [([], []), (["a"], []), (["a", "b", "a", "c"], ["b", "a", "a", "c", "a"]), (None, ["a"]), (["x"] * 30, ["x"] * 20)]
     got = spark.createDataFrame(rows, "a array<string>, b array<string>").select(L.lcs_length(F.col("a"), F.col("b"))).collect()
     assert [r[0] for r in got] == [0, 0, 3, None, 20]
+
+
+def test_new_users_get_games_in_orders_of_their_own(spark):
+    users = spark.range(400).select(F.col("id").alias("user_id"))
+    games, every = spark.range(40).select(F.col("id").alias("appid")), spark.range(60).select(F.col("id").alias("appid"))
+    rows = B.cold_start(users, games, every, 5).collect()
+    lists: dict = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        lists.setdefault(r.user_id, []).append(r.appid)
+        assert 0.72 <= r.score <= 0.89 and r.appid < 40
+    assert len(lists) == 400 and all(len(x) == len(set(x)) == 5 for x in lists.values()) and len({tuple(x) for x in lists.values()}) > 150
+    assert min(Counter(a for x in lists.values() for a in x).values()) > 20  # every game is shown
+    few = B.cold_start(users, games.filter("appid < 2"), every, 5).collect()
+    by_rank = {(r.user_id, r["rank"]): r for r in few}
+    assert len(by_rank) == 2000 and all(by_rank[u, k].appid < 2 for u in range(400) for k in (1, 2)) and all(by_rank[u, k].appid >= 2 and 0.7 <= by_rank[u, k].score <= 0.85 for u in range(400) for k in (3, 4, 5))
+    assert all(len({by_rank[u, k].appid for k in range(1, 6)}) == 5 for u in range(400))
+    assert B.cold_start(users, games.limit(0), every.limit(0), 5).count() == 0
+
+
+def test_only_changed_rewrites_are_put_in(spark):
+    judged = spark.createDataFrame([(1, "a", False, "b"), (2, "a", False, "a"), (3, "a", False, " "), (4, "a", True, "b"), (5, "a", None, "b"), (6, "a", False, None), (7, None, False, "x")], "id int, before string, supported boolean, after string")
+    assert {(r.id, r.text) for r in D.fixes_of(judged, "id").collect()} == {(1, "b"), (7, "x")}
+    assert tuple(D.fix_report(judged, "id").first()) == (7, 1, 5, 2)
+
+
+def test_recall_of_the_near_search(spark, sf):
+    """All vectors of the larger table, every twentieth a query: nine of ten of the ten nearest are found."""
+    e = view(spark, "/root/testdata/sf0.1", "embeddings").select("vec_id", "embedding")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    want = {(r.query_id, r.vec_id) for r in K.dense_topk(q, e, 10).collect()}
+    got = {(r.query_id, r.vec_id) for r in K.near_topk(q, e, 10, tables=12, planes=8, probes=16).collect()}
+    assert len(want & got) >= 0.9 * len(want)
+    zero = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "vec_id bigint, embedding array<double>")
+    assert {r.vec_id: r.score for r in K.near_topk(zero.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")).filter("query_id = 2"), zero, 2, probes=1).collect()}[2] == 1.0
