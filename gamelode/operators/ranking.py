@@ -54,7 +54,8 @@ def mmr_select(cands: DataFrame, query: str, rank: str, query_vec: str, vec: str
         norm = np.linalg.norm(v, axis=1)
         v /= np.where(norm == 0, 1, norm)[:, None]
         q = pdf[query_vec].iloc[0]
-        sim = np.zeros(len(v)) if q is None else v @ (np.asarray(q, dtype=np.float64) / (np.linalg.norm(q) or 1.0))
+        q = None if q is None else np.asarray(q, dtype=np.float64)
+        sim = np.zeros(len(v)) if q is None else v @ (q / (np.linalg.norm(q) or 1.0))
         chosen, nearest = [int(sim.argmax())], None
         while len(chosen) < k:
             last = v @ v[chosen[-1]]
