@@ -125,7 +125,7 @@ def _(t):
     return panel(t)
 
 
-@R.add("j10_panel_join", f"""with {PANEL} select d.doc_id, case when p.appid is null then 'unavailable' else 'ok' end as status, coalesce('reviews=' || p.review_count || '; top=' || replace(p.top_positive, ',', ', '), '') as fields from documents d left join panel p on p.appid = d.doc_id""", "rows_of picked")
+@R.add("j10_panel_join", f"""with {PANEL} select d.doc_id, case when p.appid is null then 'unavailable' else 'ok' end as status, coalesce('reviews=' || format('{{:,}}', p.review_count) || '; top=' || replace(p.top_positive, ',', ', '), '') as fields from documents d left join panel p on p.appid = d.doc_id""", "rows_of picked")
 def _(t):
     d = t("documents").select("doc_id")
     j = d.join(panel(t).withColumnRenamed("appid", "doc_id"), "doc_id", "left")
