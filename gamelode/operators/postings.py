@@ -67,13 +67,14 @@ class PostingsIndex:
         self.spark.sql(f"drop table if exists {self.name}")
 
     def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> PostingsIndex:
-        """docs have ids that the index lacks. Texts are split once; a null text has no words."""
-        words = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(T.tokenize(text), F.array().cast("array<string>")).alias("t"))
-        rows = words.select("doc_id", F.size("t").cast("bigint").alias("len"), F.explode(F.array_append("t", F.lit(""))).alias("term"))
-        postings = rows.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-        at = F.floor(F.col("doc_id") / self.span).alias("range")
-        placed = postings.repartition(self.buckets, "term")  # the one shuffle that blocks and buckets share
-        blocks = placed.groupBy("term", at).agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.collect_list(F.struct("doc_id", "tf", "len")).alias("p"))
+        """docs have ids that the index lacks. Texts are dealt out by their range of ids and split once, so that words are counted
+        and blocks made where they are; a null text has no words. Each task appends a file to the buckets that it has terms of."""
+        at = F.floor(F.col(key).cast("bigint") / self.span)
+        placed = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), at.alias("range")).repartition("range")
+        words = placed.select("range", "doc_id", F.coalesce(T.tokenize("text"), F.array().cast("array<string>")).alias("t"))
+        rows = words.select("range", "doc_id", F.size("t").cast("bigint").alias("len"), F.explode(F.array_append("t", F.lit(""))).alias("term"))
+        postings = rows.groupBy("range", "doc_id", "len", "term").agg(F.count("*").alias("tf"))
+        blocks = postings.groupBy("term", "range").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.collect_list(F.struct("doc_id", "tf", "len")).alias("p"))
         blocks = blocks.select("term", "range", "n", "max_tf", "min_len", F.col("p.doc_id").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"))
         blocks.write.format("parquet").mode("append").option("path", f"{self.path}/blocks").bucketBy(self.buckets, "term").sortBy("term", "range").saveAsTable(self.name)
         if not self.made:
@@ -117,18 +118,24 @@ class PostingsIndex:
             each = rows.withColumn("p", F.explode(F.arrays_zip("docs", "tfs", "lens")))
             return each.select("*", F.col("p.docs").alias("doc_id"), F.col("p.tfs").alias("tf"), F.col("p.lens").alias("len")).drop("p", "docs", "tfs", "lens")
 
-        first = opened(table.join(wanted.filter("not late"), "term")).groupBy("query_id", "range", "doc_id").agg(F.sum(part).alias("s"))
+        # blocks meet by range before they are opened for each query, so that a document's postings are added up where they are
+        asked = wanted.select("term", "late").distinct()
+        placed = table.join(asked.filter("not late"), "term", "left_semi").repartition("range")
+        first = opened(placed.join(wanted.filter("not late"), "term")).groupBy("query_id", "range", "doc_id").agg(F.sum(part).alias("s"))
         first = stored(first, "first-round")
-        reached = topk_per_group(first, ["query_id"], [F.desc("s"), F.col("doc_id")], k).filter(F.col("rank") == k).select("query_id", (F.col("s") - SLACK).alias("least"))
+        reached = stored(topk_per_group(first, ["query_id"], [F.desc("s"), F.col("doc_id")], k).filter(F.col("rank") == k).select("query_id", (F.col("s") - SLACK).alias("least")), "reached")
         # bounds of the late words, range by range: no posting is read for them
         bounds = table.select("term", "range", "max_tf", "min_len").join(wanted.filter("late"), "term").groupBy("query_id", "range").agg(F.sum(bound("max_tf", "min_len")).alias("more"), F.count("*").alias("n"))
         bounds = stored(bounds.join(reached, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))), "bounds")
-        strong = first.join(bounds, ["query_id", "range"]).filter(F.col("s") + F.col("more") >= F.col("least"))
-        chosen = strong.groupBy("query_id", "range").agg(F.collect_set("doc_id").alias("chosen"))
+        # of the first round, what all late words of its range could still bring to that score
+        least = F.coalesce("_least", F.lit(float("-inf")))
+        strong = first.join(reached.withColumnRenamed("least", "_least"), "query_id", "left").join(bounds.select("query_id", "range", "more"), ["query_id", "range"], "left")
+        strong = stored(strong.filter(F.col("s") + F.coalesce("more", F.lit(0.0)) >= least).select("query_id", "range", "doc_id", "s", "more"), "strong")
+        chosen = strong.filter("more is not null").groupBy("query_id", "range").agg(F.collect_set("doc_id").alias("chosen"))
         live = bounds.join(chosen, ["query_id", "range"], "left").withColumn("open", F.col("more") >= F.col("least"))
         live = stored(live.filter("open or chosen is not null").select("query_id", "range", "n", F.when(~F.col("open"), F.col("chosen")).alias("chosen")), "live")
         second = opened(table.join(wanted.filter("late").join(live, "query_id"), ["term", "range"])).filter("chosen is null or array_contains(chosen, doc_id)")
-        sums = first.select("query_id", "doc_id", "s").unionByName(second.select("query_id", "doc_id", part.alias("s"))).groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
+        sums = strong.select("query_id", "doc_id", "s").unionByName(second.select("query_id", "doc_id", part.alias("s"))).groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
         hits = topk_per_group(sums, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
         early = table.select("term").join(wanted.filter("not late"), "term").groupBy("query_id").agg(F.count("*").alias("e"))
         of = lambda df, name: df.groupBy("query_id").agg(F.sum("n").alias(name))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gamelode.operators import retrieval as V
+from gamelode.operators.postings import PostingsIndex
 from gamelode.plans import catalogue
 from gamelode.plans.bindings import TABLES
 from tests.compare import difference
@@ -66,3 +67,14 @@ def test_text_examples_shuffle_no_pairs_of_texts(spark):
     whole = sorted(map(tuple, V.tfidf_examples(q, gold, stop=V.STOP).collect()))
     assert whole == sorted(map(tuple, V.tfidf_examples(q, gold, stop=V.STOP, block=40).collect()))
     assert len(whole) == 900
+
+
+def test_an_index_of_postings_shuffles_texts_and_not_words(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit(f"w{chr(97 + k)}"), F.translate((F.col("id") % (k + 2)).cast("string"), "0123456789", "abcdefghij")) for k in range(20))).alias("text"))
+    index = PostingsIndex(spark, span=256)
+    assert _shuffled(spark, lambda: index.add(docs).blocks()) < 3000 * 20 / 4
+    assert _shuffled(spark, lambda: V.bm25_index(docs).postings) < 3000 * 20 / 2
+    ask = docs.filter("doc_id % 600 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    found = lambda df: sorted((r.query_id, r.rank, r.doc_id, r.score) for r in df.collect())
+    want = found(V.bm25_search(ask, V.bm25_index(docs), 10))
+    assert found(index.search(ask, 10).hits) == want and len(want) == 50
