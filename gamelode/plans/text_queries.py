@@ -303,8 +303,9 @@ flags as (select doc_id, overlap, concat_ws('|', case when g = '' then 'H1_field
 
 
 def _flags(t):
-    q = T.qc_flags("genre", "play", "feature", "short")
-    return _fields(t).select("doc_id", q["hard"].alias("hard"), q["soft"].alias("soft"), q["overlap"].alias("overlap"))
+    of = ("genre", "play", "feature", "short")
+    q = T.qc_flags(*of, overlap=F.col("_overlap"))
+    return _fields(t).withColumn("_overlap", T.qc_overlap(*of)).select("doc_id", q["hard"].alias("hard"), q["soft"].alias("soft"), q["overlap"].alias("overlap"))
 
 
 @R.add("f14_qc_flags", QC_SQL + "select doc_id, hard, soft, round(overlap, 6) as overlap from flags")

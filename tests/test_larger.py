@@ -106,3 +106,8 @@ def test_dense_search_holds_few_scores_at_a_time(spark, monkeypatch):
     n = sum(len(x) for x in kept[0](iter([batch])))
     assert n >= 2000 * 10 and tracemalloc.get_traced_memory()[1] < 150e6
     tracemalloc.stop()
+
+
+def test_the_overlap_of_quality_flags_is_made_once(spark, sf):
+    plan = catalogue.queries()["f14_qc_flags"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect(") == 1
