@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gamelode.functions.text import C, _c, final_consonant
+from gamelode.functions.text import C, _c
 
 # A genre word, and what its games feel like, in the order in which they are looked for.
 GENRE_MOODS = (
@@ -38,33 +38,47 @@ def format_note(max_price_usd: C, free_only: C, min_players: C) -> Column:
     return F.coalesce(F.nullif(note, F.lit("")), F.lit("조건에 맞는 게임 없음"))
 
 
-def _particle(word: Column, closed: str, open_: str) -> Column:
-    return F.when(final_consonant(word), closed).otherwise(open_)
+def _closed(word: str) -> bool:
+    """Whether the last character is a Hangul syllable with a final consonant, as final_consonant() of a fixed word."""
+    code = ord(word[-1]) - 0xAC00
+    return 0 <= code <= 11171 and code % 28 != 0
+
+
+def _bound(values: dict[str, Column], f) -> Column:
+    """f of the values, each made once for a row, however often f names it."""
+    return F.get(F.transform(F.array(F.struct(*(v.alias(n) for n, v in values.items()))), f), F.lit(0))
 
 
 def build_reason(is_free: C, price_usd: C, categories: C, genres: C, platforms: C, explanation: C | None = None) -> Column:
     """Why a game fits, in one Korean sentence: its price, whether it is played together, and the mood of its genre.
     categories, genres and platforms are arrays; an explanation that is there is taken as it is."""
-    usd, cats, mood_of = _c(price_usd), F.coalesce(_c(categories), F.array().cast("array<string>")), F.transform(_c(genres), F.lower)
+    usd, all_genres = _c(price_usd), F.lower(F.array_join(_c(genres), "\n"))
     won = F.floor(usd * WON_PER_USD)
     man = F.floor(won / 10000)
     price = F.when(_c(is_free), "무료로 즐길 수 있으며").when(man > 0, F.concat(F.lit("약 "), _text(man), F.lit("만원대 가격이며"))).when(usd.isNotNull(), F.concat(F.lit("약 "), _text(won), F.lit("원대 가격이며")))
-    company = F.when(F.arrays_overlap(cats, F.array(*map(F.lit, PLAYED_TOGETHER))), TOGETHER).when(F.array_contains(cats, "Single-player"), ALONE)
+    known = F.size(F.filter(F.coalesce(_c(platforms), F.array().cast("array<string>")), lambda p: p != "")) > 0
+    as_object = lambda w: w + ("을" if _closed(w) else "를")
+    # all phrases are fixed, and so are their particles
+    company = lambda c: F.when(F.arrays_overlap(c, F.array(*map(F.lit, PLAYED_TOGETHER))), TOGETHER).when(F.array_contains(c, "Single-player"), ALONE)
+    with_and = lambda c: F.when(c == TOGETHER, f"{TOGETHER}{'과' if _closed(TOGETHER) else '와'} ").when(c == ALONE, f"{ALONE}{'과' if _closed(ALONE) else '와'} ")
     mood = F.lit(None).cast("string")
     for word, phrase in reversed(GENRE_MOODS):
-        mood = F.when(F.exists(mood_of, _holds(word)), phrase).otherwise(mood)
-    joined = F.when(company.isNotNull() & mood.isNotNull(), F.concat(company, _particle(company, "과", "와"), F.lit(" "), mood)).otherwise(F.coalesce(company, mood))
-    experience = F.concat(joined, _particle(joined, "을", "를"), F.lit(" 즐길 수 있는"))
+        mood = F.when(F.contains(all_genres, F.lit(word)), as_object(phrase)).otherwise(mood)
+    cats = F.coalesce(_c(categories), F.array().cast("array<string>"))
     end = F.lit(" 게임입니다.")
-    body = F.when(price.isNotNull() & joined.isNotNull(), F.concat(price, F.lit(" "), experience, end)).when(price.isNotNull(), F.concat(F.replace(price, F.lit("있으며"), F.lit("있는")), end))
-    body = body.when(joined.isNotNull(), F.concat(experience, end)).otherwise(F.lit("추천 조건에 부합하는 게임입니다."))
-    known = F.size(F.filter(F.coalesce(_c(platforms), F.array().cast("array<string>")), lambda p: p != "")) > 0
-    made = F.concat(body, F.when(known, " 다양한 플랫폼을 지원합니다.").otherwise(""))
-    return made if explanation is None else F.coalesce(F.nullif(_c(explanation), F.lit("")), made)
 
+    def fit(x: Column) -> Column:
+        alone = F.when(x["company"] == TOGETHER, as_object(TOGETHER)).when(x["company"] == ALONE, as_object(ALONE))
+        return F.coalesce(F.concat(with_and(x["company"]), x["mood"]), alone, x["mood"])
+
+    def body(x: Column) -> Column:
+        experience = F.concat(x["fit"], F.lit(" 즐길 수 있는"), end)
+        return F.coalesce(F.concat(x["price"], F.lit(" "), experience), F.concat(F.replace(x["price"], F.lit("있으며"), F.lit("있는")), end), experience, F.lit("추천 조건에 부합하는 게임입니다."))
 
-def _holds(word: str):
-    return lambda g: F.contains(g, F.lit(word))
+    companied = _bound({"c": cats}, lambda x: company(x["c"]))
+    fits = _bound({"company": companied, "mood": mood}, fit)
+    made = F.concat(_bound({"price": price, "fit": fits}, body), F.when(known, " 다양한 플랫폼을 지원합니다.").otherwise(""))
+    return made if explanation is None else F.coalesce(F.nullif(_c(explanation), F.lit("")), made)
 
 
 def rule_reason(name: C, is_free: C, metacritic: C, price_cents: C, cheap: int = 100_000) -> Column:
