@@ -335,7 +335,7 @@ def _(t):
 def _(t):
     d = t("documents").select("doc_id", "text")
     b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("u"))
-    return d.join(b, "doc_id").select("doc_id", F.round(T.jaccard(T.char_ngrams("text"), T.char_ngrams("u")), 6).alias("similarity"))
+    return d.join(b, "doc_id").select("doc_id", F.round(T.trigram_similarity("text", "u"), 6).alias("similarity"))
 
 
 @R.add("x06_sentence_count", "select doc_id, greatest(1, len(list_filter(regexp_split_to_array(trim(text), '[.!?。！？]\\s|\\n'), lambda x : trim(x) <> ''))) as sentences from documents")
