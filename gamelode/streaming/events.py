@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
@@ -32,68 +32,74 @@ def running_counters(events: DataFrame) -> DataFrame:
 
 
 STATE_OUT = "user_id bigint, place bigint, event_id bigint, ts timestamp, type string, appid bigint, query string, clicked array<bigint>"
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+StateRow = Row("user_id", "place", "event_id", "ts", "type", "appid", "query", "clicked")
 
 
 class RecentActions(StatefulProcessor):
     """The newest actions of a user, ordered by event time: a late event takes its place, or is left out if older than all. The
     games that a user has clicked are kept beside them, with the time of the last click. With a lifetime (seconds of event
-    time), actions and clicks older than that are forgotten when the watermark passes, by a timer of the user's oldest one."""
+    time), actions and clicks older than that are forgotten when the watermark passes, by a timer of the user's oldest one.
+
+    Each call of the state goes to the JVM and back, so both lists are read once and written once for a user and batch. Times are kept as microseconds."""
 
     def __init__(self, size: int = 10, lifetime: int | None = None):
         self.size, self.lifetime = size, lifetime
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.recent = handle.getListState("recent", "event_id bigint, ts timestamp, type string, appid bigint, query string")
-        self.clicked = handle.getMapState("clicked", "appid bigint", "ts timestamp")
+        self.recent = handle.getListState("recent", "event_id bigint, at bigint, type string, appid bigint, query string")
+        self.clicked = handle.getListState("clicked", "appid bigint, at bigint")
 
-    def _rows(self, user_id: Any, newest: list[tuple]) -> pd.DataFrame:
+    def _rows(self, user_id: Any, newest: list[tuple], clicked: dict[int, int]) -> Iterator[Row]:
         """The state as rows; one with a null place for a user of whom nothing is left."""
-        clicked = sorted(int(k[0]) for k in self.clicked.keys()) if self.clicked.exists() else []  # noqa: SIM118
-        out = pd.DataFrame(newest or [(None, None, None, None, None)], columns=["event_id", "ts", "type", "appid", "query"])
-        out = out.astype({"event_id": "Int64", "appid": "Int64"})
-        out["ts"] = pd.to_datetime(out["ts"])
-        out.insert(0, "place", pd.array(range(len(newest)) if newest else [None], dtype="Int64"))
-        out.insert(0, "user_id", user_id)
-        out["clicked"] = [clicked] * len(out)
-        return out
-
-    def _wake_at_the_oldest(self, newest: list[tuple]) -> None:
+        games = sorted(clicked)
+        for place, (event_id, at, *what) in enumerate(newest):
+            yield StateRow(user_id, place, event_id, EPOCH + timedelta(microseconds=at), *what, games)
+        if not newest:
+            yield StateRow(user_id, None, None, None, None, None, None, games)
+
+    def _wake_at_the_oldest(self, newest: list[tuple], clicked: dict[int, int]) -> None:
         if self.lifetime is None:
             return
-        times = [r[1] for r in newest] + ([v[0] for v in self.clicked.values()] if self.clicked.exists() else [])  # noqa: PD011
+        times = [r[1] for r in newest] + list(clicked.values())
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         if times:
-            self.handle.registerTimer(int(pd.Timestamp(min(times)).timestamp() * 1000) + 1000 * self.lifetime)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        known = {r[0]: tuple(r) for r in self.recent.get()} if self.recent.exists() else {}
-        for pdf in rows:
-            for r in pdf[["event_id", "ts", "type", "appid", "query"]].itertuples(index=False):
-                appid, ts = None if pd.isna(r.appid) else int(r.appid), r.ts.to_pydatetime()
-                known[int(r.event_id)] = (int(r.event_id), ts, r.type, appid, None if pd.isna(r.query) else r.query)
-                if r.type == "click" and appid is not None:
-                    before = self.clicked.getValue((appid,)) if self.clicked.containsKey((appid,)) else None
-                    if before is None or before[0] < ts:
-                        self.clicked.updateValue((appid,), (ts,))
-        newest = sorted(known.values(), key=lambda r: (r[1], r[0]), reverse=True)[: self.size]
+            self.handle.registerTimer(min(times) // 1000 + 1000 * self.lifetime)
+
+    def _newest(self, known: dict[int, tuple]) -> list[tuple]:
+        return sorted(known.values(), key=lambda r: (r[1], r[0]), reverse=True)[: self.size]
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        known = {r[0]: tuple(r) for r in self.recent.get()}
+        clicked = {r[0]: r[1] for r in self.clicked.get()}
+        before = dict(clicked)
+        for r in rows:
+            at = (r.ts.astimezone(timezone.utc) - EPOCH) // timedelta(microseconds=1)
+            known[r.event_id] = (r.event_id, at, r.type, r.appid, r.query)
+            if r.type == "click" and r.appid is not None:
+                clicked[r.appid] = max(at, clicked.get(r.appid, at))
+            if len(known) > 100 * self.size:
+                known = {n[0]: n for n in self._newest(known)}
+        newest = self._newest(known)
         self.recent.put(newest)
-        self._wake_at_the_oldest(newest)
-        yield self._rows(key[0], newest)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        until = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms") - pd.Timedelta(seconds=self.lifetime)
-        newest = [tuple(r) for r in self.recent.get() if pd.Timestamp(r[1]) > until] if self.recent.exists() else []
-        for k, v in list(self.clicked.iterator()) if self.clicked.exists() else []:
-            if pd.Timestamp(v[0]) <= until:
-                self.clicked.removeKey((int(k[0]),))
-        if newest:
-            self.recent.put(newest)
-        else:
-            self.recent.clear()
-        self._wake_at_the_oldest(newest)
-        yield self._rows(key[0], newest)
+        if clicked != before:
+            self.clicked.put(list(clicked.items()))
+        self._wake_at_the_oldest(newest, clicked)
+        yield from self._rows(key[0], newest, clicked)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        until = 1000 * timerValues.getCurrentWatermarkInMs() - 1_000_000 * self.lifetime
+        newest = [tuple(r) for r in self.recent.get() if r[1] > until]
+        clicked = {r[0]: r[1] for r in self.clicked.get() if r[1] > until}
+        for state, rows in ((self.recent, newest), (self.clicked, list(clicked.items()))):
+            if rows:
+                state.put(rows)
+            else:
+                state.clear()
+        self._wake_at_the_oldest(newest, clicked)
+        yield from self._rows(key[0], newest, clicked)
 
     def close(self) -> None:
         pass
@@ -102,7 +108,7 @@ class RecentActions(StatefulProcessor):
 def recent_state(events: DataFrame, size: int = 10, lifetime: int | None = None) -> DataFrame:
     """Every user's newest actions and clicked games after each batch. Needs the RocksDB state store. lifetime: seconds of event
     time after which they are forgotten; events then need a watermark on ts, and the session the time zone UTC."""
-    return events.groupBy("user_id").transformWithStateInPandas(RecentActions(size, lifetime), STATE_OUT, "Update", "none" if lifetime is None else "EventTime")
+    return events.groupBy("user_id").transformWithState(RecentActions(size, lifetime), STATE_OUT, "Update", "none" if lifetime is None else "EventTime")
 
 
 def stream_quality(reviews: DataFrame, delay: str = "1 hour") -> DataFrame:
