@@ -19,8 +19,10 @@ from gamelode.functions import text as T
 from gamelode.operators import ranking as K
 from gamelode.operators.retrieval import Bm25Index, bm25_search
 from gamelode.operators.sampling import global_row_number
+from gamelode.sources.scratch import stored
 
 TABLES = {"docs": "doc_id bigint, len bigint, vec array<double>", "postings": "doc_id bigint, term string, tf bigint"}
+PART_BYTES = 8 * 2**20  #: bytes of text in a task of put()
 MERGE_FROM = 8  #: segments; write_live_index() merges them when there are so many
 
 
@@ -67,24 +69,30 @@ class LiveIndex:
         if len(before) < len(segments) and any(batch_id in s.batches and len(s.batches) > 1 for s in segments):
             return  # it has been merged with others already, and merging comes after its commit
         name = f"batch-{batch_id}-{uuid.uuid4().hex}"
+        parts = 1 + (batch.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
         rows = batch.select("doc_id", "text", (F.col("vec").cast("array<double>") if "vec" in batch.columns else F.lit(None).cast("array<double>")).alias("vec"))
-        known = rows.filter("doc_id is not null").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("text")))).filter("_n = 1").drop("_n")
+        # texts are dealt out by id once, into parts of a fixed size whatever the batch is; their words are counted where they are
+        known = rows.filter("doc_id is not null").repartition(parts, "doc_id").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("text")))).filter("_n = 1").drop("_n")
         new = rows.filter("doc_id is null")
         if not new.isEmpty():
             most = max((x for x in (known.agg(F.max("doc_id")).first()[0], self._rows("docs", before).agg(F.max("doc_id")).first()[0]) if x is not None), default=-1)
             new = global_row_number(new, ["text"], "_rn").select((F.col("_rn") + most).alias("doc_id"), "text", "vec")
-            known = known.unionByName(new)
+            known = known.unionByName(new).repartition(parts, "doc_id")
         words = known.select("doc_id", "vec", F.coalesce(T.tokenize("text"), F.array().cast("array<string>")).alias("t"))
         words.select("doc_id", F.size("t").cast("bigint").alias("len"), "vec").write.mode("overwrite").parquet(f"{self.path}/docs/{name}")
         words.select("doc_id", F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")).write.mode("overwrite").parquet(f"{self.path}/postings/{name}")
         self._commit(version + 1, [*before, Segment(name, (batch_id,))])
 
     def live(self) -> tuple[DataFrame, DataFrame]:
-        """docs and postings that count: of each document, those of the last segment that has it."""
+        """docs and postings that count: of each document, those of the last segment that has it. Only what is marked removed is
+        listed and taken out, so that postings are not shuffled while that list is short."""
         segments = self.segments()
-        docs = self._rows("docs", segments)
-        last = docs.groupBy("doc_id").agg(F.max("seg").alias("seg"))
-        return docs.join(last, ["doc_id", "seg"]), self._rows("postings", segments).join(last, ["doc_id", "seg"])
+        docs, postings = self._rows("docs", segments), self._rows("postings", segments)
+        if len(segments) < 2:
+            return docs, postings
+        again = docs.groupBy("doc_id").agg(F.max("seg").alias("last"), F.count("*").alias("n")).filter("n > 1")
+        removed = stored(docs.select("doc_id", "seg").join(again, "doc_id").filter("seg < last").select("doc_id", "seg"), "removed")
+        return docs.join(removed, ["doc_id", "seg"], "left_anti"), postings.join(removed, ["doc_id", "seg"], "left_anti")
 
     def index(self) -> Bm25Index:
         docs, postings = self.live()

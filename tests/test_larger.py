@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import tracemalloc
+from datetime import datetime, timedelta
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from gamelode.functions import text as T
 from gamelode.operators import bitmaps as M
 from gamelode.operators import funnel as W
 from gamelode.operators import ranking as K
@@ -18,6 +21,8 @@ from gamelode.operators import search as S
 from gamelode.operators.postings import PostingsIndex
 from gamelode.plans import catalogue
 from gamelode.plans.bindings import TABLES, view
+from gamelode.streaming import live
+from gamelode.streaming.events import RecentActions
 from tests.compare import difference
 
 
@@ -153,3 +158,56 @@ def test_queries_that_ask_the_same_share_their_list_of_apps(spark, sf):
             got.setdefault(r.query_id, []).append(r.vec_id)
         assert got == {q: x[:9] for q, x in near.items()}
     assert {(r.query_id, r.vec_id) for r in W.vector_then_filter(queries, vectors, asked, index, 20).collect()} <= meets
+
+
+def test_a_batch_of_the_live_index_has_parts_of_a_fixed_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "PART_BYTES", 500)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("red ring number "), F.col("id").cast("string")).alias("text")).coalesce(1)
+    index = live.LiveIndex(spark, str(tmp_path))
+    index.put(docs, 0)
+    index.put(docs.filter("doc_id < 3").withColumn("text", F.lit("blue")), 1)
+    assert len(list((tmp_path / "postings" / index.segments()[0].name).glob("part-*.parquet"))) > spark.sparkContext.defaultParallelism
+    assert {r.term: r.df for r in index.index().terms.collect() if not r.term.isdigit()} == {"red": 397, "ring": 397, "number": 397, "blue": 3}
+    assert "SortMergeJoin" not in index.live()[1]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_state_is_read_and_written_once_for_a_user_and_batch():
+    class Kept:
+        rows, calls = (), 0
+
+        def get(self):
+            self.calls += 1
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.calls, self.rows = self.calls + 1, rows
+
+    kept = {"recent": Kept(), "clicked": Kept()}
+    users = RecentActions(3)
+    users.init(type("Handle", (), {"getListState": lambda self, name, schema: kept[name]})())
+    event = Row("event_id", "ts", "type", "appid", "query")
+    events = [event(k, datetime(2026, 1, 1) + timedelta(seconds=k * 7 % 1000), "click", k % 40, None) for k in range(1000)]
+    got = list(users.handleInputRows((5,), iter(events), None))
+    last = sorted(events, key=lambda e: (e.ts, e.event_id))[-3:][::-1]
+    assert [r.event_id for r in got] == [e.event_id for e in last] and got[0].clicked == list(range(40))
+    assert sum(k.calls for k in kept.values()) <= 4
+    assert dict(kept["clicked"].rows) == {a: max(int(e.ts.timestamp()) * 10**6 for e in events if e.appid == a) for a in range(40)}
+
+
+def test_trigrams_are_counted_without_lists_of_texts(spark, sf):
+    bare = lambda t: "".join(c for c in t if c not in " \t\n\x0b\f\r")
+    grams = lambda t: {t} if len(t) < 3 else {t[k : k + 3] for k in range(len(t) - 2)}
+    texts = ["", " ", "ab", "a b", "abc", "abcab cabc", "가나다라 마바", "나다라", "\U0001f600\U0001f601 xy\U0001f600\U0001f601x", "\U0001f601xy", None]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    for r in df.select("a", "b", T.trigram_similarity("a", "b").alias("s")).collect():
+        if r.a is None or r.b is None:
+            assert r.s is None
+        else:
+            x, y = grams(bare(r.a)), grams(bare(r.b))
+            assert r.s == len(x & y) / len(x | y)
+    assert "array_distinct(" not in catalogue.queries()["x05_jaccard"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_reason_makes_each_of_its_parts_once(spark, sf):
+    plan = catalogue.queries()["p26_build_reason"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 40_000 and plan.count("from_json") <= 2
