@@ -11,11 +11,12 @@ scores each document of a corpus by a model of all the others: what a row has it
 rare grams of a text are unseen there and back off.
 
 Everything is counted and looked up under 64-bit hashes: within a document or a batch in Arrow batches, between them by
-Spark's joins, for one slice of the hash range after the other, so that the shuffled data of one slice at a time has to fit on
-disk. Pairs of words, with a vocabulary that every task can hold (counted: broadcast_keys at most), take a shorter way: what a
-document scores if all its words back off needs no join, and only grams whose words and whose bits in a filter of fixed size
-say that they may have been seen are looked up, for what they change. In all other cases every word's grams are joined to the
-tables, and the longest one seen is taken. Nothing is sampled or cut off.
+Spark's joins, if asked for one slice of the hash range after the other, so that the shuffled data of one slice at a time has
+to fit on disk. Pairs of words, with a vocabulary that every task can hold (counted: broadcast_keys at most), take a shorter
+way: what a document scores if all its words back off needs no join, nor do the HEAD_KEYS pairs seen most often, which every
+task holds; of all others, those whose words and whose bits in a filter of fixed size say that they may have been seen are
+looked up, for what they change. In all other cases every word's grams are joined to the tables, and the longest one seen is
+taken. Nothing is sampled or cut off.
 
 Defined cases: a null text, or one without words, has 0 words and a null score; rows that repeat an id are scored each,
 as what they add up to, under that id once; rows without an id are counted by the model and returned as one row with a
@@ -25,9 +26,9 @@ ignored.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import GOLDEN, U64, mix, read, stored
 
-ALPHA, ORDER, SLICES = 0.4, 3, 2  #: slices: a power of two
+ALPHA, ORDER, SLICES = 0.4, 3, 1  #: slices: a power of two
 BROADCAST_KEYS = 2_000_000  #: 32 MB
+HEAD_KEYS = 1 << 20  #: 16 MB
 FILTER_WORDS = 1 << 21  #: 64 bits each
 START = U64(xxhash.xxh3_64_intdigest(b" "))  #: no word has a space
 ROWS_AT_A_TIME = 512
@@ -84,9 +86,17 @@ class Words:
     def own(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of keys of the words: the places of the first of each key in each text, which of these each word is, and how often
         the text has it. Within a batch a key's text stands in for its last bits."""
-        _, first, which, n = np.unique((self.text.astype(U64) << U64(55)) | (keys >> U64(9)), return_index=True, return_inverse=True, return_counts=True)
+        _, first, which, n = np.unique(self._of_text(keys), return_index=True, return_inverse=True, return_counts=True)
         return first, which, n
 
+    def distinct(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """own() without which key each word has."""
+        _, first, n = np.unique(self._of_text(keys), return_index=True, return_counts=True)
+        return first, n
+
+    def _of_text(self, keys: np.ndarray) -> np.ndarray:
+        return (self.text.astype(U64) << U64(55)) | (keys >> U64(9))
+
 
 def marks(size: int) -> U64:
     """The hash of `size` marks."""
@@ -103,10 +113,15 @@ def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Re
             yield part, Words(part.column(1).to_pylist())
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs whose tables have been written and are referenced no more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _stored(df: DataFrame, tag: str) -> DataFrame:
+    """stored(), with Spark told to delete the shuffle files of the write when it ends."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return stored(df, tag)
+    finally:
+        conf.set(name, before)
 
 
 @dataclass(frozen=True)
@@ -130,22 +145,49 @@ def count(docs: DataFrame, text_col: str = "text", order: int = ORDER, slices: i
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, words in _parts(batches, 4 * ROWS_AT_A_TIME):
                 x = words.ending(size)
-                x = np.append(x, np.full(int((words.count > 0).sum()) if size < order else 0, marks(size), dtype=U64))
+                x = np.append(x, np.full(int((words.count > 0).sum()) if size < order or size == 1 else 0, marks(size), dtype=U64))
                 key, n = np.unique(x[x & U64(of - 1) == k], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
 
-        seen = texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("c")).filter(F.col("c") >= least)
-        out = stored(seen, "counts")
-        _release(docs.sparkSession)
-        return out
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words in _parts(batches, 4 * ROWS_AT_A_TIME):
-            yield pa.RecordBatch.from_arrays([pa.array([len(words.hash)], pa.int64()), pa.array([int((words.count > 0).sum())], pa.int64())], names=["w", "t"])
+        seen = texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("c"))
+        return _stored(seen if size == 1 else seen.filter(F.col("c") >= least), "counts")
 
     tables = [[totals(size, k, slices if size == order else 1) for k in range(slices if size == order else 1)] for size in range(1, order + 1)]
-    n = texts.mapInArrow(sizes, "w bigint, t bigint").agg(F.sum("w"), F.sum("t")).first()
-    return Counts(order, slices, least, tables, n[0] or 0, n[1] or 0)
+    mark = F.col("key") == F.lit(int(marks(1).view(np.int64)))
+    n = [t.agg(F.sum("c"), F.sum(F.when(mark, F.col("c")))).first() for t in tables[0]]
+    n_texts = sum(t or 0 for _, t in n)
+    tables[0] = [t.filter(F.col("c") >= least) for t in tables[0]]
+    return Counts(order, slices, least, tables, sum(w or 0 for w, _ in n) - n_texts, n_texts)
+
+
+def _by_key(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, and their counts."""
+    rows = table.select("key", "c").toArrow()
+    keys, counts = rows.column("key").to_numpy().view(U64), rows.column("c").to_numpy()
+    at = np.argsort(keys)
+    return keys[at], counts[at]
+
+
+def _look_up(known: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """The counts of keys, 0 for those that are not known."""
+    of, c = known
+    if not len(of):
+        return np.zeros(len(keys), dtype=np.int64)
+    at = np.minimum(np.searchsorted(of, keys), len(of) - 1)
+    return np.where(of[at] == keys, c[at], 0)
+
+
+def _frequent(table: DataFrame) -> int:
+    """The least count for which no more than HEAD_KEYS keys have it or a larger one, of those that begin a step of an eighth
+    of a doubling."""
+    steps = table.groupBy(F.floor(F.log2("c") * 8).alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
+    n, least = 0, 2**62
+    for step in sorted(steps, key=lambda r: -r["step"]):
+        n += step["n"]
+        if n > HEAD_KEYS:
+            break
+        least = step["c"]
+    return least
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
@@ -159,53 +201,58 @@ def _filter(keys: DataFrame) -> np.ndarray:
 
 def _pairs(docs: DataFrame, model: Counts, leave_out: bool) -> DataFrame:
     """doc_id, n_words, s: parts of the scores by pairs of words, to be added up."""
-    spark, rows = docs.sparkSession, model.tables[0][0].toArrow()
-    keys, counts = rows.column("key").to_numpy().view(U64), rows.column("c").to_numpy()
-    by_key = np.argsort(keys)
-    known = spark.sparkContext.broadcast((keys[by_key], counts[by_key]))
+    spark, every = docs.sparkSession, reduce(DataFrame.union, model.tables[1])
+    often = F.col("c") >= _frequent(every)
+    known, head = (spark.sparkContext.broadcast(_by_key(t)) for t in (model.tables[0][0], every.filter(often)))
     n_all, n_texts, slices, back = model.words, model.n_texts, model.slices, np.log(ALPHA)
 
     def looked_up(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each word its count in the model and that of the word before it; for each text the model's words."""
-        of, c = known.value
         first, which, own = words.own(words.hash)
-        seen = np.zeros(len(first), dtype=np.int64)
-        if len(of) and len(first):
-            at = np.minimum(np.searchsorted(of, words.hash[first]), len(of) - 1)
-            seen = np.where(of[at] == words.hash[first], c[at], 0)
+        seen = _look_up(known.value, words.hash[first])
         seen = np.maximum(0, seen - own) if leave_out else seen
         each = seen[which].astype(np.int64)
         return each, words.before(each, n_texts - leave_out), np.maximum(1, n_all - leave_out * words.count)
 
-    def backed_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, words in _parts(batches, ROWS_AT_A_TIME):
-            seen, _, total = looked_up(words)
-            s = np.bincount(words.text, back + np.log(np.maximum(1, seen) / total[words.text]), minlength=part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words.count, pa.int64()), pa.array(s, pa.float64(), mask=words.count == 0)], names=["doc_id", "n_words", "s"])
+    def parts(k: int, bits) -> Callable:
+        """A row for each text (n 0, n_words and s of the k-th slice) and for each of its pairs that the join has to look up."""
 
-    def asked(k: int, bits) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, words in _parts(batches, ROWS_AT_A_TIME):
                 seen, context, total = looked_up(words)
+                off = back + np.log(np.maximum(1, seen) / total[words.text])
                 gram = words.ending(2)
+                first, n = words.distinct(gram)
+                may = (gram[first] & U64(slices - 1) == k) & (seen[first] > 0) & (context[first] > 0)
+                first, n = first[may], n[may]
+                gram, text = gram[first], words.text[first]
+                less = n * (np.log(context[first]) + off[first])
+                c = _look_up(head.value, gram)
+                left = c - n if leave_out else c
+                gain = np.where(left > 0, n * np.log(np.maximum(1, left)) - less, 0.0)
+                s = np.bincount(text, gain, minlength=part.num_rows) + (np.bincount(words.text, off, minlength=part.num_rows) if k == 0 else 0.0)
                 slot = gram & U64(64 * FILTER_WORDS - 1)
-                may = (gram & U64(slices - 1) == k) & (seen > 0) & (context > 0) & ((bits.value[slot >> U64(6)] >> (slot & U64(63)) & U64(1)) == 1)
-                first, _, n = words.own(np.where(may, gram, U64(0)))
-                first, n = first[may[first]], n[may[first]]
-                less = n * (np.log(context[first]) + back + np.log(seen[first] / total[words.text[first]]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(words.text[first])), pa.array(gram[first].view(np.int64)), pa.array(n, pa.int64()), pa.array(less)], names=["doc_id", "key", "n", "less"])
+                ask = (c == 0) & ((bits.value[slot >> U64(6)] >> (slot & U64(63)) & U64(1)) == 1)
+                docs = part.column(0).cast(pa.int64())
+                nowhere = mix(docs.fill_null(0).to_numpy().view(U64) ^ GOLDEN)  # spreads texts over the join, whose n is 0
+                doc = pa.concat_arrays([docs, docs.take(pa.array(text[ask]))])
+                key, n, less = np.concatenate([nowhere, gram[ask]]), np.concatenate([np.zeros(len(docs), dtype=np.int64), n[ask]]), np.concatenate([np.zeros(len(docs)), less[ask]])
+                rest = int(ask.sum())
+                n_words = pa.concat_arrays([pa.array(words.count if k == 0 else np.zeros_like(words.count), pa.int64()), pa.nulls(rest, pa.int64())])
+                s = pa.concat_arrays([pa.array(s, pa.float64(), mask=words.count == 0), pa.nulls(rest, pa.float64())])
+                yield pa.RecordBatch.from_arrays([doc, pa.array(key.view(np.int64)), pa.array(n, pa.int64()), pa.array(less), n_words, s], names=["doc_id", "key", "n", "less", "n_words", "s"])
 
         return run
 
-    out = docs.mapInArrow(backed_off, "doc_id bigint, n_words bigint, s double")
+    out = []
     for k, table in enumerate(model.tables[1]):
-        bits = spark.sparkContext.broadcast(_filter(table))
-        found = docs.mapInArrow(asked(k, bits), "doc_id bigint, key bigint, n bigint, less double").join(table, "key")
+        rare = table.filter(~often)
+        bits = spark.sparkContext.broadcast(_filter(rare))
+        met = docs.mapInArrow(parts(k, bits), "doc_id bigint, key bigint, n bigint, less double, n_words bigint, s double").join(rare, "key", "left")
         c = F.col("c") - F.col("n") if leave_out else F.col("c")
-        found = found.withColumn("c", c).filter("c > 0")
-        out = out.union(stored(found.groupBy("doc_id").agg(F.lit(0).cast("bigint").alias("n_words"), F.sum(F.col("n") * F.log("c") - F.col("less")).alias("s")), "sums"))
-        _release(spark)
-    return out
+        s = F.coalesce("s", F.when((F.col("n") > 0) & (c > 0), F.col("n") * F.log(c) - F.col("less")))
+        out.append(_stored(met.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum(s).alias("s")), "sums"))
+    return reduce(DataFrame.union, out)
 
 
 def _by_place(docs: DataFrame, model: Counts, leave_out: bool) -> DataFrame:

@@ -419,6 +419,27 @@ def test_scores_through_a_full_filter(spark, monkeypatch):
     assert [(r[0], r[1], pytest.approx(r[2])) for r in want] == sorted(tuple(r) for r in lm_scoring.score_each_by_others(docs, 2).collect())
 
 
+@pytest.mark.parametrize("head", [0, 12, 10**6])
+def test_frequent_pairs_are_scored_without_the_join(spark, monkeypatch, head):
+    """No pair, some or all are among those that every task holds; a text is cut into words three times."""
+    draw, read_ = random.Random(7), spark.sparkContext.accumulator(0)
+    texts = [" ".join(draw.choice("aaabbcdefgh") for _ in range(draw.randint(0, 30))) for _ in range(60)] + [None, "lonely words", "a a a a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    parts = lm_scoring._parts
+
+    def counted(batches, size):
+        for part, words in parts(batches, size):
+            read_.add(part.num_rows)
+            yield part, words
+
+    monkeypatch.setattr(lm_scoring, "_parts", counted)
+    monkeypatch.setattr(lm_scoring, "HEAD_KEYS", head, raising=False)
+    got = {r.doc_id: (r.n_words, r.score) for r in lm_scoring.score_each_by_others(docs, 2).collect()}
+    assert read_.value == 3 * len(texts)
+    want, _ = slow_score(texts, texts, 2, True)
+    assert got == {k: (n, pytest.approx(s) if s is not None else None) for k, (n, s) in enumerate(want)}
+
+
 @pytest.mark.parametrize("unit", ["<a", "<!", "<svg>", "<span>", "<script", "<!--", '<p a="', "<p a='x", "</b>", "a<b>", "<li>", "<p>"])
 def test_hostile_pages_take_time_in_proportion(unit):
     took = []
