@@ -170,23 +170,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _could_link(members: DataFrame, components: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of buckets that hold two components or more: what is left to confirm. In buckets of LARGE members or fewer that is
-    every pair (linear in their members); in larger ones exact bounds on the full sets come first.
-
-    A shingle is rare if at most RARE of these classes have it. A pair shares c rare shingles and at most the others of
-    either class, so it can link only if 100 i >= percent (size + size - i) with i = c + the fewer others. First result: the
-    pairs with c > 0 within that bound, from the lists of rare shingles (RARE long at most). Second: for pairs with c = 0,
-    members with size and cap (the largest size of a partner), without those whose cap lies below every size in the bucket."""
-    held = rename(members.withColumn("c", F.col("node")), "c", components)
-    mixed = held.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).filter("c0 != c1").select("bucket", "n")
-    members = stored(members.join(mixed, "bucket"), "mixed-members")
-    small = members.filter(F.col("n") <= LARGE).drop("n").withColumns({"size": F.lit(0).cast("bigint"), "cap": F.lit(2**62)})
-    members = members.filter(F.col("n") > LARGE).drop("n")
-    own = sets.join(members.select("node").distinct(), "node", "left_semi")
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """e, n, nodes: each shingle of a part of the sets once, how many have it, and which (null if more than RARE: it is not rare
+    then). The parts are as few as their shingles need: near copies have most in common, and a part names that once."""
+    parts = (sets.agg(F.sum("n_el")).first()[0] or 0) // TOGETHER + 1
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each shingle of some classes once: how many of them have it, and which (null if more than RARE: it is not rare)."""
         for batch in batches:
             node = batch.column(0).to_numpy(zero_copy_only=False)
             size = np.array([len(s.as_buffer()) // 8 for s in batch.column(1)], dtype=np.int64)
@@ -203,11 +192,27 @@ def _could_link(members: DataFrame, components: DataFrame, sets: DataFrame, perc
                 ends = np.cumsum([0, *np.where(few, n, 0)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(e[new]), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(holder[kept]), mask=pa.array(~few))], names=["e", "n", "nodes"])
 
-    held_by = own.mapInArrow(together, "e bigint, n bigint, nodes array<bigint>")
-    rare = held_by.groupBy("e").agg(F.sum("n").alias("k")).filter(F.col("k") <= RARE).select("e")
-    lists = stored(held_by.join(rare, "e").groupBy("e").agg(F.sort_array(F.flatten(F.collect_list("nodes"))).alias("nodes")), "rare")
+    return sets.select("node", "elements").coalesce(parts).mapInArrow(together, "e bigint, n bigint, nodes array<bigint>")
+
+
+def _could_link(members: DataFrame, components: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of buckets that hold two components or more: what is left to confirm. In buckets of LARGE members or fewer that is
+    every pair (linear in their members); in larger ones exact bounds on the full sets come first.
+
+    A shingle is rare if at most RARE of these classes have it. A pair shares c rare shingles and at most the others of
+    either class, so it can link only if 100 i >= percent (size + size - i) with i = c + the fewer others. First result: the
+    pairs with c > 0 within that bound, from the lists of rare shingles (RARE long at most). Second: for pairs with c = 0,
+    members with size and cap (the largest size of a partner), without those whose cap lies below every size in the bucket."""
+    held = rename(members.withColumn("c", F.col("node")), "c", components)
+    mixed = held.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).filter("c0 != c1").select("bucket", "n")
+    members = stored(members.join(mixed, "bucket"), "mixed-members")
+    small = members.filter(F.col("n") <= LARGE).drop("n").withColumns({"size": F.lit(0).cast("bigint"), "cap": F.lit(2**62)})
+    members = members.filter(F.col("n") > LARGE).drop("n")
+    own = stored(sets.join(members.select("node").distinct(), "node", "left_semi").select("node", "elements", "n_el"), "large-sets")
+    held_by = shared_shingles(own).groupBy("e").agg(F.sum("n").alias("k"), F.flatten(F.collect_list("nodes")).alias("nodes"))
+    lists = stored(held_by.filter(F.col("k") <= RARE).select("e", F.sort_array("nodes").alias("nodes")), "rare")
     count = lists.select(F.explode("nodes").alias("node")).groupBy("node").agg(F.count("*").alias("rare"))
-    size = own.select("node", (F.octet_length("elements") / 8).cast("bigint").alias("size")).join(count, "node", "left")
+    size = own.select("node", F.col("n_el").alias("size")).join(count, "node", "left")
     others = F.col("size") - F.coalesce("rare", F.lit(0))
     size = stored(size.select("node", "size", others.alias("others"), F.floor(others * (100 + percent) / percent + 1e-6 - F.col("size")).alias("cap")), "sizes")
 

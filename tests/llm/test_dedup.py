@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -156,6 +157,16 @@ def test_near_strays_in_the_buckets_of_a_large_group(spark):
     assert {(x.doc_id, x.component_id) for x in minhash_dedup.near_duplicates(two, words=2).collect()} == {(1, 1), (2, 1), (3, 1)}
 
 
+def test_shingles_of_near_copies_are_named_once(spark):
+    """However many files the copies lie in, there is a row for each shingle and not one for each shingle and file."""
+    texts = {k: " ".join(f"w{j}" if j != k % 80 else f"x{k}" for j in range(80)) for k in range(300)}
+    sets = minhash_dedup.full_sets(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(50), 2)
+    rows = minhash_dedup.shared_shingles(sets).collect()
+    having = Counter(s for t in texts.values() for s in set(zip(t.split(), t.split()[1:], strict=False)))
+    assert sorted(r.n for r in rows) == sorted(having.values()) and all((r.nodes is None) == (r.n > minhash_dedup.RARE) for r in rows)
+    assert all(len(r.nodes) == r.n for r in rows if r.nodes is not None)
+
+
 def test_near_odd_rows(odd_docs, no_docs):
     rows = minhash_dedup.near_duplicates(odd_docs, words=2).collect()
     by = {r.doc_id: r for r in rows}
