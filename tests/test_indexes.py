@@ -149,6 +149,31 @@ def test_best_games_are_those_of_the_full_table(spark, sf):
         assert all(r.n_first <= groups and r.n_looked_up <= groups for r in got.made.collect())
 
 
+def test_best_games_by_parts_and_blocks(spark, monkeypatch):
+    """Many ties, few groups with many games and many with one, users that clicked the best: any dealing gives the full
+    table's rows. No pair of a user and a group is written."""
+    draw, words = random.Random(5), "red blue ring gear".split()
+    name = lambda: " ".join(draw.sample(words, 2))
+    games = spark.createDataFrame([(a, n, f"{n} z", draw.sample("abcdefgh", draw.randrange(4)) + ["all"] * (a % 2)) for a in range(240) for n in [name()]], "appid bigint, name string, context string, tags array<string>")
+    actions = [(u, "search", None, draw.choice([*words, "red ring", " ", "none"])) if draw.random() < 0.4 else (u, "click", draw.randrange(250), None) for u in range(60) for _ in range(draw.randrange(1, 14))]
+    events = spark.createDataFrame([(n, u, n % 50, kind, a, q) for n, (u, kind, a, q) in enumerate(actions)], "event_id bigint, user_id bigint, ts int, type string, appid bigint, query string")
+    full = B.preference_scores(events, games).withColumn("score", F.round("score", 12)).cache()
+    written, stored = {}, B.stored
+
+    def counted(df, tag):
+        out = stored(df, tag)
+        written[tag] = max(written.get(tag, 0), out.count())
+        return out
+
+    monkeypatch.setattr(B, "stored", counted)
+    for k, share, part, block in ((20, 0.4, 16, 25), (3, 0.9, 4096, 5)):
+        got = B.best_games(events, games, k, share, part, block)
+        want = {(r.user_id, r["rank"], r.appid, round(r.score, 9)) for r in K.topk_per_group(full, ["user_id"], [F.desc("score"), F.col("appid")], k).collect()}
+        assert {(r.user_id, r["rank"], r.appid, round(r.score, 9)) for r in got.best.collect()} == want and want
+        blocks = -(-written["game-groups"] // block)
+        assert written.pop("block-best") <= 60 * blocks and max(written.values()) <= max(len(actions), 240) < full.count() / 4
+
+
 def test_preferences_add_up_game_by_game(spark, sf):
     """The full table again in plain Python for some users."""
     games = {r.p_partkey: (r.p_name.lower(), f"{r.p_name} {r.p_brand}".lower(), {r.p_brand, r.p_type}) for r in view(spark, sf, "part").collect()}
