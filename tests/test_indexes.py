@@ -174,6 +174,18 @@ def test_best_games_by_parts_and_blocks(spark, monkeypatch):
         assert written.pop("block-best") <= 60 * blocks and max(written.values()) <= max(len(actions), 240) < full.count() / 4
 
 
+def test_listed_games_are_those_that_were_not_clicked(spark, monkeypatch):
+    """A group in lists of about two games, users that clicked some, all or none of it; scores are rounded as they are summed."""
+    monkeypatch.setattr(B, "LISTED", 2)
+    games = spark.createDataFrame([(a, "n", "n", ["x"] if a < 9 else ["x", "y"]) for a in range(11)], "appid bigint, name string, context string, tags array<string>")
+    clicks = {1: [0, 3], 2: [9, 10], 3: list(range(9)), 4: [77]}
+    events = spark.createDataFrame([(u * 100 + n, u, n, "click", a, None) for u, of in clicks.items() for n, a in enumerate(of)], "event_id bigint, user_id bigint, ts int, type string, appid bigint, query string")
+    got = [tuple(r) for r in B.preference_scores(events, games).collect()]
+    x = {u: sum(0.15 * 0.7**n for n in range(len(of))) for u, of in clicks.items()}
+    want = {(u, a): 0.5 + x[u] * (2 if u == 2 and a > 8 else 1) for u in (1, 2, 3) for a in range(11) if a not in clicks[u]}
+    assert sorted(got) == [(u, a, round(s, 12)) for (u, a), s in sorted(want.items())]
+
+
 def test_preferences_add_up_game_by_game(spark, sf):
     """The full table again in plain Python for some users."""
     games = {r.p_partkey: (r.p_name.lower(), f"{r.p_name} {r.p_brand}".lower(), {r.p_brand, r.p_type}) for r in view(spark, sf, "part").collect()}
