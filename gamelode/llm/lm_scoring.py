@@ -12,11 +12,12 @@ rare grams of a text are unseen there and back off.
 
 Everything is counted and looked up under 64-bit hashes: within a document or a batch in Arrow batches, between them by
 Spark's joins, if asked for one slice of the hash range after the other, so that the shuffled data of one slice at a time has
-to fit on disk. Pairs of words, with a vocabulary that every task can hold (counted: broadcast_keys at most), take a shorter
-way: what a document scores if all its words back off needs no join, nor do the HEAD_KEYS pairs seen most often, which every
-task holds; of all others, those whose words and whose bits in a filter of fixed size say that they may have been seen are
-looked up, for what they change. In all other cases every word's grams are joined to the tables, and the longest one seen is
-taken. Nothing is sampled or cut off.
+to fit on disk. Pairs of words take a shorter way: what a document scores if all its words back off needs no join for the
+broadcast_keys words seen most often, nor do the HEAD_KEYS pairs seen most often, which every task holds; of all other words
+and pairs, those whose bits in a filter of fixed size say that they may have been seen are looked up, for what they change. A
+pair with a looked-up word is scored as if that word had been seen once, and put right if the pair was seen. Of many texts,
+one part after the other is looked up, so that what is shuffled for one part at a time has to fit on disk; each text is in one
+part. Longer grams of every word are joined to the tables, and the longest one seen is taken. Nothing is sampled or cut off.
 
 Defined cases: a null text, or one without words, has 0 words and a null score; rows that repeat an id are scored each,
 as what they add up to, under that id once; rows without an id are counted by the model and returned as one row with a
@@ -33,36 +34,50 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import GOLDEN, U64, mix, read, stored
 
 ALPHA, ORDER, SLICES = 0.4, 3, 1  #: slices: a power of two
 BROADCAST_KEYS = 2_000_000  #: 32 MB
+PART_BYTES, PARTS = 1 << 25, 4  #: texts beyond so many bytes are looked up in parts; parts at most, each of which reads the tables again
 HEAD_KEYS = 1 << 20  #: 16 MB
 FILTER_WORDS = 1 << 21  #: 64 bits each
 START = U64(xxhash.xxh3_64_intdigest(b" "))  #: no word has a space
 ROWS_AT_A_TIME = 512
+LONG = 64  #: bytes of a word
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)  #: the first n of eight bytes
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def _hashes(data: bytes, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of runs of bytes: eight bytes after the other for all that have them; the few long ones one by one."""
+    eight = np.ndarray(len(data), dtype="<u8", buffer=data + bytes(7), strides=(1,))  # the eight bytes from each on
+    h, at = mix(sizes.astype(U64)), np.flatnonzero(sizes <= LONG)
+    for k in range(0, LONG, 8):
+        at = at[sizes[at] > k]
+        h[at] = mix(h[at] * GOLDEN + (eight[begins[at] + k] & _LOW[np.minimum(sizes[at] - k, 8)]))
+    for j in np.flatnonzero(sizes > LONG):
+        h[j] = xxhash.xxh3_64_intdigest(data[begins[j] : begins[j] + sizes[j]])
+    return h
+
+
 class Words:
     """The word hashes of some texts, end to end, and the text that each belongs to."""
 
     def __init__(self, texts: list[str | None]):
         raws = [t.lower().encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-        buf = np.frombuffer(b"\n".join([*raws, b""]), dtype=np.uint8)
-        white = _WHITE[buf]
+        data = b"\n".join([*raws, b""])
+        white = _WHITE[np.frombuffer(data, dtype=np.uint8)]
         edges = np.flatnonzero(white[1:] != white[:-1]) + 1
-        begins = np.concatenate([np.zeros(min(1, len(buf)), dtype=np.int64), edges])
-        runs = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(np.append(begins, len(buf)).astype(np.int64)), pa.py_buffer(buf)]).dictionary_encode()
-        first = int(len(buf) > 0 and white[0])  # runs of words and of white space take turns
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, runs.dictionary.to_pylist()), dtype=U64, count=len(runs.dictionary))
-        self.hash = hashes[runs.indices.to_numpy()[first::2]]
+        edges = np.concatenate([np.zeros(min(1, len(data)), dtype=np.int64), edges, [len(data)]])
+        first = int(len(data) > 0 and white[0])  # runs of words and of white space take turns
+        begins = edges[:-1][first::2]
+        self.hash = _hashes(data, begins, edges[1:][first::2] - begins)
         ends = np.cumsum([len(r) + 1 for r in raws])
-        self.text = np.searchsorted(ends, begins[first::2], side="right")
+        self.text = np.searchsorted(ends, begins, side="right")
         self.count = np.bincount(self.text, minlength=len(texts))
 
     def ending(self, size: int) -> np.ndarray:
@@ -177,14 +192,14 @@ def _look_up(known: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarr
     return np.where(of[at] == keys, c[at], 0)
 
 
-def _frequent(table: DataFrame) -> int:
-    """The least count for which no more than HEAD_KEYS keys have it or a larger one, of those that begin a step of an eighth
-    of a doubling."""
+def _frequent(table: DataFrame, most: int) -> int:
+    """The least count for which no more than `most` keys have it or a larger one, of those that begin a step of an eighth of a
+    doubling."""
     steps = table.groupBy(F.floor(F.log2("c") * 8).alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
     n, least = 0, 2**62
     for step in sorted(steps, key=lambda r: -r["step"]):
         n += step["n"]
-        if n > HEAD_KEYS:
+        if n > most:
             break
         least = step["c"]
     return least
@@ -199,64 +214,97 @@ def _filter(keys: DataFrame) -> np.ndarray:
     return out.view(U64)
 
 
-def _pairs(docs: DataFrame, model: Counts, leave_out: bool) -> DataFrame:
+def _pairs(docs: DataFrame, model: Counts, leave_out: bool, broadcast_keys: int) -> DataFrame:
     """doc_id, n_words, s: parts of the scores by pairs of words, to be added up."""
-    spark, every = docs.sparkSession, reduce(DataFrame.union, model.tables[1])
-    often = F.col("c") >= _frequent(every)
-    known, head = (spark.sparkContext.broadcast(_by_key(t)) for t in (model.tables[0][0], every.filter(often)))
+    spark, every, single = docs.sparkSession, reduce(DataFrame.union, model.tables[1]), model.tables[0][0]
+    often, common = F.col("c") >= _frequent(every, HEAD_KEYS), F.col("c") >= _frequent(single, broadcast_keys)
+    known, head = (spark.sparkContext.broadcast(_by_key(t)) for t in (single.filter(common), every.filter(often)))
+    rare_words = single.filter(~common)
+    has_rare = not rare_words.isEmpty()
     n_all, n_texts, slices, back = model.words, model.n_texts, model.slices, np.log(ALPHA)
 
-    def looked_up(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each word its count in the model and that of the word before it; for each text the model's words."""
-        first, which, own = words.own(words.hash)
-        seen = _look_up(known.value, words.hash[first])
-        seen = np.maximum(0, seen - own) if leave_out else seen
-        each = seen[which].astype(np.int64)
-        return each, words.before(each, n_texts - leave_out), np.maximum(1, n_all - leave_out * words.count)
+    def has_bit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        slot = keys & U64(64 * FILTER_WORDS - 1)
+        return (bits[slot >> U64(6)] >> (slot & U64(63)) & U64(1)) == 1
 
-    def parts(k: int, bits) -> Callable:
-        """A row for each text (n 0, n_words and s of the k-th slice) and for each of its pairs that the join has to look up."""
+    def rows(k: int, bits) -> Callable:
+        """A row for each text (n 0, n_words and s of the k-th slice), and for each of its words and pairs that the join has to
+        look up; of these, a and b are the words that are looked up."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, words in _parts(batches, ROWS_AT_A_TIME):
-                seen, context, total = looked_up(words)
-                off = back + np.log(np.maximum(1, seen) / total[words.text])
+                at, which, own = words.own(words.hash)
+                seen = _look_up(known.value, words.hash[at])
+                asked = (seen == 0) & has_bit(bits.value, words.hash[at]) if has_rare else np.zeros(len(at), dtype=bool)
+                seen = np.maximum(0, seen - own) if leave_out else seen
+                each, late = seen[which].astype(np.int64), asked[which]
+                context, late_context = words.before(each, n_texts - leave_out), words.before(late, False)
+                total = np.maximum(1, n_all - leave_out * words.count)
+                off = back + np.log(np.maximum(1, each) / total[words.text])
                 gram = words.ending(2)
                 first, n = words.distinct(gram)
-                may = (gram[first] & U64(slices - 1) == k) & (seen[first] > 0) & (context[first] > 0)
+                may = (gram[first] & U64(slices - 1) == k) & ((each[first] > 0) | late[first]) & ((context[first] > 0) | late_context[first])
                 first, n = first[may], n[may]
-                gram, text = gram[first], words.text[first]
-                less = n * (np.log(context[first]) + off[first])
-                c = _look_up(head.value, gram)
+                less = n * (np.log(np.maximum(1, context[first])) + off[first])
+                pair, text, lacks = gram[first], words.text[first], late[first] | late_context[first]
+                c = _look_up(head.value, pair)
                 left = c - n if leave_out else c
-                gain = np.where(left > 0, n * np.log(np.maximum(1, left)) - less, 0.0)
+                gain = np.where((left > 0) & ~lacks, n * np.log(np.maximum(1, left)) - less, 0.0)
                 s = np.bincount(text, gain, minlength=part.num_rows) + (np.bincount(words.text, off, minlength=part.num_rows) if k == 0 else 0.0)
-                slot = gram & U64(64 * FILTER_WORDS - 1)
-                ask = (c == 0) & ((bits.value[slot >> U64(6)] >> (slot & U64(63)) & U64(1)) == 1)
+                ask = (c == 0) & has_bit(bits.value, pair) | (c > 0) & lacks
                 docs = part.column(0).cast(pa.int64())
                 nowhere = mix(docs.fill_null(0).to_numpy().view(U64) ^ GOLDEN)  # spreads texts over the join, whose n is 0
-                doc = pa.concat_arrays([docs, docs.take(pa.array(text[ask]))])
-                key, n, less = np.concatenate([nowhere, gram[ask]]), np.concatenate([np.zeros(len(docs), dtype=np.int64), n[ask]]), np.concatenate([np.zeros(len(docs)), less[ask]])
-                rest = int(ask.sum())
-                n_words = pa.concat_arrays([pa.array(words.count if k == 0 else np.zeros_like(words.count), pa.int64()), pa.nulls(rest, pa.int64())])
+                of = np.concatenate([words.text[at[asked]], text[ask]])
+                rest, word, none = len(of), words.hash[at[asked]], np.zeros(len(docs), dtype=np.int64)
+                key, n, less = np.concatenate([nowhere, word, pair[ask]]), np.concatenate([none, own[asked], n[ask]]), np.concatenate([none, np.zeros(len(word)), less[ask]])
+                n_words = pa.concat_arrays([pa.array(words.count if k == 0 else none, pa.int64()), pa.nulls(rest, pa.int64())])
                 s = pa.concat_arrays([pa.array(s, pa.float64(), mask=words.count == 0), pa.nulls(rest, pa.float64())])
-                yield pa.RecordBatch.from_arrays([doc, pa.array(key.view(np.int64)), pa.array(n, pa.int64()), pa.array(less), n_words, s], names=["doc_id", "key", "n", "less", "n_words", "s"])
+                out = [pa.concat_arrays([docs, docs.take(pa.array(of))]), pa.array(key.view(np.int64)), pa.array(n), pa.array(less), n_words, s]
+                if has_rare:
+                    looked_up = lambda of, mask: pa.array(of[first[ask]].view(np.int64), mask=~mask[first[ask]])
+                    out.append(pa.concat_arrays([pa.nulls(len(docs), pa.int64()), pa.array(word.view(np.int64)), looked_up(words.before(words.hash, START), late_context)]))
+                    out.append(pa.concat_arrays([pa.nulls(len(docs) + len(word), pa.int64()), looked_up(words.hash, late)]))
+                    out.append(part.column(2).take(pa.array(np.concatenate([np.arange(len(docs)), of]))))
+                yield pa.RecordBatch.from_arrays(out, names=[f.split()[0] for f in schema.split(", ")])
 
         return run
 
-    out = []
+    schema = "doc_id bigint, key bigint, n bigint, less double, n_words bigint, s double" + ", a bigint, b bigint, row bigint" * has_rare
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts, out = min(PARTS, max(1, -(-size // PART_BYTES))), []
     for k, table in enumerate(model.tables[1]):
-        rare = table.filter(~often)
-        bits = spark.sparkContext.broadcast(_filter(rare))
-        met = docs.mapInArrow(parts(k, bits), "doc_id bigint, key bigint, n bigint, less double, n_words bigint, s double").join(rare, "key", "left")
-        c = F.col("c") - F.col("n") if leave_out else F.col("c")
-        s = F.coalesce("s", F.when((F.col("n") > 0) & (c > 0), F.col("n") * F.log(c) - F.col("less")))
-        out.append(_stored(met.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum(s).alias("s")), "sums"))
+        bits = spark.sparkContext.broadcast(_filter(table.filter(~often).union(rare_words)))
+        table = table.union(rare_words) if has_rare else table.filter(~often)
+        left = F.col("c") - F.col("n") if leave_out else F.col("c")
+        hit, of_word = (F.col("n") > 0) & (left > 0), F.col("a") == F.col("key")
+        for part in range(n_parts):
+            some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_parts)) == part) if n_parts > 1 else docs
+            some = some.withColumn("row", F.monotonically_increasing_id()) if has_rare else some
+            met = some.mapInArrow(rows(k, bits), schema).join(table, "key", "left").filter((F.col("n") == 0) | hit)
+            s = F.coalesce("s", F.when(hit, F.col("n") * F.log(left) - F.col("less")))
+            if has_rare:
+                met = _put_right(met.withColumn("s", s if k == 0 else F.when(of_word, 0.0).otherwise(s)), of_word, F.log(left))
+                s = F.col("s")
+            out.append(_stored(met.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum(s).alias("s")), "sums"))
     return reduce(DataFrame.union, out)
 
 
+def _put_right(met: DataFrame, of_word: Column, log_c: Column) -> DataFrame:
+    """doc_id, n_words, s of each text: seen pairs were scored as if their looked-up words a and b had been seen once."""
+    none = F.lit(None)
+    entry = lambda word, n_words, s, log_c, n: F.struct(word.cast("bigint").alias("word"), n_words.cast("bigint").alias("n_words"), s.cast("double").alias("s"), log_c.cast("double").alias("log_c"), n.cast("bigint").alias("n"))
+    own = entry(none, F.col("n_words"), F.col("s"), none, none)
+    word = F.array(entry(F.col("key"), none, F.col("s"), log_c, none))
+    pair = F.array(own, entry(F.col("a"), none, none, none, F.col("n")), entry(F.col("b"), none, none, none, F.col("n")))
+    plain = F.col("a").isNull() & F.col("b").isNull()
+    each = met.select("doc_id", "row", F.inline(F.when(plain, F.array(own)).when(of_word, word).otherwise(pair)))
+    each = each.groupBy("doc_id", "row", "word").agg(F.sum("n_words").alias("n_words"), F.sum("s").alias("s"), F.max("log_c").alias("log_c"), F.sum("n").alias("n"))
+    fix = F.when(F.col("word").isNotNull() & F.col("n").isNotNull() & F.col("log_c").isNotNull(), F.col("n") * F.col("log_c"))
+    return each.select("doc_id", "n_words", F.when(fix.isNotNull(), F.coalesce("s", F.lit(0.0)) - fix).otherwise(F.col("s")).alias("s"))
+
+
 def _by_place(docs: DataFrame, model: Counts, leave_out: bool) -> DataFrame:
-    """As _pairs(), for grams of any length and vocabularies of any size: every word's grams are joined to the tables."""
+    """As _pairs(), for grams of any length: every word's grams are joined to the tables."""
     order, n_all = model.order, model.words
     base = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
 
@@ -295,8 +343,7 @@ def score(docs: DataFrame, model: Counts, id_col: str = "doc_id", text_col: str
     if model.least > 1 and not leave_out:
         raise ValueError("a model of what was seen twice serves leave_out alone")
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    short = model.order == 2 and model.tables[0][0].count() <= broadcast_keys
-    out = _pairs(docs, model, leave_out) if short else _by_place(docs, model, leave_out)
+    out = _pairs(docs, model, leave_out, broadcast_keys) if model.order == 2 else _by_place(docs, model, leave_out)
     return out.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("s").alias("score"))
 
 

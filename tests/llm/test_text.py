@@ -12,6 +12,7 @@ import pytest
 
 from gamelode.llm import decontamination, html_extraction, language_id, lm_scoring, secret_scan, sentencepiece_codec
 from gamelode.llm.common import read
+from tests.test_larger import _shuffled
 
 
 @pytest.fixture(scope="module")
@@ -440,6 +441,23 @@ def test_frequent_pairs_are_scored_without_the_join(spark, monkeypatch, head):
     assert got == {k: (n, pytest.approx(s) if s is not None else None) for k, (n, s) in enumerate(want)}
 
 
+@pytest.mark.parametrize("keys,part_bytes", [(40, 1), (40, 1 << 30), (0, 1)])
+def test_words_beyond_those_that_every_task_holds_are_looked_up(spark, monkeypatch, keys, part_bytes):
+    """A vocabulary larger than what every task holds costs rows for the words beyond it, not for every word; texts in parts."""
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice("abcdefghij") for _ in range(200)) + f" rare{k // 2} a rare{k // 4} rare{k // 2}" for k in range(300)] + [None, "", "once only"]
+    docs = spark.createDataFrame([(k if k % 50 else None if k else 0, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    monkeypatch.setattr(lm_scoring, "PART_BYTES", part_bytes, raising=False)
+    rows = _shuffled(spark, lambda: lm_scoring.score_each_by_others(docs, 2, broadcast_keys=keys))
+    if keys:
+        assert rows < 300 * 200 / 4
+    got = {r.doc_id: (r.n_words, r.score) for r in lm_scoring.score_each_by_others(docs, 2, broadcast_keys=keys).collect()}
+    want, _ = slow_score(texts, texts, 2, True)
+    none = [want[k] for k in range(50, len(want), 50)]
+    want = {k: w for k, w in enumerate(want) if k % 50 or not k} | {None: (sum(n for n, _ in none), sum(s for _, s in none if s is not None))}
+    assert got == {k: (n, pytest.approx(s) if s is not None else None) for k, (n, s) in want.items()}
+
+
 @pytest.mark.parametrize("unit", ["<a", "<!", "<svg>", "<span>", "<script", "<!--", '<p a="', "<p a='x", "</b>", "a<b>", "<li>", "<p>"])
 def test_hostile_pages_take_time_in_proportion(unit):
     took = []
