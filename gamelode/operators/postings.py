@@ -39,6 +39,17 @@ class Found:
     blocks: DataFrame
 
 
+def _stored_where_dealt(df: DataFrame, tag: str) -> DataFrame:
+    """stored(), with Spark told that rows dealt out by one of the columns that a join or sum is by need not be dealt out again."""
+    conf, name = df.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return stored(df, tag)
+    finally:
+        conf.set(name, before)
+
+
 def tf_part(tf: Column, length: Column, avg: Column, k1: float, b: float) -> Column:
     return tf / (tf + k1 * (1 - b + b * length / avg))
 
@@ -134,9 +145,15 @@ class PostingsIndex:
         chosen = strong.filter("more is not null").groupBy("query_id", "range").agg(F.collect_set("doc_id").alias("chosen"))
         live = bounds.join(chosen, ["query_id", "range"], "left").withColumn("open", F.col("more") >= F.col("least"))
         live = stored(live.filter("open or chosen is not null").select("query_id", "range", "n", F.when(~F.col("open"), F.col("chosen")).alias("chosen")), "live")
-        second = opened(table.join(wanted.filter("late").join(live, "query_id"), ["term", "range"])).filter("chosen is null or array_contains(chosen, doc_id)")
-        sums = strong.select("query_id", "doc_id", "s").unionByName(second.select("query_id", "doc_id", part.alias("s"))).groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
-        hits = topk_per_group(sums, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
+        # the late words' blocks meet the queries by range too; a document's sum leaves its range only if it can be among the k best
+        late_blocks = table.join(asked.filter("late"), "term", "left_semi").join(F.broadcast(live.select("range").distinct()), "range", "left_semi").drop("late", "n", "max_tf", "min_len")
+        asking = wanted.filter("late").join(live.select("query_id", "range", "chosen"), "query_id")
+        second = opened(late_blocks.repartition("range").join(asking.repartition("range").hint("merge"), ["range", "term"])).filter("chosen is null or array_contains(chosen, doc_id)")
+        second = second.groupBy("query_id", "range", "doc_id").agg(F.sum(part).alias("t"))
+        both = strong.select("query_id", "range", "doc_id", "s").repartition("range").hint("merge").join(second, ["range", "query_id", "doc_id"], "full")
+        sums = both.select("query_id", "doc_id", F.round(F.coalesce("s", F.lit(0.0)) + F.coalesce("t", F.lit(0.0)), 6).alias("score"))
+        sums = sums.join(F.broadcast(reached.withColumnRenamed("least", "_least")), "query_id", "left").filter(F.col("score") >= least).drop("_least")
+        hits = _stored_where_dealt(topk_per_group(sums, ["query_id"], [F.desc("score"), F.col("doc_id")], k), "hits")
         early = table.select("term").join(wanted.filter("not late"), "term").groupBy("query_id").agg(F.count("*").alias("e"))
         of = lambda df, name: df.groupBy("query_id").agg(F.sum("n").alias(name))
         read = early.join(of(bounds, "a"), "query_id", "full").join(of(live, "r"), "query_id", "left").na.fill(0)

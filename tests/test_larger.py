@@ -93,6 +93,18 @@ def test_an_index_of_postings_shuffles_texts_and_not_words(spark):
     assert found(index.search(ask, 10).hits) == want and len(want) == 50
 
 
+def test_a_search_shuffles_blocks_and_not_the_postings_of_each_query(spark):
+    name = lambda k: "".join(chr(97 + int(c)) for c in f"{k:02d}")
+    words = [F.when(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(3 if k < 40 else 29)) == 0, F.lit(f"w{name(k)}")) for k in range(60)]
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *words).alias("text"))
+    ask = docs.filter("doc_id % 60 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    index = PostingsIndex(spark, span=256).add(docs)
+    found = lambda df: sorted((r.query_id, r.rank, r.doc_id, r.score) for r in df.collect())
+    want = found(V.bm25_search(ask, V.bm25_index(docs), 100))
+    assert _shuffled(spark, lambda: index.search(ask, 100).hits) < 50 * 4000
+    assert found(index.search(ask, 100).hits) == want and len(want) == 5000
+
+
 def _vectors(spark, n: int):
     return spark.range(n).select(F.col("id").alias("vec_id"), F.array(*(F.sin(F.col("id") * (k + 1)) for k in range(8))).alias("embedding"))
 
